@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, substring_dedup
+from corpusloom.llm import bpe, decontaminate, exact_dedup, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 
 #: None of the others can be said in SQL; their tests hold them against brute force.
@@ -16,4 +17,5 @@ ORACLE_SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op8_near_dedup": near_dedup.OP8_SQL,
 }
