@@ -12,17 +12,18 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 
-#: Text chunks handed to numpy at a time; bounds the working memory of a task.
-CHUNK_BYTES = 1 << 20
+#: Text handed to numpy at a time; bounds the working memory of a task.
+CHUNK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,19 +88,6 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-def chunks(texts: Iterable[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) in runs of about ``size`` bytes."""
-    run, n, first, i = [], 0, 0, -1
-    for i, t in enumerate(texts):
-        run.append(t)
-        n += len(t)
-        if n >= size:
-            yield first, run
-            run, n, first = [], 0, i + 1
-    if run:
-        yield first, run
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Finaliser of a 64-bit hash; a bijection."""
     x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -184,11 +172,16 @@ def words_column(text: Column) -> Column:
 
 
 def batches_of(it: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the input batches with about ``size`` bytes of text each."""
+    """Slices of the input batches with about ``size`` bytes of text each, one text at least."""
     for batch in it:
-        texts = byte_list(batch.column(column))
-        for first, run in chunks(texts, size):
-            yield batch.slice(first, len(run)), run
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+            part = batch.slice(at, end - at)
+            yield part, byte_list(part.column(column))
+            at = end
 
 
 def sql_name(name: str) -> str:

@@ -44,9 +44,9 @@ WIDTH_BITS = 27
 #: log2 of the cells in one shard of the sketch.
 SHARD_BITS = 22
 #: Anchors in a partition sketch, and windows in a packed block, before it is written.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Windows per shard of the exact pass.
-SHARD_WINDOWS = 2_000_000
+SHARD_WINDOWS = 1_000_000
 _NONE = np.iinfo(np.uint64).max
 
 
