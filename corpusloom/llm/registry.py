@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, near_dedup, substring_dedup
+from corpusloom.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 
