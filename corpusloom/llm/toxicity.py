@@ -31,8 +31,8 @@ from corpusloom.llm import common as C
 from corpusloom.llm import labelled
 
 PER_CLASS = 5000
-BITS, EPOCHS = 20, 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 1.0
+BITS, EPOCHS = 20, 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
 THRESHOLD = 0.7
 
 
