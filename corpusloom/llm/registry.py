@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, substring_dedup, toxicity
+from corpusloom.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 #: None of the others can be said in SQL; their tests hold them against brute force.
@@ -20,4 +22,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op8_near_dedup": near_dedup.OP8_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
