@@ -4,7 +4,8 @@ The vocabulary file (a public ``tokenizers`` JSON of the word-end BPE kind) is
 a parameter.  Three steps:
 
 1. :func:`frequent_words` counts words over all texts; each block of text
-   nominates its own most frequent words and the sums rank them.
+   nominates the most frequent of what it holds at least twice, and the sums
+   rank them.
 2. :class:`Transducer` compiles the chosen words into a minimal acyclic
    automaton: equal suffixes share states, arc outputs add up to the word's
    ordinal, and the ordinal points at its token ids.  The bytes are written to
@@ -30,9 +31,11 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark import SparkFiles
@@ -43,10 +46,16 @@ from pyspark.sql import types as T
 from corpusloom.llm import common as C
 
 #: Words compiled into the lexicon, and words a block of text may nominate.
-LEXICON_WORDS = 1 << 16
-NOMINATED = 1 << 15
-#: Entries of a worker's memo of looked-up words; it is emptied when full.
-MEMO_WORDS = 200_000
+LEXICON_WORDS = 1 << 17
+NOMINATED = 1 << 16
+#: Entries of a worker's memo of looked-up words.
+MEMO_WORDS = 300_000
+#: Bytes up to which words are merged in columns; longer ones go one by one.
+LONG_WORD = 64
+#: Text encoded at a time: the more, the more new words share a step.
+RUN_BYTES = 2 << 20
+
+_NEVER = 1 << 60
 
 # Contractions and white space of the vocabulary's word pattern.
 _CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
@@ -111,12 +120,12 @@ class Vocabulary:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + suffix] for s in symbols]
-        self.merges = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        #: Rank of a pair of ids, and the id that the merge of a rank makes.
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(model["merges"])}
+        self.made = [vocab[a + b] for a, b in model["merges"]]
         self.control = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.control.items()}
-        self.blob, self.library = blob, None
+        self.blob, self.library, self.table = blob, None, None
         self.control_split = re.compile("(" + "|".join(map(re.escape, self.control)) + ")") if self.control else None
 
     def split_other(self, piece: str) -> list[str]:
@@ -129,54 +138,77 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """Token ids of one word: the merge of lowest rank first, leftmost first."""
         raw = word.encode()
-        ids = [self.inner[b] for b in raw]
+        inner, get, made = self.inner, self.ranks.get, self.made
+        ids = [inner[b] for b in raw]
         ids[-1] = self.final[raw[-1]]
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = get(pair)
-                if found and found[0] < best:
-                    best, new = found
-                    at = i
-            if at < 0:
+        ranks = [get(pair, _NEVER) for pair in pairwise(ids)]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NEVER:
                 break
-            ids[at : at + 2] = [new]
+            i = ranks.index(rank)
+            ids[i] = made[rank]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), _NEVER)
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode gives where the file names no decoder: tokens joined by one space."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """:meth:`decode` of a column; null lists give ''."""
+        if self.table is None:
+            self.table = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
+        lists = pc.fill_null(lists, [])
+        flat, offsets = lists.values, lists.offsets  # of a slice: offsets say where it begins
+        flat = flat.slice(offsets[0].as_py(), offsets[-1].as_py() - offsets[0].as_py())
+        offsets = pc.subtract(offsets, offsets[0])
+        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.table)))
+        if flat.null_count or not pc.all(inside).as_py() or (tokens := self.table.take(flat)).null_count:  # ids that no token has are skipped
+            return pa.array([self.decode(x) for x in lists.to_pylist()], pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+
 
 class Transducer:
-    """Minimal acyclic transducer over bytes: word -> token ids, on one buffer."""
+    """Minimal acyclic transducer over bytes, word -> token ids, on one mapped buffer.
 
-    _MAGIC = b"MATL0001"
+    Arcs are sorted by (state, label), so a whole column of words takes a step
+    by one binary search over the arc keys.
+    """
+
+    _MAGIC = b"MATL0002"
 
     def __init__(self, buf):
-        self.buf = buf
-        sizes = np.frombuffer(buf[8:40], "<i8").tolist()
-        view, at, parts = memoryview(buf), 40, []
-        states, arcs, words, pool = sizes
-        for n, code in ((states + 1, "I"), (arcs, "I"), (arcs, "I"), (words + 1, "I"), (pool, "I"), (states, "B"), (arcs, "B")):
-            size = n * (4 if code == "I" else 1)
-            parts.append((at, view[at : at + size].cast(code)))
-            at += size
-        (_, self.first), (_, self.target), (_, self.output), (_, self.start), (_, self.pool), (_, self.accept), (self.labels, _) = parts
-
-    def lookup(self, word: bytes) -> list[int] | None:
-        state = number = 0
-        find, first, base = self.buf.find, self.first, self.labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + first[state], base + first[state + 1]) - base
-            if arc < 0:
-                return None
-            number += self.output[arc]
+        states, arcs, words, pool = np.frombuffer(buf, "<i8", 4, 8).tolist()
+        at = 40
+        self.parts = []
+        for n, kind in ((arcs, "<u4"), (arcs, "<u4"), (arcs, "<u4"), (words + 1, "<u4"), (pool, "<i4"), (states, "u1")):
+            self.parts.append(np.frombuffer(buf, kind, n, at))
+            at += self.parts[-1].nbytes
+        self.keys, self.target, self.output, self.start, self.pool, self.accept = self.parts
+
+    def lookup(self, words: np.ndarray) -> np.ndarray:
+        """Ordinals of equally long words (rows of bytes), -1 for words outside."""
+        n, length = words.shape
+        state, number, here = np.zeros(n, np.uint32), np.zeros(n, np.int64), np.arange(n)
+        for j in range(length):
+            key = state << np.uint32(8) | words[here, j]
+            arc = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            ok = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), bool)
+            here, arc = here[ok], arc[ok]
+            number[here] += self.output[arc]
             state = self.target[arc]
-        if not self.accept[state]:
-            return None
-        return self.pool[self.start[number] : self.start[number + 1]].tolist()
+        out = np.full(n, -1, np.int64)
+        ends = self.accept[state] == 1 if len(here) else np.zeros(0, bool)
+        out[here[ends]] = number[here[ends]]
+        return out
+
+    def ids(self, ordinal: int) -> np.ndarray:
+        return self.pool[self.start[ordinal] : self.start[ordinal + 1]]
 
     @classmethod
     def compile(cls, words: dict[bytes, list[int]]) -> bytes:
@@ -214,50 +246,150 @@ class Transducer:
         below = [0] * len(made)
         for i, (accept, arcs) in enumerate(made):
             below[i] = accept + sum(below[t] for _, t in arcs)
-        first, target, output, labels, accepts = [0], [], [], bytearray(), bytearray()
-        for old in order:
+        keys, target, output, accepts = [], [], [], bytearray()
+        for state, old in enumerate(order):
             accept, arcs = made[old]
             accepts.append(accept)
             number = int(accept)
-            for label, t in arcs:
-                labels.append(label)
+            for label, t in arcs:  # sorted, since words were added in order
+                keys.append(state << 8 | label)
                 target.append(place[t])
                 output.append(number)
                 number += below[t]
-            first.append(len(target))
         start, pool = [0], []
         for word in sorted(words):
             pool += words[word]
             start.append(len(pool))
         head = np.array([len(order), len(target), len(words), len(pool)], "<i8").tobytes()
-        return cls._MAGIC + head + b"".join(np.array(x, "<u4").tobytes() for x in (first, target, output, start, pool)) + bytes(accepts) + bytes(labels)
+        return cls._MAGIC + head + b"".join(np.array(x, "<u4").tobytes() for x in (keys, target, output, start, pool)) + bytes(accepts)
+
+
+class Merger:
+    """Exact merges of many equally long words at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        v = self.vocabulary = vocabulary
+        self.inner, self.final, self.made = (np.array(x, np.int32) for x in (v.inner, v.final, v.made))
+        pairs = np.array([(a << 32 | b, rank) for (a, b), rank in v.ranks.items()], np.int64).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0])
+        self.keys, self.rank = pairs[order, 0], pairs[order, 1].astype(np.int32)
+        self.never = np.int32(np.iinfo(np.int32).max)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0), self.rank[at], self.never)
+
+    def merge(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids padded by -1, number of ids) of each row of bytes."""
+        n, length = words.shape
+        ids = self.inner[words]
+        ids[:, -1] = self.final[words[:, -1]]
+        count = np.full(n, length)
+        if length == 1:
+            return ids, count
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        column, live = np.arange(length), np.arange(n)
+        while len(live):
+            rows = np.arange(len(live))
+            at = rank[live].argmin(axis=1)  # the lowest rank, leftmost among equals
+            best = rank[live, at]
+            go = best < self.never
+            live, at, best, rows = live[go], at[go], best[go], rows[: int(go.sum())]
+            if not len(live):
+                break
+            x, r = ids[live], rank[live]
+            behind = column > at[:, None]
+            x[:, :-1] = np.where(behind[:, :-1], x[:, 1:], x[:, :-1])
+            x[:, -1] = -1
+            x[rows, at] = self.made[best]
+            r[:, :-1] = np.where(behind[:, :-2], r[:, 1:], r[:, :-1])
+            r[:, -1] = self.never
+            left = at > 0
+            r[rows[left], at[left] - 1] = self.ranks(x[rows[left], at[left] - 1], x[rows[left], at[left]])
+            right = at < length - 1
+            r[rows[right], at[right]] = self.ranks(x[rows[right], at[right]], x[rows[right], at[right] + 1])
+            ids[live], rank[live] = x, r
+            count[live] -= 1
+        return ids, count
 
 
 class Codec:
-    """A worker's encoder: memo, then the mapped transducer, then exact merges."""
+    """A worker's encoder: memo, then the mapped transducer, then exact merges.
+
+    Words that a run of texts adds are looked up and merged together, grouped
+    by their length in bytes; the memo is emptied when it is full.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None):
-        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.lexicon.lookup(word.encode()) if self.lexicon else None
-        return self.vocabulary.merge(word) if ids is None else ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        v, memo = self.vocabulary, self.memo
-        for part in v.control_split.split(text) if v.control and "<" in text else [text]:
-            if part in v.control:
-                out.append(v.control[part])
+        self.vocabulary, self.lexicon, self.merger = vocabulary, lexicon, Merger(vocabulary)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo: dict[str, int] = {t: i for i, t in enumerate(self.vocabulary.control)}
+        self.ids = [np.array([i], np.int32) for i in self.vocabulary.control.values()]
+        self.flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
+        self.count = np.ones(len(self.memo), np.int64)
+        self.start = np.arange(len(self.memo))
+
+    def _learn(self, words: list[str]) -> None:
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words:
+            raw = w.encode()
+            groups.setdefault(len(raw), []).append((w, raw))
+        flats, counts = [self.flat], [self.count]
+        for length, group in groups.items():
+            if length > LONG_WORD:
+                for w, _ in group:
+                    self.memo[w] = len(self.memo)
+                    flats.append(np.array(self.vocabulary.merge(w), np.int32))
+                    counts.append(np.array([len(flats[-1])]))
                 continue
-            for w in split_words(part, v.split_other):
-                ids = memo.get(w)
-                if ids is None:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    ids = memo[w] = self.word(w)
-                out += ids
-        return out
+            rows = np.frombuffer(b"".join(raw for _, raw in group), np.uint8).reshape(-1, length)
+            found = self.lexicon.lookup(rows) if self.lexicon else np.full(len(rows), -1)
+            known, new = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+            for i in (*known.tolist(), *new.tolist()):
+                self.memo[group[i][0]] = len(self.memo)
+            if len(known):
+                begin = self.lexicon.start[found[known]].astype(np.int64)
+                n = self.lexicon.start[found[known] + 1] - begin
+                flats.append(self.lexicon.pool[ragged(begin, n)])
+                counts.append(n)
+            if len(new):
+                ids, n = self.merger.merge(rows[new])
+                flats.append(ids[ids >= 0])
+                counts.append(n)
+        self.flat, self.count = np.concatenate(flats), np.concatenate(counts)
+        self.start = np.cumsum(self.count) - self.count
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        v = self.vocabulary
+        words, ends = [], [0]
+        for text in texts:
+            for part in v.control_split.split(text) if v.control and "<" in text else (text,):
+                if part in v.control:
+                    words.append(part)
+                else:
+                    words += split_words(part, v.split_other)
+            ends.append(len(words))
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.memo) >= MEMO_WORDS:
+                self._clear()
+                missing = np.arange(len(words))
+            self._learn([w for w in dict.fromkeys(map(words.__getitem__, missing.tolist())) if w not in self.memo])
+            at[missing] = np.fromiter(map(self.memo.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
+        n = self.count[at]
+        total = np.concatenate([[0], np.cumsum(n)])[np.array(ends)]
+        return self.flat[ragged(self.start[at], n)], np.diff(total)
+
+
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0]+n[0]-1, start[1] .. and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -267,20 +399,25 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
     """The most frequent words by summed nominations, at most ``limit`` of them."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        pieces: Counter = Counter()
         seen = 0
 
         def nominated() -> pa.RecordBatch:
+            words: Counter = Counter()
+            for piece, n in pieces.items():
+                if n > 1:
+                    for w in split_words(piece.decode()):
+                        words[w] += n
             top = words.most_common(NOMINATED)
             return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
         for _, texts in C.batches_of(it):
             for t in texts:
-                words.update(split_words(t.decode()))
+                pieces.update(t.split())
                 seen += len(t)
                 if seen >= 32 << 20:
                     yield nominated()
-                    words.clear()
+                    pieces.clear()
                     seen = 0
         yield nominated()
 
@@ -330,10 +467,9 @@ def encode(docs: DataFrame, vocabulary, *, text: str = "text", carry: list[str]
                 mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
             _CODECS[name] = Codec(Vocabulary(vocabulary.value), Transducer(mapped))
         codec = _CODECS[name]
-        for batch, texts in C.batches_of(it):
-            ids = [codec.encode(t.decode()) for t in texts]
-            flat = np.fromiter((i for x in ids for i in x), np.int32)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        for batch, texts in C.batches_of(it, size=RUN_BYTES):
+            flat, n = codec.encode([t.decode() for t in texts])
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "ids"])
 
     return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -353,10 +489,9 @@ def decode(df: DataFrame, vocabulary, *, ids: str = "ids", out: str = "decoded")
             _TOKENS[key] = Vocabulary(vocabulary.value)
         v = _TOKENS[key]
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                text = [v.decode(x or []) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, out])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([*part.columns, v.decode_lists(part.column(ids))], [*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
