@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, substring_dedup, toxicity
+from corpusloom.llm import bpe, decontaminate, exact_dedup, language_model, license_scan, line_dedup, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
