@@ -200,6 +200,13 @@ def _passing(rows: DataFrame, wanted: Snapshot, limit: int) -> DataFrame:
     return rows.where(may_be(_key(), _bucket(wanted.buckets)))
 
 
+def keep_named(rows: DataFrame, column: str, keys: DataFrame, name: str, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows whose ``column`` is among ``keys`` (one column, distinct): a filter first, so that only hits are shuffled."""
+    wanted = Snapshot.write(keys.toDF("key").select(F.col("key").cast("string").alias("digest")), name)
+    near = _passing(rows.withColumn("digest", F.col(column).cast("string")), wanted, limit)
+    return near.join(wanted.rows.select("digest"), "digest", "left_semi").drop("digest")
+
+
 def repeated(rows: DataFrame, ids: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Classes of more than one row: text_sha256, keep_id, n.
 

@@ -11,15 +11,19 @@ near-duplicate groups.
    rank.  Levels are vectorised over all elements of a run of texts.
 2. Documents with equal sets are one class, named by a 128-bit digest of the
    set; only classes go on, so copies never become pairs.
-3. Bands of the signature are bucket keys.  The first round compares every
-   member of a bucket with one hub of the bucket, chosen differently in each
-   bucket.  Buckets whose members are then in different components are
-   completed: pairs of members of different components, each once.
-4. Every pair is confirmed on the full sets of both texts.
+3. Bands of the signature are bucket keys.  Each bucket names a hub, the member
+   that meets most others over all its buckets, and every member is compared
+   with its hubs, on the full sets of both texts.
+4. Two members x, y of a hub h that are still in different components are
+   compared only if they can be linked at all: the overlap of x and y is at
+   most ``min(|x & h|, |y & h|)`` plus the number of elements outside h that
+   they share.  Pairs that share such elements come from an equality join on
+   the elements, the others from the sizes alone, so a large group of near
+   copies never becomes all its pairs and no link is lost.
 5. Links become components by alternating large-star and small-star steps.
 
-With the default 6 rows in 45 bands a pair at exactly 0.8 shares no bucket once
-in 10**6; at 0.85 once in 10**9.
+With the default 5 rows in 32 bands a pair at exactly 0.8 shares no bucket 3
+times in 10**6; at 0.85 once in 10**8.
 
 Edge cases: null, empty or wordless texts have no set, link with nothing and
 are their own component; a null doc_id cannot be named, so such a row links
@@ -34,12 +38,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
+from corpusloom.llm.exact_dedup import keep_named
 
-ROWS, BANDS = 6, 45
+ROWS, BANDS = 5, 32
 
 
 def shingles(text: bytes, k: int) -> set[bytes]:
@@ -142,32 +148,35 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
+_OVERLAP = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, extra array<bigint>"
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int, detail: bool) -> DataFrame:
+    """Exact set sizes and overlap of pairs (a, b); with ``detail`` also hashes of the elements of b outside a.
 
     Texts of the named documents are picked first, so that only they are
     shuffled again; rows arrive sorted by ``a``, whose set is kept meanwhile.
     """
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = C.stage(docs.join(named, docs["doc_id"] == named["node"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    hits = keep_named(docs.where(F.col("doc_id").isNotNull()), "doc_id", named, "near-named")
+    texts = C.stage(hits.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
-        for batch in it:
-            keep = []
-            for left, right, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), C.byte_list(batch.column("text_a")), C.byte_list(batch.column("text_b")), strict=True):
+        for batch, others in C.batches_of(it, "text_b"):
+            rows, extras = [], []
+            for left, right, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), others, strict=True):
                 if left != last:
-                    last, held = left, shingles(x, shingle)
+                    last, held = left, shingles((x.as_py() or "").encode(), shingle)
                 other = shingles(y, shingle)
-                both = len(held & other)
-                if 100 * both >= percent * (len(held) + len(other) - both):
-                    keep.append((left, right))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in keep], batch.schema.field(n).type) for i, n in enumerate("ab")], ["a", "b"])
+                rows.append((left, right, len(held), len(other), len(held & other)))
+                extras.append([xxhash.xxh64_intdigest(e) - (1 << 63) for e in other - held] if detail else [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array(extras, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "both", "extra"])
 
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, pairs.select("a", "b").schema)
+    return joined.mapInArrow(check, _OVERLAP)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -194,32 +203,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return nodes.select(F.col("u").alias("node"), "component")
 
 
+def _reaches(both: str, n: str, m: str, percent: int) -> str:
+    return f"100 * ({both}) >= {percent} * ({n} + {m} - ({both}))"
+
+
 def links(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signature rows, classes, confirmed links between class representatives)."""
+    """(signature rows, class of each document, confirmed links between class representatives)."""
     base = C.stage(signatures(docs, shingle, rows, bands), "near-signatures")
     named = base.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
-    reps = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    reps = C.stage(reps, "near-classes")
-    buckets = reps.select("node", "n", F.explode("bands").alias("key"))
-    # A hub of each bucket: the member nearest to the key itself, so hubs differ between buckets.
-    hubs = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("hub")).where("size > 1").select("key", F.col("hub").bitwiseXOR(F.col("key")).alias("hub"))
-    shared = C.stage(buckets.join(hubs, "key"), "near-buckets")
-    sizes = reps.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sets this unlike in size cannot reach the threshold
-    tried = shared.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.when(F.col("node") < F.col("hub"), F.col("n")).alias("_n")).groupBy("a", "b").agg(F.max("_n").alias("_n"))
-    tried = C.stage(tried.select("a", "b"), "near-pairs-1")
-    n_a, n_b = reps.select(F.col("node").alias("a"), F.col("n").alias("n")), reps.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    first = C.stage(confirm(C.stage(tried.join(n_a, "a").join(n_b, "b").where(near).select("a", "b"), "near-fit-1"), docs, shingle, percent), "near-links-1")
-    # Buckets that still hold several components are completed.
-    part = components(first, "near-round-1")
-    labelled = shared.join(part, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = C.stage(labelled.join(open_keys, "key"), "near-open")
-    right = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = left.withColumnRenamed("node", "a").join(right, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b").distinct()
-    rest = C.stage(rest.join(tried, ["a", "b"], "left_anti"), "near-pairs-2")
-    second = C.stage(confirm(rest, docs, shingle, percent), "near-links-2")
-    return base, named.select("set_id", "doc_id").join(reps.select("set_id", "node"), "set_id"), first.unionByName(second)
+    reps = C.stage(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "near-classes")
+    buckets = reps.select("node", F.explode("bands").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = C.stage(buckets.join(sizes, "key"), "near-buckets")
+    # The hub of a bucket: the member that meets most others over all buckets.
+    met = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    ranked = C.stage(shared.join(met, "node").select("key", "node", "met"), "near-ranked")
+    top = ranked.groupBy("key").agg(F.max("met").alias("met"))
+    hubs = ranked.join(top, ["key", "met"]).groupBy("key").agg(F.min("node").alias("hub"))
+    stars = ranked.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = C.stage(overlaps(C.stage(stars, "near-stars"), docs, shingle, True), "near-overlaps")
+    first = star.where(_reaches("both", "n_a", "n_b", percent)).select("a", "b")
+    part = components(first, "near-round")
+    # Members of a star that may still be linked across components.
+    of = part.withColumnRenamed("node", "b").withColumnRenamed("component", "c")
+    hub_of = part.withColumnRenamed("node", "a").withColumnRenamed("component", "hub_c")
+    member = star.join(of, "b", "left").join(hub_of, "a", "left").select("a", F.col("b").alias("x"), F.col("n_b").alias("n"), "both", "extra", F.coalesce("c", "b").alias("c"), F.coalesce("hub_c", "a").alias("hub_c"))
+    member = C.stage(member, "near-members")
+    open_stars = member.where("c <> hub_c").select("a").distinct()
+    every = C.stage(member.join(open_stars, "a", "left_semi").drop("hub_c"), "near-open")
+    outside = member.where("c <> hub_c").drop("hub_c")
+    right = {"x": "y", "n": "m", "both": "kept", "extra": "more", "c": "d"}
+    other = every.withColumnsRenamed(right)
+    least = "least(both, kept)"
+    sized = outside.drop("extra").join(other.drop("more"), "a").where(F.expr(f"c <> d AND {_reaches(least, 'n', 'm', percent)}")).select("x", "y")
+    through = outside.withColumn("e", F.explode("extra")).drop("extra").join(other.withColumn("e", F.explode("more")).drop("more"), ["a", "e"]).where(f"c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+    alike = through.groupBy("a", "x", "y", "n", "m", "both", "kept").agg(F.count(F.lit(1)).alias("s")).where(_reaches(f"{least} + s", "n", "m", percent)).select("x", "y")
+    rest = C.stage(sized.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-rest")
+    second = C.stage(overlaps(rest, docs, shingle, False), "near-second").where(_reaches("both", "n_a", "n_b", percent)).select("a", "b")
+    found = part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second)
+    return base, named.select("set_id", "doc_id").join(reps.select("set_id", "node"), "set_id"), found
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -237,6 +259,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The input rows that stay, all columns: of each group the smallest id."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
+    dropped = C.stage(found.where(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
+    rows = docs.select(F.struct("*").alias("row"), F.col(C.sql_name(doc_id)).alias("doc_id"))
+    return rows.join(dropped, "doc_id", "left_anti").select("row.*")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
 
