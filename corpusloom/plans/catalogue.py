@@ -1,6 +1,714 @@
-"""Catalogue of the engine's queries over the driver's tables."""
+"""Catalogue of the engine's queries over the driver's tables, each with its SQL.
+
+A query takes (spark, folder of tables) and returns a DataFrame; the SQL beside
+it is what an independent engine runs on the same tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import ids, jsonx, text
+from corpusloom.functions import vectors as V
+from corpusloom.operators import answer, chunking, graph, kg, search, tables
+from corpusloom.schemas import ChunkOptions
+from corpusloom.sources import files
+from corpusloom.streaming import flows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("series"), F.col("doc_id").cast("string").alias("filename"), "text", "doc_id")
+
+
+# --- chunking ---------------------------------------------------------------
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _stripped(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda p: {_STRIP.format('p')}), lambda p: p <> '')"
+
+
+def _packed(parts: str, size: str, overlap: str, extra: str = "") -> str:
+    """CTEs that pack ``parts`` of documents into chunks."""
+    return f"""
+parts AS (SELECT source AS series, CAST(doc_id AS VARCHAR) AS filename, {size} AS size, {overlap} AS ov, {parts} AS p FROM documents{extra}),
+packed AS (SELECT series, filename, ov, CASE WHEN len(p) = 0 THEN NULL ELSE list_reduce(list_transform(p, lambda x: {{'buf': x, 'out': []::VARCHAR[]}}),
+  lambda a, x: CASE WHEN length(a.buf) + length(x.buf) + 1 <= size THEN {{'buf': a.buf || ' ' || x.buf, 'out': a.out}} ELSE {{'buf': x.buf, 'out': list_append(a.out, a.buf)}} END) END AS r FROM parts),
+joined AS (SELECT series, filename, ov, CASE WHEN r IS NULL THEN [] ELSE list_append(r.out, r.buf) END AS c FROM packed),
+chunks AS (SELECT series, filename, CASE WHEN len(c) = 0 THEN [] ELSE list_reduce(list_transform(c, lambda x: [x]),
+  lambda o, x: list_append(o, {_STRIP.format("(CASE WHEN length(o[-1]) > ov THEN right(o[-1], ov) ELSE o[-1] END || ' ' || x[1])")})) END AS c FROM joined),
+each AS (SELECT series, filename, i - 1 AS idx, c[i] AS text FROM chunks, unnest(generate_series(1, len(c))) AS u(i))
+"""
+
+
+_EACH = "SELECT series, filename, CAST(idx AS INT) AS idx, series || ':' || filename || ':' || idx AS cid, length(text) AS n_chars, md5(text) AS digest FROM each"
+_SENTENCES = _stripped(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))")
+_PARAGRAPHS = _stripped(r"regexp_split_to_array(text, '\n{2,}')")
+_LINES = _stripped(r"regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]')")
+
+
+def _chunks(spark: SparkSession, sf_dir: str, o: ChunkOptions) -> DataFrame:
+    c = chunking.document_chunks(_documents(spark, sf_dir), o)
+    return c.select("series", "filename", "idx", "cid", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_packed(_SENTENCES, '800', '150')} {_EACH}")
+def chunk_sentence(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("sentence"))
+
+
+@query(f"WITH {_packed(_PARAGRAPHS, '800', '150')} {_EACH}")
+def chunk_paragraph(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("paragraph"))
+
+
+@query(f"WITH {_packed(_LINES, '800', '150')} {_EACH}")
+def chunk_line(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("line"))
+
+
+@query(
+    f"""WITH w AS (SELECT source AS series, CAST(doc_id AS VARCHAR) AS filename, {_stripped("list_transform(generate_series(0, length(text) - 1, 650), lambda i: substring(text, i + 1, 800))")} AS c FROM documents),
+each AS (SELECT series, filename, i - 1 AS idx, c[i] AS text FROM w, unnest(generate_series(1, len(c))) AS u(i)) {_EACH}"""
+)
+def chunk_char(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("char"))
+
+
+_WORD_SQL = rf"""WITH w AS (SELECT source AS series, CAST(doc_id AS VARCHAR) AS filename, regexp_extract_all(text, '\S+') AS w FROM documents),
+n AS (SELECT *, CASE WHEN len(w) <= {{size}} THEN least(len(w), 1) ELSE CAST(ceil((len(w) - {{size}}) / {{step}}.0) AS BIGINT) + 1 END AS k FROM w),
+each AS (SELECT series, filename, i AS idx, array_to_string(w[i * {{step}} + 1 : i * {{step}} + {{size}}], ' ') AS text FROM n, unnest(generate_series(0, k - 1)) AS u(i)) {_EACH}"""
+
+
+@query(_WORD_SQL.format(size=120, step=100))
+def chunk_word(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("word", 120, 20))
+
+
+@query(_WORD_SQL.format(size=600, step=520))
+def chunk_tokens(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("tokens", 600, 80))
+
+
+def _recursive_sql(source: str, size: int) -> str:
+    """One step per separator: split unless the pieces are short enough already."""
+    out, last = "", source
+    for k, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "'.'", "'•'", "'،'")):
+        split = f"list_filter(flatten(list_transform(p, lambda x: string_split(x, {sep}))), lambda x: x <> '')"
+        out += f"r{k} AS (SELECT * EXCLUDE (p, done), CASE WHEN done THEN p ELSE {split} END AS p, done FROM {last}), s{k} AS (SELECT * EXCLUDE (done), done OR coalesce(list_sum(list_transform(p, lambda x: length(x))), 0) / greatest(len(p), 1) <= {size} * 1.2 AS done FROM r{k}), "
+        last = f"s{k}"
+    return out + f"documents2 AS (SELECT source, doc_id, p FROM {last}), "
+
+
+_RECURSIVE = "WITH r AS (SELECT source, doc_id, CASE WHEN text = '' THEN [] ELSE [text] END AS p, false AS done FROM documents), " + _recursive_sql("r", 800)
+
+
+@query(_RECURSIVE + _packed(_stripped("p"), "800", "150").replace("FROM documents)", "FROM documents2)") + _EACH)
+def chunk_recursive(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("recursive"))
+
+
+_SUGGEST = """CASE WHEN contains(text, '|') OR (contains(text, ',') AND contains(text, chr(10)) AND length(text) / (nl + 1) > 40) OR bullets > 10 OR nl > 20 THEN 'paragraph' WHEN length(text) < 2000 THEN 'sentence' ELSE 'recursive' END"""
+
+
+@query(
+    f"""WITH c AS (SELECT *, length(text) - length(replace(text, chr(10), '')) AS nl, length(text) - length(replace(text, '•', '')) + (length(text) - length(replace(text, '- ', ''))) / 2 AS bullets FROM documents),
+s AS (SELECT *, {_SUGGEST} AS strategy FROM c)
+SELECT doc_id, strategy, CAST(CASE strategy WHEN 'paragraph' THEN least(1000, greatest(400, length(text) // 50)) WHEN 'sentence' THEN 600 ELSE 800 END AS INT) AS size, CAST(CASE strategy WHEN 'paragraph' THEN 100 WHEN 'sentence' THEN 120 ELSE 150 END AS INT) AS overlap FROM s"""
+)
+def chunk_suggestion(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.suggest("text").alias("s")).select("doc_id", "s.*")
+
+
+@query(
+    f"""WITH c AS (SELECT *, length(text) - length(replace(text, chr(10), '')) AS nl, length(text) - length(replace(text, '•', '')) + (length(text) - length(replace(text, '- ', ''))) / 2 AS bullets FROM documents),
+s AS (SELECT *, {_SUGGEST} AS strategy FROM c),
+r AS (SELECT source, doc_id, CASE WHEN text = '' THEN [] ELSE [text] END AS p, false AS done FROM s WHERE strategy = 'recursive'), {_recursive_sql("r", 800)}
+p3 AS (SELECT source, doc_id, 800 AS size, 150 AS ov, {_stripped("p")} AS p FROM documents2
+  UNION ALL SELECT source, doc_id, 600, 120, {_SENTENCES} FROM s WHERE strategy = 'sentence'
+  UNION ALL SELECT source, doc_id, least(1000, greatest(400, length(text) // 50)), 100, {_PARAGRAPHS} FROM s WHERE strategy = 'paragraph'),
+{_packed("p", "size", "ov").replace("FROM documents)", "FROM p3)")} {_EACH}"""
+)
+def chunk_llm(spark, sf_dir):
+    return _chunks(spark, sf_dir, ChunkOptions("llm"))
+
+
+@query(
+    f"""WITH {_packed(_SENTENCES, '800', '150')}
+SELECT series, filename, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(max(length(text)) AS INT) AS longest FROM each GROUP BY series, filename"""
+)
+def chunk_report(spark, sf_dir):
+    return chunking.report(chunking.document_chunks(_documents(spark, sf_dir)))
+
+
+_TOKENS = r"CASE WHEN text = '' THEN 0 ELSE CAST(floor(len(regexp_extract_all(text, '\S+')) * {0}) AS INT) + 1 END"
+
+
+@query(f"SELECT doc_id, CAST({_TOKENS.format(1.33)} AS INT) AS approx, CAST({_TOKENS.format('2.0')} AS INT) AS gemini, CAST({_TOKENS.format(1.5)} AS INT) AS other FROM documents")
+def token_counts(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.count_tokens("text", "openai").alias("approx"), text.count_tokens("text", "gemini").alias("gemini"), text.count_tokens("text").alias("other"))
+
+
+@query(
+    r"""WITH s AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+w AS (SELECT doc_id, text, i, s[i] AS x, len(regexp_extract_all(s[i], '\S+')) AS n FROM s, unnest(generate_series(1, len(s))) AS u(i)),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM w),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM c WHERE floor(total * 1.33) + 1 <= 64 GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN floor(len(regexp_extract_all(text, '\S+')) * 1.33) + 1 <= 64 THEN text WHEN coalesce(kept, '') = '' THEN substring(text, 1, 230) ELSE kept END) AS digest FROM documents LEFT JOIN k USING (doc_id)"""
+)
+def token_fit(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.fit("text", 64).cast("binary")).alias("digest"))
+
+
+# --- identifiers and text functions -----------------------------------------
+
+
+@query("SELECT p_partkey, substr(sha1(array_to_string(list_filter([lower(trim(p_brand)), lower(trim(p_name)), lower(trim(p_type))], lambda x: x <> ''), '::')), 1, 16) AS id FROM part")
+def stable_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", ids.node_id(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("id"))
+
+
+_SLUG = r"regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\- _]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g')"
+
+
+@query(f"""WITH s AS (SELECT c_custkey, c_mktsegment AS t, coalesce(nullif(substr({_SLUG.format("c_name")}, 1, 128), ''), 'x') AS s FROM customer) SELECT c_custkey, 'tpch:' || t || ':' || s || ':' || substr(sha1('tpch|' || t || '|' || s), 1, 16) AS id FROM s""")
+def slug_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", ids.entity_id(F.lit("tpch"), F.col("c_mktsegment"), F.col("c_name")).alias("id"))
+
+
+_FP = r"substr(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: length(x) > 2), ' '), 1, 64)"
+
+
+@query(f"SELECT fp, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, {_FP} AS fp FROM part) WHERE fp <> '' GROUP BY fp")
+def fingerprint_blocks(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", ids.fingerprint(F.col("p_name")).alias("fp"))
+    return p.where("fp <> ''").groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query("SELECT sha1(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL")
+def distinct_texts(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("hash"))
+    return d.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.source = d.source AND sha1(o.text) = sha1(d.text))")
+def incremental_skip(spark, sf_dir):
+    """Documents whose (file, text) the rows with ids divisible by three did not bring before."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), "text")
+    done = d.where("doc_id % 3 = 0").select("filename", F.sha1(F.col("text").cast("binary")).alias("hash"))
+    return chunking.fresh(d, done).select("doc_id")
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages")
+def page_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(files.html_text(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events")
+def event_props(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    p = jsonx.parse(F.col("props"), "page STRING, ref STRING")
+    return e.select("event_id", p["page"].alias("page"), p["ref"].alias("ref"))
+
+
+@query(
+    r"""WITH f AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS filename, length(html) AS size FROM pages),
+e AS (SELECT *, lower(regexp_extract(filename, '(\.[^./\\]+)$', 1)) AS ext FROM f)
+SELECT page_id, filename, CASE WHEN ext NOT IN ('.txt', '.html', '') THEN 'extension not allowed' WHEN size = 0 THEN 'empty file' WHEN size > 3000 THEN 'file too large' END AS reason FROM e"""
+)
+def import_validation(spark, sf_dir):
+    f = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"([^/]*)$", 1).alias("filename"), F.length("html").alias("size"))
+    return files.classify(f, (".txt", ".html", ""), 3000).select("page_id", "filename", "reason")
+
+
+@query("""WITH r AS (SELECT p_partkey // 200 AS "order", p_partkey, 'p_partkey: ' || p_partkey || ' | p_name: ' || p_name || ' | p_brand: ' || p_brand AS line FROM part) SELECT 'part' AS series, CAST("order" AS INT) AS "order", md5(string_agg(line, chr(10) ORDER BY p_partkey)) AS digest FROM r GROUP BY "order" """)
+def table_blocks(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return files.table_blocks(p, "p_partkey", 200, "part").select("series", "order", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("WITH s AS (SELECT source AS series, CAST(doc_id % 50 AS VARCHAR) || '.txt' AS filename, doc_id AS seq FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY series, filename ORDER BY seq) - 1 AS k FROM s) SELECT series, seq, CASE WHEN k = 0 THEN filename ELSE replace(filename, '.txt', '__' || k || '.txt') END AS stored_name FROM n")
+def collision_names(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("source").alias("series"), F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".txt")).alias("filename"), F.col("doc_id").alias("seq"))
+    return tables.collision_names(d).select("series", "seq", "stored_name")
+
+
+# --- vectors and lexical retrieval -------------------------------------------
+
+_COS = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query(f"SELECT e.vec_id AS id, round({_COS.format('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS.format('e.embedding', 'q.embedding')} DESC, e.vec_id LIMIT 10")
+def cosine_top_k(spark, sf_dir):
+    """Top-k of one query vector: the report is the ten best."""
+    e = _vectors(spark, sf_dir)
+    q = e.where("id = 0").select("embedding").head()["embedding"]
+    return search.vector_top_k(e, q, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
+)
+def cosine_join(spark, sf_dir):
+    """Every twentieth vector searched against all of them."""
+    e = _vectors(spark, sf_dir)
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return search.vector_join(e, q, 5).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """WITH p AS (SELECT vec_id AS id, embedding AS a, embedding[1:32] AS b, label FROM embeddings)
+SELECT id, round(list_cosine_similarity(CAST(a[1:32] AS DOUBLE[]), CAST(b AS DOUBLE[])), 6) AS truncated, CAST(0 AS DOUBLE) AS zero, round((1 + list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(list_reverse(a) AS DOUBLE[]))) / 2, 6) AS rescaled FROM p"""
+)
+def cosine_variants(spark, sf_dir):
+    """Unequal lengths, zero norm and the rescaled score."""
+    e = _vectors(spark, sf_dir)
+    a = F.col("embedding")
+    zero = F.transform(a, lambda x: F.lit(0.0))
+    return e.select("id", F.round(V.cosine(a, F.slice(a, 1, 32), truncate=True), 6).alias("truncated"), V.cosine(a, zero).alias("zero"), F.round(V.rescaled(V.cosine(a, F.reverse(a))), 6).alias("rescaled"))
+
+
+_HASH_VEC = "list_transform(generate_series(0, 383), lambda i: (CAST('0x' || substr(sha256({0}), (i % 32) * 2 + 1, 2) AS INT) - 128) / 128.0)"
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id AS id, {_HASH_VEC.format('text')} AS v FROM documents), q AS (SELECT {_HASH_VEC.format("'which text is this'")} AS q),
+s AS (SELECT id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])) AS s FROM v, q)
+SELECT id, round(s, 6) AS score FROM s ORDER BY s DESC, id LIMIT 10"""
+)
+def hash_embed_search(spark, sf_dir):
+    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), V.hash_embed()(F.col("text")).alias("embedding"))
+    return search.vector_top_k(d, V.hash_vector("which text is this").tolist(), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH w AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 2)) AS t FROM part), q AS (SELECT list_distinct(list_filter(string_split(lower('the red widget and ring'), ' '), lambda x: length(x) > 2)) AS q)
+SELECT id, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM w, q"""
+)
+def keyword_overlap(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(V.keyword_overlap(F.col("p_name"), F.lit("the red widget and ring")), 6).alias("score"))
+
+
+@query(
+    """WITH n AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_type AS d, round(p_size / 50.0, 4) AS conf FROM part)
+SELECT id, conf, round(CAST(contains(lower(name), 'red') OR contains(lower(d), 'red') AS INT) + CAST(contains(lower(name), 'widget') OR contains(lower(d), 'widget') AS INT) + conf, 6) AS score FROM n WHERE contains(lower(name), 'red') OR contains(lower(name), 'widget') ORDER BY 3 DESC, id LIMIT 30"""
+)
+def keyword_nodes(spark, sf_dir):
+    n = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("desc"), F.lit(None).cast("array<string>").alias("aliases"), F.round(F.col("p_size") / 50.0, 4).alias("conf"))
+    return search.keyword_top_n(n, "Red widget", 30).select("id", "conf", F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS id, unnest(list_filter(regexp_split_to_array(lower(replace(p_type || ' ' || p_brand, '-', ' ')), '\\s+'), lambda x: x <> '')) AS token FROM part), c AS (SELECT id, token, count(*) AS n FROM t GROUP BY ALL),
+z AS (SELECT id, sum(n) AS size FROM c GROUP BY id), b AS (SELECT a.id AS mention_id, x.id, sum(least(a.n, x.n)) AS both FROM c a JOIN c x USING (token) WHERE a.id % 20 = 0 GROUP BY ALL),
+s AS (SELECT mention_id, b.id, both / (za.size + zx.size - both) AS score FROM b JOIN z za ON za.id = mention_id JOIN z zx ON zx.id = b.id)
+SELECT mention_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 20""".replace("both", "shared")
+)
+def multiset_jaccard(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+    return search.multiset_jaccard(p, p.where("id % 20 = 0").withColumnRenamed("id", "mention_id")).withColumn("score", F.round("score", 6))
+
+
+_BM25_TERMS = ["the", "que", "der"]
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), q AS (SELECT unnest(['the', 'que', 'der']) AS w),
+f AS (SELECT id, len(t) AS n, w, len(list_filter(t, lambda x: x = w)) AS tf FROM t, q), s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t), d AS (SELECT w, count(*) AS df FROM f WHERE tf > 0 GROUP BY w),
+r AS (SELECT id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM f JOIN d USING (w), s WHERE tf > 0 GROUP BY id)
+SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 10"""
+)
+def bm25_top_k(spark, sf_dir):
+    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return search.bm25(d, _BM25_TERMS, 10).withColumn("score", F.round("score", 6))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _vectors(spark, sf_dir)
+    one = e.select("id", (F.col("label") / 10).alias("score")).where("id % 2 = 0")
+    two = e.select("id", (F.col("id") % 7 / 7).alias("score")).where("id % 3 = 0")
+    return one, two
+
+
+_HITS = "WITH one AS (SELECT vec_id AS id, label / 10 AS score FROM embeddings WHERE vec_id % 2 = 0), two AS (SELECT vec_id AS id, vec_id % 7 / 7 AS score FROM embeddings WHERE vec_id % 3 = 0)"
+
+
+@query(f"{_HITS}, s AS (SELECT id, round(coalesce(0.6 * one.score, 0) + coalesce(0.4 * two.score, 0), 9) AS score FROM one FULL JOIN two USING (id)) SELECT id, round(score, 6) AS score FROM s")
+def hybrid_fusion(spark, sf_dir):
+    one, two = _hits(spark, sf_dir)
+    return search.hybrid(one, two, 1 << 30).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_HITS} SELECT id, round(coalesce(one.score, 0), 6) AS prior, round(coalesce(two.score, 0), 6) AS dense, round(0.5 * coalesce(one.score, 0) + 0.5 * coalesce(two.score, 0), 6) AS score FROM one FULL JOIN two USING (id)")
+def candidate_merge(spark, sf_dir):
+    one, two = _hits(spark, sf_dir)
+    m = search.merge_candidates(one, two, 1 << 30)
+    return m.select("id", *[F.round(c, 6).alias(c) for c in ("prior", "dense", "score")])
+
+
+@query("""WITH c AS (SELECT label AS mention_id, vec_id AS id, vec_id % 97 / 97 AS score FROM embeddings WHERE vec_id % 9 < 4), r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS k FROM c)
+SELECT mention_id, max(CASE WHEN k = 1 AND score >= 0.55 THEN id END) AS winner, round(max(CASE WHEN k = 1 THEN score END), 6) AS score, string_agg(id, ',' ORDER BY k) AS kept FROM r WHERE k <= 5 GROUP BY mention_id""")
+def best_or_none(spark, sf_dir):
+    c = _vectors(spark, sf_dir).where("id % 9 < 4").select(F.col("label").alias("mention_id"), "id", (F.col("id") % 97 / 97).alias("score"))
+    b = search.best_or_none(c)
+    return b.select("mention_id", "winner", F.round("score", 6).alias("score"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
+# --- graph -------------------------------------------------------------------
+
+
+def tpch_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, suppliers and customers as nodes; where they lie as edges."""
+    r, n, s, c = (_table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer"))
+
+    def node(df: DataFrame, prefix: str, key: str, name: str, kind: str, conf: Column) -> DataFrame:
+        return df.select(F.concat(F.lit(prefix), F.col(key)).alias("id"), F.lit("tpch").alias("series"), F.col(name).alias("name"), F.lit(kind).alias("type"), conf.alias("conf"))
+
+    nodes = node(r, "r", "r_regionkey", "r_name", "region", F.lit(1.0)).unionByName(node(n, "n", "n_nationkey", "n_name", "nation", F.lit(0.9))).unionByName(node(s, "s", "s_suppkey", "s_name", "supplier", F.col("s_suppkey") % 10 / 10.0)).unionByName(node(c, "c", "c_custkey", "c_name", "customer", F.col("c_custkey") % 8 / 8.0))
+
+    def edge(df: DataFrame, a: str, key: str, b: str, to: str, pred: str, conf: Column) -> DataFrame:
+        src, dst = F.concat(F.lit(a), F.col(key)), F.concat(F.lit(b), F.col(to))
+        return df.select(F.concat(src, F.lit(">"), dst).alias("id"), F.lit("tpch").alias("series"), src.alias("src_id"), dst.alias("dst_id"), F.lit(pred).alias("pred"), conf.alias("conf"))
+
+    edges = edge(n, "n", "n_nationkey", "r", "n_regionkey", "part_of", F.lit(0.8)).unionByName(edge(s, "s", "s_suppkey", "n", "s_nationkey", "located_in", F.col("s_suppkey") % 7 / 7.0)).unionByName(edge(c, "c", "c_custkey", "n", "c_nationkey", "lives_in", F.col("c_custkey") % 5 / 5.0))
+    return nodes, edges
+
+
+_GRAPH = """nodes AS (SELECT 'r' || r_regionkey AS id, r_name AS name, 'region' AS type, 1.0::DOUBLE AS conf FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 0.9 FROM nation
+  UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier', s_suppkey % 10 / 10.0 FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name, 'customer', c_custkey % 8 / 8.0 FROM customer),
+edges AS (SELECT 'n' || n_nationkey AS src_id, 'r' || n_regionkey AS dst_id, 'part_of' AS pred, 0.8::DOUBLE AS conf FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in', s_suppkey % 7 / 7.0 FROM supplier
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives_in', c_custkey % 5 / 5.0 FROM customer)"""
+
+
+@query(f"WITH {_GRAPH} SELECT id, count(*) AS degree FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id")
+def degrees(spark, sf_dir):
+    return graph.degree(tpch_graph(spark, sf_dir)[1])
+
+
+@query(f"WITH {_GRAPH} SELECT dst_id AS id, pred, round(conf, 6) AS weight FROM edges WHERE src_id = 'n7'")
+def neighbours(spark, sf_dir):
+    return graph.neighbours(tpch_graph(spark, sf_dir)[1], "n7").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_GRAPH}, half AS (SELECT * FROM edges WHERE conf >= 0.3) SELECT id, type FROM nodes WHERE id NOT IN (SELECT src_id FROM half UNION SELECT dst_id FROM half)")
+def isolated_nodes(spark, sf_dir):
+    nodes, edges = tpch_graph(spark, sf_dir)
+    return graph.isolated(nodes, edges.where("conf >= 0.3")).select("id", "type")
+
+
+@query(f"WITH {_GRAPH}, e AS (SELECT * FROM edges WHERE conf >= 0.3), n AS (SELECT * FROM nodes WHERE conf >= 0.2) SELECT (SELECT count(*) FROM n) AS entities, (SELECT count(*) FROM e) AS relations, (SELECT count(*) FROM n WHERE id NOT IN (SELECT src_id FROM e UNION SELECT dst_id FROM e)) AS isolated, CAST(0 AS BIGINT) AS off_series, CAST(0 AS BIGINT) AS duplicate_ids, (SELECT count(*) FROM e WHERE src_id NOT IN (SELECT id FROM n)) AS orphans")
+def graph_quality(spark, sf_dir):
+    nodes, edges = tpch_graph(spark, sf_dir)
+    return kg.quality(nodes.where("conf >= 0.2"), edges.where("conf >= 0.3"))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, n AS (SELECT id, conf FROM nodes WHERE conf >= 0.05), e0 AS (SELECT src_id || '>' || dst_id AS eid, * FROM edges WHERE conf >= 0.05),
+e AS (SELECT eid, src_id AS u, dst_id AS v, conf FROM e0 UNION ALL SELECT eid, dst_id, src_id, conf FROM e0),
+seeds AS (SELECT 's' || s_suppkey AS id, s_suppkey AS rank FROM supplier WHERE s_suppkey <= 8),
+w AS (SELECT n.id AS src, s.rank AS sr, n.id AS at, [n.id] AS path, []::VARCHAR[] AS used, n.conf AS total, 0 AS hops FROM seeds s JOIN n ON n.id = s.id
+ UNION ALL SELECT w.src, w.sr, e.v, list_append(w.path, e.v), list_append(w.used, e.eid), w.total + e.conf + n.conf, w.hops + 1 FROM w JOIN e ON e.u = w.at JOIN n ON n.id = e.v WHERE w.hops < 3 AND NOT list_contains(w.used, e.eid)),
+f AS (SELECT w.src, s.id AS dst, hops, used, pow(0.8, hops - 1) * total / (2 * hops + 1) AS score FROM w JOIN seeds s ON s.id = w.at WHERE hops > 0 AND w.sr < s.rank)
+SELECT src, dst, CAST(hops AS INT) AS length, array_to_string(used, '|') AS edges, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY round(score, 12) DESC, hops, array_to_string(used, '|')) <= 6"""
+)
+def bounded_trails(spark, sf_dir):
+    """Best six trails of at most three edges between each two seeds."""
+    nodes, edges = tpch_graph(spark, sf_dir)
+    seeds = nodes.where("type = 'supplier'").select("id", F.substring("id", 2, 20).cast("int").alias("rank")).where("rank <= 8")
+    t = graph.trails(nodes, edges, seeds, k=None)
+    return t.select("src", "dst", "length", F.array_join("edges", "|").alias("edges"), F.round("score", 6).alias("score"))
+
+
+def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as communities of customers at level 0, regions at level 1."""
+    c, n = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    one = lambda level, cid: j.select(F.lit("tpch").alias("series"), F.lit(level).alias("level"), cid.alias("cid"), F.concat(F.lit("c"), F.col("c_custkey")).alias("entity_id"))
+    return one(0, F.col("n_name")).unionByName(one(1, F.concat(F.lit("R"), F.col("n_regionkey"))))
+
+
+_MEMBERS = "m AS (SELECT 0 AS level, n_name AS cid, 'c' || c_custkey AS entity_id FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 1, 'R' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+
+
+@query(f"WITH {_MEMBERS} SELECT 'tpch' AS series, CAST(a.level AS INT) AS lo_level, a.cid AS lo_cid, CAST(b.level AS INT) AS hi_level, b.cid AS hi_cid, count(*) AS overlap FROM m a JOIN m b USING (entity_id) WHERE b.level = a.level + 1 GROUP BY ALL")
+def community_overlap(spark, sf_dir):
+    return graph.hierarchy(_membership(spark, sf_dir))
+
+
+@query(f"WITH {_MEMBERS} SELECT 'tpch' AS series, CAST(level AS INT) AS level, count(DISTINCT cid) AS communities, count(*) AS memberships FROM m GROUP BY level")
+def community_stats(spark, sf_dir):
+    return _membership(spark, sf_dir).groupBy("series", "level").agg(F.countDistinct("cid").alias("communities"), F.count(F.lit(1)).alias("memberships"))
+
+
+_ORDER_EDGES = "o AS (SELECT 'c' || o_custkey AS u, 'c' || (1 + (o_custkey * 7 + o_orderkey) % (SELECT max(c_custkey) FROM customer)) AS v, o_totalprice / 1000000 AS w FROM orders)"
+
+
+def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _table(spark, sf_dir, "customer").agg(F.max("c_custkey")).head()[0]
+    o = _table(spark, sf_dir, "orders")
+    src = F.concat(F.lit("c"), F.col("o_custkey"))
+    dst = F.concat(F.lit("c"), 1 + (F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.lit(top))
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("tpch").alias("series"), src.alias("src_id"), dst.alias("dst_id"), F.lit("buys_like").alias("pred"), (F.col("o_totalprice") / 1000000).alias("conf"))
+
+
+@query(
+    f"""WITH {_MEMBERS}, {_ORDER_EDGES}, i AS (SELECT a.level, sum(CASE WHEN a.cid = b.cid THEN w ELSE 0 END) AS inside, sum(w) AS t FROM o JOIN m a ON a.entity_id = u JOIN m b ON b.entity_id = v AND b.level = a.level GROUP BY a.level),
+k AS (SELECT id, sum(w) AS k FROM (SELECT u AS id, w FROM o UNION ALL SELECT v, w FROM o) GROUP BY id), s AS (SELECT level, cid, sum(k) AS k FROM m JOIN k ON k.id = entity_id GROUP BY ALL), q AS (SELECT level, sum(k * k) AS k2, count(*) AS communities FROM s GROUP BY level)
+SELECT 'tpch' AS series, CAST(level AS INT) AS level, communities, round(inside / t - k2 / (4 * t * t), 6) AS modularity FROM i JOIN q USING (level)"""
+)
+def modularity(spark, sf_dir):
+    return graph.modularity(_order_edges(spark, sf_dir), _membership(spark, sf_dir)).withColumn("modularity", F.round("modularity", 6))
+
+
+@query(
+    f"""WITH {_MEMBERS}, {_ORDER_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT u AS id FROM o UNION ALL SELECT v FROM o) GROUP BY id)
+SELECT CAST(level AS INT) AS level, cid, entity_id, coalesce(degree, 0) AS degree, CAST(row_number() OVER (PARTITION BY level, cid ORDER BY coalesce(degree, 0) DESC, entity_id) AS INT) AS rank FROM m LEFT JOIN d ON d.id = entity_id QUALIFY rank <= 5"""
+)
+def community_top_members(spark, sf_dir):
+    nodes, _ = tpch_graph(spark, sf_dir)
+    return graph.top_members(_membership(spark, sf_dir), nodes, _order_edges(spark, sf_dir), 5).select("level", "cid", "entity_id", "degree", "rank")
+
+
+@query()
+def communities(spark, sf_dir):
+    """Communities of a sparse graph of parts that share a brand and a size; checked by invariants in the tests."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type")
+    first = p.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("hub"))
+    e = p.join(first, ["p_brand", "p_size"]).where("p_partkey <> hub")
+    edges = e.select(F.concat(F.lit("e"), F.col("p_partkey")).alias("id"), F.lit("tpch").alias("series"), F.concat(F.lit("p"), F.col("p_partkey")).alias("src_id"), F.concat(F.lit("p"), F.col("hub")).alias("dst_id"), F.lit("like").alias("pred"), F.lit(1.0).alias("conf"))
+    return graph.communities(edges, _rounds(spark), levels=2)
+
+
+def _rounds(spark: SparkSession):
+    """Writes a round to the folder that the cluster names for checkpoints."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/corpusloom-rounds")
+    elif spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return lambda df: df.checkpoint()
+
+
+# --- tables: upserts, canonical forms, linking --------------------------------
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = _table(spark, sf_dir, "supplier")
+    one = s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.lit("tpch").alias("series"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"), F.array(F.concat(F.lit("a"), F.col("s_suppkey") % 3)).alias("aliases"), F.lit("short").alias("desc"), F.array(F.concat(F.lit("d"), F.col("s_suppkey"))).alias("cids"), (F.col("s_suppkey") % 10 / 10).alias("conf"))
+    two = s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.lit("tpch").alias("series"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"), F.array(F.lit("a0"), F.lit("b")).alias("aliases"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("a longer text")).otherwise(F.lit("tiny")).alias("desc"), F.array(F.lit("d0")).alias("cids"), F.lit(0.45).alias("conf"))
+    return one, two
+
+
+@query(
+    """WITH a AS (SELECT 's' || s_suppkey AS id, ['a' || s_suppkey % 3] AS al, 'short' AS d, ['d' || s_suppkey] AS c, s_suppkey % 10 / 10 AS conf FROM supplier UNION ALL SELECT 's' || s_suppkey, ['a0', 'b'], CASE WHEN s_suppkey % 4 = 0 THEN 'a longer text' ELSE 'tiny' END, ['d0'], 0.45 FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT id, array_to_string(list_sort(list_distinct(flatten(list(al)))), ',') AS aliases, first(d ORDER BY length(d) DESC, d) AS "desc", array_to_string(list_sort(list_distinct(flatten(list(c)))), ',') AS cids, round(max(conf), 6) AS conf FROM a GROUP BY id"""
+)
+def upsert_entities(spark, sf_dir):
+    out = tables.upsert_entities(*_versions(spark, sf_dir))
+    return out.select("id", F.array_join("aliases", ",").alias("aliases"), "desc", F.array_join("cids", ",").alias("cids"), F.round("conf", 6).alias("conf"))
+
+
+@query(
+    f"""WITH {_GRAPH}, n AS (SELECT id FROM nodes WHERE conf >= 0.2), e AS (SELECT * FROM edges UNION ALL SELECT src_id, dst_id, pred, conf / 2 FROM edges WHERE pred = 'lives_in')
+SELECT src_id || '>' || dst_id AS id, pred, round(max(conf), 6) AS conf, CAST(1 AS DOUBLE) AS weight FROM e WHERE src_id IN (FROM n) AND dst_id IN (FROM n) GROUP BY ALL"""
+)
+def upsert_relations(spark, sf_dir):
+    nodes, edges = tpch_graph(spark, sf_dir)
+    edges = edges.withColumn("cids", F.array().cast("array<string>"))
+    again = edges.where("pred = 'lives_in'").withColumn("conf", F.col("conf") / 2)
+    out = tables.upsert_relations(edges, again, nodes.where("conf >= 0.2"))
+    return out.select("id", "pred", F.round("conf", 6).alias("conf"), "weight")
+
+
+@query(
+    """WITH a AS (SELECT vec_id AS cid, 1 AS ts, label AS page, embedding FROM embeddings UNION ALL SELECT vec_id, 2, label + 1, CASE WHEN vec_id % 4 = 0 THEN embedding[1:2] END FROM embeddings WHERE vec_id % 2 = 0)
+SELECT cid, CAST(max(ts) AS DOUBLE) AS ts, arg_max(page, ts) AS page, len(arg_max(embedding, ts) FILTER (embedding IS NOT NULL)) AS dims FROM a GROUP BY cid"""
+)
+def upsert_chunks(spark, sf_dir):
+    e = _vectors(spark, sf_dir)
+    old = e.select(F.col("id").alias("cid"), F.lit(1.0).alias("ts"), F.col("label").alias("page"), "embedding")
+    new = e.where("id % 2 = 0").select(F.col("id").alias("cid"), F.lit(2.0).alias("ts"), (F.col("label") + 1).alias("page"), F.when(F.col("id") % 4 == 0, F.slice("embedding", 1, 2)).alias("embedding"))
+    return tables.upsert_chunks(old, new).select("cid", "ts", "page", F.size("embedding").cast("bigint").alias("dims"))
+
+
+@query("SELECT DISTINCT 's' || s_suppkey AS entity_id, CAST(doc_id AS VARCHAR) AS cid FROM supplier JOIN documents ON doc_id IN (s_suppkey, s_suppkey * 2)")
+def mentions(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.array(F.col("s_suppkey").cast("string"), (F.col("s_suppkey") * 2).cast("string"), F.col("s_suppkey").cast("string")).alias("cids"))
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("cid"))
+    return tables.link_mentions(s, d).select("entity_id", "cid")
+
+
+@query("SELECT source AS id, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return tables.duplicates(_table(spark, sf_dir, "documents").withColumnRenamed("source", "id"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction rows built from parts: the brand and the type are entities, and the brand makes the type."""
+    p = _table(spark, sf_dir, "part")
+    entity = lambda name, kind, conf: F.struct(name.alias("name"), F.lit(kind).alias("type"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("desc"), conf.alias("conf"))
+    conf = F.col("p_size") / 50.0
+    return p.select(
+        F.lit("tpch").alias("series"),
+        F.lit("part").alias("filename"),
+        F.col("p_partkey").cast("int").alias("idx"),
+        F.concat(F.lit("p"), F.col("p_partkey")).alias("cid"),
+        F.array(entity(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")), "brand", conf), entity(F.col("p_type"), "type", F.lit(0.9))).alias("entities"),
+        F.array(F.struct(F.col("p_brand").alias("src"), F.lit("makes").alias("pred"), F.col("p_type").alias("dst"), conf.alias("conf"))).alias("relations"),
+    )
+
+
+_NODE = "substr(sha1('tpch::' || lower(trim({0})) || '::{1}'), 1, 16)"
+
+
+@query(
+    f"""WITH e AS (SELECT p_partkey AS k, 0 AS o, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name, 'brand' AS type, {_NODE.format('p_brand', 'brand')} AS id, p_size / 50.0 AS conf FROM part UNION ALL SELECT p_partkey, 1, p_type, 'type', {_NODE.format('p_type', 'type')}, 0.9 FROM part)
+SELECT id, arg_min(name, k * 2 + o) AS name, type, count(DISTINCT k) AS n_cids, round(max(conf), 6) AS conf FROM e WHERE conf >= 0.35 GROUP BY id, type"""
+)
+def canonical_nodes(spark, sf_dir):
+    n = kg.canonical_nodes(_extracted(spark, sf_dir))
+    return n.select("id", "name", "type", F.size("cids").cast("bigint").alias("n_cids"), F.round("conf", 6).alias("conf"))
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT lower(trim(p_brand)) AS b FROM part WHERE p_size / 50.0 >= 0.35),
+r AS (SELECT p_partkey, {_NODE.format('p_brand', 'brand')} AS s, {_NODE.format('p_type', 'type')} AS d, p_size / 50.0 AS conf FROM part WHERE p_size / 50.0 >= 0.35)
+SELECT substr(sha1('tpch::' || s || '::makes::' || d), 1, 16) AS id, s AS src_id, d AS dst_id, count(DISTINCT p_partkey) AS n_cids, round(max(conf), 6) AS conf FROM r GROUP BY s, d"""
+)
+def canonical_edges(spark, sf_dir):
+    x = _extracted(spark, sf_dir)
+    e = kg.canonical_edges(x, kg.canonical_nodes(x))
+    return e.select("id", "src_id", "dst_id", F.size("cids").cast("bigint").alias("n_cids"), F.round("conf", 6).alias("conf"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.lit("tpch").alias("series"), F.col("p_type").alias("name"), F.lit("part").alias("type"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("desc"), F.array(F.concat(F.lit("d"), F.col("p_partkey"))).alias("cids"), (F.col("p_size") / 50.0).alias("conf"))
+
+
+_LINK = rf"""g AS (SELECT 'p' || p_partkey AS id, p_type AS name, p_size / 50.0 AS conf, {_FP.replace("p_name", "p_type")} AS fp FROM part), w AS (SELECT coalesce(nullif(fp, ''), '#' || id) AS fp, first(id ORDER BY conf DESC, id) AS win FROM g GROUP BY 1), map AS (SELECT id AS old_id, win AS new_id FROM g JOIN w ON w.fp = coalesce(nullif(g.fp, ''), '#' || g.id))"""
+
+
+@query(f"WITH {_LINK} SELECT new_id AS id, count(*) AS n_cids, round(max(conf), 6) AS conf FROM map JOIN g ON g.id = old_id GROUP BY new_id")
+def linked_nodes(spark, sf_dir):
+    n = _named(spark, sf_dir)
+    out = kg.link_nodes(n, kg.id_map(n))
+    return out.select("id", F.size("cids").cast("bigint").alias("n_cids"), F.round("conf", 6).alias("conf"))
+
+
+@query(
+    f"""WITH {_LINK}, e AS (SELECT 's' || l_suppkey AS src_id, 'p' || l_partkey AS dst_id, round(1 - l_discount, 2) AS conf FROM lineitem)
+SELECT src_id, coalesce(new_id, dst_id) AS dst_id, substr(sha1('tpch::' || src_id || '::sells::' || coalesce(new_id, dst_id)), 1, 16) AS id, round(max(conf), 6) AS conf FROM e LEFT JOIN map ON old_id = dst_id GROUP BY ALL"""
+)
+def remapped_edges(spark, sf_dir):
+    e = _table(spark, sf_dir, "lineitem").select(F.lit("").alias("id"), F.lit("tpch").alias("series"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("src_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst_id"), F.lit("sells").alias("pred"), F.array().cast("array<string>").alias("cids"), F.round(1 - F.col("l_discount"), 2).alias("conf"))
+    return kg.remap_edges(e, kg.id_map(_named(spark, sf_dir))).select("src_id", "dst_id", "id", F.round("conf", 6).alias("conf"))
+
+
+# --- answers -------------------------------------------------------------------
+
+
+def _route_sql(q: str) -> str:
+    has = lambda words: "(" + " OR ".join(f"contains({q}, '{w}')" for w in words) + ")"
+    fact = "(" + " OR ".join(f"starts_with({q}, '{w}')" for w in answer.FACT_STARTS) + ")"
+    graph_ = f"{has(answer.COMPARE_WORDS)} OR (len(regexp_extract_all({q}, '\\S+')) >= {answer.LONG_QUESTION} AND NOT {fact})"
+    path = f"{has(answer.RELATION_WORDS)} OR ({fact} AND (regexp_matches({q}, '\\d') OR contains({q}, 'entre')))"
+    return f"CASE WHEN {graph_} THEN 'graph' WHEN {path} THEN 'path' ELSE 'vector' END"
+
+
+_Q = r"regexp_replace(lower(text), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, turn, {_route_sql(_Q)} AS mode FROM conversations")
+def route_questions(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.route(F.col("text"))["mode"].alias("mode"))
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id AS id, {_HASH_VEC.format('text')} AS v, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 2)) AS t FROM documents),
+q AS (SELECT ['the', 'que', 'der', 'words'] AS q, {_HASH_VEC.format("'the que der words'")} AS qv)
+SELECT id, round(CASE WHEN id % 2 = 0 THEN list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(qv AS DOUBLE[])) ELSE len(list_intersect(q, t)) / 4 END, 6) AS score FROM d, q ORDER BY CASE WHEN id % 2 = 0 THEN list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(qv AS DOUBLE[])) ELSE len(list_intersect(q, t)) / 4 END DESC, id LIMIT 12"""
+)
+def summary_search(spark, sf_dir):
+    """Summaries with a vector by cosine, the others by keyword overlap; the report is the twelve best."""
+    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).alias("level"), "text", F.when(F.col("doc_id") % 2 == 0, V.hash_embed()(F.col("text"))).alias("vec"))
+    return answer.search_summaries(d, "the que der words", vector=V.hash_vector("the que der words").tolist()).select("id", F.round("score", 6).alias("score"))
+
+
+@query(r"WITH p AS (SELECT item_id AS id, text AS p FROM benchmark) SELECT id, round(0.5 + (id % 5) / 10, 6) AS confidence, md5(p) AS partial, substring(string_split(p, '. ')[1], 1, 280) AS snippet FROM p")
+def map_replies(spark, sf_dir):
+    """Replies of a map step, some in fences or with trailing commas, read back into partial answers and snippets."""
+    b = _table(spark, sf_dir, "benchmark")
+    body = F.to_json(F.struct(F.col("text").alias("partial_answer"), F.round(0.5 + (F.col("item_id") % 5) / 10, 6).alias("confidence"), F.array(F.col("item_id").cast("string")).alias("evidence")))
+    raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("Here it is: "), F.regexp_replace(body, r"\]\}$", "],}"))).otherwise(body)
+    df = b.select(F.col("item_id").alias("id"), jsonx.map_reply(raw).alias("r"))
+    return df.select("id", F.round("r.confidence", 6).alias("confidence"), F.md5(F.col("r.partial").cast("binary")).alias("partial"), F.substring(F.element_at(F.split("r.partial", r"\. ", -1), 1), 1, 280).alias("snippet"))
+
+
+# --- events ----------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN struct_pack(t := ts, e := event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM events)
+SELECT user_id, event_id, round((epoch_us(m.t) - epoch_us(ts)) / 1000, 3) AS ms FROM p WHERE event_type = 'view' AND m IS NOT NULL"""
+)
+def step_durations(spark, sf_dir):
+    return flows.step_durations(_table(spark, sf_dir, "events")).withColumn("ms", F.round("ms", 3))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, count(*) AS n FROM events GROUP BY user_id")
+def latest_state(spark, sf_dir):
+    return flows.latest(_table(spark, sf_dir, "events"))
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN event_type = 'error' THEN 'DEGRADED' ELSE 'RUNNING' END AS phase FROM events) SELECT user_id, event_id, phase FROM (SELECT *, lag(phase) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM p) WHERE before IS NULL OR before <> phase""")
+def status_changes(spark, sf_dir):
+    """Phase changes of each user, as the batch form of the stateful stream."""
+    e = _table(spark, sf_dir, "events").withColumn("phase", F.when(F.col("event_type") == "error", "DEGRADED").otherwise("RUNNING"))
+    before = F.lag("phase").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.withColumn("before", before).where("before IS NULL OR before <> phase").select("user_id", "event_id", "phase")
+
+
+# --- the whole slice -------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to sentence chunks to vectors to the ten chunks nearest to a question."""
+    chunks = chunking.document_chunks(_documents(spark, sf_dir))
+    nodes = chunks.select(F.col("cid").alias("id"), "series", "filename", V.hash_embed()(F.col("text")).alias("embedding"))
+    return search.vector_top_k(nodes, V.hash_vector("which text is this").tolist(), 10).select("id", "series", "filename", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {_packed(_SENTENCES, '800', '150')}, v AS (SELECT series || ':' || filename || ':' || idx AS id, series, filename, {_HASH_VEC.format('text')} AS v FROM each), q AS (SELECT {_HASH_VEC.format("'which text is this'")} AS q)
+SELECT id, series, filename, round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM v, q ORDER BY list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, id LIMIT 10"""
+)
+def chunk_embed_search(spark, sf_dir):
+    return flagship(spark, sf_dir)
