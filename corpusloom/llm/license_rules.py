@@ -85,6 +85,9 @@ FORMS = [
     (35, 0.75, r"licen[sc]e (?:is )?(?:the )?", r"", "licen"),
 ]
 
+#: Names that stand for their license without any word around them.
+COPYLEFT = ("gpl", "lgpl", "agpl")
+
 #: Creative Commons: (label part, words, spelled-out words).
 CREATIVE = [
     ("by", "by", "attribution"),
@@ -151,6 +154,8 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     for label, name, keyword in NAMES:
         for priority, weight, before, after, form in FORMS:
             out.append((label, priority, weight, form if len(keyword) < 3 else keyword, before + name + after))
+        if label.startswith(COPYLEFT):
+            out.append((label, 38, 0.7, keyword, name))
     for part, short, spelled in CREATIVE:
         for version in ("4 0", "3 0", "2 5", "2 0", "1 0"):
             out.append((f"cc-{part}-{version.replace(' ', '.')}", 12, 0.95, "cc", f"cc {short} {version}"))

@@ -98,6 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, allowed, label: str = "toxic", pe
     # Bounded by the sample: at most twice per_class rows meet in this task.
     shuffled = rows.withColumn("turn", F.xxhash64("order", "text")).repartition(1).sortWithinPartitions("turn", "y").select("text", "y")
     r = shuffled.mapInArrow(train, "at array<bigint>, w array<double>, slope double, intercept double").head()
+    if r is None:  # no labelled row at all
+        return {"at": np.empty(0, np.int64), "w": np.empty(0), "slope": 0.0, "intercept": 0.0}
     return {"at": np.array(r["at"], np.int64), "w": np.array(r["w"]), "slope": r["slope"], "intercept": r["intercept"]}
 
 
