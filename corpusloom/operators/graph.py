@@ -146,15 +146,52 @@ def connected(edges: DataFrame, checkpoint) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
-def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: float = 1.2) -> DataFrame:
+#: Edges of a component up to which one task works on it; larger ones are coarsened first.
+COMPONENT_EDGES = 2_000_000
+
+
+def coarsen(edges: DataFrame, checkpoint, limit: int, rounds: int = 60) -> tuple[DataFrame, DataFrame | None]:
+    """Contract components of more than ``limit`` edges along their heaviest edges, on all executors.
+
+    ``edges``: series, component, u, v, w.  In each round a coin, a hash of
+    node and round, makes half of the nodes centres; every other node joins its
+    heaviest neighbour if that is a centre.  Parts stay connected.  Gives the
+    remaining edges and (id, node) of the nodes that were merged.
+    """
+    merged = None
+    for turn in range(rounds):
+        big = edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("component")
+        if big.isEmpty():
+            break
+        large = edges.join(big, "component", "left_semi")
+        ways = large.where("u <> v").select("u", "v", "w").unionByName(large.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+        total = ways.groupBy("u", "v").agg(F.sum("w").alias("w"))
+        heaviest = total.groupBy("u").agg(F.max_by("v", F.struct("w", F.xxhash64("v"))).alias("to"))
+        centre = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0  # noqa: B023, E731
+        joins = checkpoint(heaviest.where(~centre(F.col("u")) & centre(F.col("to"))).select(F.col("u").alias("id"), F.col("to").alias("node")))
+        for end in ("u", "v"):
+            edges = edges.join(joins.select(F.col("id").alias(end), F.col("node").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+        edges = checkpoint(edges.groupBy("series", "component", *pair).agg(F.sum("w").alias("w")))
+        if merged is None:
+            merged = joins
+        else:
+            older = merged.join(joins.select(F.col("id").alias("node"), F.col("node").alias("to")), "node", "left").select("id", F.coalesce("to", "node").alias("node"))
+            merged = checkpoint(older.unionByName(joins))
+    return edges, merged
+
+
+def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: float = 1.2, limit: int = COMPONENT_EDGES) -> DataFrame:
     """(series, level, cid, entity_id) at resolution ``resolution * (1 + 0.5 * level)``.
 
-    Works per (series, connected component): communities never cross
-    components, so each is one group of Arrow rows.
+    Communities never cross connected components, so each (series, component)
+    is one group of Arrow rows; a component of more than ``limit`` edges is
+    coarsened before.  A community is named by its smallest member.
     """
     of = connected(edges, checkpoint)
     e = edges.select("series", F.col("src_id").alias("u"), F.col("dst_id").alias("v"), F.coalesce("conf", F.lit(1.0)).alias("w"))
     e = e.join(of.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("component", F.coalesce("component", "u"))
+    e, merged = coarsen(e.select("series", "component", "u", "v", "w"), checkpoint, limit)
     schema = "series string, level int, cid string, entity_id string"
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +199,13 @@ def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: fl
         rows = [(series, level, cid, node) for level in range(levels) for node, cid in _leiden(batch, resolution * (1 + 0.5 * level)).items()]
         return pd.DataFrame(rows, columns=["series", "level", "cid", "entity_id"])
 
-    return e.groupBy("series", "component").applyInPandas(run, schema)
+    out = e.groupBy("series", "component").applyInPandas(run, schema)
+    if merged is None:
+        return out
+    out = checkpoint(out)
+    all_ = out.unionByName(out.join(merged, out["entity_id"] == merged["node"]).select("series", "level", "cid", F.col("id").alias("entity_id")))
+    first = all_.groupBy("series", "level", "cid").agg(F.min("entity_id").alias("name"))
+    return all_.join(first, ["series", "level", "cid"]).select("series", "level", F.col("name").alias("cid"), "entity_id")
 
 
 def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:

@@ -22,7 +22,25 @@ def union_of(column: str, limit: int | None = None) -> Column:
 def longest_text(column: str) -> Column:
     """The longest value, the smallest of equally long ones."""
     value = F.coalesce(F.col(column), F.lit(""))
-    return F.element_at(F.array_sort(F.collect_set(F.struct((-F.length(value)).alias("n"), value.alias("v")))), 1)["v"]
+    return F.min_by(value, F.struct((-F.length(value)).alias("n"), value.alias("v")))
+
+
+def first_elements(rows: DataFrame, key: str, column: str, limit: int) -> DataFrame:
+    """The ``limit`` smallest distinct elements of an array column per key.
+
+    Elements are made distinct and ranked before they are gathered, so a key
+    with a third of all rows never brings more than ``limit`` from each task.
+    """
+    each = rows.select(key, F.explode(column).alias("x")).distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("x"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= limit).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias(column))
+
+
+def _with_sets(merged: DataFrame, rows: DataFrame, **limits: int) -> DataFrame:
+    for column, limit in limits.items():
+        sets = first_elements(rows, "id", column, limit)
+        merged = merged.join(sets, "id", "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    return merged
 
 
 def _both(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -41,19 +59,9 @@ def upsert_chunks(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Entities by id: union of aliases and cids, longest description, greatest confidence."""
-    return (
-        _both(old, new)
-        .groupBy("id")
-        .agg(
-            F.min("series").alias("series"),
-            F.min("name").alias("name"),
-            F.min("type").alias("type"),
-            union_of("aliases", MAX_ALIASES).alias("aliases"),
-            F.substring(longest_text("desc"), 1, MAX_DESC).alias("desc"),
-            union_of("cids", MAX_CIDS).alias("cids"),
-            F.max("conf").alias("conf"),
-        )
-    )
+    rows = _both(old, new)
+    merged = rows.groupBy("id").agg(F.min("series").alias("series"), F.min("name").alias("name"), F.min("type").alias("type"), F.substring(longest_text("desc"), 1, MAX_DESC).alias("desc"), F.max("conf").alias("conf"))
+    return _with_sets(merged, rows, aliases=MAX_ALIASES, cids=MAX_CIDS).select("id", "series", "name", "type", "aliases", "desc", "cids", "conf")
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,7 +75,8 @@ def upsert_relations(old: DataFrame | None, new: DataFrame, nodes: DataFrame) ->
     rows = with_endpoints(_both(old, new), nodes)
     if "weight" not in rows.columns:
         rows = rows.withColumn("weight", F.lit(1.0))
-    return rows.groupBy("id").agg(F.min("series").alias("series"), F.min("src_id").alias("src_id"), F.min("dst_id").alias("dst_id"), F.min("pred").alias("pred"), union_of("cids", MAX_CIDS).alias("cids"), F.max("conf").alias("conf"), F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    merged = rows.groupBy("id").agg(F.min("series").alias("series"), F.min("src_id").alias("src_id"), F.min("dst_id").alias("dst_id"), F.min("pred").alias("pred"), F.max("conf").alias("conf"), F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    return _with_sets(merged, rows, cids=MAX_CIDS).select("id", "series", "src_id", "dst_id", "pred", "cids", "conf", "weight")
 
 
 def link_mentions(nodes: DataFrame, chunks: DataFrame, kind: str = "MENTIONED_IN") -> DataFrame:

@@ -112,6 +112,25 @@ def test_communities_cover_connect_and_beat_singletons(spark, tmp_path):
     assert top.groupBy("level", "cid").count().agg(F.max("count")).head()[0] == 2
 
 
+def test_large_components_are_coarsened(spark):
+    """Far beyond the limit of one task the communities still cover all nodes and are connected."""
+    e = _cliques(spark)
+    m = graph.communities(e, lambda df: spark.createDataFrame(df.collect(), df.schema), levels=1, limit=6)
+    of = {r["entity_id"]: r["cid"] for r in m.collect()}
+    assert len(of) == 17 and all(min(k for k in of if of[k] == c) == c for c in set(of.values()))
+    links = [(r["src_id"], r["dst_id"]) for r in e.collect()]
+    for c in set(of.values()):
+        members, seen = {k for k in of if of[k] == c}, set()
+        todo = [next(iter(members))]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b if a == x else a for a, b in links if x in (a, b) and {a, b} <= members]
+        assert seen == members
+    assert graph.modularity(e, m).head()["modularity"] > 0.3
+
+
 def test_canonical_graph_and_linking(spark):
     c = spark.createDataFrame([("s", "f", "s:f:0", 0, "Alpha Corp met Beta Group. Beta Group won."), ("s", "f", "s:f:1", 1, "alpha. Alpha  Corp left Gamma.")], "series string, filename string, cid string, idx int, text string")
     x = kg.extract(c)
