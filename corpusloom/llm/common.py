@@ -10,6 +10,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -69,6 +72,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, read: int = 512) -> None:
+    """At most ``rows`` texts in an Arrow batch and ``read`` in a batch of the Parquet reader.
+
+    The defaults suit numbers; of texts they would hold tens of megabytes each.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", read)):
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def lean(run):
+    """``run`` over batches, giving freed memory back to the system at its end: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def work(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return work
+
+
 def crc_mod(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod

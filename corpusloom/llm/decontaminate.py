@@ -106,6 +106,7 @@ _ARROW = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: list[str] | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: ``row`` (the carried columns), ``n_words``, ``spans``, ``items``."""
     spark = docs.sparkSession
+    C.bound_batches(spark)
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
         table = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.toLocalIterator()])
         last = k == blocks - 1
         schema = T.StructType([f for f in df.schema.fields if f.name in ("row", *(() if last else ("text",)))] + T._parse_datatype_string(RESULT).fields)
-        df = df.mapInArrow(_scanner(table, window, uuid.uuid4().hex, last), schema)
+        df = df.mapInArrow(C.lean(_scanner(table, window, uuid.uuid4().hex, last)), schema)
         if not last:
             df = C.stage(df, "decontaminate-block")
     return df

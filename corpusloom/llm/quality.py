@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, allowed, label: str = "quality",
             found = [(y, o, i, t[i : i + PIECE]) for y, o, t in zip(batch.column("y").to_pylist(), batch.column("order").to_pylist(), texts, strict=True) for i in range(0, len(t), PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["y", "order", "at", "piece"])
 
-    cutting = rows.where("half = 0").mapInArrow(cut, "y int, order bigint, at bigint, piece binary")
+    cutting = rows.where("half = 0").mapInArrow(C.lean(cut), "y int, order bigint, at bigint, piece binary")
     taken = [[bytes(r["piece"]) for r in cutting.where(F.col("y") == y).orderBy(F.xxhash64("order", "at"), "order", "at").limit(pieces).collect()] for y in (1, 0)]
     good, bad = map(train_dictionary, taken)
     model = {"good": good, "bad": bad, "slope": 0.0, "intercept": 0.0}
@@ -89,6 +89,7 @@ _READY: dict[str, Compressors] = {}
 
 def measure(docs: DataFrame, model, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (the carried columns), ``difference`` and ``score`` of every whole text."""
+    C.bound_batches(docs.sparkSession)
     cols = docs.columns if carry is None else carry
     df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), F.col(C.sql_name(text)).cast("string").alias("text"))
     key = uuid.uuid4().hex
@@ -102,7 +103,7 @@ def measure(docs: DataFrame, model, *, text: str = "text", carry: list[str] | No
             d = np.array([difference(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(d), pa.array(labelled.sigmoid(model.value["slope"] * d + model.value["intercept"]))], ["row", "difference", "score"])
 
-    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("difference", T.DoubleType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(C.lean(run), T.StructType([df.schema["row"], T.StructField("difference", T.DoubleType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):

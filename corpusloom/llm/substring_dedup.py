@@ -158,9 +158,9 @@ def _bitmaps(texts: DataFrame, window: int, width_bits: int, shard_bits: int) ->
         if now is not None:
             yield done()
 
-    sketches = texts.select("text").mapInArrow(partial, "shard int, cells binary, twice binary, windows bigint")
+    sketches = texts.select("text").mapInArrow(C.lean(partial), "shard int, cells binary, twice binary, windows bigint")
     shards = 2 << (width_bits - shard_bits)
-    merged = sketches.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary, windows bigint")
+    merged = sketches.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(C.lean(merge), "shard int, bits binary, windows bigint")
     bits, windows = {}, 0
     for r in merged.toLocalIterator():  # 2 * 2**width_bits bits at most
         bits[r["shard"]] = bytes(r["bits"])
@@ -316,13 +316,14 @@ def spans(docs: DataFrame, *, uid: str, text: str, window: int = WINDOW, width_b
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
         return pa.table([pa.array(ids.view(np.int64)), lists], names=["uid", "spans"])
 
-    blocks = texts.mapInArrow(pack, _BLOCK)
+    blocks = texts.mapInArrow(C.lean(pack), _BLOCK)
     back = blocks.groupBy("shard").applyInArrow(group, _BLOCK)
     return back.groupBy("shard").applyInArrow(cover, "uid bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
 def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, window: int = WINDOW, width_bits: int = WIDTH_BITS, shard_bits: int = SHARD_BITS) -> DataFrame:
     """``row``, ``n_words``, ``spans`` (removed word ranges) and ``kept`` (the other words joined by one space)."""
+    C.bound_batches(docs.sparkSession)
     cols = docs.columns if carry is None else carry
     body = F.col(C.sql_name(text)).cast("string")
     df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), body.alias("text"), F.xxhash64(F.col(C.sql_name(doc_id)), body).alias("uid"))
@@ -341,7 +342,7 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), batch.column("spans"), pa.array(kept, pa.string())], ["row", "n_words", "spans", "kept"])
 
     schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), joined.schema["spans"], T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(C.lean(cut), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

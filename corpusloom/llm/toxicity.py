@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, allowed, label: str = "toxic", pe
 
     # Bounded by the sample: at most twice per_class rows meet in this task.
     shuffled = rows.withColumn("turn", F.xxhash64("order", "text")).repartition(1).sortWithinPartitions("turn", "y").select("text", "y")
-    r = shuffled.mapInArrow(train, "at array<bigint>, w array<double>, slope double, intercept double").head()
+    r = shuffled.mapInArrow(C.lean(train), "at array<bigint>, w array<double>, slope double, intercept double").head()
     if r is None:  # no labelled row at all
         return {"at": np.empty(0, np.int64), "w": np.empty(0), "slope": 0.0, "intercept": 0.0}
     return {"at": np.array(r["at"], np.int64), "w": np.array(r["w"]), "slope": r["slope"], "intercept": r["intercept"]}
@@ -108,6 +108,7 @@ _DENSE: dict[str, np.ndarray] = {}
 
 def measure(docs: DataFrame, model, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (the carried columns), ``margin`` and ``score`` of every whole text."""
+    C.bound_batches(docs.sparkSession)
     cols = docs.columns if carry is None else carry
     df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), F.col(C.sql_name(text)).cast("string").alias("text"))
     key = uuid.uuid4().hex
@@ -126,7 +127,7 @@ def measure(docs: DataFrame, model, *, text: str = "text", carry: list[str] | No
             margin = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], len(texts)) + weights[-1]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(margin), pa.array(labelled.sigmoid(m["slope"] * margin + m["intercept"]))], ["row", "margin", "score"])
 
-    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("margin", T.DoubleType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(C.lean(run), T.StructType([df.schema["row"], T.StructField("margin", T.DoubleType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
