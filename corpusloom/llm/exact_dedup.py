@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,8 +135,9 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest", F.lit(7)), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _keys(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy().astype(np.int64).view(np.uint64)
+def _keys(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    return values.astype(np.int64).view(np.uint64)
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
@@ -182,31 +182,57 @@ def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInArrow(probe, "digest string")
 
 
+def may_be_named(wanted: Snapshot) -> Column:
+    """Whether the row's ``digest`` is, or may be, among ``wanted``; the filters are broadcast."""
+    blobs = wanted.rows.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in wanted.filters.toLocalIterator()})
+
+    @F.arrow_udf("boolean")
+    def probe(key: pa.Array, bucket: pa.Array) -> pa.Array:
+        keys, buckets = _keys(key), bucket.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(keys), bool)
+        for b, blob in blobs.value.items():
+            at = buckets == b
+            if at.any():
+                out[at] = BinaryFuse.from_bytes(blob).contains(keys[at])
+        return pa.array(out)
+
+    return probe(_key(), _bucket(wanted.buckets))
+
+
 def _passing(rows: DataFrame, wanted: Snapshot, limit: int) -> DataFrame:
     """Rows whose digest is, or may be, among ``wanted``."""
     if wanted.buckets * BUCKET_KEYS > limit:
         return rows.join(wanted.rows.select("digest"), "digest", "left_semi")
-    blobs = rows.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in wanted.filters.toLocalIterator()})
+    return rows.where(may_be_named(wanted))
 
-    @F.pandas_udf("boolean")
-    def may_be(key: pd.Series, bucket: pd.Series) -> pd.Series:
-        out = np.zeros(len(key), bool)
-        for b, blob in blobs.value.items():
-            at = bucket.to_numpy() == b
-            if at.any():
-                out[at] = BinaryFuse.from_bytes(blob).contains(key.to_numpy()[at].astype(np.int64).view(np.uint64))
-        return pd.Series(out)
 
-    return rows.where(may_be(_key(), _bucket(wanted.buckets)))
+def _wanted(keys: DataFrame, name: str) -> Snapshot:
+    return Snapshot.write(keys.toDF("key").select(F.col("key").cast("string").alias("digest")), name)
 
 
 def keep_named(rows: DataFrame, column: str, keys: DataFrame, name: str, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows whose ``column`` is among ``keys`` (one column, distinct): a filter first, so that only hits are shuffled."""
-    wanted = Snapshot.write(keys.toDF("key").select(F.col("key").cast("string").alias("digest")), name)
+    wanted = _wanted(keys, name)
     near = _passing(rows.withColumn("digest", F.col(column).cast("string")), wanted, limit)
     return near.join(wanted.rows.select("digest"), "digest", "left_semi").drop("digest")
 
 
+def part_named(docs: DataFrame, doc_id: str, keys: DataFrame, name: str, limit: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is among ``keys``, all other rows), each with the input's columns in ``row``.
+
+    The others pass a filter and are not shuffled; where the filters would be
+    too large to broadcast, both parts come from shuffled joins.
+    """
+    wanted = _wanted(keys, name)
+    names = wanted.rows.select("digest")
+    rows = docs.select(F.struct("*").alias("row"), F.col(C.sql_name(doc_id)).cast("string").alias("digest"))
+    if wanted.buckets * BUCKET_KEYS > limit:
+        return rows.join(names, "digest", "left_semi"), rows.join(names, "digest", "left_anti")
+    flagged = rows.withColumn("maybe", may_be_named(wanted))
+    near = flagged.where("maybe").drop("maybe")
+    return near.join(names, "digest", "left_semi"), flagged.where("NOT maybe").drop("maybe").unionByName(near.join(names, "digest", "left_anti"))
+
+
 def repeated(rows: DataFrame, ids: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Classes of more than one row: text_sha256, keep_id, n.
 
@@ -244,11 +270,16 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     rows = _rows(docs, doc_id, text, strong_digest)
     ids = C.stage(rows.select("doc_id", "digest"), "exact-ids")
     found = repeated(rows, ids)
-    whole = docs.select(F.struct("*").alias("row"), F.col(C.sql_name(doc_id)).alias("id"), strong_digest(normalised(F.col(C.sql_name(text)))).alias("text_sha256"))
-    whole = whole.join(found, "text_sha256", "left")
-    single = whole.where(F.col("n").isNull()).select("row.*")
-    chosen = whole.where(F.col("n").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["text_sha256"]).select("row.*")
-    return single.unionByName(chosen) if len(set(docs.columns)) == len(docs.columns) else single.union(chosen)
+    # Ids of rows that may go: not the class's smallest id, or the same id and text again.
+    members = ids.join(found, ids["digest"] == found["text_sha256"]).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.min("keep_id").alias("keep_id"))
+    suspects = members.where("doc_id IS NOT NULL AND (rows > 1 OR doc_id <> keep_id)").select("doc_id").distinct()
+    nameless = docs.where(F.col(C.sql_name(doc_id)).isNull()).select(F.struct("*").alias("row"), F.lit(None).cast("string").alias("digest"))
+    inside, outside = part_named(docs.where(F.col(C.sql_name(doc_id)).isNotNull()), doc_id, suspects, "exact-suspects")
+    name, body = F.col(f"row.{C.sql_name(doc_id)}"), F.col(f"row.{C.sql_name(text)}")
+    doubtful = inside.unionByName(nameless).select("row", name.alias("id"), strong_digest(normalised(body)).alias("text_sha256")).join(found, "text_sha256", "left")
+    single = doubtful.where(F.col("n").isNull()).select("row")
+    chosen = doubtful.where(F.col("n").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["text_sha256"]).select("row")
+    return outside.select("row").unionByName(single).unionByName(chosen).select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

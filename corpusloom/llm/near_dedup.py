@@ -18,8 +18,9 @@ near-duplicate groups.
    compared only if they can be linked at all: the overlap of x and y is at
    most ``min(|x & h|, |y & h|)`` plus the number of elements outside h that
    they share.  Pairs that share such elements come from an equality join on
-   the elements, the others from the sizes alone, so a large group of near
-   copies never becomes all its pairs and no link is lost.
+   the elements, with a bound by their positions in sorted lists, the others
+   from the sizes alone, so a large group of near copies never becomes all its
+   pairs and no link is lost.
 5. Links become components by alternating large-star and small-star steps.
 
 With the default 5 rows in 32 bands a pair at exactly 0.8 shares no bucket 3
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm.exact_dedup import keep_named
+from corpusloom.llm.exact_dedup import keep_named, part_named
 
 ROWS, BANDS = 5, 32
 
@@ -76,7 +77,7 @@ def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
-def superminhash(doc: np.ndarray, value: np.ndarray, docs: int, size: int, block: int = 1 << 17) -> np.ndarray:
+def superminhash(doc: np.ndarray, value: np.ndarray, docs: int, size: int, block: int = 1 << 16) -> np.ndarray:
     """Signatures (docs x size) of the sets given as sorted (doc, element) arrays."""
     out = np.full((docs, size), np.inf)
     cut = 0
@@ -110,7 +111,7 @@ def _levels(doc: np.ndarray, value: np.ndarray, docs: int, size: int) -> np.ndar
         else:
             rows = np.arange(len(doc))
             if perm is None:  # only rank 0 is behind: one swap each
-                perm = np.tile(np.arange(size, dtype=np.uint16), (len(doc), 1))
+                perm = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(doc), 1))
                 perm[rows, first[live]] = 0
                 perm[rows, 0] = first[live]
             slot = perm[rows, place].astype(np.int64)
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(ids, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "bands"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_id binary, bands array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(C.lean(run), schema)
 
 
 _OVERLAP = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, extra array<bigint>"
@@ -176,7 +177,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int, detail: bool) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array(extras, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "both", "extra"])
 
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, _OVERLAP)
+    return joined.mapInArrow(C.lean(check), _OVERLAP)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -236,8 +237,11 @@ def links(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) ->
     other = every.withColumnsRenamed(right)
     least = "least(both, kept)"
     sized = outside.drop("extra").join(other.drop("more"), "a").where(F.expr(f"c <> d AND {_reaches(least, 'n', 'm', percent)}")).select("x", "y")
-    through = outside.withColumn("e", F.explode("extra")).drop("extra").join(other.withColumn("e", F.explode("more")).drop("more"), ["a", "e"]).where(f"c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m)")
-    alike = through.groupBy("a", "x", "y", "n", "m", "both", "kept").agg(F.count(F.lit(1)).alias("s")).where(_reaches(f"{least} + s", "n", "m", percent)).select("x", "y")
+    # At the first element they share, in the order of hashes, what is left of either list bounds all they share.
+    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent)) - F.expr(least)
+    listed = lambda df, c, i, size: df.select("*", F.size(c).alias(size), F.posexplode(F.array_sort(c)).alias(i, "e")).drop(c)
+    through = listed(outside, "extra", "i", "n_x").join(listed(other, "more", "j", "n_y"), ["a", "e"])
+    alike = through.where((F.col("c") != F.col("d")) & (F.least(F.col("n_x") - F.col("i"), F.col("n_y") - F.col("j")) >= needed)).select("x", "y")
     rest = C.stage(sized.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-rest")
     second = C.stage(overlaps(rest, docs, shingle, False), "near-second").where(_reaches("both", "n_a", "n_b", percent)).select("a", "b")
     found = part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second)
@@ -246,7 +250,8 @@ def links(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) ->
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(C.sql_name(doc_id)).alias("doc_id"), F.col(C.sql_name(text)).cast("string").alias("text"))
+    C.bound_batches(docs.sparkSession)
+    docs = docs.select(F.col(C.sql_name(doc_id)).cast("bigint").alias("doc_id"), F.col(C.sql_name(text)).cast("string").alias("text"))
     base, classes, found = links(docs, shingle, percent, rows, bands)
     # Rows that share an id but not a text are one document.
     same = classes.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -263,8 +268,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The input rows that stay, all columns: of each group the smallest id."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
     dropped = C.stage(found.where(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
-    rows = docs.select(F.struct("*").alias("row"), F.col(C.sql_name(doc_id)).alias("doc_id"))
-    return rows.join(dropped, "doc_id", "left_anti").select("row.*")
+    return part_named(docs, doc_id, dropped, "near-gone")[1].select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
