@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 its predecessor kept, and its decisions take effect.  :func:`run` writes every
 stage's result as Parquet in the shared folder and rereads it as the next
 stage's input.  All stages but the last return the columns of ``documents``;
-the last adds the token ids of each text and the text they decode to.
+the last adds the token ids of each text and the SHA-256 of the text they
+decode to, which identifies it without storing it again.
 
 Edge cases are those of the operators: null texts count as empty; rows with a
 null doc_id cannot be named and are never dropped as near duplicates; an empty
@@ -42,10 +43,10 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids and the text these decode to."""
+    """Documents with their token ids and the digest of the text that these decode to."""
     vocabulary = bpe.load_vocabulary(spark)
-    out = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
-    return out.select("row.*", F.size("ids").cast("bigint").alias("n_tokens"), F.col("ids").alias("token_ids"), F.col("decoded").alias("decoded_text"))
+    out = bpe.encode(docs, vocabulary, decoded=True)
+    return out.select("row.*", F.size("ids").cast("bigint").alias("n_tokens"), F.col("ids").alias("token_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

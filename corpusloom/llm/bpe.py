@@ -47,13 +47,13 @@ from corpusloom.llm import common as C
 
 #: Words compiled into the lexicon, and words a block of text may nominate.
 LEXICON_WORDS = 1 << 17
-NOMINATED = 1 << 16
+NOMINATED = 1 << 15
 #: Entries of a worker's memo of looked-up words.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 #: Bytes up to which words are merged in columns; longer ones go one by one.
 LONG_WORD = 64
 #: Text encoded at a time: the more, the more new words share a step.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _NEVER = 1 << 60
 
@@ -323,9 +323,9 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None):
         self.vocabulary, self.lexicon, self.merger = vocabulary, lexicon, Merger(vocabulary)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.memo: dict[str, int] = {t: i for i, t in enumerate(self.vocabulary.control)}
         self.ids = [np.array([i], np.int32) for i in self.vocabulary.control.values()]
         self.flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
@@ -377,7 +377,7 @@ class Codec:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             if len(self.memo) >= MEMO_WORDS:
-                self._clear()
+                self.forget()
                 missing = np.arange(len(words))
             self._learn([w for w in dict.fromkeys(map(words.__getitem__, missing.tolist())) if w not in self.memo])
             at[missing] = np.fromiter(map(self.memo.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
@@ -415,13 +415,13 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
             for t in texts:
                 pieces.update(t.split())
                 seen += len(t)
-                if seen >= 32 << 20:
+                if seen >= 8 << 20:
                     yield nominated()
                     pieces.clear()
                     seen = 0
         yield nominated()
 
-    found = docs.select(F.col(C.sql_name(text)).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
+    found = docs.select(F.col(C.sql_name(text)).cast("string").alias("text")).mapInArrow(C.lean(count), "word string, n bigint")
     top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
     return [r["word"] for r in top.collect()]
 
@@ -451,9 +451,14 @@ def load_vocabulary(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, vocabulary, *, text: str = "text", carry: list[str] | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """``row`` (the carried columns) and ``ids array<int>`` of each text."""
+def encode(docs: DataFrame, vocabulary, *, text: str = "text", carry: list[str] | None = None, lexicon_words: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
+    """``row`` (the carried columns) and ``ids array<int>`` of each text.
+
+    With ``decoded`` the text that the ids decode to comes along, from the
+    same worker: one Python process for each task instead of two.
+    """
     spark = docs.sparkSession
+    C.bound_batches(spark)
     local = Vocabulary(vocabulary.value)
     words = frequent_words(docs, text, lexicon_words)
     name = publish(spark, Transducer.compile({w.encode(): local.merge(w) for w in words}))
@@ -470,9 +475,13 @@ def encode(docs: DataFrame, vocabulary, *, text: str = "text", carry: list[str]
         for batch, texts in C.batches_of(it, size=RUN_BYTES):
             flat, n = codec.encode([t.decode() for t in texts])
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            texts_ = [codec.vocabulary.decode_lists(ids)] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column("row"), ids, *texts_], ["row", "ids", "decoded"][: 2 + decoded])
+        codec.forget()  # the worker lives on
 
-    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return df.mapInArrow(C.lean(run), T.StructType(fields[: 2 + decoded]))
 
 
 _TOKENS: dict[str, Vocabulary] = {}
@@ -493,7 +502,7 @@ def decode(df: DataFrame, vocabulary, *, ids: str = "ids", out: str = "decoded")
                 part = batch.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([*part.columns, v.decode_lists(part.column(ids))], [*part.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.mapInArrow(C.lean(run), T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def joined_ids(ids: str = "ids"):
@@ -503,5 +512,5 @@ def joined_ids(ids: str = "ids"):
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = load_vocabulary(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = decode(encode(docs, vocabulary, carry=["doc_id"]), vocabulary)
+    out = encode(docs, vocabulary, carry=["doc_id"], decoded=True)
     return out.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined_ids(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
