@@ -54,11 +54,13 @@ def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
     """op over x[i : i + size]; only entries with a whole range are meaningful."""
     out, k = x.copy(), 1
     while 2 * k <= size:
-        out[: len(out) - k] = op(out[: len(out) - k], out[k:])
+        have = max(0, len(out) - k)  # a run of texts may be shorter than the shift
+        out[:have] = op(out[:have], out[k:])
         k *= 2
     rest = size - k
     if rest:
-        out[: len(out) - rest] = op(out[: len(out) - rest], out[rest:])
+        have = max(0, len(out) - rest)
+        out[:have] = op(out[:have], out[rest:])
     return out
 
 

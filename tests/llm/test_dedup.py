@@ -129,6 +129,20 @@ def test_substring_equals_brute_force(spark, make, monkeypatch, window, width, f
     assert got == sorted((i, *x) for (i, _), x in zip(rows, _substring(rows, window), strict=True))
 
 
+@pytest.mark.parametrize("n", range(41))
+def test_windows_of_a_short_text_alone(n):
+    found = substring_dedup.Windows([" ".join(f"w{i}" for i in range(n)).encode()], 35)
+    assert found.at.tolist() == list(range(max(0, n - 34)))
+    assert len(found.anchor) == len(found.at) and set(found.anchor) <= set(found.anchors)
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 7])
+def test_substring_of_a_short_text_alone(spark, make, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    out = substring_dedup.remove_repeated(make([(1, text)]), window=35, width_bits=10, shard_bits=8)
+    assert [(r["n_words"], r["spans"] or [], r["kept"]) for r in out.collect()] == [(n, [], text)]
+
+
 def _lines(rows, window, mean):
     """Chunks by the rolling hash, then all but the first place of each repeated chunk removed."""
     import hashlib
