@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-1. A document is looked at closely only if a literal that every rule needs
-   occurs in it; one ``contains`` per literal decides.
-2. Its words are joined by single spaces.  Keywords found there pick the rules
-   whose regexes run; all places of a regex come from splitting at it.
+1. Words are joined by single spaces, whatever stands between them.  A document
+   is looked at closely only if a literal that every rule needs occurs in that;
+   one ``contains`` per literal decides.
+2. Keywords found there pick the rules whose regexes run; all places of a regex
+   come from splitting at it.
 3. Detections are ordered by priority: one whose word interval lies within the
    interval of a stronger detection (lower priority number, then longer, then
    earlier rule) is suppressed.  Base phrases are counted before that, and
@@ -57,10 +58,10 @@ def detections(norm: str) -> str:
 _HELD = "exists(hits, o -> o.s <= h.s AND o.e >= h.e AND (o.p < h.p OR (o.p = h.p AND (o.e - o.s > h.e - h.s OR (o.e - o.s = h.e - h.s AND o.k < h.k)))))"
 
 
-def gate(lower: Column) -> Column:
-    found = lower.contains("cc") & (lower.contains("by") | lower.contains("cc0"))
+def gate(norm: Column) -> Column:
+    found = norm.contains("cc") & (norm.contains("by") | norm.contains("cc0"))
     for literal in GATES:
-        found |= lower.contains(literal)
+        found |= norm.contains(literal)
     return found
 
 
@@ -71,7 +72,8 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None)
     df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), body.alias("text"), F.lower(body).alias("lower"))
     words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("bigint")
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("lower", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    df = df.select("row", words.alias("n_words"), F.when(gate(F.col("lower")), norm).alias("norm"))
+    df = df.select("row", words.alias("n_words"), norm.alias("norm"))
+    df = df.select("row", "n_words", F.when(gate(F.col("norm")), F.col("norm")).alias("norm"))
     df = df.select("row", "n_words", F.expr(f"CASE WHEN norm IS NULL THEN CAST(array() AS {_HIT}) ELSE {detections('norm')} END").alias("hits"))
     return df.select("row", "n_words", F.expr("filter(hits, h -> h.base)").alias("base"), F.expr(f"filter(hits, h -> NOT {_HELD})").alias("found"))
 

@@ -74,6 +74,20 @@ def test_license_places_and_suppression(spark, make):
     assert not out[5]["found"] and not out[6]["found"]
 
 
+def test_license_of_wrapped_and_hyphenated_notices(spark, make):
+    notices = {
+        "This text is in the public domain": "public-domain",
+        "Released under the MIT": "mit",
+        "Creative Commons Attribution 4 0": "cc-by",
+        "Creative Commons Zero": "cc0-1.0",
+        "Altered source versions must be plainly marked as such": "zlib",
+        "Neither the name of it nor the names of its contributors may be used to endorse or promote": "bsd-3-clause",
+    }
+    joined = [(sep.join(n.split(" ")), label) for n, label in notices.items() for sep in (" ", "\n", "-", "\t", "  ", "\r\n * ")]
+    out = {r["doc_id"]: r["found"] for r in license_scan.scan(make(list(enumerate(t for t, _ in joined)))).select("row.doc_id", "found").collect()}
+    assert [(t, label) for i, (t, label) in enumerate(joined) if label not in {h["label"] for h in out[i]}] == []
+
+
 def test_every_license_rule_has_a_gate_and_compiles():
     rules = license_rules.rules()
     assert len(rules) > 250
