@@ -13,9 +13,11 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,12 @@ CHUNK_BYTES = 1 << 18
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, a laptop) a folder under
-    ``/tmp/checkpoints`` is used.
+    Only a session in one process (tests, a laptop) may do without it and then
+    uses a folder under ``/tmp/checkpoints``; on a cluster that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or "/tmp/checkpoints/corpusloom").rstrip("/")
 
 
@@ -130,39 +134,43 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
-class _Poly:
-    """Polynomial hash of byte ranges modulo 2**64 by prefix sums."""
+class _Digests(dict):
+    """64 bits of a keyed BLAKE2 of each word asked for."""
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(0, 1 << 61)) * 8 + 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        return value
 
-    def _grow(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
 
-    def sums(self, buf: np.ndarray) -> np.ndarray:
-        self._grow(len(buf) + 1)
-        out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.table[buf] * self.up[: len(buf)], out=out[1:])
-        return out
+_KEY = b"words"
+#: Words whose digests a worker remembers.
+MEMO_WORDS = 1 << 17
+_DIGESTS = _Digests()
 
-    def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.down[start])
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two runs from theirs; not linear, so no arrangement of equal parts cancels out."""
+    return mix(mix(a.copy(), 1) + b, 2)
 
-_POLY: dict[int, _Poly] = {}
 
+def runs(x: np.ndarray, size: int, op=join) -> np.ndarray:
+    """``op`` folded over x[i : i + size] for every i, by doubling; entries without a whole range mean nothing."""
+    out, have, power, k = None, 0, x, 1
+    while True:
+        if size & k:
+            out, have = (power, k) if out is None else (_shifted(op, out, power, have), have + k)
+        k *= 2
+        if k > size:
+            return out.copy() if out is x else out
+        power = _shifted(op, power, power, k // 2)
 
-def poly(seed: int) -> _Poly:
-    if seed not in _POLY:
-        _POLY[seed] = _Poly(seed)
-    return _POLY[seed]
+
+def _shifted(op, a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    out, n = a.copy(), max(0, len(a) - by)  # a run of texts may be shorter than the shift
+    out[:n] = op(a[:n], b[by : by + n])
+    return out
 
 
 class Words:
@@ -175,10 +183,11 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         lists = [t.split() for t in texts]
+        self.words = list(chain.from_iterable(lists))
         self.n = np.fromiter(map(len, lists), np.int64, len(lists))
         self.joined = b"\n".join(b" ".join(x) for x in lists if x) + b"\n"
         self.buf = np.frombuffer(self.joined, np.uint8)
-        total = int(self.n.sum())
+        total = len(self.words)
         self.end = np.flatnonzero((self.buf == 32) | (self.buf == 10))[:total]
         self.start = np.empty_like(self.end)
         if total:
@@ -187,9 +196,9 @@ class Words:
         self.doc = np.repeat(np.arange(len(lists)), self.n)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        p = poly(seed)
-        return p.ranges(p.sums(self.buf), self.start, self.end)
+    def hashes(self) -> np.ndarray:
+        """A 64-bit digest of each word."""
+        return np.fromiter(map(_DIGESTS.__getitem__, self.words), np.uint64, len(self.words))
 
 
 def words_column(text: Column) -> Column:
@@ -212,3 +221,19 @@ def batches_of(it: Iterator[pa.RecordBatch], column: str = "text", size: int = C
 
 def sql_name(name: str) -> str:
     return "`" + re.sub("`", "``", name) + "`"
+
+
+#: Keys that may hold more than a thousandth of all rows are fewer than this, whatever the table is.
+HOT_KEYS = 1000
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each key, with ``n``, its number of rows) without a hot key.
+
+    Keys of more than ``total / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, so
+    that part of ``table`` is broadcast; the rows of all other keys are
+    shuffled.  ``total`` is the number of rows.
+    """
+    bound = max(1, total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col("n") > bound))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= bound), key, how))

@@ -69,7 +69,7 @@ class Tokens:
 
     def __init__(self, texts: list[bytes]):
         w = C.Words([t.lower() for t in texts])
-        self.hash, self.doc, self.n, self.first = w.hashes(41), w.doc, w.n, w.first
+        self.hash, self.doc, self.n, self.first = w.hashes(), w.doc, w.n, w.first
 
     def classes(self, heads: np.ndarray) -> np.ndarray:
         """Class of each word; ``heads`` are the sorted hashes of the frequent words."""

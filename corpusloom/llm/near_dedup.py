@@ -60,7 +60,7 @@ def shingles(text: bytes, k: int) -> set[bytes]:
 def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of the distinct shingles, sorted by both."""
     w = C.Words([t.lower() for t in texts])
-    h = w.hashes(21)
+    h = w.hashes()
     n = len(h)
     at = np.arange(n)
     short = np.minimum(w.n, k)[w.doc] if n else at  # words in a shingle of this text

@@ -4,64 +4,55 @@ A window is ``window`` consecutive white-space words of one document.  Every
 word inside a window whose word sequence also starts elsewhere, in the same
 document or another, is removed; all windows are judged on the input.
 
+Texts are packed into numbered blocks first (a table in the shared folder), so
+a place is a block and a word of it.
+
 Pass 1, the sketch.  A window is counted through its anchor, the smallest hash
 among the half-window word runs inside it.  Equal windows have equal anchors
 at different places, so the count of an anchor is never below the count of the
 window: the estimate loses no repeated window while only about a tenth of the
-positions enter the sketch.  Each partition writes its own count-min sketch
-(sparse, saturating at two, cut into shards of cells); shards are merged by
-addition.  What leaves is one bit per cell, ``2 * 2**width_bits`` bits in all
-(32 MB by default): its size is fixed whatever the input is, so it may be
-broadcast.  A larger input fills it and only sends more windows to pass 2.
-
-Pass 2, exact.  Windows estimated as repeated are grouped by a 96-bit hash of
-their words.  Rows of this exchange are packed arrays, not windows: a task
-first groups its own windows, so a window that fills a third of all rows
-leaves each task once.  Repeated windows return to their document as runs.
+positions enter the sketch.  Each block sends its own sketch (the cells of its
+distinct anchors and whether it has them twice) to the shards of a count-min
+sketch of two rows; a shard merges them by addition and answers, for each
+block, which anchors are estimated to occur twice.  The number of shards
+follows the input, so the share of unique windows that pass does not grow with
+it, and no task holds, and nothing broadcasts, more than a shard.
+
+Pass 2, exact.  A block groups the windows that are estimated repeated by a
+keyed 128-bit BLAKE2 of their words; what it has twice it knows at once and
+tells the shards by one entry, so a window that fills a third of all rows
+leaves each block once.  Shards of the digest group the rest and answer the
+blocks with runs of repeated windows.
+
+Both exchanges are those of :mod:`corpusloom.llm.exchange`: rows in proportion
+to the input.
 
 Edge cases: null or empty text has no words and gives an empty result text;
 texts shorter than a window lose nothing; very long texts are processed whole;
-a repeated row counts as another place of its windows; rows alike in id and
-text share one result.  Other columns are carried in ``row``.
+a repeated row counts as another place of its windows; ids are not looked at.
+Other columns are carried in ``row``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import common as C
+from corpusloom.llm import exchange as X
 
 WINDOW = 35
-#: log2 of the cells in each of the two rows of the sketch.
-WIDTH_BITS = 27
-#: log2 of the cells in one shard of the sketch.
-SHARD_BITS = 22
-#: Anchors in a partition sketch, and windows in a packed block, before it is written.
-FLUSH = 1 << 19
-#: Windows per shard of the exact pass.
-SHARD_WINDOWS = 1_000_000
+#: log2 of the cells in each of the two rows of a shard of the sketch.
+WIDTH_BITS = 22
+#: Text for one shard of the sketch (half a million anchors), and of the exact pass (a million windows).
+SKETCH_BYTES, EXACT_BYTES = 32 << 20, 6 << 20
 _NONE = np.iinfo(np.uint64).max
-
-
-def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
-    """op over x[i : i + size]; only entries with a whole range are meaningful."""
-    out, k = x.copy(), 1
-    while 2 * k <= size:
-        have = max(0, len(out) - k)  # a run of texts may be shorter than the shift
-        out[:have] = op(out[:have], out[k:])
-        k *= 2
-    rest = size - k
-    if rest:
-        have = max(0, len(out) - rest)
-        out[:have] = op(out[:have], out[rest:])
-    return out
+_KEY = b"windows"
 
 
 class Windows:
@@ -77,279 +68,164 @@ class Windows:
         #: Word positions at which a window starts.
         self.at = np.flatnonzero(at + window <= ends)
         self.window = window
-        p = C.poly(11)
-        sums = p.sums(w.buf)
-        grams = np.full(n, _NONE, np.uint64)
-        whole = np.flatnonzero(at + gram <= ends)
-        grams[whole] = p.ranges(sums, w.start[whole], w.end[whole + gram - 1])
-        least = _slide(grams, span, np.minimum)
+        grams = C.runs(w.hashes(), gram)
+        grams[at + gram > ends] = _NONE
+        least = C.runs(grams, span, np.minimum)
         #: Anchor hash of each window of ``at``.
         self.anchor = least[self.at]
         some = np.zeros(n, np.uint64)
         some[self.at] = self.anchor
-        most = _slide(some[::-1].copy(), span, np.maximum)[::-1] if n else some
+        most = C.runs(some[::-1].copy(), span, np.maximum)[::-1] if n else some
         if n:  # the first entries have a shorter range behind them
             head = min(span - 1, n)
             most[:head] = np.maximum.accumulate(some[:head])
         self.anchors = grams[(most == grams) & (most > 0) & (grams != _NONE)]
 
-    def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64 and 32 bits of the words of the windows at word positions ``chosen``."""
-        w, out = self.words, []
-        for seed in (12, 13):
-            p = C.poly(seed)
-            out.append(p.ranges(p.sums(w.buf), w.start[chosen], w.end[chosen + self.window - 1]))
-        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
-
-
-def _cells(hashes: np.ndarray, width_bits: int) -> list[np.ndarray]:
-    shift = np.uint64(64 - width_bits)
-    return [(C.mix(hashes.copy(), row + 1) >> shift) + np.uint64(row << width_bits) for row in range(2)]
+    def digests(self, chosen: np.ndarray) -> np.ndarray:
+        """128 bits of the words of the windows at word positions ``chosen``, as two columns."""
+        w = self.words
+        text, cut = w.joined, zip(w.start[chosen].tolist(), w.end[chosen + self.window - 1].tolist(), strict=True)
+        raw = b"".join([hashlib.blake2b(text[a:b], digest_size=16, key=_KEY).digest() for a, b in cut])
+        return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def _anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors of a block, sorted, and whether it has them twice."""
+    held = [C.mix(Windows(run, window).anchors, 3) for run in X.slices(texts)]
+    found, count = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+    return found, count > 1
 
 
-def _unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype) if blob else np.empty(0, dtype)
+def _share(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def _bitmaps(texts: DataFrame, window: int, width_bits: int, shard_bits: int) -> tuple[dict[int, bytes], int]:
-    """Merged sketch as packed bits (estimate is two or more) by shard, and the number of windows."""
-
-    def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, windows = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            anchors = np.concatenate(held) if held else np.empty(0, np.uint64)
-            cell, count = np.unique(np.concatenate(_cells(anchors, width_bits)), return_counts=True)
-            shard = (cell >> np.uint64(shard_bits)).astype(np.int64)
-            shards, first = np.unique(shard, return_index=True)
-            rows = [(int(s), _pack(np.diff(c.astype(np.uint32) & np.uint32((1 << shard_bits) - 1), prepend=np.uint32(0))), np.packbits(k > 1).tobytes(), 0) for s, c, k in zip(shards, np.split(cell, first[1:]), np.split(count, first[1:]), strict=False)]
-            rows.append((0, b"", b"", windows))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "cells", "twice", "windows"])
+def estimate(h: np.ndarray, twice: np.ndarray, width_bits: int) -> np.ndarray:
+    """Whether the count-min estimate of each anchor is two or more, from all sketches of a shard."""
+    out, mask = np.ones(len(h), bool), np.uint64((1 << width_bits) - 1)
+    for row in range(2):
+        cell = (h >> np.uint64(row * width_bits) & mask).astype(np.int64)
+        out &= np.bincount(cell, 1 + twice, 1 << width_bits)[cell] > 1
+    return out
 
-        for _, run in C.batches_of(it):
-            found = Windows(run, window)
-            held.append(found.anchors)
-            n += len(found.anchors)
-            windows += len(found.at)
-            if n >= FLUSH:
-                yield flush()
-                held, n, windows = [], 0, 0
-        yield flush()
 
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count, windows = None, None, 0
+def _group(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by digest, first entry of each digest, number of the digest."""
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return order, new, np.cumsum(new) - 1
+
+
+def _block_windows(texts: list[bytes], window: int, found: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, word positions in the block) of the windows whose anchor is estimated repeated."""
+    digests, places, before = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], 0
+    for run in X.slices(texts):
+        w = Windows(run, window)
+        at = w.at[repeated[np.searchsorted(found, C.mix(w.anchor, 3))]] if len(w.at) else w.at
+        digests.append(w.digests(at))
+        places.append(at + before)
+        before += len(w.words.start)
+    return np.concatenate(digests), np.concatenate(places)
+
+
+def _runs(block: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+    """Distinct (block, position) as runs: block, first position, length."""
+    order = np.lexsort((pos, block))
+    block, pos = block[order], pos[order].astype(np.int64)
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (pos[1:] > pos[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(block))[: len(first)] - 1
+    return [block[first], pos[first], pos[last] - pos[first] + 1]
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "bits": pa.array([_pack(np.packbits(count > 1))], pa.binary()), "windows": pa.array([windows], pa.int64())})
 
-        for batch in it:
-            for shard, cells, twice, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now:
-                    if now is not None:
-                        yield done()
-                    now, count, windows = shard, np.zeros(1 << shard_bits, np.uint8), 0
-                windows += more
-                at = np.cumsum(_unpack(cells, np.uint32), dtype=np.int64)
-                if len(at):
-                    plus = 1 + np.unpackbits(np.frombuffer(twice, np.uint8))[: len(at)]
-                    count[at] = np.minimum(count[at] + plus, 2)
-        if now is not None:
-            yield done()
-
-    sketches = texts.select("text").mapInArrow(C.lean(partial), "shard int, cells binary, twice binary, windows bigint")
-    shards = 2 << (width_bits - shard_bits)
-    merged = sketches.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(C.lean(merge), "shard int, bits binary, windows bigint")
-    bits, windows = {}, 0
-    for r in merged.toLocalIterator():  # 2 * 2**width_bits bits at most
-        bits[r["shard"]] = bytes(r["bits"])
-        windows += r["windows"]
-    return bits, windows
-
-
-class _Estimate:
-    """Which anchors have an estimate of two or more."""
-
-    def __init__(self, packed: dict[int, bytes], width_bits: int, shard_bits: int):
-        size = 1 << (shard_bits - 3)
-        self.bits = np.zeros((2 << (width_bits - shard_bits)) * size, np.uint8)
-        for shard, blob in packed.items():
-            self.bits[shard * size : (shard + 1) * size] = _unpack(blob, np.uint8)
-        self.width_bits = width_bits
-
-    def repeated(self, anchors: np.ndarray) -> np.ndarray:
-        out = np.ones(len(anchors), bool)
-        for cell in _cells(anchors, self.width_bits):
-            byte = self.bits[(cell >> np.uint64(3)).astype(np.int64)]
-            out &= (byte >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-        return out
-
-
-_ESTIMATES: dict[str, _Estimate] = {}
-_BLOCK = "shard int, kind int, a binary, b binary, c binary, d binary"
-
-
-def _block(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["shard", "kind", "a", "b", "c", "d"])
-
-
-def _split(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
-    """(shard, arrays of its entries), entries in their order."""
-    order = np.argsort(shard, kind="stable")
-    shards, first = np.unique(shard[order], return_index=True)
-    for s, part in zip(shards, np.split(order, first[1:]), strict=False):
-        yield int(s), [a[part] for a in arrays]
-
-
-def _runs(uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (uid, pos) as runs: uid, first position, length."""
-    order = np.lexsort((pos, uid))
-    uid, pos = uid[order], pos[order].astype(np.int64)
-    new = np.ones(len(uid), bool)
-    new[1:] = (uid[1:] != uid[:-1]) | (pos[1:] > pos[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(uid))[: len(first)] - 1
-    return uid[first], pos[first].astype(np.uint32), (pos[last] - pos[first] + 1).astype(np.uint32)
-
-
-def _to_documents(uid: np.ndarray, pos: np.ndarray, shards: int) -> list[tuple]:
-    """Rows of the return path: runs of repeated windows, by shard of the document."""
-    u, p, k = _runs(uid, pos)
-    return [(s, 1, _pack(x), _pack(y), _pack(z), b"") for s, (x, y, z) in _split((C.mix(u.copy(), 5) % np.uint64(shards)).astype(np.int64), u, p, k)]
-
-
-def spans(docs: DataFrame, *, uid: str, text: str, window: int = WINDOW, width_bits: int = WIDTH_BITS, shard_bits: int = SHARD_BITS) -> DataFrame:
-    """(uid, spans): word ranges [start, end) covered by repeated windows."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(uid).alias("uid"), F.col(text).cast("string").alias("text"))
-    bits, windows = _bitmaps(texts, window, width_bits, shard_bits)
-    shards = max(16, -(-windows // SHARD_WINDOWS))
-    sketch = spark.sparkContext.broadcast(bits)
-    key = C.stage_path(spark, "sketch")
-
-    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ESTIMATES:
-            _ESTIMATES.clear()
-            _ESTIMATES[key] = _Estimate(sketch.value, width_bits, shard_bits)
-        estimate = _ESTIMATES[key]
-        held: list[tuple] = []
-        n = turn = 0
-
-        def flush() -> pa.RecordBatch:
-            h1, h2, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((h2, h1))
-            h1, h2, ids, pos = h1[order], h2[order], ids[order], pos[order]
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            group = np.cumsum(new) - 1
-            many = np.bincount(group)[group] > 1
-            # Repeated in this block: known at once; one entry without a place tells the others.
-            rows = [((turn + i) % shards, 1, u, p, k, np.int32(s).tobytes()) for i, (s, _, u, p, k, _) in enumerate(_to_documents(ids[many], pos[many], shards))]
-            shard = ((h1 >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            told = many & new
-            for s, (x, y) in _split(shard[told], h1[told], h2[told]):
-                rows.append((s, 2, _pack(x), _pack(y), b"", b""))
-            alone = np.flatnonzero(~many)
-            alone = alone[np.lexsort((pos[alone], ids[alone]))]
-            for s, (x, y, u, p) in _split(shard[alone], h1[alone], h2[alone], ids[alone], pos[alone]):
-                rows.append((s, 0, _pack(x), _pack(y), _pack(u), _pack(p)))
-            return _block(rows)
-
-        for batch, run in C.batches_of(it):
-            found = Windows(run, window)
-            at = found.at[estimate.repeated(found.anchor)]
-            if not len(at):
-                continue
-            ids = batch.column("uid").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            doc = found.words.doc[at]
-            held.append((*found.hashes(at), ids[doc], (at - found.words.first[doc]).astype(np.uint32)))
-            n += len(at)
-            if n >= FLUSH:
-                yield flush()
-                held, n, turn = [], 0, turn + 1
-        if held:
-            yield flush()
-
-    def group(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        h1s, h2s, ids, places, marks = [], [], [], [], []
-        for _, kind, a, b, c, d in zip(*(col.to_pylist() for col in table.columns), strict=True):
-            if kind == 1:  # only on its way to the document's shard
-                out.append((int(np.frombuffer(d, np.int32)[0]), 1, a, b, c, b""))
-                continue
-            h1s.append(_unpack(a, np.uint64))
-            h2s.append(_unpack(b, np.uint32))
-            ids.append(_unpack(c, np.uint64) if kind == 0 else np.zeros(len(h1s[-1]), np.uint64))
-            places.append(_unpack(d, np.uint32) if kind == 0 else np.zeros(len(h1s[-1]), np.uint32))
-            marks.append(np.full(len(h1s[-1]), kind == 2))
-        if h1s:
-            h1, h2, uid, pos, told = map(np.concatenate, (h1s, h2s, ids, places, marks))
-            order = np.lexsort((h2, h1))
-            h1, h2, uid, pos, told = h1[order], h2[order], uid[order], pos[order], told[order]
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            number = np.cumsum(new) - 1
-            many = (np.bincount(number) > 1) | (np.bincount(number, weights=told) > 0)
-            back = many[number] & ~told
-            out += _to_documents(uid[back], pos[back], shards)
-        return pa.Table.from_batches([_block(out)])
-
-    def cover(table: pa.Table) -> pa.Table:
-        cols = table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("c").to_pylist()
-        u = np.concatenate([_unpack(x, np.uint64) for x in cols[0]])
-        p = np.concatenate([_unpack(x, np.uint32) for x in cols[1]]).astype(np.int64)
-        e = p + np.concatenate([_unpack(x, np.uint32) for x in cols[2]]) + window - 1
-        order = np.lexsort((p, u))
-        u, p, e = u[order], p[order], e[order]
-        # Merge overlapping ranges of one document: the running maximum end, restarted at each document.
-        _, doc = np.unique(u, return_inverse=True)
-        top = np.maximum.accumulate(e + doc * (1 << 40)) - doc * (1 << 40)
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (p[1:] > top[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(u))[: len(first)] - 1
-        start, end, owner = p[first], top[last], u[first]
-        ids, at = np.unique(owner, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
-        return pa.table([pa.array(ids.view(np.int64)), lists], names=["uid", "spans"])
-
-    blocks = texts.mapInArrow(C.lean(pack), _BLOCK)
-    back = blocks.groupBy("shard").applyInArrow(group, _BLOCK)
-    return back.groupBy("shard").applyInArrow(cover, "uid bigint, spans array<struct<start:bigint,end:bigint>>")
-
-
-def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, window: int = WINDOW, width_bits: int = WIDTH_BITS, shard_bits: int = SHARD_BITS) -> DataFrame:
+def remove_repeated(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, window: int = WINDOW, width_bits: int = WIDTH_BITS, sketch_bytes: int = SKETCH_BYTES, exact_bytes: int = EXACT_BYTES, fan: int | None = None) -> DataFrame:
     """``row``, ``n_words``, ``spans`` (removed word ranges) and ``kept`` (the other words joined by one space)."""
     C.bound_batches(docs.sparkSession)
     cols = docs.columns if carry is None else carry
-    body = F.col(C.sql_name(text)).cast("string")
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), body.alias("text"), F.xxhash64(F.col(C.sql_name(doc_id)), body).alias("uid"))
-    found = spans(df, uid="uid", text="text", window=window, width_bits=width_bits, shard_bits=shard_bits)
-    joined = df.join(found, "uid", "left").select("row", "text", "spans")
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, run in C.batches_of(it):
-            n, kept = [], []
-            for t, gone in zip(run, batch.column("spans").to_pylist(), strict=True):
-                words = t.split()
-                n.append(len(words))
-                for s in reversed(gone or []):
-                    del words[s["start"] : s["end"]]
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), batch.column("spans"), pa.array(kept, pa.string())], ["row", "n_words", "spans", "kept"])
-
-    schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), joined.schema["spans"], T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(C.lean(cut), schema)
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), F.col(C.sql_name(text)).cast("string").alias("text"))
+    blocks, number, size = X.blocks(df, "substring-blocks")
+    sketch_shards, exact_shards = max(1, -(-size // sketch_bytes)), max(1, -(-size // exact_bytes))
+    sketch = X.Exchange(["+u8", "u1", "u8", "+u4"], sketch_shards, lambda c: _share(c[0], sketch_shards), fan)
+    exact = X.Exchange(["u8", "u8", "u1", "u8", "+u4"], exact_shards, lambda c: _share(c[0], exact_shards), fan)
+    flagged, covered = X.Answers(["+u4"], number, fan), X.Answers(["+u4", "u4"], number, fan)
+
+    def sketches(it):
+        for batch in it:
+            for block, texts, lengths in zip(*(batch.column(c) for c in ("block", "texts", "lengths")), strict=True):
+                found, twice = _anchors(X.texts_of(texts.as_py(), lengths.as_py()), window)
+                yield sketch.cut([found, twice, np.full(len(found), block.as_py(), np.uint64), np.arange(len(found))])
+
+    def merged(table: pa.Table) -> pa.Table:
+        h, twice, block, index = sketch.gather(table)
+        back = estimate(h, twice, width_bits) & (twice == 0)  # what a block has twice it knows
+        return pa.Table.from_batches([flagged.exchange.cut([block[back], index[back]])])
+
+    def windows(block: dict, answers: list[np.ndarray]) -> list[pa.RecordBatch]:
+        texts = X.texts_of(block["texts"][0].as_py(), block["lengths"][0].as_py())
+        found, repeated = _anchors(texts, window)
+        repeated[answers[0]] = True
+        digests, pos = _block_windows(texts, window, found, repeated)
+        order, new, group = _group(digests[:, 0], digests[:, 1])
+        digests, pos = digests[order], pos[order]
+        many = np.bincount(group)[group] > 1 if len(group) else new
+        known = np.sort(pos[many])
+        number = np.uint64(block["block"][0].as_py())
+        # 0: a window that the block has once; 2: told to its shard, without a place; 1: known, on its way back.
+        h = [np.concatenate([digests[~many, i], digests[many & new, i], np.full(len(known), C.mix(np.array([number]))[0] if i == 0 else 0, np.uint64)]) for i in (0, 1)]
+        kind = np.repeat([0, 2, 1], [int((~many).sum()), int((many & new).sum()), len(known)])
+        place = np.concatenate([pos[~many], np.zeros(int((many & new).sum()), np.int64), known])
+        order = np.lexsort((place, kind))
+        return [exact.cut([h[0][order], h[1][order], kind[order], np.full(len(kind), number), place[order]])]
+
+    def grouped(table: pa.Table) -> pa.Table:
+        h1, h2, kind, block, pos = exact.gather(table)
+        back = kind == 1
+        asked = np.flatnonzero(~back)
+        order, _, group = _group(h1[asked], h2[asked])
+        if len(asked):
+            many = (np.bincount(group) > 1) | (np.bincount(group, kind[asked][order]) > 0)
+            back[asked[order]] = many[group] & (kind[asked][order] == 0)
+        return pa.Table.from_batches([covered.exchange.cut(_runs(block[back], pos[back]))])
+
+    fields = [T.StructField("row", df.schema["row"].dataType), *T._parse_datatype_string("n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string").fields]
+
+    def cut(block: dict, answers: list[np.ndarray]) -> list[pa.RecordBatch]:
+        texts = X.texts_of(block["texts"][0].as_py(), block["lengths"][0].as_py())
+        rows = block["rows"].flatten()
+        first, n = answers[0].astype(np.int64), answers[1].astype(np.int64)
+        counts, spans, kept, before = [], [], [], 0
+        order = np.argsort(first)
+        first, end = first[order], (first + n + window - 1)[order]
+        for t in texts:
+            words = t.split()
+            lo, hi = np.searchsorted(end, before, "right"), np.searchsorted(first, before + len(words))
+            gone = []
+            for a, b in zip((first[lo:hi] - before).clip(0).tolist(), (end[lo:hi] - before).clip(None, len(words)).tolist(), strict=True):
+                if gone and a <= gone[-1]["end"]:
+                    gone[-1]["end"] = max(b, gone[-1]["end"])
+                else:
+                    gone.append({"start": a, "end": b})
+            before += len(words)
+            counts.append(len(words))
+            spans.append(gone)
+            for s in reversed(gone):
+                del words[s["start"] : s["end"]]
+            kept.append(b" ".join(words).decode())
+        lists = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        return [pa.RecordBatch.from_arrays([rows, pa.array(counts, pa.int64()), lists, pa.array(kept, pa.string())], ["row", "n_words", "spans", "kept"])]
+
+    needed = ["block", "texts", "lengths"]
+    told = sketch.deliver(blocks.select(needed).mapInArrow(C.lean(sketches), X.ROWS)).groupBy("bucket").applyInArrow(merged, X.ROWS)
+    asked = exact.deliver(flagged.meet(blocks, told, windows, X.ROWS, needed))
+    return covered.meet(blocks, asked.groupBy("bucket").applyInArrow(grouped, X.ROWS), cut, T.StructType(fields), ["rows", *needed])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"])
-    removed = F.expr("aggregate(coalesce(spans, array()), 0L, (a, s) -> a + s.end - s.start)")
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
     return out.select("row.doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -39,7 +39,7 @@ THRESHOLD = 0.7
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature) of a run of texts, repeats included."""
     w = C.Words([t.translate(C.ALNUM) for t in texts])
-    h = w.hashes(31)
+    h = w.hashes()
     docs, out = [w.doc], [C.mix(h.copy(), 1)]
     for gap in (1, 2):
         if len(h) > gap:

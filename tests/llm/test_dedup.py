@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from corpusloom.llm import exact_dedup, exchange, line_dedup, near_dedup, substring_dedup
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 50000])
@@ -113,10 +113,14 @@ def _substring(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,width,flush", [(4, 12, 1 << 19), (5, 8, 50), (2, 6, 7), (1, 10, 30)])
-def test_substring_equals_brute_force(spark, make, monkeypatch, window, width, flush):
-    """Also with a full sketch, tiny blocks and periodic texts."""
-    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+def _runs_of(out):
+    return sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["kept"]) for r in out.select("row.doc_id", "n_words", "spans", "kept").collect())
+
+
+@pytest.mark.parametrize("window,width,size,fan", [(4, 12, 1 << 20, None), (5, 8, 200, 3), (2, 6, 50, 2), (1, 10, 90, 4)])
+def test_substring_equals_brute_force(spark, make, monkeypatch, window, width, size, fan):
+    """Also with a full sketch, tiny blocks, many shards over several levels, and periodic texts."""
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", size)
     rng = random.Random(window)
     passages = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 15))) for _ in range(6)]
     rows = []
@@ -124,9 +128,53 @@ def test_substring_equals_brute_force(spark, make, monkeypatch, window, width, f
         t = " ".join(rng.choice(passages) if rng.random() < 0.3 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(4)) for _ in range(rng.randint(0, 6)))
         rows.append((i, t))
     rows += [(60, "x y " * 20), (61, "p q r s t " * 3), (62, None), (63, ""), (64, "k"), (64, "k")]
-    out = substring_dedup.remove_repeated(make(rows), window=window, width_bits=width, shard_bits=min(width, 5))
-    got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"] or []), r["kept"]) for r in out.select("row.doc_id", "n_words", "spans", "kept").collect())
-    assert got == sorted((i, *x) for (i, _), x in zip(rows, _substring(rows, window), strict=True))
+    out = substring_dedup.remove_repeated(make(rows), window=window, width_bits=width, sketch_bytes=max(size, 300), exact_bytes=size, fan=fan)
+    assert _runs_of(out) == sorted((i, *x) for (i, _), x in zip(rows, _substring(rows, window), strict=True))
+
+
+def thue_morse(n):
+    """Two strings of n letters that collide under every polynomial hash modulo a power of two (n from 1024)."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_substring_keeps_windows_with_colliding_words(spark, make, n):
+    x, y = thue_morse(n)
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{y} {same}")]
+    assert [r[2] for r in _runs_of(substring_dedup.remove_repeated(make(rows)))] == [0, 0, 0]
+
+
+def test_sketch_share_does_not_grow_with_the_input():
+    """Unique anchors that pass, in a shard of the size that the production parameters give it."""
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        h = rng.integers(0, 1 << 64, 500_000, dtype=np.uint64)
+        assert substring_dedup.estimate(h, np.zeros(len(h), np.uint8), substring_dedup.WIDTH_BITS).mean() < 0.05
+    assert substring_dedup.estimate(np.repeat(h[:1000], 2), np.zeros(2000, np.uint8), 22).all()
+
+
+def test_exchange_rows_grow_with_entries_not_with_senders_times_targets(spark):
+    """Twice the blocks and twice the targets: about twice the rows."""
+    import pyarrow as pa
+
+    def rows(senders, targets):
+        x = exchange.Exchange(["u8", "+u4"], targets, lambda c: c[0] % np.uint64(targets), 8)
+
+        def send(it):
+            for batch in it:
+                for i in batch.column("id").to_pylist():
+                    yield x.cut([np.random.default_rng(i).integers(0, 1 << 60, 1000, dtype=np.uint64), np.arange(1000)])
+
+        first = spark.range(senders, numPartitions=4).mapInArrow(send, exchange.ROWS)
+        end = x.deliver(first)
+        got = end.groupBy("bucket").applyInArrow(lambda t: pa.table({"n": [len(x.gather(t)[0])], "wrong": [int((x.gather(t)[0] % np.uint64(targets) != t.column("bucket")[0].as_py()).sum())]}), "n bigint, wrong bigint").toPandas()
+        assert got["n"].sum() == senders * 1000 and got["wrong"].sum() == 0 and len(got) == targets
+        return first.count(), end.count()
+
+    small, large = rows(20, 60), rows(80, 240)
+    assert large[0] <= 4 * small[0] * 1.1 and large[1] <= 16 * small[1] / 3
 
 
 @pytest.mark.parametrize("n", range(41))
@@ -139,8 +187,8 @@ def test_windows_of_a_short_text_alone(n):
 @pytest.mark.parametrize("n", [3, 5, 6, 7])
 def test_substring_of_a_short_text_alone(spark, make, n):
     text = " ".join(f"w{i}" for i in range(n))
-    out = substring_dedup.remove_repeated(make([(1, text)]), window=35, width_bits=10, shard_bits=8)
-    assert [(r["n_words"], r["spans"] or [], r["kept"]) for r in out.collect()] == [(n, [], text)]
+    out = substring_dedup.remove_repeated(make([(1, text)]), window=35, width_bits=10)
+    assert [(r["n_words"], r["spans"], r["kept"]) for r in out.collect()] == [(n, [], text)]
 
 
 def _lines(rows, window, mean):

@@ -30,7 +30,7 @@ def _toxic(spark, docs):
 OPERATORS = {
     "bpe": _encode,
     "decontaminate": lambda s, d: decontaminate.scan(d, _bench(s)),
-    "substring": lambda s, d: substring_dedup.remove_repeated(d, window=4, width_bits=10, shard_bits=8),
+    "substring": lambda s, d: substring_dedup.remove_repeated(d, window=4, width_bits=10),
     "toxicity": _toxic,
     "quality": lambda s, d: quality.score(d, _labels(s)),
     "license": lambda s, d: license_scan.scan(d),
@@ -68,7 +68,7 @@ def test_filters_keep_columns(spark, make, name):
 def test_exact_filter_keeps_one_row_of_each_text(spark, make):
     out = [(r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(make(EDGE)).collect()]
     assert len(out) == 7  # '', ' ', two spellings of the six words, the long, the Unicode and the short text
-    assert (4, EDGE[3][1]) in out and (1, None) in out or (2, "") in out
+    assert (4, EDGE[3][1]) in out and ((1, None) in out or (2, "") in out)
 
 
 def test_report_rows_for_all(spark, make):
