@@ -9,38 +9,46 @@ near-duplicate groups.
    permutation of the signature and offers rank + fraction there.  Offers only
    grow, so a document stops as soon as its worst place is below the next
    rank.  Levels are vectorised over all elements of a run of texts.
-2. Documents with equal sets are one class, named by a 128-bit digest of the
-   set; only classes go on, so copies never become pairs.
+2. Documents with equal words are one class, named by a keyed 128-bit BLAKE2
+   of them; only classes go on, so copies never become pairs.  Classes are
+   numbered, whatever type the ids have.
 3. Bands of the signature are bucket keys.  Each bucket names a hub, the member
    that meets most others over all its buckets, and every member is compared
-   with its hubs, on the full sets of both texts.
+   with its hubs, on the full sets of both texts.  A hub of many members is
+   dealt to several tasks.
 4. Two members x, y of a hub h that are still in different components are
-   compared only if they can be linked at all: the overlap of x and y is at
-   most ``min(|x & h|, |y & h|)`` plus the number of elements outside h that
-   they share.  Pairs that share such elements come from an equality join on
-   the elements, with a bound by their positions in sorted lists, the others
-   from the sizes alone, so a large group of near copies never becomes all its
-   pairs and no link is lost.
+   compared only if they can be linked at all: their overlap is at most
+   ``min(|x & h|, |y & h|)`` plus the number of elements outside h that they
+   share.  Either x and y both have a share ``threshold`` of their elements in
+   h; such pairs are joined by bands of set size.  Or they share elements
+   outside h, and then one of the first of either list, rarest in the star
+   first: the lists are cut there, elements that a single member has join
+   nothing, and places in the lists bound what is left.  A large group of near
+   copies so never becomes all its pairs and no link is lost.
 5. Links become components by alternating large-star and small-star steps.
 
 With the default 5 rows in 32 bands a pair at exactly 0.8 shares no bucket 3
-times in 10**6; at 0.85 once in 10**8.
+times in 10**6; at 0.85 once in 10**8.  Keys that may be hot (the members of a
+class, a hub or a component) are joined by :func:`common.join_by_count`.
 
 Edge cases: null, empty or wordless texts have no set, link with nothing and
 are their own component; a null doc_id cannot be named, so such a row links
-with nothing, has a null component and is kept; rows that share a doc_id are
-one document and so one component.  Copies and ties go to the smallest id.
+with nothing, has a null component and is kept; ids may be of any type that
+has an order.  Rows that share a doc_id are one document: each has its own set
+and size, the links of all of them count, and they are in one component.
+Copies and ties go to the smallest id.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
@@ -131,38 +139,63 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+_KEY = b"words of a document"
+
+
+def text_id(words: bytes) -> bytes:
+    """Name of a word sequence (lower-cased, joined by one space)."""
+    return hashlib.blake2b(words, digest_size=16, key=_KEY).digest()
+
+
 def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null without words), bands."""
+    """doc_id, n_shingles, text_id (null without words), bands."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in C.batches_of(it):
             doc, value = shingle_hashes(texts, shingle)
             count = np.bincount(doc, minlength=len(texts))
-            ends = np.concatenate([[0], np.cumsum(count)])
-            raw = value.tobytes()
-            ids = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            ids = [text_id(b" ".join(t.lower().split())) if n else None for t, n in zip(texts, count.tolist(), strict=True)]
             keys = band_keys(superminhash(doc, value, len(texts), rows * bands), rows, bands)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(ids, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(ids, pa.binary()), lists], ["doc_id", "n_shingles", "text_id", "bands"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_id binary, bands array<bigint>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, text_id binary, bands array<bigint>"
     return docs.select("doc_id", "text").mapInArrow(C.lean(run), schema)
 
 
 _OVERLAP = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, extra array<bigint>"
+#: Members of a hub that one task compares with it.
+TOGETHER = 256
+
+
+def node_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text: the text of one row of each of ``nodes``."""
+    wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "text_id")
+    wanted = C.stage(wanted, "near-wanted")
+    hits = keep_named(docs.where(F.col("doc_id").isNotNull()), "doc_id", wanted.select("doc_id").distinct(), "near-named")
+
+    def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in C.batches_of(it):
+            ids = pa.array([text_id(b" ".join(t.lower().split())) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, batch.column("text")], ["doc_id", "text_id", "text"])
+
+    named = hits.select("doc_id", "text").mapInArrow(C.lean(name), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id binary, text string")
+    return named.join(wanted, ["doc_id", "text_id"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int, detail: bool) -> DataFrame:
+def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, detail: bool) -> DataFrame:
     """Exact set sizes and overlap of pairs (a, b); with ``detail`` also hashes of the elements of b outside a.
 
-    Texts of the named documents are picked first, so that only they are
-    shuffled again; rows arrive sorted by ``a``, whose set is kept meanwhile.
+    Texts of the named classes are picked first, so that only they are
+    shuffled.  ``a`` is the side that repeats: its text goes to one task for
+    every ``TOGETHER`` of its pairs.
     """
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    hits = keep_named(docs.where(F.col("doc_id").isNotNull()), "doc_id", named, "near-named")
-    texts = C.stage(hits.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    texts = C.stage(node_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs), "near-texts")
+    sizes = C.stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+    parts = F.ceil(F.col("n") / F.lit(TOGETHER)).cast("bigint")
+    a = texts.withColumnsRenamed({"node": "a", "text": "text_a"}).join(sizes, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("n")
+    dealt = C.join_by_count(pairs.select("a", "b"), sizes, "a", pairs.count(), "inner").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    b = texts.withColumnsRenamed({"node": "b", "text": "text_b"})
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -176,7 +209,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int, detail: bool) -> D
                 extras.append([xxhash.xxh64_intdigest(e) - (1 << 63) for e in other - held] if detail else [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array(extras, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "both", "extra"])
 
-    joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    joined = dealt.join(b, "b").join(a, ["a", "part"]).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(C.lean(check), _OVERLAP)
 
 
@@ -186,20 +219,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round is written to the shared folder; it ends when a round changes
     nothing.  Stars are minima per node, combined before the shuffle.
     """
-    spark = edges.sparkSession
     now = C.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    mark = None
+    size, mark = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = C.join_by_count(both.where("v > u"), least, "u", 2 * size, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = C.stage(down.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-        found = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).head()
-        if tuple(found) == mark:
+        found = tuple(after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).head())
+        if found == mark:
             break
-        mark, now = tuple(found), after
+        size, mark, now = found[0], found, after
     nodes = after.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.select(F.col("u").alias("node"), "component")
 
@@ -208,59 +240,81 @@ def _reaches(both: str, n: str, m: str, percent: int) -> str:
     return f"100 * ({both}) >= {percent} * ({n} + {m} - ({both}))"
 
 
+_OTHER = {"x": "y", "n": "m", "both": "kept", "need": "must", "c": "d"}
+
+
+def _apart(star: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(x, y): members of a star, in different components, that may be linked all the same."""
+    of = part.withColumnRenamed("node", "x").withColumnRenamed("component", "c")
+    hub = part.withColumnRenamed("node", "a").withColumnRenamed("component", "hub_c")
+    member = star.withColumnsRenamed({"b": "x", "n_b": "n"}).select("a", "x", "n", "both", "extra").join(of, "x", "left").join(hub, "a", "left")
+    # Elements outside the hub that x must share with any partner.
+    need = F.expr(f"({percent} * n + 99) div 100 - both").alias("need")
+    member = C.stage(member.select("a", "x", "n", "both", "extra", need, F.coalesce("c", "x").alias("c"), F.coalesce("hub_c", "a").alias("hub_c")).where("need <= size(extra)"), "near-members")
+    open_stars = member.where("c <> hub_c").select("a").distinct()
+    every = C.stage(member.join(open_stars, "a", "left_semi"), "near-open")
+    # Both mostly inside the hub: pairs of like sizes.
+    width = max(math.log(100 / percent), 1e-3) * (1 + 1e-9)
+    inside = every.where("need <= 0").drop("extra").withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    near = inside.drop("hub_c").withColumnsRenamed(_OTHER).withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    sized = inside.where("c <> hub_c").join(near, ["a", "band"]).where(F.expr(f"c <> d AND {_reaches('least(both, kept)', 'n', 'm', percent)}")).select("x", "y")
+    # Or sharing elements outside it: those that two members have at least, the rarest of the star first.
+    listed = C.stage(every.select("a", "x", "n", "both", "need", "c", "hub_c", F.explode("extra").alias("e")).withColumn("e", F.xxhash64("a", "e")), "near-outside")
+    often = C.stage(listed.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1").withColumnRenamed("n_e", "n"), "near-often")
+    placed = C.join_by_count(listed.withColumnRenamed("n", "size"), often, "e", listed.count(), "inner")
+    order = Window.partitionBy("a", "x").orderBy(F.desc("n"), F.desc("e"))
+    placed = C.stage(placed.withColumn("rest", F.row_number().over(order)).where("rest >= need").drop("n").withColumnRenamed("size", "n"), "near-places")
+    other = placed.drop("hub_c").withColumnsRenamed(_OTHER | {"rest": "left"})
+    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent)) - F.least("both", "kept")
+    through = placed.where("c <> hub_c").join(other, ["a", "e"]).where((F.col("c") != F.col("d")) & (F.least("rest", "left") >= needed)).select("x", "y")
+    return sized.union(through).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signature rows, class of each document, confirmed links between class representatives)."""
+    """(signature rows, classes with their number of rows, confirmed links between classes)."""
     base = C.stage(signatures(docs, shingle, rows, bands), "near-signatures")
-    named = base.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
-    reps = C.stage(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "near-classes")
-    buckets = reps.select("node", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = C.stage(buckets.join(sizes, "key"), "near-buckets")
+    named = base.where(F.col("doc_id").isNotNull() & F.col("text_id").isNotNull())
+    classes = named.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    classes = C.stage(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    buckets = classes.select("node", F.explode("bands").alias("key"))
+    sizes = C.stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-keys")
+    shared = C.stage(C.join_by_count(buckets, sizes, "key", bands * classes.count(), "inner").withColumnRenamed("n", "size"), "near-buckets")
     # The hub of a bucket: the member that meets most others over all buckets.
     met = shared.groupBy("node").agg(F.sum("size").alias("met"))
     ranked = C.stage(shared.join(met, "node").select("key", "node", "met"), "near-ranked")
-    top = ranked.groupBy("key").agg(F.max("met").alias("met"))
-    hubs = ranked.join(top, ["key", "met"]).groupBy("key").agg(F.min("node").alias("hub"))
-    stars = ranked.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = C.stage(overlaps(C.stage(stars, "near-stars"), docs, shingle, True), "near-overlaps")
-    first = star.where(_reaches("both", "n_a", "n_b", percent)).select("a", "b")
-    part = components(first, "near-round")
-    # Members of a star that may still be linked across components.
-    of = part.withColumnRenamed("node", "b").withColumnRenamed("component", "c")
-    hub_of = part.withColumnRenamed("node", "a").withColumnRenamed("component", "hub_c")
-    member = star.join(of, "b", "left").join(hub_of, "a", "left").select("a", F.col("b").alias("x"), F.col("n_b").alias("n"), "both", "extra", F.coalesce("c", "b").alias("c"), F.coalesce("hub_c", "a").alias("hub_c"))
-    member = C.stage(member, "near-members")
-    open_stars = member.where("c <> hub_c").select("a").distinct()
-    every = C.stage(member.join(open_stars, "a", "left_semi").drop("hub_c"), "near-open")
-    outside = member.where("c <> hub_c").drop("hub_c")
-    right = {"x": "y", "n": "m", "both": "kept", "extra": "more", "c": "d"}
-    other = every.withColumnsRenamed(right)
-    least = "least(both, kept)"
-    sized = outside.drop("extra").join(other.drop("more"), "a").where(F.expr(f"c <> d AND {_reaches(least, 'n', 'm', percent)}")).select("x", "y")
-    # At the first element they share, in the order of hashes, what is left of either list bounds all they share.
-    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent)) - F.expr(least)
-    listed = lambda df, c, i, size: df.select("*", F.size(c).alias(size), F.posexplode(F.array_sort(c)).alias(i, "e")).drop(c)
-    through = listed(outside, "extra", "i", "n_x").join(listed(other, "more", "j", "n_y"), ["a", "e"])
-    alike = through.where((F.col("c") != F.col("d")) & (F.least(F.col("n_x") - F.col("i"), F.col("n_y") - F.col("j")) >= needed)).select("x", "y")
-    rest = C.stage(sized.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-rest")
-    second = C.stage(overlaps(rest, docs, shingle, False), "near-second").where(_reaches("both", "n_a", "n_b", percent)).select("a", "b")
+    hubs = ranked.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("less"), "node")).alias("hub"), F.count(F.lit(1)).alias("n")).select("key", F.col("hub.node").alias("hub"), "n")
+    stars = C.join_by_count(ranked, hubs, "key", ranked.count(), "inner").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = C.stage(overlaps(C.stage(stars, "near-stars"), classes, docs, shingle, True), "near-overlaps")
+    part = components(star.where(_reaches("both", "n_a", "n_b", percent)).select("a", "b"), "near-round")
+    rest = C.stage(_apart(star, part, percent), "near-rest")
+    second = C.stage(overlaps(rest, classes, docs, shingle, False), "near-second").where(_reaches("both", "n_a", "n_b", percent)).select("a", "b")
     found = part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second)
-    return base, named.select("set_id", "doc_id").join(reps.select("set_id", "node"), "set_id"), found
+    return base, classes.drop("bands"), found.unionByName(_same_document(named, classes))
+
+
+def _same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id."""
+    ids = named.groupBy("doc_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    ids = C.stage(ids.select("doc_id", "lo", "n"), "near-ids")
+    total = ids.agg(F.sum("n")).head()[0] or 0
+    if not total:
+        return classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = C.join_by_count(named.select("doc_id", "text_id"), ids, "doc_id", total, "inner").select("lo", "text_id").distinct()
+    lo = classes.select(F.col("text_id").alias("lo"), F.col("node").alias("a"))
+    return rows.join(lo, "lo").join(classes.select("text_id", F.col("node").alias("b")), "text_id").where("a <> b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     C.bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(C.sql_name(doc_id)).cast("bigint").alias("doc_id"), F.col(C.sql_name(text)).cast("string").alias("text"))
+    docs = docs.select(F.col(C.sql_name(doc_id)).alias("doc_id"), F.col(C.sql_name(text)).cast("string").alias("text"))
     base, classes, found = links(docs, shingle, percent, rows, bands)
-    # Rows that share an id but not a text are one document.
-    same = classes.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    own = classes.select("doc_id", "node").where("doc_id = node").select("doc_id").distinct()
-    twice = same.where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(same.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
-    final = components(found.union(twice), "near-components")
-    names = classes.select("set_id", "node").distinct().join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = base.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    part = components(found, "near-components")
+    member = C.stage(classes.select("node", "doc_id", "text_id", F.col("n").alias("rows")).join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
+    least = C.stage(member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-least")
+    names = C.join_by_count(member, least, "component", member.count()).select("text_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rows").alias("n"))
+    out = C.join_by_count(base.select("doc_id", "n_shingles", "text_id"), C.stage(names, "near-names"), "text_id", base.count())
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -94,6 +94,74 @@ def test_near_components_equal_brute_force(spark, make, seed, k):
     assert got == _components(rows, k, 80)
 
 
+def _merged(rows, k):
+    """Components of rows that may share ids, each row with its own set."""
+    parts = _components([(n, t) for n, (_, t) in enumerate(rows)], k, 80)
+    parent = {n: parts[n][1] for n in parts}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    first = {}
+    for n, (i, _) in enumerate(rows):
+        a, b = find(first.setdefault(i, n)), find(n)
+        parent[max(a, b)] = min(a, b)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[find(n)] = min(least.get(find(n), i), i)
+    return sorted((i, parts[n][0], least[find(n)]) for n, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_near_components_of_repeated_ids(spark, make, text_ids):
+    """Rows that share an id keep the links of all their texts; ids may be strings."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(5, a), (5, b), (7, b + " end"), (9, a + " end"), (11, "x y z"), (11, "x y z")]
+    rows += [(20 + i % 7, t) for i, t in _near_rows(4)[:90] if t]
+    docs = make(rows)
+    if text_ids:
+        rows = [(f"id{i}", t) for i, t in rows]
+        docs = docs.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    got = near_dedup.near_duplicates(docs, shingle=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == _merged(rows, 2)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_near_tells_colliding_words_apart(spark, make, n):
+    x, y = thue_morse(n)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(make([(1, x), (2, y), (3, f"{x} {y}")])).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3)}
+
+
+@pytest.mark.parametrize("together", [near_dedup.TOGETHER, 3])
+def test_near_members_apart_from_their_hub(spark, make, monkeypatch, together):
+    """Excerpts of one long text, shifted, with own and shared additions: linked with each other, not with it."""
+    monkeypatch.setattr(near_dedup, "TOGETHER", together)
+    rng = random.Random(8)
+    whole = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(whole))]
+    for i in range(1, 60):
+        start = rng.choice([0, 10, 60, 65])
+        part = whole[start : start + rng.randint(110, 140)] + [f"s{rng.randrange(3)}x{k}" for k in range(rng.randint(0, 25))]
+        rows.append((i, " ".join(part)))
+    for k in (2, 5):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(make(rows), shingle=k, rows=2, bands=20).collect()}
+        assert got == _components(rows, k, 80)
+
+
+def test_join_by_count_is_the_join(spark):
+    from corpusloom.llm import common
+
+    rows = spark.createDataFrame([(i % 50 if i % 3 else 1, i) for i in range(3000)] + [(None, -1), (99, -2)], "k bigint, i bigint")
+    table = rows.where("k IS NOT NULL AND k <> 99").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("left", "inner"):
+        got = common.join_by_count(rows, table, "k", 3002, how).collect()
+        assert sorted(map(str, got)) == sorted(map(str, rows.join(table, "k", how).collect()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in near_dedup.components(edges).collect()}
