@@ -24,8 +24,10 @@ library does; repeated rows are encoded each; other columns are carried.
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
+import os
 import re
 import unicodedata
 import uuid
@@ -55,8 +57,6 @@ LONG_WORD = 64
 #: Text encoded at a time: the more, the more new words share a step.
 RUN_BYTES = 1 << 20
 
-_NEVER = 1 << 60
-
 # Contractions and white space of the vocabulary's word pattern.
 _CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -127,6 +127,8 @@ class Vocabulary:
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.control.items()}
         self.blob, self.library, self.table = blob, None, None
         self.control_split = re.compile("(" + "|".join(map(re.escape, self.control)) + ")") if self.control else None
+        #: What every control string begins with; texts without it hold none.
+        self.control_start = os.path.commonprefix(list(self.control))
 
     def split_other(self, piece: str) -> list[str]:
         """Words of a piece as the library's normaliser and splitter give them."""
@@ -136,24 +138,33 @@ class Vocabulary:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def merge(self, word: str) -> list[int]:
-        """Token ids of one word: the merge of lowest rank first, leftmost first."""
+        """Token ids of one word: the merge of lowest rank first, leftmost first.
+
+        A heap of (rank, place) over linked neighbours, so that a word of any
+        length takes n log n steps; entries that a merge made stale are skipped.
+        """
         raw = word.encode()
         inner, get, made = self.inner, self.ranks.get, self.made
         ids = [inner[b] for b in raw]
         ids[-1] = self.final[raw[-1]]
-        ranks = [get(pair, _NEVER) for pair in pairwise(ids)]
-        while ranks:
-            rank = min(ranks)
-            if rank == _NEVER:
-                break
-            i = ranks.index(rank)
-            ids[i] = made[rank]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), _NEVER)
-        return ids
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i) for i, pair in enumerate(pairwise(ids)) if (rank := get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or ids[i] < 0 or get((ids[i], ids[j])) != rank:
+                continue
+            ids[i], ids[j] = made[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (rank := get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (rank, i))
+            if (h := before[i]) >= 0 and (rank := get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (rank, h))
+        return [x for x in ids if x >= 0]
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode gives where the file names no decoder: tokens joined by one space."""
@@ -367,7 +378,7 @@ class Codec:
         v = self.vocabulary
         words, ends = [], [0]
         for text in texts:
-            for part in v.control_split.split(text) if v.control and "<" in text else (text,):
+            for part in v.control_split.split(text) if v.control and v.control_start in text else (text,):
                 if part in v.control:
                     words.append(part)
                 else:
@@ -510,6 +521,11 @@ def joined_ids(ids: str = "ids"):
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents.
+
+    Pieces with characters beyond Latin-1 are normalised and split by the
+    library; merges are the engine's own everywhere.
+    """
     vocabulary = load_vocabulary(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = encode(docs, vocabulary, carry=["doc_id"], decoded=True)

@@ -34,6 +34,25 @@ def test_control_strings_long_words_and_sigma():
         assert ids.tolist() == sum(_expected(texts), [])
 
 
+def test_long_words_merge_in_linear_steps():
+    """A megabyte without a space, of repeated and of random letters, within seconds and as the library does."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    words = ["ab" * (1 << 19), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))]
+    for word in words:
+        began = time.time()
+        got = VOCABULARY.merge(word)
+        assert time.time() - began < 60 and got == _expected([word])[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcetinhor", min_size=1, max_size=120))
+def test_merges_like_the_library(word):
+    assert VOCABULARY.merge(word) == _expected([word])[0]
+
+
 def test_transducer_shares_suffixes_and_finds_only_its_words():
     import numpy as np
 
