@@ -21,8 +21,10 @@ input other than the two named ones are carried in ``row`` untouched.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,62 +33,106 @@ from pyspark.sql import types as T
 from corpusloom.llm import common as C
 
 WINDOW = 13
+#: Text of the benchmark in one table; with it a worker holds some 25 times that at most.
+BLOCK_BYTES = 16 << 20
 _TABLES: dict[str, WuManber] = {}
 
 
+_ODD, _BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
 class _Table:
-    """Patterns of one length ``m`` with blocks of ``b`` words."""
+    """Patterns of one length ``m``: the windows of some items, in flat arrays.
+
+    The words of the items stand in one buffer; a pattern is the number of its
+    first word.  ``shift`` is indexed by the hash of a block of ``b`` words and
+    holds the least shift of the blocks that fall there.  Patterns are sorted by
+    a hash of their last block and first word; equal ones are one entry with
+    several owners.  All hashes are those of this process.
+    """
 
-    def __init__(self, m: int, patterns: dict[tuple, set]):
+    def __init__(self, m: int, items: list[tuple[int, list[bytes]]]):
         self.m, self.b = m, min(2, m)
         self.default = m - self.b + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list]] = {}
-        for words, items in patterns.items():
-            for end in range(self.b, m + 1):
-                key = b" ".join(words[end - self.b : end])
-                self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            key = b" ".join(words[m - self.b :])
-            self.buckets.setdefault(key, {}).setdefault(words[0], []).append((list(words), items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """(start, items) of every occurrence, by rising start."""
+        total = sum(len(w) for _, w in items)
+        self.mask = (1 << max(10, (8 * total).bit_length())) - 1
+        self.shift = np.full(self.mask + 1, self.default, np.uint8 if self.default < 256 else np.uint16)
+        joined, ends, at, starts, owners, keys = [], np.empty(total, np.int64), 0, [], [], []
+        size = 0
+        for owner, words in items:
+            n = len(words)
+            joined.append(b" ".join(words))
+            ends[at : at + n] = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) + size - 1
+            size += len(joined[-1]) + 1
+            blocks = words if self.b == 1 else [x + b" " + y for x, y in pairwise(words)]
+            h = np.fromiter(map(hash, blocks), np.int64, len(blocks))
+            # A block that ends at word e of an item is e+1-m words into some window, or short of the first.
+            least = np.maximum(m - self.b - np.arange(len(h)), 0).astype(self.shift.dtype)
+            np.minimum.at(self.shift, h & self.mask, least)
+            first = np.fromiter(map(hash, words[: n - m + 1]), np.int64, n - m + 1)
+            keys.append(h[m - self.b :].view(np.uint64) ^ first.view(np.uint64) * np.uint64(_ODD))
+            starts.append(np.arange(at, at + n - m + 1, dtype=np.int32))
+            owners.append(np.full(n - m + 1, owner, np.int32))
+            at += n
+        self.text, self.ends = b" ".join(joined), ends
+        key, start, owner = (np.concatenate(x) for x in (keys, starts, owners))
+        del joined, keys, starts, owners
+        order = np.argsort(key, kind="stable")
+        key, start, owner = key[order], start[order], owner[order]
+        # Equal keys hold equal patterns but for collisions: those are told apart by their words.
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
+        same = np.zeros(len(key), bool)
+        for i in again.tolist():
+            same[i] = self.pattern(start[i]) == self.pattern(start[i - 1])
+        self.key, self.start = key[~same], start[~same]
+        self.owners, self.at = owner, np.append(np.flatnonzero(~same), len(key)).astype(np.int32)
+
+    def pattern(self, start: int) -> bytes:
+        begin = int(self.ends[start - 1]) + 1 if start else 0
+        return self.text[begin : int(self.ends[start + self.m - 1])]
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """(start, owners) of every occurrence, by rising start."""
         m, n, end = self.m, len(words), self.m - 1
-        shift, buckets, default, two = self.shift.get, self.buckets, self.default, self.b == 2
+        shift, mask, two = memoryview(self.shift), self.mask, self.b == 2
         while end < n:
-            key = words[end - 1] + b" " + words[end] if two else words[end]
-            skip = shift(key, default)
+            block = hash(words[end - 1] + b" " + words[end] if two else words[end])
+            skip = shift[block & mask]
             if skip:
                 end += skip
                 continue
             start = end - m + 1
-            for pattern, items in buckets[key].get(words[start], ()):
-                if words[start : end + 1] == pattern:
-                    yield start, items
+            key = (block & _BITS) ^ (hash(words[start]) * _ODD & _BITS)
+            i = int(np.searchsorted(self.key, np.uint64(key)))
+            text = None
+            while i < len(self.key) and int(self.key[i]) == key:
+                text = text or b" ".join(words[start : end + 1])
+                if self.pattern(int(self.start[i])) == text:
+                    yield start, self.owners[self.at[i] : self.at[i + 1]].tolist()
+                i += 1
             end += 1
 
 
 class WuManber:
     """``items``: (item id as string or None, lower-cased words) pairs."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item, words in items:
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                names = by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set())
-                if item is not None:
-                    names.add(item)
-        self.tables = [_Table(m, p) for m, p in sorted(by_length.items())]
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        by_length: dict[int, list[tuple[int, list[bytes]]]] = {}
+        self.names: list[str | None] = []
+        for name, words in items:
+            if words:
+                by_length.setdefault(min(window, len(words)), []).append((len(self.names), words))
+                self.names.append(name)
+        self.tables = [_Table(m, by_length.pop(m)) for m in sorted(by_length)]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged word spans [start, end) inside occurrences, and the items."""
         found, items = [], set()
         for table in self.tables:
-            for start, names in table.search(words):
+            for start, owners in table.search(words):
                 found.append((start, start + table.m))
-                items |= names
-        return merge(found), items
+                items.update(owners)
+        return merge(found), {self.names[i] for i in items} - {None}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +149,7 @@ RESULT = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items ar
 _ARROW = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.string())}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: list[str] | None = None, block_bytes: int = 32 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: ``row`` (the carried columns), ``n_words``, ``spans``, ``items``."""
     spark = docs.sparkSession
     C.bound_batches(spark)
@@ -127,7 +173,7 @@ def _scanner(table, window: int, key: str, last: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _TABLES:
             _TABLES.clear()
-            _TABLES[key] = WuManber([(i, C.alnum_words(t.encode())) for i, t in table.value], window)
+            _TABLES[key] = WuManber(((i, C.alnum_words(t.encode())) for i, t in table.value), window)
         search = _TABLES[key]
         for batch, texts in C.batches_of(it):
             n, spans, names = [], [], []
