@@ -145,6 +145,108 @@ TEXTS = [
     ("ogl-uk-3.0", 15, 0.9, "open government licen", r"open government licen[sc]e(?: v(?:ersion)? ?3(?: 0)?)?"),
     ("etalab-2.0", 15, 0.9, "etalab", r"(?:licence ouverte )?etalab(?: 2 0)?"),
     ("cdla-permissive", 15, 0.9, "cdla", r"cdla permissive(?: (?:1|2) 0)?"),
+    ("mit", 7, 0.9, "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 9, 0.8, "the software is provided", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit-0", 4, 0.9, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software .{1,200}? without restriction .{1,200}? to whom the software is furnished to do so the software is provided"),
+    ("bsd-2-clause", 7, 0.9, "redistributions of source code", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", 7, 0.9, "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-4-clause", 5, 1.0, "all advertising materials", r"all advertising materials mentioning features or use of this software must display .{1,200}? acknowledge?ment (?:this product includes software developed by|.{0,40}copyright)"),
+    ("bsd-source-code", 8, 0.7, "retain the above copyright", r"must retain the above copyright notice"),
+    ("hpnd", 6, 0.9, "permission to use copy modify", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted"),
+    ("ntp", 6, 0.9, "permission to use copy modify", r"permission to use copy modify and distribute this software .{1,80}? for any purpose with(?:out)? (?:or without )?fee is hereby granted provided that"),
+    ("apache-2.0", 6, 0.95, "apache license", r"licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", 8, 0.8, "unless required by applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", 8, 0.8, "contributor license agreements", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("agpl", 5, 1.0, "free software you can redistribute", r"(?:it|this program) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", 6, 0.9, "received a copy of the gnu general", r"you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", 6, 0.9, "received a copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public license along with this (?:library|program)"),
+    ("agpl", 6, 0.9, "received a copy of the gnu affero", r"you should have received a copy of the gnu affero general public license along with this program"),
+    ("gpl", 9, 0.8, "fitness for a particular purpose", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser |affero )?general public license"),
+    ("gpl-classpath", 7, 0.9, "classpath exception", r"(?:gpl(?:v2| 2 0)? with (?:the )?classpath exception|subject to the classpath exception .{1,80}? license)"),
+    ("gpl-linking-exception", 7, 0.8, "special exception", r"as a special exception the copyright holders? .{0,40}gives? (?:you )?permission to link"),
+    ("gpl-only", 8, 0.8, "version", r"under the terms of (?:version [23] of the gnu general public license|the gnu general public license version [23]) only"),
+    ("gpl-2.0", 6, 0.95, "general public license", r"gnu general public license as published by the free software foundation version 2"),
+    ("gpl-2.0", 6, 0.95, "general public license", r"gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3.0", 6, 0.95, "general public license", r"gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", 6, 0.95, "lesser general public", r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3.0", 6, 0.95, "lesser general public", r"gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3.0", 6, 0.95, "affero general public", r"gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("gfdl", 6, 0.95, "free documentation license", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", 8, 0.7, "invariant sections", r"with no invariant sections .{0,80}(?:free documentation|license)"),
+    ("mpl-2.0", 7, 0.9, "mozilla org mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at .{0,30}mozilla org mpl 2 0 .{0,60}licen[sc]e"),
+    ("mpl-1.1", 5, 1.0, "mozilla public", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", 6, 0.95, "eclipse public", r"made available under the terms of the eclipse public license"),
+    ("cddl", 6, 0.95, "common development and distribution", r"subject to the terms of the common development and distribution license"),
+    ("cpal-1.0", 6, 0.95, "common public attribution", r"common public attribution license(?: version)? 1 0"),
+    ("ms-pl", 6, 0.9, "microsoft public", r"microsoft public license(?: ms pl)?"),
+    ("eupl", 6, 0.9, "eupl", r"licensed under the eupl(?: version)? 1 [12]"),
+    ("cecill", 6, 0.9, "cecill", r"governed by the cecill(?: b| c)? license"),
+    ("unlicense", 6, 0.95, "free to copy modify publish", r"anyone is free to copy modify publish use compile sell or distribute this software .{1,200}? for any purpose commercial or non commercial"),
+    ("public-domain", 12, 0.9, "public domain", r"(?:has been|is hereby|hereby) (?:placed|released|dedicated|put) (?:in|into|to) the public domain"),
+    ("public-domain", 12, 0.8, "copyright", r"(?:authors?|copyright holders?) disclaims? copyright"),
+    ("public-domain", 16, 0.8, "public domain", r"(?:authors?|copyright holders?) .{1,60}? public domain"),
+    ("cc0-1.0", 7, 0.95, "waived all copyright", r"waived all copyright and related or neighboring rights"),
+    ("cc-by", 16, 0.7, "creative commons", r"(?:licensed|available|released|distributed) under (?:a|the) creative commons licen[sc]e"),
+    ("cc-by-sa", 13, 0.9, "share alike", r"creative commons attribution share alike (?:licen[sc]e|[1-4] [05])"),
+    ("zlib", 6, 0.9, "origin of this software", r"the origin of this software must not be misrepresented you must not claim .{0,80}(?:altered source|warranty|copyright|commercial)?"),
+    ("zlib", 6, 0.9, "permission is granted to anyone", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("beerware", 6, 0.9, "beer in return", r"beer ware license .{1,300}? buy me a beer in return"),
+    ("wtfpl", 6, 0.9, "everyone is permitted", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("gpl", 8, 0.8, "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("openssl", 6, 0.9, "openssl project", r"this product includes software developed by the openssl project .{1,120}?redistribut(?:ion|ions|ed|e)"),
+    ("python-2.0", 6, 0.9, "python software foundation", r"python software foundation license(?: version 2)?"),
+    ("php-3.01", 6, 0.9, "php license", r"subject to version 3 01 of the php license"),
+    ("artistic", 7, 0.8, "artistic license", r"under the artistic license(?: 2 0)?"),
+    ("perl", 7, 0.8, "same terms as perl", r"under the same terms as perl(?: \d)?(?: itself)?"),
+    ("ofl-1.1", 6, 0.95, "sil open font", r"font software is licensed under the sil open font license"),
+    ("odbl", 6, 0.9, "open data commons", r"open data commons (?:open database licen[sc]e|attribution licen[sc]e|public domain dedication and licen[sc]e)"),
+    ("odbl-osm", 8, 0.8, "openstreetmap", r"copyright (?:c )?openstreetmap contributors"),
+    ("elastic-2.0", 7, 0.9, "elastic license", r"licensed under the elastic license(?: 2 0)?"),
+    ("sspl-1.0", 6, 0.9, "server side public", r"terms of the server side public license(?: version 1)?"),
+    ("busl-1.1", 6, 0.9, "business source", r"business source license 1 1 .{0,120}change date"),
+    ("commons-clause", 6, 0.9, "commons clause", r"commons clause license condition"),
+    ("anti-996", 8, 0.8, "anti 996", r"anti 996 license"),
+    ("hippocratic", 8, 0.8, "hippocratic", r"hippocratic license(?: version)?(?: \d \d)?"),
+    ("prosperity", 8, 0.8, "prosperity public", r"prosperity public license"),
+    ("parity", 8, 0.8, "parity public", r"parity public license"),
+    ("blueoak-1.0.0", 8, 0.9, "blue oak model", r"blue oak model license(?: 1 0 0)?"),
+    ("mulan-psl-2.0", 8, 0.9, "mulan", r"mulan permissive software license(?: v?2)?"),
+    ("openrail", 8, 0.9, "rail", r"(?:bigscience |creativeml )?(?:open )?rail(?: m)? licen[sc]e"),
+    ("openrail", 8, 0.9, "responsible ai", r"(?:open )?responsible ai licen[sc]e"),
+    ("gemma", 8, 0.8, "gemma", r"gemma (?:is provided under .{0,40})?terms of use"),
+    ("no-derivatives", 26, 0.7, "derivative works", r"no derivative works (?:are |is )?(?:permitted|allowed)(?: without .{0,40}permission)?"),
+    ("no-ai-training", 26, 0.8, "train", r"(?:may not be used|not licensed|no permission .{0,30}) (?:for|to) train(?:ing)? .{0,40}(?:ai|models?|machine learning).{0,60}(?:permission|licen[sc]e|copyright)"),
+    ("text-and-data-mining", 26, 0.8, "text and data mining", r"(?:all rights|rights) (?:are )?reserved including (?:those )?for text and data mining"),
+    ("text-and-data-mining", 25, 0.8, "text and data mining", r"text and data mining (?:is )?(?:prohibited|not permitted|reserved)(?: without .{0,30}permission)?"),
+    ("personal-use", 26, 0.7, "use only", r"for personal (?:and non commercial )?use only .{0,80}(?:copyright|licen[sc]e|permission|commercial)"),
+    ("educational-use", 26, 0.7, "educational", r"for educational (?:and research )?(?:use|purposes) only .{0,80}(?:copyright|licen[sc]e|permission|commercial)"),
+    ("research-only", 26, 0.7, "research", r"(?:for research purposes only|research only licen[sc]e|academic research licen[sc]e)"),
+    ("evaluation", 26, 0.7, "evaluation", r"evaluation licen[sc]e(?: agreement)?"),
+    ("trial", 26, 0.6, "trial", r"(?:free )?trial licen[sc]e"),
+    ("site-license", 26, 0.6, "site licen", r"site licen[sc]e"),
+    ("royalty-free", 27, 0.6, "royalty free", r"(?:worldwide |perpetual |non exclusive |irrevocable )*royalty free (?:copyright )?licen[sc]e"),
+    ("perpetual", 28, 0.6, "perpetual", r"perpetual (?:worldwide |non exclusive |no charge |irrevocable )+(?:copyright |patent )?licen[sc]e"),
+    ("patent-grant", 28, 0.6, "patent licen", r"(?:hereby )?grants? .{0,100}patent licen[sc]e"),
+    ("sublicense", 46, 0.4, "sublicens", r"(?:right to )?sublicens(?:e|ed|able|ing)"),
+    ("trademark", 46, 0.4, "trademark", r"(?:registered )?trademarks? .{0,60}(?:used under licen[sc]e|used with permission|all rights reserved)"),
+    ("confidential", 25, 0.7, "confidential", r"confidential and proprietary"),
+    ("trade-secret", 25, 0.8, "trade secret", r"(?:trade secrets? .{0,60}proprietary|proprietary .{0,60}trade secrets?)"),
+    ("liability", 45, 0.4, "liable", r"in no event shall the (?:authors?|copyright holders?|regents)(?: or (?:copyright holders?|contributors))? be liable .{0,200}?(?:copyright|warrant(?:y|ies)|licen[sc]e|software)"),
+    ("us-government", 27, 0.7, "government", r"(?:work of the (?:u s|united states) government|u s government works?) .{0,80}(?:public domain|copyright|licen[sc]e)"),
+    ("crown-copyright", 24, 0.8, "crown copyright", r"crown copyright"),
+    ("fair-use", 46, 0.4, "fair use", r"fair use .{0,60}copyright(?:ed)?"),
+    ("syndication", 27, 0.6, "redistributed", r"(?:this material|this content|this article) may not be published broadcast rewritten or redistributed"),
+    ("reproduction-reserved", 27, 0.7, "reproduced", r"no part of this (?:publication|book|work|document|site) may be reproduced .{0,160}?permission"),
+    ("quotation", 46, 0.4, "permission of the", r"(?:with|by) (?:the )?(?:kind )?permission of the (?:author|publisher|copyright holder|editor)s?"),
+    ("copyright-notice", 48, 0.5, "copyright", r"copyright (?:c )?(?:19|20)\d\d .{1,60}? all rights reserved"),
+    ("licensed-to", 59, 0.3, "licensed to", r"licensed to .{1,40}? by"),
+    ("licensor", 59, 0.3, "licensor", r"(?:the )?licensors?"),
+    ("license-terms", 59, 0.3, "licen", r"(?:licen[sc]e terms|terms of (?:the )?licen[sc]e|licen[sc]ing terms)"),
+    ("dual-license", 27, 0.7, "dual licen", r"dual licen[sc]ed?(?: under)?"),
+    ("open-source", 58, 0.3, "open source licen", r"(?:osi approved )?open source licen[sc]e"),
+    ("free-license", 58, 0.3, "free licen", r"(?:under a )?free licen[sc]e"),
+    ("permissive", 58, 0.3, "permissive", r"permissive (?:software |open source )?licen[sc]e"),
+    ("share-alike", 46, 0.5, "share alike", r"share alike (?:licen[sc]e|terms of use|terms of)"),
 ]
 
 

@@ -3,8 +3,8 @@
 1. Words are joined by single spaces, whatever stands between them.  A document
    is looked at closely only if a literal that every rule needs occurs in that;
    one ``contains`` per literal decides.
-2. Keywords found there pick the rules whose regexes run; all places of a regex
-   come from splitting at it.
+2. Keywords found there pick the rules whose regexes run; one pass of a regex
+   marks all its places.
 3. Detections are ordered by priority: one whose word interval lies within the
    interval of a stronger detection (lower priority number, then longer, then
    earlier rule) is suppressed.  Base phrases are counted before that, and
@@ -26,8 +26,11 @@ from corpusloom.llm import common as C
 from corpusloom.llm.license_rules import BASE, rules
 
 #: Literals of which each rule needs one; they gate the documents.
-GATES = ["licen", "copyright", "reserved", "creative commons", "gpl", "spdx", "warrant", "public domain", "copyleft", "permission", "redistribut", "proprietary", "unauthorized", "commercial", "merchantab", "terms of", "under ", "etalab", "cdla", "altered source", "neither the name", "later version", "obtaining"]
+GATES = ["licen", "copyright", "reserved", "creative commons", "gpl", "spdx", "warrant", "public domain", "copyleft", "permission", "redistribut", "proprietary", "unauthorized", "commercial", "merchantab", "terms of", "under ", "etalab", "cdla", "altered source", "neither the name", "later version", "obtaining", "derivative works", "data mining", "be liable", "advertising materials", "invariant sections", "misrepresented", "research purposes"]
 
+#: A character that no normalised text holds.
+_MARK = "\\u0001"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HIT = "array<struct<s:int,e:int,p:int,k:int,w:double,label:string,base:boolean>>"
 
 
@@ -49,8 +52,10 @@ def detections(norm: str) -> str:
     """SQL: all detections in ``norm``, words joined and surrounded by single spaces."""
     step = f"""named_struct('at', a.at + {_spaces('m.piece')} + coalesce({_spaces('m.found')}, 0),
         'hits', CASE WHEN m.found IS NULL THEN a.hits ELSE array_append(a.hits, named_struct('s', a.at + {_spaces('m.piece')} - 1, 'e', a.at + {_spaces('m.piece')} + {_spaces('m.found')}, 'p', r.p, 'k', r.k, 'w', r.w, 'label', r.label, 'base', r.base)) END)"""
-    places = f"""aggregate(zip_with(split({norm}, r.re, -1), regexp_extract_all({norm}, r.re, 0), (piece, found) -> named_struct('piece', piece, 'found', found)),
-        named_struct('at', 0, 'hits', CAST(array() AS {_HIT})), (a, m) -> {step}, a -> a.hits)"""
+    # One pass of the regex marks its places; pieces and places then take turns between the marks.
+    places = f"""transform(array(split(regexp_replace({norm}, r.re, '{_MARK}$0{_MARK}'), '{_MARK}', -1)), parts -> aggregate(
+        transform(sequence(0, int(size(parts) div 2)), i -> named_struct('piece', parts[2 * i], 'found', try_element_at(parts, 2 * i + 2))),
+        named_struct('at', 0, 'hits', CAST(array() AS {_HIT})), (a, m) -> {step}, a -> a.hits))[0]"""
     return f"flatten(transform(flatten(transform(filter({_table()}, g -> contains({norm}, g.kw)), g -> g.rules)), r -> {places}))"
 
 
@@ -69,7 +74,7 @@ def scan(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None)
     """``row``, ``n_words``, ``base`` (detections of base phrases) and ``found`` (detections that stay)."""
     cols = docs.columns if carry is None else carry
     body = F.coalesce(F.col(C.sql_name(text)).cast("string"), F.lit(""))
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), body.alias("text"), F.lower(body).alias("lower"))
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), body.alias("text"), F.translate(body, UPPER, UPPER.lower()).alias("lower"))
     words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("bigint")
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("lower", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
     df = df.select("row", words.alias("n_words"), norm.alias("norm"))
