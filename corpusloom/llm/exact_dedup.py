@@ -18,6 +18,11 @@ became one space; a 256-bit digest of that form names the text.
 Bucket count follows the snapshot's size, so a filter stays near half a
 megabyte however large the corpus is.
 
+:class:`Store` keeps snapshots between runs: a folder of immutable ones, each
+with its texts, to which :func:`dedup_batch` adds what a batch has anew.  A
+snapshot counts only once its mark is written, last; what a run that failed
+left behind is not read.
+
 Edge cases: null text counts as empty; empty texts are equal to each other; a
 null doc_id loses against any other id and stays only if its whole group has
 none (keep_id is then null); a repeated doc_id counts as often as it occurs.
@@ -26,6 +31,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -251,6 +257,80 @@ def repeated(rows: DataFrame, ids: DataFrame, limit: int = BROADCAST_KEYS) -> Da
     return C.stage(checked.where("n > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "n"), "exact-classes")
 
 
+class Store:
+    """Snapshots of earlier runs in a folder that all executors share.
+
+    Every snapshot is a folder of its own: ``rows`` (digest, norm, keep_id, n:
+    its distinct texts and who owns them), ``filters`` and, written last, a mark
+    with its number of buckets.
+    """
+
+    MARK = "_SNAPSHOT"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def snapshots(self) -> list[Snapshot]:
+        """Complete snapshots, oldest first."""
+        root = self._hadoop.Path(self.path)
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(root) if s.isDirectory()) if self._fs.exists(root) else []
+        return [self._open(f"{self.path}/{n}") for n in names if self._fs.exists(self._hadoop.Path(f"{self.path}/{n}/{self.MARK}"))]
+
+    def _open(self, folder: str) -> Snapshot:
+        mark = self._fs.open(self._hadoop.Path(f"{folder}/{self.MARK}"))
+        try:
+            buckets = mark.readInt()
+        finally:
+            mark.close()
+        return Snapshot(self.spark.read.parquet(f"{folder}/rows"), self.spark.read.parquet(f"{folder}/filters"), buckets)
+
+    def add(self, texts: DataFrame, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
+        """Write ``texts`` (digest, norm, keep_id, n) as the next snapshot."""
+        folder = f"{self.path}/{len(self.snapshots()):08d}-{uuid.uuid4().hex[:12]}"
+        texts.select("digest", "norm", "keep_id", "n").write.parquet(f"{folder}/rows")
+        rows = self.spark.read.parquet(f"{folder}/rows")
+        buckets = max(1, -(-rows.count() // bucket_keys))
+        filters = rows.select("digest").distinct().select(_bucket(buckets), _key().alias("key")).groupBy("bucket").applyInArrow(_build, "bucket int, filter binary")
+        filters.write.parquet(f"{folder}/filters")
+        mark = self._fs.create(self._hadoop.Path(f"{folder}/{self.MARK}"), False)
+        try:
+            mark.writeInt(buckets)
+        finally:
+            mark.close()
+        return self._open(folder)
+
+
+def dedup_batch(batch: DataFrame, store: Store, *, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = strong_digest, add: bool = True) -> DataFrame:
+    """Rows of a new batch against all snapshots: doc_id, keep_id, group_size, kept, text_sha256.
+
+    A text that a snapshot owns is dropped for its owner there; other texts are
+    grouped within the batch and, with ``add``, become the store's next
+    snapshot.  ``group_size`` counts the rows of the batch and those that the
+    owning snapshot had.
+    """
+    rows = _rows(batch, doc_id, text, digest)
+    texts = C.stage(rows.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "exact-texts")
+    owned = None
+    for snapshot in store.snapshots():
+        positive = screen(texts.select("digest").distinct(), snapshot)
+        older = snapshot.rows.join(positive, "digest", "left_semi").select("digest", "norm", F.col("keep_id").alias("owner"), F.col("n").alias("older"))
+        owned = older if owned is None else owned.unionByName(older)
+    if owned is None:
+        found = texts.select("*", F.lit(None).cast(texts.schema["keep_id"].dataType).alias("owner"), F.lit(None).cast("bigint").alias("older"))
+    else:
+        found = texts.join(owned.withColumn("owned", F.lit(True)), ["digest", "norm"], "left")
+    known = F.col("older").isNotNull()
+    found = C.stage(found.select("digest", "norm", "keep_id", "n", "owner", "older"), "exact-found")
+    if add:
+        store.add(found.where(~known))
+    classes = found.select(F.sha2("norm", 256).alias("text_sha256"), F.when(known, F.col("owner")).otherwise(F.col("keep_id")).alias("keep_id"), known.alias("owned"), (F.col("n") + F.coalesce("older", F.lit(0))).alias("group_size"), "n")
+    ids = C.stage(rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256")), "exact-ids")
+    out = C.join_by_count(ids, C.stage(classes, "exact-owners"), "text_sha256", ids.count(), "inner")
+    return out.select("doc_id", "keep_id", "group_size", (~F.col("owned") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
     rows = docs.select(F.col(C.sql_name(doc_id)).alias("doc_id"), normalised(F.col(C.sql_name(text))).alias("norm"))
     return rows.withColumn("digest", digest(F.col("norm")))
@@ -260,7 +340,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = _rows(docs, doc_id, text, digest)
     ids = C.stage(rows.select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256")), "exact-ids")
-    out = ids.join(repeated(rows, ids, limit), "text_sha256", "left")
+    out = C.join_by_count(ids, repeated(rows, ids, limit), "text_sha256", ids.count())
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
@@ -271,12 +351,14 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     ids = C.stage(rows.select("doc_id", "digest"), "exact-ids")
     found = repeated(rows, ids)
     # Ids of rows that may go: not the class's smallest id, or the same id and text again.
-    members = ids.join(found, ids["digest"] == found["text_sha256"]).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.min("keep_id").alias("keep_id"))
+    total = ids.count()
+    members = C.join_by_count(ids.withColumnRenamed("digest", "text_sha256"), found, "text_sha256", total, "inner").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"), F.min("keep_id").alias("keep_id"))
     suspects = members.where("doc_id IS NOT NULL AND (rows > 1 OR doc_id <> keep_id)").select("doc_id").distinct()
     nameless = docs.where(F.col(C.sql_name(doc_id)).isNull()).select(F.struct("*").alias("row"), F.lit(None).cast("string").alias("digest"))
     inside, outside = part_named(docs.where(F.col(C.sql_name(doc_id)).isNotNull()), doc_id, suspects, "exact-suspects")
     name, body = F.col(f"row.{C.sql_name(doc_id)}"), F.col(f"row.{C.sql_name(text)}")
-    doubtful = inside.unionByName(nameless).select("row", name.alias("id"), strong_digest(normalised(body)).alias("text_sha256")).join(found, "text_sha256", "left")
+    doubtful = inside.unionByName(nameless).select("row", name.alias("id"), strong_digest(normalised(body)).alias("text_sha256"))
+    doubtful = C.join_by_count(doubtful, found, "text_sha256", total)
     single = doubtful.where(F.col("n").isNull()).select("row")
     chosen = doubtful.where(F.col("n").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["text_sha256"]).select("row")
     return outside.select("row").unionByName(single).unionByName(chosen).select("row.*")
