@@ -2,20 +2,29 @@
 
 Lines are what newlines separate.  A rolling hash over the hashes of the last
 ``window`` lines decides after which lines a chunk ends, so equal runs of lines
-are cut alike wherever they stand.  A chunk of at least two lines whose text
-occurs more than once in all documents is removed everywhere but at its first
-place (smallest doc_id, then smallest position).
-
-Chunk texts are compared byte by byte: the group key holds the text itself
-beside its digest, and a hash aggregate combines equal chunks in each task
-before they are shuffled, so a chunk that fills a third of all rows leaves each
-task once.  Only digests, places and counts travel after that.
+are cut alike wherever they stand.  With the default window of one line and a
+boundary after seven lines of eight, chunks are short and hardly depend on what
+stands before them.
+
+A chunk is widened by the line before it and by the line after it.  Each of
+these runs of lines (the chunk itself where it has two lines, the chunk with
+either neighbour) that occurs more than once in all documents is removed
+everywhere but at its first place (smallest doc_id, then smallest position).
+Runs need two lines that are not blank, and a neighbour that is blank does not
+count.  The first place of a line in all documents is never removed, so nothing
+is lost from the whole.
+
+Runs are compared byte by byte: the group key holds the text itself beside its
+digest, and a hash aggregate combines equal chunks in each task before they are
+shuffled, so a chunk that fills a third of all rows leaves each task once.
+Only chunks that occur twice are widened.  Where a run is joined with its first
+place, runs that may be hot are broadcast.
 
 Edge cases: null counts as empty; an empty text has no line; a text of one
-line has no multi-line chunk and stays; texts of any length are cut whole; a
-row with a null doc_id comes after all others; rows alike in doc_id and text
-share one result, that of the row that holds the first places.  A digest that
-two different chunk texts share removes nothing.  Other columns are carried.
+line has no run of two and stays; texts of any length are cut whole; a row
+with a null doc_id comes after all others; rows alike in doc_id and text share
+one result, that of the row that holds the first places.  Other columns are
+carried.
 """
 
 from __future__ import annotations
@@ -25,8 +34,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
 
-#: Lines in the rolling hash, and the mean distance of boundaries in lines.
-WINDOW, MEAN = 2, 4
+#: Lines in the rolling hash; of ``OUT_OF`` values of it all but ``WITHOUT`` end a chunk.
+WINDOW, WITHOUT, OUT_OF = 1, 1, 8
 #: Modulus of line hashes: the sum of a few products stays within a bigint.
 MODULUS, BASE = 2147483647, 48271
 
@@ -36,70 +45,89 @@ def line_hash(line: str) -> str:
     return f"cast(conv(substr(md5(cast({line} AS binary)), 1, 7), 16, 10) AS bigint)"
 
 
-def chunk_ends(hashes: str, window: int = WINDOW, mean: int = MEAN) -> str:
+def chunk_ends(hashes: str, window: int = WINDOW, without: int = WITHOUT, out_of: int = OUT_OF) -> str:
     """SQL: last lines (from 1) of the chunks; the last line always ends one."""
     rolled = " + ".join(f"coalesce(try_element_at({hashes}, nullif(greatest(i - {j}, 0), 0)), 0L) * {pow(BASE, j, MODULUS)}L % {MODULUS}L" for j in range(window))
-    return f"filter(sequence(1, size({hashes})), i -> i = size({hashes}) OR ({rolled}) % {MODULUS}L % {mean} = 0)"
+    return f"filter(sequence(1, size({hashes})), i -> i = size({hashes}) OR ({rolled}) % {MODULUS}L % {out_of} >= {without})"
 
 
-def chunked(docs: DataFrame, window: int, mean: int) -> DataFrame:
-    """uid, doc_id, text, lines, ends."""
+def chunked(docs: DataFrame, how: dict) -> DataFrame:
+    """``docs`` with ``lines`` and ``ends`` of their ``text``."""
     lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
     df = docs.withColumn("lines", lines).withColumn("hashes", F.expr(f"transform(lines, x -> {line_hash('x')})"))
-    ends = F.when(F.size("lines") > 0, F.expr(chunk_ends("hashes", window, mean))).otherwise(F.array().cast("array<int>"))
+    ends = F.when(F.size("lines") > 0, F.expr(chunk_ends("hashes", **how))).otherwise(F.array().cast("array<int>"))
     return df.withColumn("ends", ends).drop("hashes")
 
 
-#: Lines before chunk i (from 0), given ``ends``.
+def _solid(lines: str) -> str:
+    """SQL: lines that hold more than white space."""
+    return f"size(filter({lines}, x -> x RLIKE '[^ \\t-\\r]'))"
+
+
 _BEFORE = "coalesce(try_element_at(ends, nullif(i, 0)), 0)"
-#: Chunks of two lines or more: number, first line, lines.
-_CHUNKS = f"filter(transform(ends, (e, i) -> named_struct('i', i, 'first', {_BEFORE} + 1, 'n', e - {_BEFORE})), c -> c.n >= 2)"
-#: The lines of the chunks that stay, in order.
-_STAYING = f"flatten(filter(transform(ends, (e, i) -> CASE WHEN array_contains(gone, i) THEN NULL ELSE slice(lines, {_BEFORE} + 1, e - {_BEFORE}) END), x -> x IS NOT NULL))"
+_CHUNKS = f"transform(ends, (e, i) -> named_struct('first', {_BEFORE} + 1, 'n', e - {_BEFORE}))"
 
 
-def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, window: int = WINDOW, mean: int = MEAN) -> DataFrame:
-    """``row``, ``n_lines``, ``removed`` (number, first line and lines of each removed chunk) and ``kept`` text."""
+def runs(each: DataFrame) -> DataFrame:
+    """uid, doc_id, first, n, text of all runs: repeated chunks of two lines, and chunks widened by a line."""
+    wide = [
+        "IF(solid >= 2, named_struct('first', first, 'n', n, 'run', chunk), NULL)",
+        f"IF(solid >= 1 AND {_solid('array(ahead)')} = 1, named_struct('first', first - 1, 'n', n + 1, 'run', concat(ahead, '\n', chunk)), NULL)",
+        f"IF(solid >= 1 AND {_solid('array(behind)')} = 1, named_struct('first', first, 'n', n + 1, 'run', concat(chunk, '\n', behind)), NULL)",
+    ]
+    found = each.withColumn("solid", F.expr(_solid("body"))).select("uid", "doc_id", F.explode(F.expr(f"filter(array({', '.join(wide)}), r -> r IS NOT NULL)")).alias("r"))
+    return found.select("uid", "doc_id", "r.*")
+
+
+def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, window: int = WINDOW, without: int = WITHOUT, out_of: int = OUT_OF) -> DataFrame:
+    """``row``, ``n_lines``, ``removed`` (numbers of the removed lines, from 1) and ``kept`` text."""
+    how = {"window": window, "without": without, "out_of": out_of}
     cols = docs.columns if carry is None else carry
     body = F.coalesce(F.col(C.sql_name(text)).cast("string"), F.lit(""))
     own = F.col(C.sql_name(doc_id))
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), own.alias("doc_id"), body.alias("text"), F.xxhash64(own, body).alias("uid"))
-    each = chunked(df.select("uid", "doc_id", "text"), window, mean).select("uid", "doc_id", "lines", F.explode(F.expr(_CHUNKS)).alias("c"))
-    each = each.select("uid", "doc_id", F.col("c.i").alias("i"), F.array_join(F.expr("slice(lines, c.first, c.n)"), "\n").alias("chunk")).withColumn("digest", F.sha2("chunk", 256))
-    texts = each.groupBy("digest", "chunk").agg(F.count(F.lit(1)).alias("n"))  # by the bytes
-    repeated = C.stage(texts.groupBy("digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1 AND texts = 1").select("digest"), "line-repeated")
-    found = C.stage(each.select("uid", "doc_id", "i", "digest").join(repeated, "digest", "left_semi"), "line-places")
-    first = found.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "i")).alias("keep"))
-    gone = found.join(first, "digest").where("uid <> keep.uid OR i <> keep.i").groupBy("uid").agg(F.collect_set("i").alias("gone"))
-    out = chunked(df.join(C.stage(gone, "line-gone"), "uid", "left"), window, mean)
-    none = F.col("gone").isNull()
-    removed = F.when(none, F.expr(f"filter({_CHUNKS}, c -> false)")).otherwise(F.expr(f"filter({_CHUNKS}, c -> array_contains(gone, c.i))"))
-    kept = F.when(none, F.col("text")).otherwise(F.array_join(F.expr(_STAYING), "\n"))
-    return out.select("row", F.size("lines").cast("bigint").alias("n_lines"), removed.alias("removed"), kept.alias("kept"))
+    uid = F.sha2(F.concat_ws("\x00", F.coalesce(own.cast("string"), F.lit("")), own.isNull().cast("string"), body), 256)
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), own.alias("doc_id"), body.alias("text"))
+    each = chunked(df.select(uid.alias("uid"), "doc_id", "text"), how).select("uid", "doc_id", "lines", F.explode(F.expr(_CHUNKS)).alias("c")).select("uid", "doc_id", "lines", "c.first", "c.n")
+    each = each.select("uid", "doc_id", "first", "n", F.expr("slice(lines, first, n)").alias("body"), F.expr("coalesce(try_element_at(lines, nullif(first - 1, 0)), '')").alias("ahead"), F.expr("coalesce(try_element_at(lines, first + n), '')").alias("behind"))
+    each = each.withColumn("chunk", F.array_join("body", "\n"))
+    chunks = each.groupBy(F.sha2("chunk", 256).alias("digest"), "chunk").agg(F.count(F.lit(1)).alias("n"))  # by the bytes
+    repeated = C.stage(chunks.where("n > 1").select("digest"), "line-repeated")
+    near = each.withColumn("digest", F.sha2("chunk", 256)).join(repeated, "digest", "left_semi")
+    places = C.stage(runs(near).withColumn("digest", F.sha2("run", 256)), "line-places")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "first")
+    keep = places.groupBy("digest", "run").agg(F.min(at).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keep = C.stage(keep.select("digest", "keep", "n"), "line-first")
+    gone = C.join_by_count(places.select("uid", "first", F.col("n").alias("lines"), "digest"), keep, "digest", places.count(), "inner").where("uid <> keep.uid OR first <> keep.first")
+    gone = gone.select("uid", F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    out = df.withColumn("uid", uid).join(C.stage(gone, "line-gone"), "uid", "left")
+    lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
+    out = out.select("row", "text", lines.alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.expr("transform(array_except(sequence(1, size(lines)), removed), i -> lines[i - 1])"), "\n"))
+    return out.select("row", F.size("lines").cast("bigint").alias("n_lines"), "removed", kept.alias("kept"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"])
-    return out.select(
-        "row.doc_id",
-        "n_lines",
-        F.size("removed").cast("bigint").alias("n_chunks_removed"),
-        F.expr("aggregate(removed, 0L, (a, c) -> a + c.n)").alias("n_lines_removed"),
-        F.sha2("kept", 256).alias("kept_sha256"),
-    )
+    return out.select("row.doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_lines_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 _HASH = "CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)"
+_LINE = "regexp_matches(x, '[^ \\t-\\r]')"
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
 line AS (SELECT rid, doc_id, q, l[q] AS x, len(l) AS n FROM d, unnest(generate_series(1, len(l))) AS u(q)),
-h AS (SELECT *, {_HASH} AS v FROM line),
-e AS (SELECT *, q = n OR ({" + ".join(f"coalesce(lag(v, {j}) OVER w, 0) * {pow(BASE, j, MODULUS)} % {MODULUS}" for j in range(WINDOW))}) % {MODULUS} % {MEAN} = 0 AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY q)),
+h AS (SELECT *, {_HASH} AS v, {_LINE} AS solid FROM line),
+e AS (SELECT *, q = n OR ({" + ".join(f"coalesce(lag(v, {j}) OVER w, 0) * {pow(BASE, j, MODULUS)} % {MODULUS}" for j in range(WINDOW))}) % {MODULUS} % {OUT_OF} >= {WITHOUT} AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY q)),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY rid ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM e),
-chunk AS (SELECT rid, doc_id, i, count(*) AS k, string_agg(x, chr(10) ORDER BY q) AS s FROM c GROUP BY rid, doc_id, i),
-gone AS (SELECT rid, i, k FROM chunk WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, rid, i) > 1),
-kept AS (SELECT rid, string_agg(s, chr(10) ORDER BY i) AS s FROM chunk ANTI JOIN gone USING (rid, i) GROUP BY rid),
-cut AS (SELECT rid, count(*) AS chunks, sum(k) AS lines FROM gone GROUP BY rid)
-SELECT doc_id, len(l) AS n_lines, coalesce(chunks, 0) AS n_chunks_removed, CAST(coalesce(lines, 0) AS BIGINT) AS n_lines_removed, sha256(coalesce(s, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (rid) LEFT JOIN cut USING (rid)
+chunk AS (SELECT rid, doc_id, min(q) AS a, max(q) AS b, string_agg(x, chr(10) ORDER BY q) AS s, count(*) FILTER (solid) AS k FROM c GROUP BY rid, doc_id, i),
+many AS (SELECT *, count(*) OVER (PARTITION BY s) AS times FROM chunk),
+run AS (SELECT rid, doc_id, a, b, s FROM many WHERE times > 1 AND k >= 2
+  UNION SELECT m.rid, m.doc_id, a - 1, b, e.x || chr(10) || s FROM many AS m JOIN e ON e.rid = m.rid AND e.q = a - 1 WHERE times > 1 AND k >= 1 AND e.solid
+  UNION SELECT m.rid, m.doc_id, a, b + 1, s || chr(10) || e.x FROM many AS m JOIN e ON e.rid = m.rid AND e.q = b + 1 WHERE times > 1 AND k >= 1 AND e.solid),
+gone AS (SELECT rid, a, b FROM run QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, rid, a) > 1),
+cut AS (SELECT DISTINCT rid, q FROM gone, unnest(generate_series(a, b)) AS u(q)),
+kept AS (SELECT rid, string_agg(x, chr(10) ORDER BY q) AS s FROM line ANTI JOIN cut USING (rid, q) GROUP BY rid),
+n AS (SELECT rid, count(*) AS lines FROM cut GROUP BY rid)
+SELECT doc_id, len(l) AS n_lines, CAST(coalesce(lines, 0) AS BIGINT) AS n_lines_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
 """
