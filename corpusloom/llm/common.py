@@ -13,7 +13,6 @@ import atexit
 import contextlib
 import ctypes
 import functools
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,22 +134,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
-class _Digests(dict):
-    """64 bits of a keyed BLAKE2 of each word asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
-        return value
-
-
-_KEY = b"words"
-#: Words whose digests a worker remembers.
-MEMO_WORDS = 1 << 17
-_DIGESTS = _Digests()
-
-
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two runs from theirs; not linear, so no arrangement of equal parts cancels out."""
     return mix(mix(a.copy(), 1) + b, 2)
@@ -197,8 +181,8 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.n)])
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit digest of each word."""
-        return np.fromiter(map(_DIGESTS.__getitem__, self.words), np.uint64, len(self.words))
+        """A 64-bit XXH3 digest of each word."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
 
 def words_column(text: Column) -> Column:
@@ -230,10 +214,14 @@ HOT_KEYS = 1000
 def join_by_count(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
     """``rows`` joined with ``table`` (one row for each key, with ``n``, its number of rows) without a hot key.
 
-    Keys of more than ``total / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, so
-    that part of ``table`` is broadcast; the rows of all other keys are
-    shuffled.  ``total`` is the number of rows.
+    Keys of more than ``total / HOT_KEYS`` rows, ``total`` being the number of
+    rows, are fewer than ``HOT_KEYS``: they come to the driver, and their part
+    of ``table`` is broadcast to their rows.  The rows of all other keys are
+    shuffled.  ``table`` should be cheap to read, as a written one is.
     """
     bound = max(1, total // HOT_KEYS)
-    hot = F.broadcast(table.where(F.col("n") > bound))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= bound), key, how))
+    hot = [r[0] for r in table.where((F.col("n") > bound) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, how)
+    some = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(some).join(F.broadcast(table.where(some)), key).unionByName(rows.where(~some).join(table.where(~some), key, how))

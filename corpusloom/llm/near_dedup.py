@@ -223,7 +223,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     size, mark = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = C.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), name)
         large = C.join_by_count(both.where("v > u"), least, "u", 2 * size, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -247,12 +247,12 @@ def _apart(star: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     """(x, y): members of a star, in different components, that may be linked all the same."""
     of = part.withColumnRenamed("node", "x").withColumnRenamed("component", "c")
     hub = part.withColumnRenamed("node", "a").withColumnRenamed("component", "hub_c")
-    member = star.withColumnsRenamed({"b": "x", "n_b": "n"}).select("a", "x", "n", "both", "extra").join(of, "x", "left").join(hub, "a", "left")
     # Elements outside the hub that x must share with any partner.
     need = F.expr(f"({percent} * n + 99) div 100 - both").alias("need")
-    member = C.stage(member.select("a", "x", "n", "both", "extra", need, F.coalesce("c", "x").alias("c"), F.coalesce("hub_c", "a").alias("hub_c")).where("need <= size(extra)"), "near-members")
-    open_stars = member.where("c <> hub_c").select("a").distinct()
-    every = C.stage(member.join(open_stars, "a", "left_semi"), "near-open")
+    member = star.withColumnsRenamed({"b": "x", "n_b": "n"}).join(of, "x", "left").select("a", "x", F.col("n").alias("size"), "both", "extra", need, F.coalesce("c", "x").alias("c")).where("need <= size(extra)")
+    member = C.stage(member, "near-members")
+    hubs = C.stage(member.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).join(hub, "a", "left").withColumn("hub_c", F.coalesce("hub_c", "a")).where("low <> hub_c OR high <> hub_c").select("a", "n", "hub_c"), "near-hubs")
+    every = C.stage(C.join_by_count(member, hubs, "a", member.count(), "inner").drop("n").withColumnRenamed("size", "n"), "near-open")
     # Both mostly inside the hub: pairs of like sizes.
     width = max(math.log(100 / percent), 1e-3) * (1 + 1e-9)
     inside = every.where("need <= 0").drop("extra").withColumn("band", F.floor(F.log("n") / F.lit(width)))
@@ -283,6 +283,7 @@ def links(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) ->
     met = shared.groupBy("node").agg(F.sum("size").alias("met"))
     ranked = C.stage(shared.join(met, "node").select("key", "node", "met"), "near-ranked")
     hubs = ranked.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("less"), "node")).alias("hub"), F.count(F.lit(1)).alias("n")).select("key", F.col("hub.node").alias("hub"), "n")
+    hubs = C.stage(hubs, "near-tops")
     stars = C.join_by_count(ranked, hubs, "key", ranked.count(), "inner").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = C.stage(overlaps(C.stage(stars, "near-stars"), classes, docs, shingle, True), "near-overlaps")
     part = components(star.where(_reaches("both", "n_a", "n_b", percent)).select("a", "b"), "near-round")

@@ -41,6 +41,33 @@ def test_exact_groups(spark, make, digest, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.strong_digest, lambda norm: F.substring(F.md5(norm.cast("binary")), 1, 1)])
+def test_batches_against_stored_snapshots(spark, make, tmp_path, digest):
+    """Three runs, each of a new store object, also with a digest that collides."""
+    import re
+
+    rows = _texts(2, 240)
+    norm = [(i, re.sub(r"[ \t\n\r\f\v]+", " ", t or "")) for i, t in rows]
+    owner, size = {}, Counter()
+    for k in range(3):
+        part = slice(80 * k, 80 * k + 80)
+        here = Counter(t for _, t in norm[part])
+        least = {t: min(i for i, x in norm[part] if x == t) for t in here}
+        want = {i: (owner.get(t, least[t]), here[t] + size[t], t not in owner and i == least[t]) for i, t in norm[part]}
+        store = exact_dedup.Store(spark, str(tmp_path / "store"))
+        out = exact_dedup.dedup_batch(make(rows[part]), store, digest=digest)
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in out.collect()} == want
+        for t in here:
+            if t not in owner:
+                owner[t], size[t] = least[t], here[t]
+    assert len(store.snapshots()) == 3
+    left = store.snapshots()[1].rows.inputFiles()[0].rsplit("/rows/", 1)[0].removeprefix("file:")
+    (tmp_path / "store").joinpath(left.rsplit("/", 1)[1], "_SNAPSHOT").unlink()  # as a run that failed leaves it
+    assert len(exact_dedup.Store(spark, str(tmp_path / "store")).snapshots()) == 2
+    empty = exact_dedup.dedup_batch(make([]), store, add=False)
+    assert empty.count() == 0 and len(exact_dedup.Store(spark, str(tmp_path / "new")).snapshots()) == 0
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(3)
     common, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (600, 200, 200))
@@ -186,9 +213,8 @@ def _runs_of(out):
 
 
 @pytest.mark.parametrize("window,width,size,fan", [(4, 12, 1 << 20, None), (5, 8, 200, 3), (2, 6, 50, 2), (1, 10, 90, 4)])
-def test_substring_equals_brute_force(spark, make, monkeypatch, window, width, size, fan):
+def test_substring_equals_brute_force(spark, make, window, width, size, fan):
     """Also with a full sketch, tiny blocks, many shards over several levels, and periodic texts."""
-    monkeypatch.setattr(exchange, "BLOCK_BYTES", size)
     rng = random.Random(window)
     passages = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 15))) for _ in range(6)]
     rows = []
@@ -196,7 +222,7 @@ def test_substring_equals_brute_force(spark, make, monkeypatch, window, width, s
         t = " ".join(rng.choice(passages) if rng.random() < 0.3 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(4)) for _ in range(rng.randint(0, 6)))
         rows.append((i, t))
     rows += [(60, "x y " * 20), (61, "p q r s t " * 3), (62, None), (63, ""), (64, "k"), (64, "k")]
-    out = substring_dedup.remove_repeated(make(rows), window=window, width_bits=width, sketch_bytes=max(size, 300), exact_bytes=size, fan=fan)
+    out = substring_dedup.remove_repeated(make(rows), window=window, width_bits=width, sketch_bytes=max(size, 300), exact_bytes=size, group_bytes=size, fan=fan)
     assert _runs_of(out) == sorted((i, *x) for (i, _), x in zip(rows, _substring(rows, window), strict=True))
 
 
@@ -259,40 +285,72 @@ def test_substring_of_a_short_text_alone(spark, make, n):
     assert [(r["n_words"], r["spans"], r["kept"]) for r in out.collect()] == [(n, [], text)]
 
 
-def _lines(rows, window, mean):
-    """Chunks by the rolling hash, then all but the first place of each repeated chunk removed."""
+def _cut_lines(lines, window, without, out_of):
+    """(first, end) of the chunks of some lines, by the rolling hash."""
     import hashlib
 
-    chunks = []
-    for n, (i, t) in enumerate(rows):
-        lines = t.split("\n") if t else []
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        run, k = [], 0
-        for q in range(len(lines)):
-            run.append(lines[q])
-            rolled = sum((h[q - j] if q >= j else 0) * pow(line_dedup.BASE, j, line_dedup.MODULUS) % line_dedup.MODULUS for j in range(window))
-            if q == len(lines) - 1 or rolled % line_dedup.MODULUS % mean == 0:
-                chunks.append((i, n, k, run))
-                run, k = [], k + 1
-    first = {}
-    for i, n, k, run in chunks:
-        first.setdefault(tuple(run), (i, n, k))
-        first[tuple(run)] = min(first[tuple(run)], (i, n, k))
-    kept = defaultdict(list)
-    for i, n, k, run in chunks:
-        if len(run) < 2 or first[tuple(run)] == (i, n, k):
-            kept[n] += run
-    return {i: "\n".join(kept[n]) for n, (i, _) in enumerate(rows)}
-
-
-@pytest.mark.parametrize("window,mean", [(2, 4), (3, 2), (1, 3)])
-def test_lines_equal_brute_force(spark, make, window, mean):
-    rng = random.Random(mean)
-    blocks = ["\n".join(f"line {rng.randrange(30)}" for _ in range(rng.randint(2, 6))) for _ in range(5)]
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    start, out = 0, []
+    for q in range(len(lines)):
+        rolled = sum((h[q - j] if q >= j else 0) * pow(line_dedup.BASE, j, line_dedup.MODULUS) % line_dedup.MODULUS for j in range(window))
+        if q == len(lines) - 1 or rolled % line_dedup.MODULUS % out_of >= without:
+            out.append((start, q + 1))
+            start = q + 1
+    return out
+
+
+def _lines(rows, window, without, out_of):
+    """Chunks by the rolling hash, runs of repeated ones, then all but the first place of each repeated run removed."""
+    texts = [t.split("\n") if t else [] for _, t in rows]
+    chunks = [(n, a, b) for n, lines in enumerate(texts) for a, b in _cut_lines(lines, window, without, out_of)]
+    times = Counter(tuple(texts[n][a:b]) for n, a, b in chunks)
+    solid = lambda lines: sum(bool(x.strip(" \t\n\v\f\r")) for x in lines)
+    places = defaultdict(set)
+    for n, a, b in chunks:
+        if times[tuple(texts[n][a:b])] > 1:
+            for x, y in {(a, b), (a - 1, b), (a, b + 1)}:
+                least = 2 if (x, y) == (a, b) else 1
+                if 0 <= x and y <= len(texts[n]) and solid(texts[n][a:b]) >= least and (least == 2 or solid(texts[n][x:a] + texts[n][b:y]) == 1):
+                    places[tuple(texts[n][x:y])].add((rows[n][0], n, x, y))
+    gone = defaultdict(set)
+    for found in places.values():
+        for _, n, x, y in sorted(found)[1:]:
+            gone[n] |= set(range(x, y))
+    return {i: "\n".join(x for q, x in enumerate(texts[n]) if q not in gone[n]) for n, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("window,without,out_of", [(1, 1, 4), (2, 3, 4), (3, 1, 2)])
+def test_lines_equal_brute_force(spark, make, window, without, out_of):
+    rng = random.Random(out_of)
+    blocks = ["\n".join(rng.choice(["", f"line {rng.randrange(30)}", f"line {rng.randrange(30)}", " \t"]) for _ in range(rng.randint(2, 6))) for _ in range(6)]
     rows = [(i, "\n".join(rng.choice(blocks) if rng.random() < 0.6 else f"own {i} {k}" for k in range(rng.randint(0, 6)))) for i in range(40)]
-    rows += [(40, None), (41, ""), (42, "\n\n"), (43, "single")]
-    out = line_dedup.remove_repeated(make(rows), window=window, mean=mean)
-    assert {r["doc_id"]: r["kept"] for r in out.select("row.doc_id", "kept").collect()} == _lines(rows, window, mean)
+    rows += [(40, None), (41, ""), (42, "\n\n"), (43, "single"), (44, "\n\n"), (45, "single")]
+    out = line_dedup.remove_repeated(make(rows), window=window, without=without, out_of=out_of)
+    assert {r["doc_id"]: r["kept"] for r in out.select("row.doc_id", "kept").collect()} == _lines(rows, window, without, out_of)
+
+
+def test_no_line_is_lost_from_all_documents():
+    rng = random.Random(3)
+    rows = [(i, "\n".join(f"l{rng.randrange(12)}" for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    kept = {x for t in _lines(rows, 1, 1, 4).values() for x in t.split("\n")}
+    assert kept >= {x for _, t in rows for x in t.split("\n")}
+
+
+@pytest.mark.parametrize("lines,least", [(2, 0.7), (3, 0.9), (5, 0.97), (8, 0.99)])
+def test_recall_of_shared_passages(lines, least):
+    """Passages that two texts share, between lines of their own: in how many something goes, and how much of it."""
+    rng = random.Random(lines)
+    own = lambda: [f"{rng.random()} own" for _ in range(10)]
+    rows, shared = [], []
+    for k in range(500):
+        shared.append([f"{k} {j} {rng.random()}" for j in range(lines)])
+        rows += [(2 * k + j, "\n".join(own() + shared[-1] + own())) for j in (0, 1)]
+    kept = _lines(rows, line_dedup.WINDOW, line_dedup.WITHOUT, line_dedup.OUT_OF)
+    left = [len(set(shared[k]) & set(kept[2 * k + 1].split("\n"))) for k in range(500)]
+    found, gone = sum(n < lines for n in left) / 500, 1 - sum(left) / 500 / lines
+    print(f"{lines} lines: {100 * found:.1f} % of the passages, {100 * gone:.1f} % of their lines")
+    assert found > least
+    assert all(set(shared[k]) <= set(kept[2 * k].split("\n")) for k in range(500))
 
 
 def test_line_plan_has_no_python(spark, sf):
