@@ -71,6 +71,11 @@ def pack(parts: Column, size: int, overlap: int) -> Column:
     return F.aggregate(chunks, F.array().cast("array<string>"), lead)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_chars(text: Column | str, size: int, overlap: int) -> Column:
     t, step = _col(text), max(1, size - overlap)
     at = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
@@ -79,24 +84,43 @@ def split_chars(text: Column | str, size: int, overlap: int) -> Column:
 
 def split_words(text: Column | str, size: int, overlap: int) -> Column:
     """Windows of ``size`` words; each starts ``overlap`` words before the end of the last."""
-    w, step = words(text), size - overlap
-    n = F.size(w)
-    count = F.when(n <= size, F.least(n, F.lit(1))).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
-    at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+    step = size - overlap
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        count = F.when(n <= size, F.least(n, F.lit(1))).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
+        at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+
+    return bound(words(text), cut)
 
 
 def split_recursive(text: Column | str, size: int, overlap: int, separators: tuple[str, ...]) -> Column:
     """Split at one separator after the other until the mean piece is at most 1.2 sizes long."""
-    pieces = F.filter(F.array(_col(text)), lambda p: p != "")
-    done = F.lit(False)
-    for sep in separators:
+
+    def step(sep: str):
         literal = "\\Q" + sep + "\\E"
-        split = F.filter(F.flatten(F.transform(pieces, lambda p: F.split(p, literal, -1))), lambda p: p != "")  # noqa: B023
-        pieces = F.when(done, pieces).otherwise(split)
-        total = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.length(p))
-        done = done | (total / F.greatest(F.size(pieces), F.lit(1)) <= size * 1.2)
-    return pack(_stripped(pieces), size, overlap)
+
+        def split(s: Column) -> Column:
+            parts = F.filter(F.flatten(F.transform(s["pieces"], lambda p: F.split(p, literal, -1))), lambda p: p != "")
+            return F.when(s["done"], s["pieces"]).otherwise(parts)
+
+        def judge(s: Column, pieces: Column) -> Column:
+            total = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.length(p))
+            return F.struct(pieces.alias("pieces"), (s["done"] | (total / F.greatest(F.size(pieces), F.lit(1)) <= size * 1.2)).alias("done"))
+
+        return lambda s: bound(split(s), lambda pieces: judge(s, pieces))
+
+    state = F.struct(F.filter(F.array(_col(text)), lambda p: p != "").alias("pieces"), F.lit(False).alias("done"))
+    for sep in separators:
+        state = bound(state, step(sep))
+    return bound(_stripped(state["pieces"]), lambda pieces: pack(pieces, size, overlap))
+
+
+# Limits and options of the suggested strategies.
+TABLE_LINE, MANY_BULLETS, MANY_LINES, SHORT_TEXT = 40, 10, 20, 2000
+PARAGRAPH_SIZES, PARAGRAPH_OVERLAP = (400, 1000), 100
+SENTENCE_OPTIONS, RECURSIVE_OPTIONS = (600, 120), (800, 150)
 
 
 def suggest(text: Column | str) -> Column:
@@ -104,10 +128,10 @@ def suggest(text: Column | str) -> Column:
     t = _col(text)
     count = lambda s: (F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))) / len(s)
     lines, n = count("\n"), F.length(t)
-    table = t.contains("|") | (t.contains(",") & t.contains("\n") & (n / (lines + 1) > 40))
+    table = t.contains("|") | (t.contains(",") & t.contains("\n") & (n / (lines + 1) > TABLE_LINE))
     option = lambda s, size, ov: F.struct(F.lit(s).alias("strategy"), size.cast("int").alias("size"), F.lit(ov).alias("overlap"))
-    paragraph = option("paragraph", F.least(F.lit(1000), F.greatest(F.lit(400), F.floor(n / 50))), 100)
-    return F.when(table | (count("•") + count("- ") > 10) | (lines > 20), paragraph).when(n < 2000, option("sentence", F.lit(600), 120)).otherwise(option("recursive", F.lit(800), 150))
+    paragraph = option("paragraph", F.least(F.lit(PARAGRAPH_SIZES[1]), F.greatest(F.lit(PARAGRAPH_SIZES[0]), F.floor(n / 50))), PARAGRAPH_OVERLAP)
+    return F.when(table | (count("•") + count("- ") > MANY_BULLETS) | (lines > MANY_LINES), paragraph).when(n < SHORT_TEXT, option("sentence", F.lit(SENTENCE_OPTIONS[0]), SENTENCE_OPTIONS[1])).otherwise(option("recursive", F.lit(RECURSIVE_OPTIONS[0]), RECURSIVE_OPTIONS[1]))
 
 
 def chunks(text: Column | str, o: ChunkOptions) -> Column:
@@ -132,7 +156,7 @@ def chunks_suggested(text: Column | str, separators: tuple[str, ...] = ChunkOpti
     t = _col(text)
     s = suggest(t)
     # The paragraph size depends on the text; the fold takes it as a column.
-    return F.when(s["strategy"] == "sentence", pack(split_sentences(t), 600, 120)).when(s["strategy"] == "recursive", split_recursive(t, 800, 150, separators)).otherwise(pack(split_paragraphs(t), s["size"], 100))
+    return F.when(s["strategy"] == "sentence", pack(split_sentences(t), *SENTENCE_OPTIONS)).when(s["strategy"] == "recursive", split_recursive(t, *RECURSIVE_OPTIONS, separators)).otherwise(pack(split_paragraphs(t), s["size"], PARAGRAPH_OVERLAP))
 
 
 def approx_tokens(text: Column | str, ratio: float = 1.33) -> Column:
@@ -195,19 +219,23 @@ def is_too_sparse(text: Column | str, threshold: int = 60) -> Column:
     return F.length(strip(F.regexp_replace(_col(text), r"\s+", " "))) < threshold
 
 
+# Patterns of prices, areas and unit counts; letters match in either case.
+PRICE = r"(\d[\d\s.,]*)\s*(MDH|MAD|DHS|Dh|Dhs|dirhams?)"
+AREA = r"(\d+(?:[.,]\d+)?)\s*m²|\b(\d+(?:[.,]\d+)?)\s*m2"
+UNITS = r"(\d+)\s*(villas?|appartements?|appartement|villes?)"
+
+
 def facts(text: Column | str) -> Column:
     """Price in dirhams, area in square metres and unit counts named in a text."""
     t = F.regexp_replace(_col(text), r"\s+", " ")
-    price = r"(?i)(\d[\d\s.,]*)\s*(MDH|MAD|DHS|Dhs|Dh|dirhams?)"
+    price, area, units = (f"(?i){p}" for p in (PRICE, AREA, UNITS))
     raw = F.regexp_replace(F.replace(F.regexp_extract(t, price, 1), F.lit(","), F.lit(".")), r"[^\d.]", "")
     amount = F.expr("try_cast(1 AS double)") * raw.try_cast("double")
     millions = F.upper(F.regexp_extract(t, price, 2)) == "MDH"
-    area = r"(?i)(\d+(?:[.,]\d+)?)\s*m(?:²|2)"
-    units = r"(?i)(\d+)\s*(villas?|appartements?|villes?)"
     some = lambda x: F.nullif(x, F.lit(""))
     return F.struct(
         F.round(F.when(millions, amount * 1_000_000).otherwise(amount)).cast("bigint").alias("price_from_mad"),
-        F.replace(F.regexp_extract(t, area, 1), F.lit(","), F.lit(".")).try_cast("double").alias("area_m2"),
+        F.replace(F.concat(F.regexp_extract(t, area, 1), F.regexp_extract(t, area, 2)), F.lit(","), F.lit(".")).try_cast("double").alias("area_m2"),
         F.regexp_extract(t, units, 1).try_cast("int").alias("units_count"),
         F.lower(some(F.regexp_extract(t, units, 2))).alias("units_label"),
     )

@@ -44,6 +44,23 @@ def unit(a: Column) -> Column:
     return F.transform(F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda s: F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["x"].cast("double") / s["n"]))
 
 
+def padded(rows: np.ndarray, width: int) -> np.ndarray:
+    return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Matrix of the vectors at length 1, shorter ones filled up with zeros; null and zero vectors stay zero."""
+    sizes = {len(v) if v is not None else 0 for v in vectors}
+    if len(sizes) == 1:
+        m = np.array([v if v is not None else [] for v in vectors], np.float64).reshape(len(vectors), -1)
+    else:
+        m = np.zeros((len(vectors), max(sizes, default=0)))
+        for i, v in enumerate(vectors):
+            m[i, : len(v or [])] = v or []
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def hash_vector(text: str, dim: int = 384) -> np.ndarray:
     """Unit vector from the bytes of a sha256, repeated to ``dim``."""
     raw = np.frombuffer(hashlib.sha256((text or "").encode()).digest(), np.uint8).astype(np.float64)

@@ -31,12 +31,12 @@ def split_blocks(blocks: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
     return df.select("series", "filename", "idx", ids.chunk_id(F.col("series"), F.col("filename"), F.col("idx")).alias("cid"), "text", "page", "strategy", "btype", "source")
 
 
-def document_chunks(docs: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
+def document_chunks(docs: DataFrame, o: ChunkOptions | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of whole documents (series, filename, text): one block each, so no window and no shuffle."""
     o = o or ChunkOptions()
     cut = text.chunks_suggested("text", o.separators) if o.strategy == "llm" else text.chunks("text", o)
-    df = docs.select("series", "filename", F.posexplode(cut).alias("idx", "text"))
-    return df.select("series", "filename", "idx", ids.chunk_id(F.col("series"), F.col("filename"), F.col("idx")).alias("cid"), "text")
+    df = docs.select("series", "filename", *keep, F.posexplode(cut).alias("idx", "text"))
+    return df.select("series", "filename", "idx", ids.chunk_id(F.col("series"), F.col("filename"), F.col("idx")).alias("cid"), "text", *keep)
 
 
 def report(chunks: DataFrame) -> DataFrame:

@@ -34,19 +34,26 @@ def trails(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, hops: int =
     No edge occurs twice in a trail; nodes may.  Edges and nodes below
     ``theta`` are dropped before the first hop, which equals testing whole
     paths.  The score is ``alpha ** (length - 1)`` times the mean confidence of
-    all nodes and edges.  ``seeds`` (id, rank) is a short list and is
-    broadcast; a pair runs from the lower to the higher rank.
+    all nodes and edges.  ``seeds`` (id, rank) is the stated set; a pair runs
+    from the lower to the higher rank.  A hop only goes to nodes from which the
+    hops that are left still reach a seed, so walks into hubs that lead nowhere
+    are never made.
     """
     n = nodes.select("id", F.coalesce("conf", F.lit(0.5)).alias("conf")).where(F.col("conf") >= theta)
     e = both_ways(edges).where(F.col("conf") >= theta)
     ok = n.select(F.col("id").alias("v"), F.col("conf").alias("v_conf"))
     step = e.join(ok, "v").join(n.select(F.col("id").alias("u")), "u", "left_semi")
-    start = F.broadcast(seeds.select(F.col("id").alias("src"), F.col("rank").alias("src_rank")))
-    stop = F.broadcast(seeds.select(F.col("id").alias("dst"), F.col("rank").alias("dst_rank")))
+    start = seeds.select(F.col("id").alias("src"), F.col("rank").alias("src_rank"))
+    stop = seeds.select(F.col("id").alias("dst"), F.col("rank").alias("dst_rank"))
+    # reach[d]: nodes at most d hops from a seed.
+    reach = [seeds.select(F.col("id").alias("v")).distinct()]
+    for _ in range(hops - 1):
+        reach.append(reach[-1].union(step.join(reach[-1], "v", "left_semi").select(F.col("u").alias("v"))).distinct())
     now = n.join(start, n["id"] == start["src"]).select("src", "src_rank", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<string>").alias("preds"), F.col("conf").alias("total"))
     found = None
     for hop in range(1, hops + 1):
-        now = now.join(step, now["at"] == step["u"]).where(~F.array_contains("edges", F.col("edge_id")))
+        near = step.join(reach[hops - hop], "v", "left_semi")
+        now = now.join(near, now["at"] == near["u"]).where(~F.array_contains("edges", F.col("edge_id")))
         now = now.select("src", "src_rank", F.col("v").alias("at"), F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("preds", F.col("pred")).alias("preds"), (F.col("total") + F.col("conf") + F.col("v_conf")).alias("total"))
         hit = now.join(stop, (now["at"] == stop["dst"]) & (now["src_rank"] < stop["dst_rank"])).select("src", "dst", "nodes", "edges", "preds", F.lit(hop).alias("length"), (F.lit(alpha ** (hop - 1)) * F.col("total") / (2 * hop + 1)).alias("score"))
         found = hit if found is None else found.unionByName(hit)

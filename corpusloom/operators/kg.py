@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, jsonx
-from corpusloom.operators.tables import union_of
+from corpusloom.operators.tables import MAX_CIDS, first_elements
 from corpusloom.schemas import EXTRACTION
 
 #: Capitalised runs that the offline extractor takes for names, by type word.
@@ -68,14 +68,32 @@ def canonical_nodes(extracted: DataFrame, min_conf: float = 0.35) -> DataFrame:
     """One node for each (series, name, type), case and outer blanks aside.
 
     The first occurrence in (file, idx, position) order gives name, type,
-    aliases and description; cids are all distinct evidence, confidence the
-    greatest.
+    aliases and description; confidence is the greatest.  ``cids`` holds the
+    first ``MAX_CIDS``; :func:`evidence` has all as rows.
     """
+    e = _mentioned(extracted, min_conf)
+    first = F.min_by(F.struct("name", "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("desc", F.lit("")).alias("desc")), "seq")
+    merged = e.groupBy("id", "series").agg(first.alias("f"), F.max("conf").alias("conf"))
+    return _with_cids(merged, e.select("id", F.array("cid").alias("cids"))).select("id", "series", "f.*", "cids", "conf")
+
+
+def _mentioned(extracted: DataFrame, min_conf: float) -> DataFrame:
     e = extracted.select("series", "filename", "idx", "cid", F.posexplode("entities").alias("pos", "e")).select("series", "cid", F.struct("filename", "idx", "pos").alias("seq"), "e.*")
     e = e.where((F.coalesce("conf", F.lit(0.0)) >= min_conf) & _present("name") & _present("type"))
-    e = e.withColumn("id", ids.node_id(F.col("series"), F.col("name"), F.col("type")))
-    first = F.min_by(F.struct("name", "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("desc", F.lit("")).alias("desc")), "seq")
-    return e.groupBy("id", "series").agg(first.alias("f"), F.array_sort(F.collect_set("cid")).alias("cids"), F.max("conf").alias("conf")).select("id", "series", "f.*", "cids", "conf")
+    return e.withColumn("id", ids.node_id(F.col("series"), F.col("name"), F.col("type")))
+
+
+def evidence(extracted: DataFrame, mapping: DataFrame | None = None, min_conf: float = 0.35) -> DataFrame:
+    """(entity_id, cid): every chunk that names an entity, as rows, after the ids of ``mapping``."""
+    e = _mentioned(extracted, min_conf).select(F.col("id").alias("entity_id"), "cid").distinct()
+    if mapping is not None:
+        e = e.join(mapping, e["entity_id"] == mapping["old_id"], "left").select(F.coalesce("new_id", "entity_id").alias("entity_id"), "cid").distinct()
+    return e
+
+
+def _with_cids(merged: DataFrame, rows: DataFrame, limit: int = MAX_CIDS, column: str = "cids") -> DataFrame:
+    """``merged`` with the first distinct elements of the rows' arrays; never more than ``limit`` are gathered."""
+    return merged.join(first_elements(rows, "id", column, limit), "id", "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
 
 
 def canonical_edges(extracted: DataFrame, nodes: DataFrame, min_conf: float = 0.35) -> DataFrame:
@@ -91,7 +109,12 @@ def canonical_edges(extracted: DataFrame, nodes: DataFrame, min_conf: float = 0.
     for end in ("src", "dst"):
         r = r.withColumn("key", key(F.col(end))).join(by_name, ["series", "key"], "left").withColumn(f"{end}_id", F.coalesce("found", ids.node_id(F.col("series"), F.col(end), F.lit("concept")))).drop("key", "found")
     r = r.withColumn("id", ids.stable_id(F.col("series"), F.col("src_id"), F.col("pred"), F.col("dst_id")))
-    return r.groupBy("id").agg(F.min("series").alias("series"), F.min("src_id").alias("src_id"), F.min("dst_id").alias("dst_id"), F.min("pred").alias("pred"), F.array_sort(F.collect_set("cid")).alias("cids"), F.max("conf").alias("conf"))
+    return _merged_edges(r.withColumn("cids", F.array("cid")))
+
+
+def _merged_edges(rows: DataFrame) -> DataFrame:
+    merged = rows.groupBy("id").agg(F.min("series").alias("series"), F.min("src_id").alias("src_id"), F.min("dst_id").alias("dst_id"), F.min("pred").alias("pred"), F.max("conf").alias("conf"))
+    return _with_cids(merged, rows).select("id", "series", "src_id", "dst_id", "pred", "cids", "conf")
 
 
 def link_groups(nodes: DataFrame) -> DataFrame:
@@ -112,10 +135,10 @@ def link_nodes(nodes: DataFrame, mapping: DataFrame, limit: int = 20) -> DataFra
     df = nodes.join(mapping, nodes["id"] == mapping["old_id"], "left").withColumn("new_id", F.coalesce("new_id", "id"))
     own = F.col("id") == F.col("new_id")
     names = F.concat(F.when(own, F.coalesce("aliases", F.array().cast("array<string>"))).otherwise(F.array("name")))
-    out = df.withColumn("more", names).groupBy("new_id").agg(
-        F.min("series").alias("series"), F.max(F.when(own, F.col("name"))).alias("name"), F.max(F.when(own, F.col("type"))).alias("type"), F.max(F.when(own, F.col("desc"))).alias("desc"), union_of("more", limit).alias("aliases"), union_of("cids").alias("cids"), F.max("conf").alias("conf")
-    )
-    return out.select(F.col("new_id").alias("id"), "series", "name", "type", "aliases", "desc", "cids", "conf")
+    out = df.groupBy(F.col("new_id").alias("id")).agg(F.min("series").alias("series"), F.max(F.when(own, F.col("name"))).alias("name"), F.max(F.when(own, F.col("type"))).alias("type"), F.max(F.when(own, F.col("desc"))).alias("desc"), F.max("conf").alias("conf"))
+    out = _with_cids(out, df.select(F.col("new_id").alias("id"), names.alias("aliases")), limit, "aliases")
+    out = _with_cids(out, df.select(F.col("new_id").alias("id"), "cids"))
+    return out.select("id", "series", "name", "type", "aliases", "desc", "cids", "conf")
 
 
 def remap_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -125,7 +148,7 @@ def remap_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
         m = mapping.select(F.col("old_id").alias(end), F.col("new_id").alias("to"))
         df = df.join(m, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
     df = df.withColumn("id", ids.stable_id(F.col("series"), F.col("src_id"), F.col("pred"), F.col("dst_id")))
-    return df.groupBy("id").agg(F.min("series").alias("series"), F.min("src_id").alias("src_id"), F.min("dst_id").alias("dst_id"), F.min("pred").alias("pred"), union_of("cids").alias("cids"), F.max("conf").alias("conf"))
+    return _merged_edges(df)
 
 
 def quality(nodes: DataFrame, edges: DataFrame, series: str | None = None) -> DataFrame:

@@ -80,8 +80,13 @@ def upsert_relations(old: DataFrame | None, new: DataFrame, nodes: DataFrame) ->
 
 
 def link_mentions(nodes: DataFrame, chunks: DataFrame, kind: str = "MENTIONED_IN") -> DataFrame:
-    """(entity_id, cid, page, kind) for every cid that an entity names and that exists."""
-    each = nodes.select(F.col("id").alias("entity_id"), F.explode("cids").alias("cid")).distinct()
+    """(entity_id, cid, page, kind) for every cid that an entity's array names and that exists."""
+    return link_evidence(nodes.select(F.col("id").alias("entity_id"), F.explode("cids").alias("cid")), chunks, kind)
+
+
+def link_evidence(evidence: DataFrame, chunks: DataFrame, kind: str = "MENTIONED_IN") -> DataFrame:
+    """The same from rows (entity_id, cid), which no cap on the stored arrays has shortened."""
+    each = evidence.select("entity_id", "cid").distinct()
     page = F.col("page") if "page" in chunks.columns else F.lit(None).cast("int").alias("page")
     return each.join(chunks.select("cid", page), "cid").select("entity_id", "cid", "page", F.lit(kind).alias("kind")).distinct()
 

@@ -352,12 +352,13 @@ def bm25_top_k(spark, sf_dir):
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = _vectors(spark, sf_dir)
-    one = e.select("id", (F.col("label") / 10).alias("score")).where("id % 2 = 0")
-    two = e.select("id", (F.col("id") % 7 / 7).alias("score")).where("id % 3 = 0")
+    one = e.select("id", (F.col("label") / 10).alias("score")).where("score >= 0.3")
+    two = e.select("id", (F.col("id") % 7 / 7).alias("score")).where("score >= 0.2")
     return one, two
 
 
-_HITS = "WITH one AS (SELECT vec_id AS id, label / 10 AS score FROM embeddings WHERE vec_id % 2 = 0), two AS (SELECT vec_id AS id, vec_id % 7 / 7 AS score FROM embeddings WHERE vec_id % 3 = 0)"
+#: Hits of two searches over all vectors: those that reach the threshold of each.
+_HITS = "WITH one AS (SELECT vec_id AS id, label / 10 AS score FROM embeddings WHERE label / 10 >= 0.3), two AS (SELECT vec_id AS id, vec_id % 7 / 7 AS score FROM embeddings WHERE vec_id % 7 / 7 >= 0.2)"
 
 
 @query(f"{_HITS}, s AS (SELECT id, round(coalesce(0.6 * one.score, 0) + coalesce(0.4 * two.score, 0), 9) AS score FROM one FULL JOIN two USING (id)) SELECT id, round(score, 6) AS score FROM s")
@@ -373,10 +374,10 @@ def candidate_merge(spark, sf_dir):
     return m.select("id", *[F.round(c, 6).alias(c) for c in ("prior", "dense", "score")])
 
 
-@query("""WITH c AS (SELECT label AS mention_id, vec_id AS id, vec_id % 97 / 97 AS score FROM embeddings WHERE vec_id % 9 < 4), r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS k FROM c)
+@query("""WITH c AS (SELECT label AS mention_id, vec_id AS id, vec_id % 97 / 97 AS score FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS k FROM c)
 SELECT mention_id, max(CASE WHEN k = 1 AND score >= 0.55 THEN id END) AS winner, round(max(CASE WHEN k = 1 THEN score END), 6) AS score, string_agg(id, ',' ORDER BY k) AS kept FROM r WHERE k <= 5 GROUP BY mention_id""")
 def best_or_none(spark, sf_dir):
-    c = _vectors(spark, sf_dir).where("id % 9 < 4").select(F.col("label").alias("mention_id"), "id", (F.col("id") % 97 / 97).alias("score"))
+    c = _vectors(spark, sf_dir).select(F.col("label").alias("mention_id"), "id", (F.col("id") % 97 / 97).alias("score"))
     b = search.best_or_none(c)
     return b.select("mention_id", "winner", F.round("score", 6).alias("score"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
@@ -432,7 +433,7 @@ def graph_quality(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {_GRAPH}, n AS (SELECT id, conf FROM nodes WHERE conf >= 0.05), e0 AS (SELECT src_id || '>' || dst_id AS eid, * FROM edges WHERE conf >= 0.05),
 e AS (SELECT eid, src_id AS u, dst_id AS v, conf FROM e0 UNION ALL SELECT eid, dst_id, src_id, conf FROM e0),
-seeds AS (SELECT 's' || s_suppkey AS id, s_suppkey AS rank FROM supplier WHERE s_suppkey <= 8),
+seeds AS (SELECT 's' || s_suppkey AS id, s_suppkey AS rank FROM supplier),
 w AS (SELECT n.id AS src, s.rank AS sr, n.id AS at, [n.id] AS path, []::VARCHAR[] AS used, n.conf AS total, 0 AS hops FROM seeds s JOIN n ON n.id = s.id
  UNION ALL SELECT w.src, w.sr, e.v, list_append(w.path, e.v), list_append(w.used, e.eid), w.total + e.conf + n.conf, w.hops + 1 FROM w JOIN e ON e.u = w.at JOIN n ON n.id = e.v WHERE w.hops < 3 AND NOT list_contains(w.used, e.eid)),
 f AS (SELECT w.src, s.id AS dst, hops, used, pow(0.8, hops - 1) * total / (2 * hops + 1) AS score FROM w JOIN seeds s ON s.id = w.at WHERE hops > 0 AND w.sr < s.rank)
@@ -441,7 +442,7 @@ SELECT src, dst, CAST(hops AS INT) AS length, array_to_string(used, '|') AS edge
 def bounded_trails(spark, sf_dir):
     """Best six trails of at most three edges between each two seeds."""
     nodes, edges = tpch_graph(spark, sf_dir)
-    seeds = nodes.where("type = 'supplier'").select("id", F.substring("id", 2, 20).cast("int").alias("rank")).where("rank <= 8")
+    seeds = nodes.where("type = 'supplier'").select("id", F.substring("id", 2, 20).cast("int").alias("rank"))
     t = graph.trails(nodes, edges, seeds, k=None)
     return t.select("src", "dst", "length", F.array_join("edges", "|").alias("edges"), F.round("score", 6).alias("score"))
 
@@ -510,6 +511,8 @@ def _rounds(spark: SparkSession):
     """Writes a round to the folder that the cluster names for checkpoints."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/corpusloom-rounds")
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

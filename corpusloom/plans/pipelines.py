@@ -31,10 +31,12 @@ class Workspace:
         return self.save(df, "_rounds")
 
 
-def embed_chunks(chunks: DataFrame, *, dims: int = 384, embedder=None, build_id: str = "b0") -> DataFrame:
-    """Chunk nodes with vectors of the provider, or of the hash embedder."""
+def embed_chunks(chunks: DataFrame, *, dims: int = 384, embedder=None, provider: str = "hash", model: str = "sha256", build_id: str = "b0") -> DataFrame:
+    """Chunk nodes with vectors of ``embedder``, which ``provider`` and ``model`` name, or of the hash embedder."""
+    if embedder is not None and provider == "hash":
+        raise ValueError("name the provider and the model of the embedder")
     vector = (embedder or V.hash_embed(dims))(F.col("text"))
-    return chunks.select("cid", "series", F.col("filename").alias("file"), F.col("idx").alias("order"), "text", vector.alias("embedding"), F.lit("hash").alias("provider"), F.lit("sha256").alias("model"), F.lit(dims).alias("dims"), F.unix_timestamp().cast("double").alias("ts"), F.lit(build_id).alias("build_id"))
+    return chunks.select("cid", "series", F.col("filename").alias("file"), F.col("idx").alias("order"), "text", vector.alias("embedding"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dims).alias("dims"), F.unix_timestamp().cast("double").alias("ts"), F.lit(build_id).alias("build_id"))
 
 
 def build_graph(work: Workspace, chunks: DataFrame, *, reply: Callable[[str], str] = kg.rule_extractor, summarise: Callable[[str], str] | None = None, min_conf: float = 0.35, levels: int = 3, resolution: float = 1.2) -> dict[str, DataFrame]:
@@ -45,7 +47,7 @@ def build_graph(work: Workspace, chunks: DataFrame, *, reply: Callable[[str], st
     mapping = work.save(kg.id_map(nodes), "id_map")
     nodes = work.save(tables.upsert_entities(None, kg.link_nodes(nodes, mapping)), "nodes")
     edges = work.save(tables.upsert_relations(None, kg.remap_edges(edges, mapping), nodes), "edges")
-    mentions = work.save(tables.link_mentions(nodes, chunks), "mentions")
+    mentions = work.save(tables.link_evidence(kg.evidence(extracted, mapping, min_conf), chunks), "mentions")
     membership = work.save(graph.communities(edges, work.checkpoint, levels=levels, resolution=resolution), "membership")
     parents = work.save(graph.hierarchy(membership), "parents")
     members = graph.members_text(graph.top_members(membership, nodes, edges))
@@ -109,6 +111,7 @@ def ask(question: str, *, tables_: dict[str, DataFrame], chunks: DataFrame, repl
         hits = search.vector_top_k(chunks.withColumnRenamed("cid", "id"), V.hash_vector(question).tolist(), k).collect()
         prompt = f"Question: {question}\n\n" + "\n".join(f"[{h['id']}] {h['text']}" for h in hits)
         text_, cited = reply(prompt), [{"id": h["id"], "score": h["score"]} for h in hits]
+    # The keys of an answer.
     used_tokens = [int(len(x.split()) * 1.5) + 1 if x else 0 for x in (prompt, text_)]
     return {"mode_used": mode, "question": question, "answer": text_, "citations": cited, "latency_ms": int((time.time() - began) * 1000), "token_usage": {"prompt": used_tokens[0], "completion": used_tokens[1], "total": sum(used_tokens)}}
 

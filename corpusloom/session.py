@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -25,9 +29,25 @@ def build(app: str = "corpusloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local or shared-disk cluster import this package."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH"), os.environ.get("PYTHONPATH")]))
+    """Send this package to the Python workers of every executor, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+        if os.path.exists(os.path.join(root, "corpus_pipeline.py")):
+            z.write(os.path.join(root, "corpus_pipeline.py"), "corpus_pipeline.py")
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+    atexit.register(shutil.rmtree, os.path.dirname(archive), ignore_errors=True)

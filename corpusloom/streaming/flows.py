@@ -20,10 +20,17 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT, *, files: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def new_chunks(docs: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
-    """Chunks of streamed documents whose (file, hash of text) was not seen before."""
-    chunks = chunking.document_chunks(docs, o)
-    return chunks.withColumn("hash", F.sha1(F.col("text").cast("binary"))).dropDuplicates(["filename", "hash"])
+def new_chunks(docs: DataFrame, o: ChunkOptions | None = None, *, time: str = "ts", within: str | None = None) -> DataFrame:
+    """Chunks of streamed documents whose (file, hash of text) was not seen before.
+
+    Every pair ever seen stays in the state, 16 bytes and a key each, because a
+    file may come back at any time; with ``within``, the age of events in
+    ``time`` after which a pair may be forgotten, the state is bounded.
+    """
+    if within:
+        docs = docs.withWatermark(time, within)
+    chunks = chunking.document_chunks(docs, o, keep=(time,) if within else ()).withColumn("hash", F.sha1(F.col("text").cast("binary")))
+    return chunks.dropDuplicatesWithinWatermark(["filename", "hash"]) if within else chunks.dropDuplicates(["filename", "hash"])
 
 
 def upsert_sink(spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -37,7 +44,9 @@ def upsert_sink(spark: SparkSession, path: str, merge: Callable[[DataFrame | Non
         jvm = spark.sparkContext._jvm
         before = jvm.org.apache.hadoop.fs.Path(f"{path}/v={n - 1}")
         fs = before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = spark.read.parquet(f"{path}/v={n - 1}") if n and fs.exists(before) else None
+        if n and not fs.exists(before):
+            raise FileNotFoundError(f"snapshot {n - 1} is missing below {path}: batch {n} would start from nothing")
+        old = spark.read.parquet(f"{path}/v={n - 1}") if n else None
         merge(old, batch).write.mode("overwrite").parquet(f"{path}/v={n}")
 
     return write
