@@ -47,12 +47,12 @@ def trails(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, hops: int =
     stop = seeds.select(F.col("id").alias("dst"), F.col("rank").alias("dst_rank"))
     # reach[d]: nodes at most d hops from a seed.
     reach = [seeds.select(F.col("id").alias("v")).distinct()]
-    for _ in range(hops - 1):
+    for _ in range(hops - 2):  # the first hop leaves a seed and can always go back
         reach.append(reach[-1].union(step.join(reach[-1], "v", "left_semi").select(F.col("u").alias("v"))).distinct())
     now = n.join(start, n["id"] == start["src"]).select("src", "src_rank", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<string>").alias("preds"), F.col("conf").alias("total"))
     found = None
     for hop in range(1, hops + 1):
-        near = step.join(reach[hops - hop], "v", "left_semi")
+        near = step if hop == 1 < hops else step.join(reach[hops - hop], "v", "left_semi")
         now = now.join(near, now["at"] == near["u"]).where(~F.array_contains("edges", F.col("edge_id")))
         now = now.select("src", "src_rank", F.col("v").alias("at"), F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("preds", F.col("pred")).alias("preds"), (F.col("total") + F.col("conf") + F.col("v_conf")).alias("total"))
         hit = now.join(stop, (now["at"] == stop["dst"]) & (now["src_rank"] < stop["dst_rank"])).select("src", "dst", "nodes", "edges", "preds", F.lit(hop).alias("length"), (F.lit(alpha ** (hop - 1)) * F.col("total") / (2 * hop + 1)).alias("score"))

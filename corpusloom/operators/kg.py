@@ -83,12 +83,14 @@ def _mentioned(extracted: DataFrame, min_conf: float) -> DataFrame:
     return e.withColumn("id", ids.node_id(F.col("series"), F.col("name"), F.col("type")))
 
 
-def evidence(extracted: DataFrame, mapping: DataFrame | None = None, min_conf: float = 0.35) -> DataFrame:
-    """(entity_id, cid): every chunk that names an entity, as rows, after the ids of ``mapping``."""
-    e = _mentioned(extracted, min_conf).select(F.col("id").alias("entity_id"), "cid").distinct()
-    if mapping is not None:
-        e = e.join(mapping, e["entity_id"] == mapping["old_id"], "left").select(F.coalesce("new_id", "entity_id").alias("entity_id"), "cid").distinct()
-    return e
+def evidence(extracted: DataFrame, min_conf: float = 0.35) -> DataFrame:
+    """(entity_id, cid): every chunk that names an entity, as rows."""
+    return _mentioned(extracted, min_conf).select(F.col("id").alias("entity_id"), "cid").distinct()
+
+
+def map_evidence(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Evidence rows after the ids of ``mapping``; unknown ids stay."""
+    return rows.join(mapping, rows["entity_id"] == mapping["old_id"], "left").select(F.coalesce("new_id", "entity_id").alias("entity_id"), "cid").distinct()
 
 
 def _with_cids(merged: DataFrame, rows: DataFrame, limit: int = MAX_CIDS, column: str = "cids") -> DataFrame:

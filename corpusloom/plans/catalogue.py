@@ -596,8 +596,13 @@ _NODE = "substr(sha1('tpch::' || lower(trim({0})) || '::{1}'), 1, 16)"
 SELECT id, arg_min(name, k * 2 + o) AS name, type, count(DISTINCT k) AS n_cids, round(max(conf), 6) AS conf FROM e WHERE conf >= 0.35 GROUP BY id, type"""
 )
 def canonical_nodes(spark, sf_dir):
-    n = kg.canonical_nodes(_extracted(spark, sf_dir))
-    return n.select("id", "name", "type", F.size("cids").cast("bigint").alias("n_cids"), F.round("conf", 6).alias("conf"))
+    x = _extracted(spark, sf_dir)
+    n = kg.canonical_nodes(x).join(_evidence_counts(kg.evidence(x)), "id")
+    return n.select("id", "name", "type", "n_cids", F.round("conf", 6).alias("conf"))
+
+
+def _evidence_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("n_cids"))
 
 
 @query(
@@ -622,8 +627,9 @@ _LINK = rf"""g AS (SELECT 'p' || p_partkey AS id, p_type AS name, p_size / 50.0
 @query(f"WITH {_LINK} SELECT new_id AS id, count(*) AS n_cids, round(max(conf), 6) AS conf FROM map JOIN g ON g.id = old_id GROUP BY new_id")
 def linked_nodes(spark, sf_dir):
     n = _named(spark, sf_dir)
-    out = kg.link_nodes(n, kg.id_map(n))
-    return out.select("id", F.size("cids").cast("bigint").alias("n_cids"), F.round("conf", 6).alias("conf"))
+    mapping = kg.id_map(n)
+    rows = kg.map_evidence(n.select(F.col("id").alias("entity_id"), F.explode("cids").alias("cid")), mapping)
+    return kg.link_nodes(n, mapping).join(_evidence_counts(rows), "id").select("id", "n_cids", F.round("conf", 6).alias("conf"))
 
 
 @query(

@@ -47,7 +47,7 @@ def build_graph(work: Workspace, chunks: DataFrame, *, reply: Callable[[str], st
     mapping = work.save(kg.id_map(nodes), "id_map")
     nodes = work.save(tables.upsert_entities(None, kg.link_nodes(nodes, mapping)), "nodes")
     edges = work.save(tables.upsert_relations(None, kg.remap_edges(edges, mapping), nodes), "edges")
-    mentions = work.save(tables.link_evidence(kg.evidence(extracted, mapping, min_conf), chunks), "mentions")
+    mentions = work.save(tables.link_evidence(kg.map_evidence(kg.evidence(extracted, min_conf), mapping), chunks), "mentions")
     membership = work.save(graph.communities(edges, work.checkpoint, levels=levels, resolution=resolution), "membership")
     parents = work.save(graph.hierarchy(membership), "parents")
     members = graph.members_text(graph.top_members(membership, nodes, edges))
