@@ -4,25 +4,25 @@ A window is ``window`` consecutive white-space words of one document.  Every
 word inside a window whose word sequence also starts elsewhere, in the same
 document or another, is removed; all windows are judged on the input.
 
-Texts are packed into numbered blocks first (a table in the shared folder), so
-a place is a block and a word of it.
+Texts are dealt into groups first, so a place is a group and a word of it; the
+three steps that read them share one shuffle.
 
 Pass 1, the sketch.  A window is counted through its anchor, the smallest hash
 among the half-window word runs inside it.  Equal windows have equal anchors
 at different places, so the count of an anchor is never below the count of the
 window: the estimate loses no repeated window while only about a tenth of the
-positions enter the sketch.  Each block sends its own sketch (the cells of its
+positions enter the sketch.  Each group sends its own sketch (the cells of its
 distinct anchors and whether it has them twice) to the shards of a count-min
 sketch of two rows; a shard merges them by addition and answers, for each
-block, which anchors are estimated to occur twice.  The number of shards
+group, which anchors are estimated to occur twice.  The number of shards
 follows the input, so the share of unique windows that pass does not grow with
 it, and no task holds, and nothing broadcasts, more than a shard.
 
-Pass 2, exact.  A block groups the windows that are estimated repeated by a
+Pass 2, exact.  A group compares the windows that are estimated repeated by a
 keyed 128-bit BLAKE2 of their words; what it has twice it knows at once and
 tells the shards by one entry, so a window that fills a third of all rows
-leaves each block once.  Shards of the digest group the rest and answer the
-blocks with runs of repeated windows.
+leaves each group once.  Shards of the digest compare the rest and answer the
+groups with runs of repeated windows.
 
 Both exchanges are those of :mod:`corpusloom.llm.exchange`: rows in proportion
 to the input.
@@ -49,8 +49,8 @@ from corpusloom.llm import exchange as X
 WINDOW = 35
 #: log2 of the cells in each of the two rows of a shard of the sketch.
 WIDTH_BITS = 22
-#: Text for one shard of the sketch (half a million anchors), and of the exact pass (a million windows).
-SKETCH_BYTES, EXACT_BYTES = 32 << 20, 6 << 20
+#: Text for one shard of the sketch (half a million anchors), and of the exact pass (five million windows at most).
+SKETCH_BYTES, EXACT_BYTES = 32 << 20, 32 << 20
 _NONE = np.iinfo(np.uint64).max
 _KEY = b"windows"
 
@@ -69,6 +69,7 @@ class Windows:
         self.at = np.flatnonzero(at + window <= ends)
         self.window = window
         grams = C.runs(w.hashes(), gram)
+        w.words = []  # the texts themselves are not needed any more
         grams[at + gram > ends] = _NONE
         least = C.runs(grams, span, np.minimum)
         #: Anchor hash of each window of ``at``.
@@ -89,11 +90,25 @@ class Windows:
         return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
-def _anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a block, sorted, and whether it has them twice."""
-    held = [C.mix(Windows(run, window).anchors, 3) for run in X.slices(texts)]
-    found, count = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-    return found, count > 1
+class Block:
+    """All windows of a group of texts."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.runs = [Windows(run, window) for run in X.slices(texts)]
+        held = [C.mix(w.anchors, 3) for w in self.runs]
+        #: Distinct anchors, sorted, and whether they are there twice.
+        self.found, count = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        self.twice = count > 1
+
+    def chosen(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, word positions in the group) of the windows whose anchor is ``repeated``."""
+        digests, places, before = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], 0
+        for w in self.runs:
+            at = w.at[repeated[np.searchsorted(self.found, C.mix(w.anchor, 3))]] if len(w.at) else w.at
+            digests.append(w.digests(at))
+            places.append(at + before)
+            before += len(w.words.start)
+        return np.concatenate(digests), np.concatenate(places)
 
 
 def _share(h: np.ndarray, shards: int) -> np.ndarray:
@@ -118,18 +133,6 @@ def _group(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return order, new, np.cumsum(new) - 1
 
 
-def _block_windows(texts: list[bytes], window: int, found: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(digests, word positions in the block) of the windows whose anchor is estimated repeated."""
-    digests, places, before = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], 0
-    for run in X.slices(texts):
-        w = Windows(run, window)
-        at = w.at[repeated[np.searchsorted(found, C.mix(w.anchor, 3))]] if len(w.at) else w.at
-        digests.append(w.digests(at))
-        places.append(at + before)
-        before += len(w.words.start)
-    return np.concatenate(digests), np.concatenate(places)
-
-
 def _runs(block: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     """Distinct (block, position) as runs: block, first position, length."""
     order = np.lexsort((pos, block))
@@ -141,64 +144,60 @@ def _runs(block: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     return [block[first], pos[first], pos[last] - pos[first] + 1]
 
 
-def remove_repeated(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, window: int = WINDOW, width_bits: int = WIDTH_BITS, sketch_bytes: int = SKETCH_BYTES, exact_bytes: int = EXACT_BYTES, fan: int | None = None) -> DataFrame:
+def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, window: int = WINDOW, width_bits: int = WIDTH_BITS, sketch_bytes: int = SKETCH_BYTES, exact_bytes: int = EXACT_BYTES, group_bytes: int | None = None, fan: int | None = None) -> DataFrame:
     """``row``, ``n_words``, ``spans`` (removed word ranges) and ``kept`` (the other words joined by one space)."""
     C.bound_batches(docs.sparkSession)
     cols = docs.columns if carry is None else carry
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), F.col(C.sql_name(text)).cast("string").alias("text"))
-    blocks, number, size = X.blocks(df, "substring-blocks")
-    sketch_shards, exact_shards = max(1, -(-size // sketch_bytes)), max(1, -(-size // exact_bytes))
-    sketch = X.Exchange(["+u8", "u1", "u8", "+u4"], sketch_shards, lambda c: _share(c[0], sketch_shards), fan)
-    exact = X.Exchange(["u8", "u8", "u1", "u8", "+u4"], exact_shards, lambda c: _share(c[0], exact_shards), fan)
-    flagged, covered = X.Answers(["+u4"], number, fan), X.Answers(["+u4", "u4"], number, fan)
-
-    def sketches(it):
-        for batch in it:
-            for block, texts, lengths in zip(*(batch.column(c) for c in ("block", "texts", "lengths")), strict=True):
-                found, twice = _anchors(X.texts_of(texts.as_py(), lengths.as_py()), window)
-                yield sketch.cut([found, twice, np.full(len(found), block.as_py(), np.uint64), np.arange(len(found))])
+    body = F.col(C.sql_name(text)).cast("string")
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), body.alias("text"), F.col(C.sql_name(doc_id)).alias("id"))
+    groups = X.Groups(df, ["id", "text"], group_bytes)
+    sketch_shards, exact_shards = max(1, -(-groups.size // sketch_bytes)), max(1, -(-groups.size // exact_bytes))
+    sketch = X.Exchange(["+u8", "u1", "u4", "+u4"], sketch_shards, lambda c: _share(c[0], sketch_shards), fan)
+    exact = X.Exchange(["u8", "u8", "u1", "u4", "+u4"], exact_shards, lambda c: _share(c[0], exact_shards), fan)
+    flagged, covered = groups.answers(["+u4"], fan), groups.answers(["+u4", "u4"], fan)
+
+    def sketched(number: int, texts: list[bytes]) -> pa.RecordBatch:
+        block = Block(texts, window)
+        return sketch.cut([block.found, block.twice, np.full(len(block.found), number), np.arange(len(block.found))])
 
     def merged(table: pa.Table) -> pa.Table:
-        h, twice, block, index = sketch.gather(table)
-        back = estimate(h, twice, width_bits) & (twice == 0)  # what a block has twice it knows
-        return pa.Table.from_batches([flagged.exchange.cut([block[back], index[back]])])
+        h, twice, group, index = sketch.gather(table)
+        back = estimate(h, twice, width_bits) & (twice == 0)  # what a group has twice it knows
+        return pa.Table.from_batches([flagged.cut([group[back], index[back]])])
 
-    def windows(block: dict, answers: list[np.ndarray]) -> list[pa.RecordBatch]:
-        texts = X.texts_of(block["texts"][0].as_py(), block["lengths"][0].as_py())
-        found, repeated = _anchors(texts, window)
+    def windows(number: int, _, texts: list[bytes], answers: list[np.ndarray]) -> pa.RecordBatch:
+        block = Block(texts, window)
+        repeated = block.twice.copy()
         repeated[answers[0]] = True
-        digests, pos = _block_windows(texts, window, found, repeated)
-        order, new, group = _group(digests[:, 0], digests[:, 1])
+        digests, pos = block.chosen(repeated)
+        order, new, same = _group(digests[:, 0], digests[:, 1])
         digests, pos = digests[order], pos[order]
-        many = np.bincount(group)[group] > 1 if len(group) else new
+        many = np.bincount(same)[same] > 1 if len(same) else new
         known = np.sort(pos[many])
-        number = np.uint64(block["block"][0].as_py())
-        # 0: a window that the block has once; 2: told to its shard, without a place; 1: known, on its way back.
-        h = [np.concatenate([digests[~many, i], digests[many & new, i], np.full(len(known), C.mix(np.array([number]))[0] if i == 0 else 0, np.uint64)]) for i in (0, 1)]
-        kind = np.repeat([0, 2, 1], [int((~many).sum()), int((many & new).sum()), len(known)])
-        place = np.concatenate([pos[~many], np.zeros(int((many & new).sum()), np.int64), known])
+        # 0: a window that the group has once; 2: told to its shard, without a place; 1: known, on its way back.
+        spread = C.mix(np.array([number], np.uint64))[0]
+        h = [np.concatenate([digests[~many, i], digests[many & new, i], np.full(len(known), 0 if i else spread, np.uint64)]) for i in (0, 1)]
+        told = int((many & new).sum())
+        kind = np.repeat([0, 2, 1], [int((~many).sum()), told, len(known)])
+        place = np.concatenate([pos[~many], np.zeros(told, np.int64), known])
         order = np.lexsort((place, kind))
-        return [exact.cut([h[0][order], h[1][order], kind[order], np.full(len(kind), number), place[order]])]
+        return exact.cut([h[0][order], h[1][order], kind[order], np.full(len(kind), number), place[order]])
 
-    def grouped(table: pa.Table) -> pa.Table:
-        h1, h2, kind, block, pos = exact.gather(table)
+    def compared(table: pa.Table) -> pa.Table:
+        h1, h2, kind, group, pos = exact.gather(table)
         back = kind == 1
         asked = np.flatnonzero(~back)
-        order, _, group = _group(h1[asked], h2[asked])
+        order, _, same = _group(h1[asked], h2[asked])
         if len(asked):
-            many = (np.bincount(group) > 1) | (np.bincount(group, kind[asked][order]) > 0)
-            back[asked[order]] = many[group] & (kind[asked][order] == 0)
-        return pa.Table.from_batches([covered.exchange.cut(_runs(block[back], pos[back]))])
-
-    fields = [T.StructField("row", df.schema["row"].dataType), *T._parse_datatype_string("n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string").fields]
-
-    def cut(block: dict, answers: list[np.ndarray]) -> list[pa.RecordBatch]:
-        texts = X.texts_of(block["texts"][0].as_py(), block["lengths"][0].as_py())
-        rows = block["rows"].flatten()
-        first, n = answers[0].astype(np.int64), answers[1].astype(np.int64)
+            many = (np.bincount(same) > 1) | (np.bincount(same, kind[asked][order]) > 0)
+            back[asked[order]] = many[same] & (kind[asked][order] == 0)
+        return pa.Table.from_batches([covered.cut(_runs(group[back], pos[back]))])
+
+    def cut(_, table: pa.Table, texts: list[bytes], answers: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(answers[0])
+        first = answers[0][order].astype(np.int64)
+        end = first + answers[1][order] + window - 1
         counts, spans, kept, before = [], [], [], 0
-        order = np.argsort(first)
-        first, end = first[order], (first + n + window - 1)[order]
         for t in texts:
             words = t.split()
             lo, hi = np.searchsorted(end, before, "right"), np.searchsorted(first, before + len(words))
@@ -215,12 +214,12 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", carry: list[str] | N
                 del words[s["start"] : s["end"]]
             kept.append(b" ".join(words).decode())
         lists = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return [pa.RecordBatch.from_arrays([rows, pa.array(counts, pa.int64()), lists, pa.array(kept, pa.string())], ["row", "n_words", "spans", "kept"])]
+        return pa.RecordBatch.from_arrays([table.column("row").combine_chunks(), pa.array(counts, pa.int64()), lists, pa.array(kept, pa.string())], ["row", "n_words", "spans", "kept"])
 
-    needed = ["block", "texts", "lengths"]
-    told = sketch.deliver(blocks.select(needed).mapInArrow(C.lean(sketches), X.ROWS)).groupBy("bucket").applyInArrow(merged, X.ROWS)
-    asked = exact.deliver(flagged.meet(blocks, told, windows, X.ROWS, needed))
-    return covered.meet(blocks, asked.groupBy("bucket").applyInArrow(grouped, X.ROWS), cut, T.StructType(fields), ["rows", *needed])
+    fields = [df.schema["row"], *T._parse_datatype_string("n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string").fields]
+    told = sketch.deliver(groups.each(sketched, X.ROWS)).groupBy("bucket").applyInArrow(merged, X.ROWS)
+    asked = exact.deliver(groups.meet(flagged, told, windows, X.ROWS)).groupBy("bucket").applyInArrow(compared, X.ROWS)
+    return groups.meet(covered, asked, cut, T.StructType(fields))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
