@@ -1,4 +1,4 @@
-"""Exchange of packed columns between blocks of text and shards.
+"""Exchange of packed columns between groups of texts and shards.
 
 Per-window and per-word work happens in numpy, so what travels between tasks
 are rows of packed columns: ``bucket``, ``n`` (entries) and ``cols``, one
@@ -11,9 +11,9 @@ read some buckets gather the entries of many senders and cut them into
 the entries (times the logarithm of the targets), not with senders times
 targets.
 
-Blocks of text are numbered rows of a table in the shared folder, so what a
-shard sends back to "entry 7 of block 12" means the same however often a lost
-task is run again.
+Texts themselves are dealt once into groups (:class:`Groups`), so what a shard
+sends back to "entry 7 of group 12" means the same however often a lost task is
+run again.
 """
 
 from __future__ import annotations
@@ -23,19 +23,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.llm import common as C
 
 #: Buckets that a row set is cut into at one level.
-FAN = 128
+FAN = 512
 #: Entries a task gathers before it cuts them again.
 GATHER = 1 << 20
-#: Text in a block, and blocks that are answered together.
-BLOCK_BYTES, TOGETHER = 2 << 20, 8
+#: Text in a group, and text that one task holds of several groups.
+GROUP_BYTES, TASK_BYTES = 4 << 20, 32 << 20
 ROWS = "bucket int, n int, cols array<binary>"
 _ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("cols", pa.list_(pa.binary()))])
 
@@ -56,27 +54,39 @@ class Exchange:
     """Rows of packed columns on their way to ``targets``.
 
     ``kinds`` are numpy types of the columns; one that begins with ``+`` rises
-    within a sender and is stored as differences.  ``target`` gives the target
-    of each entry from the columns.
+    within a sender and is stored as differences.  One that begins with ``@``
+    is a pair (table, places in it), of which a row holds the part it names;
+    tables of several senders are put one behind the other.  ``target`` gives
+    the target of each entry from the columns.
     """
 
     def __init__(self, kinds: list[str], targets: int, target: Callable[[list[np.ndarray]], np.ndarray], fan: int | None = None):
         self.rising = [k.startswith("+") for k in kinds]
-        self.kinds, self.targets, self.target, self.fan = [k.lstrip("+") for k in kinds], targets, target, fan or FAN
+        self.named = [k.startswith("@") for k in kinds]
+        self.kinds, self.targets, self.target, self.fan = [k.lstrip("+@") for k in kinds], targets, target, fan or FAN
         self.width = 1
         while -(-targets // self.width) > self.fan:
             self.width *= self.fan
 
-    def encode(self, cols: list[np.ndarray]) -> list[bytes]:
-        return [pack(np.diff(c, prepend=c.dtype.type(0)) if up else c) for c, up in zip(cols, self.rising, strict=True)]
-
-    def decode(self, blobs: list[bytes]) -> list[np.ndarray]:
-        cols = [unpack(b, k) for b, k in zip(blobs, self.kinds, strict=True)]
-        return [np.cumsum(c, dtype=c.dtype) if up else c for c, up in zip(cols, self.rising, strict=True)]
-
-    def cut(self, cols: list[np.ndarray], width: int | None = None) -> pa.RecordBatch:
+    def _encode(self, col, part: np.ndarray, at: int) -> list[bytes]:
+        if self.named[at]:
+            used, place = np.unique(col[1][part], return_inverse=True)
+            return [pack(col[0][used]), pack(np.diff(place.astype(np.uint32), prepend=np.uint32(0)))]
+        col = col[part]
+        return [pack(np.diff(col, prepend=col.dtype.type(0)) if self.rising[at] else col)]
+
+    def decode(self, blobs: list[bytes]) -> list:
+        blobs, out = iter(blobs), []
+        for kind, up, named in zip(self.kinds, self.rising, self.named, strict=True):
+            col = unpack(next(blobs), kind)
+            if named:
+                col = (col, np.cumsum(unpack(next(blobs), "u4"), dtype=np.uint32))
+            out.append(np.cumsum(col, dtype=col.dtype) if up else col)
+        return out
+
+    def cut(self, cols: list, width: int | None = None) -> pa.RecordBatch:
         """Rows of these entries, by bucket; entries of a bucket stay in their order."""
-        cols = [np.asarray(c, k) for c, k in zip(cols, self.kinds, strict=True)]
+        cols = [c if named else np.asarray(c, k) for c, k, named in zip(cols, self.kinds, self.named, strict=True)]
         bucket = self.target(cols).astype(np.int64) // (width or self.width)
         rows = []
         if len(bucket):
@@ -84,13 +94,21 @@ class Exchange:
             order = np.argsort((bucket - low).astype(np.uint16) if int(bucket.max()) - low < 1 << 16 else bucket, kind="stable")
             names, at = np.unique(bucket[order], return_index=True)
             for name, part in zip(names.tolist(), np.split(order, at[1:]), strict=True):
-                rows.append((name, len(part), self.encode([c[part] for c in cols])))
+                rows.append((name, len(part), [blob for i, c in enumerate(cols) for blob in self._encode(c, part, i)]))
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else ([], [], []), _ARROW, strict=True)], schema=_ARROW)
 
-    def gather(self, table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    def gather(self, table: pa.Table | pa.RecordBatch) -> list:
         """The entries of all rows, one sender's after the other's."""
         parts = [self.decode(x) for x in table.column("cols").to_pylist()]
-        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, k) for k in self.kinds]
+        out = []
+        for at, (kind, named) in enumerate(zip(self.kinds, self.named, strict=True)):
+            if named:
+                base = np.cumsum([0, *(len(p[at][0]) for p in parts)])
+                places = [p[at][1].astype(np.int64) + b for p, b in zip(parts, base, strict=False)]
+                out.append((np.concatenate([np.empty(0, kind), *(p[at][0] for p in parts)]), np.concatenate([np.empty(0, np.int64), *places])))
+            else:
+                out.append(np.concatenate([np.empty(0, kind), *(p[at] for p in parts)]))
+        return out
 
     def deliver(self, rows: DataFrame) -> DataFrame:
         """``rows`` cut until a bucket is one target."""
@@ -106,6 +124,9 @@ class Exchange:
             held, n = [], 0
             for batch in it:
                 for at in range(batch.num_rows):
+                    if batch.column("bucket")[at].as_py() < 0:  # of another kind: only carried
+                        yield batch.slice(at, 1)
+                        continue
                     held.append(batch.slice(at, 1))
                     n += batch.column("n")[at].as_py()
                     if n >= GATHER:
@@ -117,37 +138,49 @@ class Exchange:
         return run
 
 
-# --- blocks ---------------------------------------------------------------
+class Groups:
+    """Texts in groups of about ``size`` bytes, read by several steps of one plan.
 
-_MASK = (1 << 63) - 1
+    ``docs`` has ``row`` and ``text``; rows fall into groups by a hash of
+    ``keys``.  All steps read one shuffle: the same exchange occurs in the plan
+    several times and is reused.  Within a group texts are sorted, so "entry 7
+    of group 12" means the same however often a lost task is run again.
+    """
 
+    def __init__(self, docs: DataFrame, keys: list, size: int | None = None):
+        size = size or GROUP_BYTES
+        total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+        self.size, self.number = total, max(1, -(-total // size))
+        tasks = max(1, min(self.number, max(-(-total // TASK_BYTES), docs.sparkSession.sparkContext.defaultParallelism)))
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.number)).cast("int").alias("bucket")
+        self.rows = docs.select(bucket, "row", "text").repartition(tasks, "bucket")
 
-def blocks(docs: DataFrame, name: str, size: int | None = None) -> tuple[DataFrame, int, int]:
-    """(table of blocks, number of blocks, bytes of text); ``docs`` has ``row`` and ``text``.
+    @staticmethod
+    def sorted(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+        texts = C.byte_list(table.column("text"))
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        return table.take(pa.array(order, pa.int64())), [texts[i] for i in order]
 
-    A block holds some rows and their whole texts: ``block`` (its number),
-    ``rows``, ``texts`` (compressed) and ``lengths``.
-    """
+    def each(self, work: Callable[[int, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+        """``work(group, texts)`` of all groups."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch, texts in C.batches_of(it, size=size or BLOCK_BYTES):
-            whole = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("row"))
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            # An odd factor spreads the numbers and keeps them apart.
-            yield pa.RecordBatch.from_arrays([pa.array([number * 0x1E3779B97F4A7C15 & _MASK], pa.int64()), rows, pa.array([whole], pa.binary()), pa.array([pack(lengths)], pa.binary()), pa.array([int(lengths.sum())], pa.int64())], ["block", "rows", "texts", "lengths", "size"])
-            number += 1
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([work(key[0].as_py(), Groups.sorted(table)[1])])
 
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema["row"].dataType)), *T._parse_datatype_string("texts binary, lengths binary, size bigint").fields])
-    out = C.stage(docs.select("row", "text").mapInArrow(C.lean(run), schema), name)
-    n, total = out.agg(F.count(F.lit(1)), F.sum("size")).head()
-    return out, n, total or 0
+        return self.rows.groupBy("bucket").applyInArrow(run, schema)
 
+    def answers(self, kinds: list[str], fan: int | None = None) -> Exchange:
+        """An exchange back to the groups; its first column is the group."""
+        return Exchange(["u4", *kinds], self.number, lambda c: c[0], fan)
 
-def texts_of(texts: bytes, lengths: bytes) -> list[bytes]:
-    whole, ends = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(unpack(lengths, "i8")).tolist()
-    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    def meet(self, answers: Exchange, rows: DataFrame, work: Callable, schema) -> DataFrame:
+        """``work(group, table, texts, answers)`` of all groups, with the columns of the entries sent to them."""
+
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            table, texts = Groups.sorted(left)
+            return pa.Table.from_batches([work(key[0].as_py(), table, texts, answers.gather(right)[1:])])
+
+        return self.rows.groupBy("bucket").cogroup(answers.deliver(rows).groupBy("bucket")).applyInArrow(run, schema)
 
 
 def slices(texts: list[bytes], size: int = C.CHUNK_BYTES) -> Iterator[list[bytes]]:
@@ -160,41 +193,3 @@ def slices(texts: list[bytes], size: int = C.CHUNK_BYTES) -> Iterator[list[bytes
             end += 1
         yield texts[at:end]
         at = end
-
-
-class Answers:
-    """The way back from shards to blocks: entries go to groups of ``TOGETHER`` blocks."""
-
-    def __init__(self, kinds: list[str], blocks: int, fan: int | None = None):
-        self.groups = max(1, -(-blocks // TOGETHER))
-        groups = self.groups
-        self.exchange = Exchange(["u8", *kinds], groups, lambda c: c[0] % np.uint64(groups), fan)
-
-    def meet(self, table: DataFrame, rows: DataFrame, work: Callable, schema, columns: list[str]) -> DataFrame:
-        """``work(block, answers)`` over all blocks of ``table``: a dict of its columns, and the columns of its entries.
-
-        ``work`` yields tables or batches of ``schema``.
-        """
-        exchange = self.exchange
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            entries = exchange.gather(right)
-            order = np.argsort(entries[0], kind="stable")
-            entries = [e[order] for e in entries]
-            out = []
-            for block in left.to_batches():
-                for at in range(block.num_rows):
-                    one = {c: block.column(c).slice(at, 1) for c in columns}
-                    number = np.uint64(one["block"][0].as_py())
-                    lo, hi = np.searchsorted(entries[0], number, "left"), np.searchsorted(entries[0], number, "right")
-                    out += work(one, [e[lo:hi] for e in entries[1:]])
-            return pa.Table.from_batches(out) if out else _empty(schema)
-
-        left = table.select(F.pmod(F.col("block"), F.lit(self.groups)).cast("int").alias("bucket"), *columns)
-        return left.groupBy("bucket").cogroup(exchange.deliver(rows).groupBy("bucket")).applyInArrow(run, schema)
-
-
-def _empty(schema) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema).empty_table()

@@ -1,32 +1,43 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased (A-Z) white-space words and one end token per text.  A
-token belongs to one of ``CLASSES`` classes: the end token and the most
-frequent words are classes of their own, all other words are spread over tail
-classes by a hash.  The model is a hierarchy of Chinese restaurants:
-
-* one restaurant per context, the class before, serving classes,
-* which all share one parent restaurant of classes over a uniform base,
-* and one restaurant per tail class serving its words, with a diffuse base, so
-  that each word has exactly one table there; an unseen word takes the
-  restaurant's mass for a new table.
-
-Every word of every training text is a customer.  Gibbs sweeps reseat all
-customers of a (context, class) pair together, given the seating of all
-others, and pass each new table on to the parent; predictive probabilities are
-averaged over the sweeps after ``BURN_IN``.  The class restaurants are
-``CLASSES**2`` counts whatever the corpus is, a bounded table that the driver
-samples and broadcasts.  Word counts are not bounded: words and the texts they
-stand in meet in shards of the word hash, packed as arrays, and only sums per
-text return.  Within a block of text equal words of a text travel once.
-
-A word is known by a 64-bit hash.  Probabilities are those of known words and
-one pooled unknown word per tail class.
+Tokens are lower-cased (A-Z) white-space words and one end token per text.  The
+model is a hierarchy of Chinese restaurants whose dishes are words:
+
+* one restaurant per context.  A context is the word before, or the end of the
+  text before; the ``HEADS`` most frequent words are contexts of their own, all
+  others share the remaining of ``CONTEXTS`` classes by a hash;
+* all of them share one parent restaurant, over a uniform base of the words
+  known from training and one unknown word.
+
+Every token of every training text is a customer, so what is gathered, the
+(context, word) pairs, their counts and tables, grows with the corpus.  Pairs
+live in shards of the word's hash: there a word has all its contexts, so its
+part of the parent restaurant is local.  What the shards must know of each
+other are the customers and tables of each context and of the parent, vectors
+of fixed size that are summed up and broadcast between rounds.  Words that are
+too frequent for a shard, the first ``DISHES``, are counted in a table of
+``CONTEXTS * (DISHES + 1)`` numbers that is sampled by the driver.
+
+Gibbs: a step draws the number of tables of one dish from its distribution
+given all other tables, p(t) ~ S(c, t) * prod_{j<t}(theta + d (T + j)) * P0**t
+with generalised Stirling numbers S, up to ``EXACT`` customers; above that the
+customers are seated one after another, an eighth at a time.  Steps of a sweep
+use the totals of the sweep before, and a shard those of the others as they
+were taken last.  After ``BURN_IN`` sweeps the seating is averaged over
+``SAMPLES``; the predictive probabilities of a context sum to one.  Draws depend
+on the pair and the sweep alone, so the model is the same however rows lie in
+partitions.
+
+The frequent words are found exactly: sketches of cells that add up to the same
+whatever the partitions are say which words may reach a share of
+``1 / 2**HEAVY_BITS`` of all training tokens, and those alone are counted.
+
+A word is known by a 64-bit digest.
 
 Edge cases: null and empty texts are the end token alone; without training
-texts the base is the unknown token's and classes are uniform; very long texts
-are scored whole; rows alike in id and text score alike; a null doc_id counts
-as the id ''.  Other columns are carried in ``row``.
+texts all probability is the unknown word's; very long texts are scored whole;
+rows alike in id and text score alike; a null doc_id counts as the id ''.
+Other columns are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -36,266 +47,445 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import common as C
+from corpusloom.llm import exchange as X
+
+#: Context 0 is the end token, then the frequent words by rank, then hashed classes.
+CONTEXTS, HEADS = 4096, 2047
+#: Frequent words, by rank, whose counts as dishes stand in one table; dish 0 is the end token.
+DISHES = 511
+#: Sweeps before the totals of all shards are taken again, and sweeps that are averaged.
+BURN_IN, SAMPLES = 3, 4
+#: Strength of the contexts, strength and discount of the parent.
+STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 1.0, 0.5
+#: Customers of a dish up to which its tables are drawn from their exact distribution.
+EXACT = 32
+#: Words to a flush of a block, and bytes of text for a shard of words or of texts.
+FLUSH, WORD_BYTES, TEXT_BYTES = 1 << 19, 24 << 20, 64 << 20
+#: log2 of the cells in each row of the sketch of words, and of the share that a frequent word must reach.
+CELL_BITS, HEAVY_BITS = 20, 16
+_PARTS = 16
+
+
+class Heads:
+    """The frequent words: hashes, and their ranks from 1."""
+
+    def __init__(self, by_rank: np.ndarray):
+        order = np.argsort(by_rank)
+        self.hashes, self.ranks = by_rank[order], order + 1
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        """Rank of each word, 0 for all others."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ranks[at], 0)
 
-#: Class 0 is the end token, then the frequent words, then TAIL hashed classes.
-CLASSES, TAIL = 1024, 512
-HEADS = CLASSES - TAIL - 1
-SWEEPS, BURN_IN = 10, 4
-#: Discount and strength of the word restaurants, of the parent, and strength of the contexts.
-WORD_DISCOUNT, WORD_STRENGTH = 0.75, 1.0
-PARENT_DISCOUNT, STRENGTH = 0.5, 1.0
-#: Tail tokens in a packed block, and tokens per shard.
-FLUSH, SHARD_TOKENS = 1 << 19, 4_000_000
-#: Words a block nominates as frequent.
-NOMINATED = 2048
 
+class Tokens:
+    """Words of a run of texts, and all tokens as (context, dish or 0, word, text)."""
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    def __init__(self, texts: list[bytes], heads: Heads | None = None):
+        w = C.Words([t.lower() for t in texts])
+        self.hash, self.doc, self.n, self.first = w.hashes(), w.doc, w.n, w.first
+        if heads is not None:
+            self._tokens(heads)
+
+    def _tokens(self, heads: Heads) -> None:
+        rank = heads.rank(self.hash)
+        hashed = (C.mix(self.hash.copy(), 7) % np.uint64(CONTEXTS - 1 - HEADS)).astype(np.int64) + 1 + HEADS
+        context = np.where(rank > 0, rank, hashed)
+        before = np.zeros_like(context)
+        before[1:] = context[:-1]
+        some = self.n > 0
+        before[self.first[:-1][some]] = 0
+        last = np.zeros(len(self.n), np.int64)
+        last[some] = context[self.first[1:][some] - 1]
+        #: Frequent dishes and end tokens: context, dish, text.
+        own = (rank > 0) & (rank <= DISHES)
+        self.head = np.concatenate([before[own], last]), np.concatenate([rank[own], np.zeros(len(self.n), np.int64)]), np.concatenate([self.doc[own], np.arange(len(self.n))])
+        #: All other words: context, hash, text.
+        self.tail = before[~own], self.hash[~own], self.doc[~own]
 
 
-def _unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+# --- frequent words -------------------------------------------------------
 
 
-class Tokens:
-    """Words of a run of texts: hash and text index."""
+def _cells(h: np.ndarray) -> list[np.ndarray]:
+    return [(C.mix(h.copy(), row + 51) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for row in range(2)]
 
-    def __init__(self, texts: list[bytes]):
-        w = C.Words([t.lower() for t in texts])
-        self.hash, self.doc, self.n, self.first = w.hashes(), w.doc, w.n, w.first
 
-    def classes(self, heads: np.ndarray) -> np.ndarray:
-        """Class of each word; ``heads`` are the sorted hashes of the frequent words."""
-        tail = (C.mix(self.hash.copy(), 7) % np.uint64(TAIL)).astype(np.int64) + CLASSES - TAIL
-        if not len(heads):
-            return tail
-        at = np.minimum(np.searchsorted(heads, self.hash), len(heads) - 1)
-        return np.where(heads[at] == self.hash, at + 1, tail)
-
-    def pairs(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context, class, text index) of all tokens, end tokens last."""
-        before = np.zeros_like(cls)
-        before[1:] = cls[:-1]
-        before[self.first[:-1][self.n > 0]] = 0
-        last = np.zeros(len(self.n), np.int64)
-        some = self.n > 0
-        last[some] = cls[self.first[1:][some] - 1]
-        return np.concatenate([before, last]), np.concatenate([cls, np.zeros(len(self.n), np.int64)]), np.concatenate([self.doc, np.arange(len(self.n))])
+def _runs_of(batch: pa.RecordBatch, texts: list[bytes]) -> np.ndarray:
+    """Hashes of the words of training texts."""
+    t = Tokens(texts)
+    return t.hash[batch.column("train").to_numpy(zero_copy_only=False).astype(bool)[t.doc]]
 
 
-def frequent(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the most frequent words of training texts, and all tokens of all texts."""
+def _gathered(it: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[np.ndarray]:
+    held, n = [], 0
+    for batch, texts in C.batches_of(it):
+        held.append(_runs_of(batch, texts))
+        n += len(held[-1])
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _sum_parts(df: DataFrame) -> DataFrame:
+    """(part, counts): vectors of equal parts added up."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, total = [], 0, 0
+        now, total = None, None
+        for batch in it:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if part != now and now is not None:
+                    yield _part(now, total)
+                    total = None
+                now, x = part, X.unpack(counts, "i8")
+                total = x.copy() if total is None else total + x
+        if now is not None:
+            yield _part(now, total)
 
-        def nominated() -> pa.RecordBatch:
-            h, k = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            top = np.argsort(-k, kind="stable")[:NOMINATED]
-            return pa.RecordBatch.from_pydict({"hash": pa.array(np.append(h[top].view(np.int64), 0)), "n": pa.array(np.append(k[top], 0)), "tokens": pa.array(np.append(np.zeros(len(top), np.int64), total))})
+    return df.repartition("part").sortWithinPartitions("part").mapInArrow(C.lean(run), "part int, counts binary")
 
-        for batch, run_ in C.batches_of(it):
-            t = Tokens(run_)
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            held.append(t.hash[train[t.doc]])
-            n += len(held[-1])
-            total += len(t.hash) + len(run_)
-            if n >= 1 << 21:
-                yield nominated()
-                held, n, total = [], 0, 0
-        yield nominated()
 
-    found = C.stage(texts.select("train", "text").mapInArrow(C.lean(run), "hash bigint, n bigint, tokens bigint"), "lm-nominated")
-    top = found.where("n > 0").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(HEADS).collect()
-    return np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64)), found.agg(F.sum("tokens")).head()[0] or 0
+def _part(number: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "counts": pa.array([X.pack(counts.astype(np.int64))], pa.binary())})
+
+
+def frequent(texts: DataFrame) -> Heads:
+    """The most frequent words of training texts, ties by hash: exact, and the same for any partitioning."""
+
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << CELL_BITS), np.int64)
+        for h in _gathered(it):
+            for row, cell in enumerate(_cells(h)):
+                counts[row] += np.bincount(cell, minlength=1 << CELL_BITS)
+        for number, part in enumerate(np.split(counts.ravel(), _PARTS)):
+            yield _part(number, part)
+
+    merged = C.stage(_sum_parts(texts.mapInArrow(C.lean(sketch), "part int, counts binary")), "lm-cells")
+
+    def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n = [int(X.unpack(x, "i8").sum()) if part < _PARTS // 2 else 0 for part, x in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64())})
+
+    tokens = merged.mapInArrow(total, "n bigint").agg(F.sum("n")).head()[0] or 0
+    least = max(1, tokens >> HEAVY_BITS)
+
+    def heavy_cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            bits = [np.packbits(X.unpack(x, "i8") >= least).tobytes() for x in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "bits": pa.array(bits, pa.binary())})
+
+    rows = sorted((r["part"], bytes(r["bits"])) for r in merged.mapInArrow(heavy_cells, "part int, bits binary").collect())  # one bit a cell
+    cells = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8)).reshape(2, -1) == 1 if rows else np.zeros((2, 1 << CELL_BITS), bool)
+    heavy = texts.sparkSession.sparkContext.broadcast(cells)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for h in _gathered(it):
+            a, b = _cells(h)
+            found, n = np.unique(h[heavy.value[0][a] & heavy.value[1][b]], return_counts=True)
+            words, at = np.unique(np.concatenate([words, found]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(words)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"hash": pa.array(words.view(np.int64)), "n": pa.array(counts, pa.int64())})
+
+    found = texts.mapInArrow(C.lean(count), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = found.orderBy(F.desc("n"), "hash").limit(HEADS).collect()
+    return Heads(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
 
 
 # --- sampling -------------------------------------------------------------
 
 
-def seat(count: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of ``count`` customers of one dish each, seated one after another.
+def stirling(discount: float, top: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t)."""
+    out = np.full((top + 1, top + 1), -np.inf)
+    out[1, 1] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(1, top):
+            t = np.arange(1, c + 2)
+            out[c + 1, t] = np.logaddexp(out[c, t - 1], out[c, t] + np.log(np.maximum(c - discount * t, 0)))
+    return out
 
-    ``strength`` is that of the restaurant without the dish's own tables,
-    ``base`` the parent's probability of the dish.  Beyond 32 customers, an
-    eighth of those seated so far sit down at a time.
+
+def tables(count: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish given all others.
+
+    ``strength`` is that of the restaurant with the tables of all other dishes,
+    ``base`` the parent's probability of the dish, ``key`` the dish's own number
+    for draws.
     """
-    tables = np.minimum(count, 1).astype(np.float64)
+    out = np.minimum(count, 1).astype(np.int64)
+    draw = C.unit(C.mix(key.copy(), 1000 + sweep))
+    numbers = stirling(discount)
+    order = np.argsort(np.minimum(count, EXACT + 1).astype(np.uint8), kind="stable")
+    ends = np.searchsorted(count[order], np.arange(2, EXACT + 2))
+    for c in range(2, EXACT + 1):
+        for at in np.array_split(order[ends[c - 2] : ends[c - 1]], max(1, (ends[c - 1] - ends[c - 2]) * c >> 20)):
+            if len(at):
+                j = np.arange(c)
+                weight = np.cumsum(np.log(strength[at, None] + discount * j) + np.log(base[at, None]), axis=1) + numbers[c, 1 : c + 1]
+                weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                out[at] = 1 + (weight < draw[at, None] * weight[:, -1:]).sum(axis=1)
+    at = order[ends[-1] :]
+    out[at] = _seated(count[at], strength[at], base[at], discount, key[at], sweep)
+    return out
+
+
+def _seated(count: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables after seating customers of each dish one after another, beyond 32 an eighth of them at a time."""
+    tables_ = np.minimum(count, 1).astype(np.float64)
     live, k = np.flatnonzero(count > 1), 1
-    c, s, b, t = count[live], strength[live], base[live], tables[live]
     while len(live):
         step = 1 if k < 32 else k // 8
-        n = np.minimum(step, c - k)
-        new = (s + discount * t) * b
-        p = new / (new + k + (n - 1) / 2 - discount * t)
-        t = t + ((rng.random(len(t)) < p) if step == 1 else rng.binomial(n, np.clip(p, 0, 1)))
+        n = np.minimum(step, count[live] - k)
+        t = tables_[live]
+        new = (strength[live] + discount * t) * base[live]
+        p = np.clip(new / (new + k + (n - 1) / 2 - discount * t), 0, 1)
+        u = C.unit(C.mix(key[live].copy(), 100_000 * (sweep + 1) + 2 * k))
+        if step == 1:
+            t = t + (u < p)
+        else:
+            v = C.unit(C.mix(key[live].copy(), 100_000 * (sweep + 1) + 2 * k + 1))
+            normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
+            t = t + np.clip(np.rint(n * p + normal * np.sqrt(n * p * (1 - p))), 0, n)
+        tables_[live] = t
         k += step
-        more = c > k
-        tables[live] = t
-        live, c, s, b, t = live[more], c[more], s[more], b[more], t[more]
-    return tables
-
-
-def sample(counts: np.ndarray, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 7) -> np.ndarray:
-    """Averaged predictive probabilities (context, class) from class counts."""
-    size, rng = len(counts), np.random.default_rng(seed)
-    u, w = np.nonzero(counts)
-    c = counts[u, w]
-    ones, twos = int((c == 1).sum()), int((c == 2).sum())
-    discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
-    t = np.ones(len(c))
-    parent_t = np.minimum(np.bincount(w, minlength=size), 1).astype(float)
-    total, mean = counts.sum(axis=1).astype(float), np.zeros((size, size))
-    for sweep in range(sweeps):
-        parent_c = np.bincount(w, t, size)
-        parent = (parent_c - PARENT_DISCOUNT * parent_t + (STRENGTH + PARENT_DISCOUNT * parent_t.sum()) / size) / (STRENGTH + parent_c.sum())
-        sums = np.bincount(u, t, size)
-        t = seat(c, STRENGTH + discount * (sums[u] - t), parent[w], discount, rng)
-        parent_c = np.bincount(w, t, size)
-        strength = STRENGTH + PARENT_DISCOUNT * (parent_t.sum() - parent_t)
-        parent_t = seat(parent_c.astype(np.int64), strength, np.full(size, 1 / size), PARENT_DISCOUNT, rng)
-        if sweep >= burn_in:
-            parent = (parent_c - PARENT_DISCOUNT * parent_t + (STRENGTH + PARENT_DISCOUNT * parent_t.sum()) / size) / (STRENGTH + parent_c.sum())
-            sums = np.bincount(u, t, size)
-            p = np.outer((STRENGTH + discount * sums) / (STRENGTH + total), parent)
-            p[u, w] += (c - discount * t) / (STRENGTH + total[u])
-            mean += p
-    return mean / (sweeps - burn_in)
+        live = live[count[live] > k]
+    return tables_.astype(np.int64)
+
+
+class Totals:
+    """What all shards share: customers and tables of the contexts, and sums of the parent."""
+
+    #: After the two vectors: pairs once and twice, parent's customers and tables, known words.
+    SCALARS = 5
+
+    def __init__(self, vector: np.ndarray, discount: float | None = None, samples: int = 1):
+        mean = vector / samples
+        self.customers, self.tables = mean[:CONTEXTS], mean[CONTEXTS : 2 * CONTEXTS]
+        once, twice, self.parent_customers, self.parent_tables, self.words = mean[2 * CONTEXTS :].tolist()
+        self.discount = discount or float(np.clip(once / (once + 2 * twice), 0.1, 0.9) if once else 0.5)
+
+    def new(self) -> float:
+        """Mass that the parent's base gives each word."""
+        return (PARENT_STRENGTH + PARENT_DISCOUNT * self.parent_tables) / (self.words + 1)
+
+    def probability(self, served: np.ndarray) -> np.ndarray:
+        """The parent's probability of words with these discounted customers; 0 for those of an unknown word."""
+        return (served + self.new()) / (PARENT_STRENGTH + self.parent_customers)
+
+    def log(self, own: np.ndarray, context: np.ndarray, probability: np.ndarray) -> np.ndarray:
+        """log10 of the probability of words in their contexts, with these discounted customers of their own."""
+        back = (STRENGTH + self.discount * self.tables)[context]
+        return np.log10((own + back * probability) / (STRENGTH + self.customers)[context])
+
+
+class Pairs:
+    """Some words with all their contexts: counts, and the seating as it is sampled."""
+
+    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, names: np.ndarray):
+        #: Only pairs that have customers; ``word`` is a place in ``names``.
+        self.word, self.context, self.count, self.names = word, context, count, names
+        self.key = C.mix(names[word] + context.astype(np.uint64), 61)
+        self.tables = np.ones(len(word), np.int64)
+        self.parent = np.minimum(self._served(), 1)
+
+    def _served(self) -> np.ndarray:
+        """Customers of each word in the parent: its tables in the contexts."""
+        return np.bincount(self.word, self.tables, len(self.names)).astype(np.int64)
+
+    def vector(self, tables_: np.ndarray | None = None, served: np.ndarray | None = None, parent: np.ndarray | None = None, samples: int = 1) -> np.ndarray:
+        """This part's share of the totals, now or of sums over some samples."""
+        tables_ = self.tables if tables_ is None else tables_
+        served, parent = self._served() if served is None else served, self.parent if parent is None else parent
+        out = np.zeros(2 * CONTEXTS + Totals.SCALARS, np.int64)
+        out[:CONTEXTS] = np.bincount(self.context, self.count, CONTEXTS) * samples
+        out[CONTEXTS : 2 * CONTEXTS] = np.bincount(self.context, tables_, CONTEXTS)
+        out[2 * CONTEXTS :] = (self.count == 1).sum() * samples, (self.count == 2).sum() * samples, served.sum(), parent.sum(), (served > 0).sum() * samples
+        return out
+
+    def sweeps(self, total: Totals, number: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Reseat all dishes ``number`` times; gives the sums of tables, served customers and parent's tables."""
+        at_first = self.vector()
+        sums = [np.zeros(len(self.word), np.int64), np.zeros(len(self.names), np.int64), np.zeros(len(self.names), np.int64)]
+        for sweep in range(first, first + number):
+            change = self.vector() - at_first
+            served = self._served()
+            customers, parent_tables = total.parent_customers + change[-3], total.parent_tables + change[-2]
+            base = (served - PARENT_DISCOUNT * self.parent + (PARENT_STRENGTH + PARENT_DISCOUNT * parent_tables) / (total.words + 1)) / (PARENT_STRENGTH + customers)
+            others = (total.tables + change[CONTEXTS : 2 * CONTEXTS])[self.context] - self.tables
+            self.tables = tables(self.count, STRENGTH + total.discount * others, base[self.word], total.discount, self.key, sweep)
+            served = self._served()
+            some = served > 0
+            others = PARENT_STRENGTH + PARENT_DISCOUNT * (parent_tables - self.parent[some])
+            self.parent = np.zeros(len(served), np.int64)
+            self.parent[some] = tables(served[some], others, np.full(int(some.sum()), 1 / (total.words + 1)), PARENT_DISCOUNT, C.mix(self.names[some].copy(), 62), sweep)
+            for x, more in zip(sums, (self.tables, served, self.parent), strict=True):
+                x += more
+        return tuple(sums)
+
+    def sampled(self, first: Totals, second: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over the samples, after the burn-in."""
+        self.sweeps(first, BURN_IN, 0)
+        return self.sweeps(second, SAMPLES, BURN_IN)
+
+    def own(self, sums: tuple, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """Mean discounted customers of each pair, and of each word in the parent."""
+        return self.count - discount * sums[0] / SAMPLES, (sums[1] - PARENT_DISCOUNT * sums[2]) / SAMPLES
 
 
 # --- counting -------------------------------------------------------------
 
-_ROWS = "shard int, kind int, a binary, b binary, c binary, d binary, e binary"
-_NAMES, _KINDS = ["shard", "kind", "a", "b", "c", "d", "e"], [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _KINDS, strict=True)], _NAMES)
-
-
-def _entries(held: list[tuple], shards: int) -> Iterator[tuple]:
-    """Rows of one block: words with their texts and counts, by shard of the word."""
-    word, uid, train = (np.concatenate(x) for x in zip(*held, strict=True))
-    ids, at = np.unique(uid, return_index=True)
-    doc = np.searchsorted(ids, uid)
-    trained = train[at]
-    shard = ((C.mix(word.copy(), 8) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((doc, word, shard))
-    word, doc, shard = word[order], doc[order], shard[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(word)))
-    word, doc, shard = word[first], doc[first], shard[first]
-    names, cut = np.unique(shard, return_index=True)
-    for s, w, d, k in zip(names.tolist(), np.split(word, cut[1:]), np.split(doc, cut[1:]), np.split(times, cut[1:]), strict=True):
-        here, d = np.unique(d, return_inverse=True)
-        distinct = np.ones(len(w), bool)
-        distinct[1:] = w[1:] != w[:-1]
-        spread = np.diff(np.append(np.flatnonzero(distinct), len(w)))
-        yield s, 0, _pack(w[distinct]), _pack(spread.astype(np.uint32)), _pack(d.astype(np.uint32)), _pack(k.astype(np.uint32)), _pack(np.concatenate([ids[here], trained[here].astype(np.uint64)]))
-
-
-def _count(heads_, shards: int):
-    """Class pair counts of training texts (kind 1) and packed tail words of all texts (kind 0)."""
+_SHARD = "part int, names binary, counts binary, word binary, context binary, count binary, uids binary, doc binary, pair binary, times binary"
+_DONE = "part int, counts binary"
+
+
+def _words_to(shards: int):
+    return lambda c: (C.mix(c[0].copy(), 8) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
+def _count(heads_, words: X.Exchange):
+    """Entries of all words but the frequent ones (by shard), and table counts of those (buckets below 0)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = heads_.value
-        counts = np.zeros(CLASSES * CLASSES, np.int64)
-        held, n = [], 0
+        counts = np.zeros(CONTEXTS * (DISHES + 1), np.int64)
+        held, uids, n, docs = [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            context, word, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, at = np.unique(word, return_inverse=True)
+            key, times = np.unique(at.astype(np.uint64) << np.uint64(36) | context.astype(np.uint64) << np.uint64(24) | doc.astype(np.uint64), return_counts=True)
+            who = (np.concatenate(uids), (key & np.uint64((1 << 24) - 1)).astype(np.int64))
+            return words.cut([names[(key >> np.uint64(36)).astype(np.int64)], key >> np.uint64(24) & np.uint64(CONTEXTS - 1), who, times])
+
         for batch, texts in C.batches_of(it):
-            t = Tokens(texts)
-            cls = t.classes(heads)
+            t = Tokens(texts, heads)
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            before, now, doc = t.pairs(cls)
-            use = train[doc]
-            np.add.at(counts, before[use] * CLASSES + now[use], 1)
-            tail = cls >= CLASSES - TAIL
-            uid = batch.column("uid").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            held.append((t.hash[tail], uid[t.doc[tail]], train[t.doc[tail]]))
-            n += int(tail.sum())
-            if n >= FLUSH:
-                yield _batch(list(_entries(held, shards)))
-                held, n = [], 0
-        if n:
-            yield _batch(list(_entries(held, shards)))
-        cell = np.flatnonzero(counts)
-        blocks, cut = np.unique(cell // (CLASSES * 32), return_index=True)  # 32 contexts each
-        for b, x in zip(blocks.tolist(), np.split(cell, cut[1:]), strict=False):
-            yield _batch([(int(b) % shards, 1, _pack(x.astype(np.uint32)), _pack(counts[x]), b"", b"", b"")])
+            context, dish, doc = t.head
+            counts += np.bincount(context[train[doc]] * (DISHES + 1) + dish[train[doc]], minlength=len(counts))
+            context, word, doc = t.tail
+            held.append((context, word, doc + docs))
+            uids.append(_uids(batch))
+            n, docs = n + len(word), docs + len(texts)
+            if n >= FLUSH or docs >= 1 << 20:
+                yield flush()
+                held, uids, n, docs = [], [], 0, 0
+        if held:
+            yield flush()
+        for number, part in enumerate(np.split(counts, _PARTS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - number], pa.int32()), pa.array([0], pa.int32()), pa.array([[X.pack(part)]], pa.list_(pa.binary()))], ["bucket", "n", "cols"])
 
     return run
 
 
-def _shard(shards: int):
-    """Sums of a word shard by text (kind 0), words of its tail classes (kind 2), merged class pairs (kind 1)."""
+def _uids(batch: pa.RecordBatch) -> np.ndarray:
+    """16 bytes that name each text; the first says whether it is a training text."""
+    raw = np.frombuffer(b"".join(batch.column("uid").to_pylist()), np.uint8).reshape(-1, 16).copy()
+    raw[:, 0] = 1 + batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
+    raw[:, -1] |= 1  # no zero byte at the end, which a byte string would drop
+    return raw.view("S16").ravel()
+
+
+def _shard(words: X.Exchange):
+    """One row for a shard of words: its words, pairs and entries, sorted; or sums of a part of the table."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            total = sum(X.unpack(x[0], "i8") for x in table.column("cols").to_pylist())
+            cols = {"part": pa.array([-1 - key[0].as_py()], pa.int32()), "counts": pa.array([X.pack(total)], pa.binary())}
+            return pa.table({f.split()[0]: cols.get(f.split()[0], pa.array([None], pa.binary())) for f in _SHARD.split(", ")})
+        name, context, (uids, doc), times = words.gather(table)
+        trained = (uids.view(np.uint8).reshape(-1, 16)[:, 0] == 2) if len(uids) else np.zeros(0, bool)
+        names, word = np.unique(name, return_inverse=True)
+        keys, pair = np.unique(word.astype(np.uint64) << np.uint64(12) | context.astype(np.uint64), return_inverse=True)
+        count = np.bincount(pair, times * trained[doc], len(keys)).astype(np.int64)
+        word = (keys >> np.uint64(12)).astype(np.int64)
+        counts = np.bincount(word, count, len(names)).astype(np.int64)
+        order = np.argsort(doc, kind="stable")
+        rising = lambda x: X.pack(np.diff(x.astype(np.uint32), prepend=np.uint32(0)))
+        cols = [X.pack(names), X.pack(counts), rising(word), X.pack((keys & np.uint64(CONTEXTS - 1)).astype(np.uint16)), X.pack(count.astype(np.uint32)), X.pack(uids), rising(doc[order]), X.pack(pair[order].astype(np.uint32)), X.pack(times[order].astype(np.uint32))]
+        return pa.table({"part": pa.array([None], pa.int32())} | {f.split()[0]: pa.array([c], pa.binary()) for f, c in zip(_SHARD.split(", ")[1:], cols, strict=True)})
+
+    return run
+
+
+def _rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(X.unpack(blob, "u4"), dtype=np.uint32).astype(np.int64)
+
+
+def _read_pairs(r: dict) -> tuple[Pairs, np.ndarray]:
+    """Pairs of a shard that have customers, and whether each pair has."""
+    names, count = X.unpack(r["names"], "u8"), X.unpack(r["count"], "u4").astype(np.int64)
+    word, context = _rising(r["word"]), X.unpack(r["context"], "u2").astype(np.int64)
+    some = count > 0
+    return Pairs(word[some], context[some], count[some], names), some
 
-    def run(table: pa.Table) -> pa.Table:
-        cells, counts, blocks = [], [], []
-        for _, kind, a, b, c, d, e in zip(*(x.to_pylist() for x in table.columns), strict=True):
-            if kind == 1:
-                cells.append(_unpack(a, np.uint32))
-                counts.append(_unpack(b, np.int64))
-            else:
-                ids = _unpack(e, np.uint64)
-                half = len(ids) // 2
-                blocks.append((_unpack(a, np.uint64), _unpack(b, np.uint32), _unpack(c, np.uint32), _unpack(d, np.uint32), ids[:half], ids[half:] == 1))
-        out = []
-        if cells:
-            cell, at = np.unique(np.concatenate(cells), return_inverse=True)
-            out.append((0, 1, _pack(cell), _pack(np.bincount(at, np.concatenate(counts), len(cell)).astype(np.int64)), b"", b"", b""))
-        if blocks:
-            words, at = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
-            # Training count of each word.
-            count, begin = np.zeros(len(words)), 0
-            places = []
-            for word, spread, doc, times, _, trained in blocks:
-                place = np.repeat(at[begin : begin + len(word)], spread)
-                begin += len(word)
-                count += np.bincount(place, times * trained[doc], len(words))
-                places.append(place)
-            known = count > 0
-            tail = (C.mix(words.copy(), 7) % np.uint64(TAIL)).astype(np.int64)
-            out.append((0, 2, _pack(np.bincount(tail[known], minlength=TAIL).astype(np.int64)), b"", b"", b"", b""))
-            base = np.log10(count + 1)
-            inside = np.zeros(len(words))
-            inside[known] = np.log10(count[known] - WORD_DISCOUNT)
-            for place, (_, _, doc, times, ids, _) in zip(places, blocks, strict=True):
-                sums = np.stack([np.bincount(doc, times * x[place], len(ids)) for x in (base, inside, known)])
-                new = ~known[place]
-                lost_doc, lost_class, lost_n = doc[new], tail[place][new], times[new]
-                to = (C.mix(ids.copy(), 5) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                names, cut = np.unique(to[order], return_index=True)
-                for s, part in zip(names.tolist(), np.split(order, cut[1:]), strict=False):
-                    mine = np.isin(lost_doc, part) if len(lost_doc) else np.zeros(0, bool)
-                    out.append((s, 0, _pack(ids[part]), _pack(sums[:, part]), _pack(ids[lost_doc[mine]]), _pack(lost_class[mine].astype(np.uint16)), _pack(lost_n[mine].astype(np.uint32))))
-        return pa.Table.from_batches([_batch(out)])
+
+def _vectors(shards: DataFrame, *totals: Totals) -> np.ndarray:
+    """Sum of the vectors of all shards: at first, after the burn-in, or over the samples."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for r in batch.to_pylist():
+                pairs, _ = _read_pairs(r)
+                yield _part(int(pairs.names[0] % np.uint64(_PARTS)) if len(pairs.names) else 0, _vector(pairs, *totals))
+
+    parts = shards.select("names", "word", "context", "count").mapInArrow(C.lean(run), _DONE)
+    total = np.zeros(2 * CONTEXTS + Totals.SCALARS, np.int64)
+    for r in _sum_parts(parts).toLocalIterator():  # at most _PARTS vectors
+        total += X.unpack(bytes(r["counts"]), "i8")
+    return total
+
+
+def _vector(pairs: Pairs, first: Totals | None = None, second: Totals | None = None) -> np.ndarray:
+    if second is not None:
+        return pairs.vector(*pairs.sampled(first, second), SAMPLES)
+    if first is not None:
+        pairs.sweeps(first, BURN_IN, 0)
+    return pairs.vector()
+
+
+def _sums(first: Totals, second: Totals, final: Totals, texts: X.Exchange):
+    """Sums of the words of a shard by text, on their way to the shards of texts."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for r in batch.to_pylist():
+                pairs, some = _read_pairs(r)
+                extra, served = pairs.own(pairs.sampled(first, second), final.discount)
+                own = np.zeros(len(some))
+                own[some] = extra
+                word, context = _rising(r["word"]), X.unpack(r["context"], "u2").astype(np.int64)
+                log = final.log(own, context, final.probability(served)[word])
+                counts = X.unpack(r["counts"], "i8")
+                base, known = np.log10(counts + 1.0)[word], (counts > 0)[word]
+                uids, doc, pair, times = X.unpack(r["uids"], "S16"), _rising(r["doc"]), X.unpack(r["pair"], "u4"), X.unpack(r["times"], "u4")
+                add = lambda x: np.bincount(doc, times * x[pair], len(uids))  # noqa: B023, E731
+                yield texts.cut([uids, add(base), add(log), add(known), np.bincount(doc, times, len(uids))])
 
     return run
 
 
-def _texts(new_mass):
+def _texts(texts: X.Exchange):
     """Sums of each text of a shard of texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_pylist() for n in "abcde"}
-        ids = [_unpack(x, np.uint64) for x in cols["a"]]
-        sums = [_unpack(x, np.float64).reshape(3, -1) for x in cols["b"]]
-        uid, at = np.unique(np.concatenate(ids), return_inverse=True)
-        base, inside, known = (np.bincount(at, x, len(uid)) for x in np.concatenate(sums, axis=1))
-        lost = np.searchsorted(uid, np.concatenate([_unpack(x, np.uint64) for x in cols["c"]]))
-        mass = new_mass.value[np.concatenate([_unpack(x, np.uint16) for x in cols["d"]])]
-        inside += np.bincount(lost, mass * np.concatenate([_unpack(x, np.uint32) for x in cols["e"]]), len(uid))
-        return pa.table({"uid": pa.array(uid.view(np.int64)), "tail_base": pa.array(base), "tail_score": pa.array(inside), "tail_known": pa.array(known)})
+        uids, *sums = texts.gather(table)
+        found, at = np.unique(uids, return_inverse=True)
+        base, score_, known, n = (np.bincount(at, x, len(found)) for x in sums)
+        return pa.table({"uid": pa.array([bytes(x) for x in found.view("V16")], pa.binary()), "tail_base": pa.array(base), "tail_score": pa.array(score_), "tail_known": pa.array(known), "tail_n": pa.array(n)})
 
     return run
 
@@ -304,7 +494,7 @@ _LOCAL: dict[str, dict] = {}
 
 
 def _local(model, row: T.StructField):
-    """What a text's score needs beside its tail words: class pairs and frequent words."""
+    """What a text's score needs beside its other words: frequent words and the end."""
     key = uuid.uuid4().hex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +503,13 @@ def _local(model, row: T.StructField):
             _LOCAL[key] = model.value
         m = _LOCAL[key]
         for batch, texts in C.batches_of(it):
-            t = Tokens(texts)
-            before, now, doc = t.pairs(t.classes(m["heads"]))
-            sums = [np.bincount(doc, x, len(texts)) for x in (m["log"][before * CLASSES + now], m["base"][now], m["known"][now])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("uid"), batch.column("train"), pa.array(t.n + 1), *map(pa.array, sums)], ["row", "uid", "train", "n_tokens", "score", "base", "known"])
+            t = Tokens(texts, m["heads"])
+            context, dish, doc = t.head
+            sums = [np.bincount(doc, x, len(texts)) for x in (m["log"][context, dish], m["base"][dish], m["known"][dish])]
+            tail = np.bincount(t.tail[2], minlength=len(texts)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x.tobytes() for x in _uids(batch).view("V16")], pa.binary()), batch.column("train"), pa.array(t.n + 1), *map(pa.array, (*sums, tail))], ["row", "uid", "train", "n_tokens", "score", "base", "known", "words"])
 
-    return run, T.StructType([row, *T._parse_datatype_string("uid bigint, train boolean, n_tokens bigint, score double, base double, known double").fields])
+    return run, T.StructType([row, *T._parse_datatype_string("uid binary, train boolean, n_tokens bigint, score double, base double, known double, words double").fields])
 
 
 def score(docs: DataFrame, *, train: Column, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -330,39 +521,46 @@ def score(docs: DataFrame, *, train: Column, doc_id: str = "doc_id", text: str =
     C.bound_batches(spark)
     cols = docs.columns if carry is None else carry
     body = F.col(C.sql_name(text)).cast("string")
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), F.xxhash64(F.col(C.sql_name(doc_id)), body).alias("uid"), train.alias("train"), body.alias("text"))
-    heads, tokens = frequent(df)
-    shards = max(16, -(-tokens // SHARD_TOKENS))
-    counted = df.select("uid", "train", "text").mapInArrow(C.lean(_count(spark.sparkContext.broadcast(heads), shards)), _ROWS)
-    sums = C.stage(counted.groupBy("shard").applyInArrow(_shard(shards), _ROWS), "lm-sums")
-    # Bounded: CLASSES**2 counts and TAIL numbers of words from each shard.
-    counts, words = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(TAIL, np.int64)
-    for r in sums.where("kind > 0").select("kind", "a", "b").toLocalIterator():
-        if r["kind"] == 1:
-            counts[_unpack(bytes(r["a"]), np.uint32)] += _unpack(bytes(r["b"]), np.int64)
-        else:
-            words += _unpack(bytes(r["a"]), np.int64)
-    counts = counts.reshape(CLASSES, CLASSES)
-    of = counts.sum(axis=0)
-    n = int(of.sum())
-    distinct = int(words.sum()) + int((of[: CLASSES - TAIL] > 0).sum())
-    log = np.log10(sample(counts))
-    log[:, CLASSES - TAIL :] -= np.log10(WORD_STRENGTH + of[CLASSES - TAIL :])
-    base, known = np.log10(of + 1.0), (of > 0).astype(float)
-    base[CLASSES - TAIL :] = known[CLASSES - TAIL :] = 0.0
-    model = spark.sparkContext.broadcast({"heads": heads, "log": log.ravel(), "base": base, "known": known})
-    new_mass = spark.sparkContext.broadcast(np.log10(WORD_STRENGTH + WORD_DISCOUNT * words))
+    uid = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(C.sql_name(doc_id)).cast("string"), F.lit("")), F.coalesce(body, F.lit(""))).cast("binary")))
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), uid.alias("uid"), train.alias("train"), body.alias("text"))
+    size = df.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    heads = frequent(df.select("train", "text"))
+    shards = max(1, -(-size // WORD_BYTES))
+    words = X.Exchange(["+u8", "u2", "@S16", "u4"], shards, _words_to(shards))
+    counted = df.select("uid", "train", "text").mapInArrow(C.lean(_count(spark.sparkContext.broadcast(heads), words)), X.ROWS)
+    counted = C.stage(words.deliver(counted).groupBy("bucket").applyInArrow(_shard(words), _SHARD), "lm-shards")
+    entries, counts = counted.where("part IS NULL").drop("part"), np.zeros((_PARTS, CONTEXTS * (DISHES + 1) // _PARTS), np.int64)
+    for r in counted.where("part IS NOT NULL").select("part", "counts").toLocalIterator():  # a table of fixed size
+        counts[r["part"]] = X.unpack(bytes(r["counts"]), "i8")
+    counts = counts.reshape(CONTEXTS, DISHES + 1)
+    # Totals at first, after the burn-in, and over the samples.
+    first = Totals(_vectors(entries) + _vector(_table_pairs(counts)))
+    second = Totals(_vectors(entries, first) + _vector(_table_pairs(counts), first), first.discount)
+    final = Totals(_vectors(entries, first, second) + _vector(_table_pairs(counts), first, second), first.discount, SAMPLES)
+    pairs, own = _table_pairs(counts), np.zeros(counts.shape)
+    extra, served = pairs.own(pairs.sampled(first, second), final.discount)
+    own[pairs.context, pairs.word] = extra
+    log = final.log(own, np.arange(CONTEXTS)[:, None], final.probability(served)[None, :])
+    of, n, distinct = counts.sum(axis=0), int(first.customers.sum()), int(first.words)
+    model = spark.sparkContext.broadcast({"heads": heads, "log": log, "base": np.log10(of + 1.0), "known": (of > 0).astype(float)})
     run, schema = _local(model, df.schema["row"])
     local = df.mapInArrow(C.lean(run), schema)
-    tail = sums.where("kind = 0").groupBy("shard").applyInArrow(_texts(new_mass), "uid bigint, tail_base double, tail_score double, tail_known double")
-    rows = local.groupBy("uid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")  # rows alike in id and text were summed together
-    tail = tail.join(rows, "uid", "left").select("uid", *[(F.col(x) / F.coalesce("copies", F.lit(1))).alias(x) for x in ("tail_base", "tail_score", "tail_known")])
+    targets = max(1, -(-size // TEXT_BYTES))
+    texts = X.Exchange(["S16", "f8", "f8", "f8", "f8"], targets, lambda c: C.mix(c[0].view(np.uint64).reshape(-1, 2)[:, 0].copy(), 9) % np.uint64(targets))
+    sums = texts.deliver(entries.mapInArrow(C.lean(_sums(first, second, final, texts)), X.ROWS))
+    tail = sums.groupBy("bucket").applyInArrow(_texts(texts), "uid binary, tail_base double, tail_score double, tail_known double, tail_n double")
     out = local.join(tail, "uid", "left")
-    total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0.0))
-    out = out.select("row", "train", "n_tokens", F.round(total("known", "tail_known")).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (total("base", "tail_base") - F.col("n_tokens") * float(np.log10(n + distinct + 1))).alias("base_score"), total("score", "tail_score").alias("score"))
+    # Rows alike in id and text were summed together: each gets its share.
+    share = lambda x: F.coalesce(F.col(x) * F.col("words") / F.col("tail_n"), F.lit(0.0))
+    out = out.select("row", "train", "n_tokens", F.round(F.col("known") + share("tail_known")).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") + share("tail_base") - F.col("n_tokens") * float(np.log10(n + distinct + 1))).alias("base_score"), (F.col("score") + share("tail_score")).alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def _table_pairs(counts: np.ndarray) -> Pairs:
+    context, dish = np.nonzero(counts)
+    return Pairs(dish, context, counts[context, dish], np.arange(counts.shape[1], dtype=np.uint64))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return C.crc_mod(doc_id, 7) == 2
 

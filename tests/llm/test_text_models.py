@@ -226,25 +226,119 @@ def test_lm_base_and_known_tokens(spark, make):
         assert r["score"] < 0
 
 
-def test_lm_probabilities_are_normalised():
-    rng = np.random.default_rng(2)
-    counts = rng.poisson(0.3, (40, 40)) * rng.integers(1, 50, (40, 40))
-    p = language_model.sample(counts, sweeps=5, burn_in=2)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    assert np.allclose(language_model.sample(np.zeros((5, 5), int)), 0.2)
+def _pairs(rng, words=30, contexts=6):
+    counts = rng.poisson(0.5, (contexts, words)) * rng.integers(1, 60, (contexts, words))
+    context, word = np.nonzero(counts)
+    return language_model.Pairs(word, context, counts[context, word], np.arange(words, dtype=np.uint64) * np.uint64(7919)), counts
 
 
-def test_lm_seats():
-    rng = np.random.default_rng(4)
+def test_lm_probabilities_are_normalised():
+    pairs, counts = _pairs(np.random.default_rng(2))
+    first = language_model.Totals(language_model._vector(_pairs(np.random.default_rng(2))[0]))
+    second = language_model.Totals(language_model._vector(_pairs(np.random.default_rng(2))[0], first), first.discount)
+    sums = pairs.sampled(first, second)
+    final = language_model.Totals(pairs.vector(*sums, language_model.SAMPLES), first.discount, language_model.SAMPLES)
+    extra, served = pairs.own(sums, final.discount)
+    own = np.zeros(counts.shape)
+    own[pairs.context, pairs.word] = extra
+    known = served > 0
+    for c in (0, 3, 4000):  # the last one has never been seen
+        p = 10 ** final.log(own[c][known] if c < len(own) else np.zeros(known.sum()), np.full(known.sum(), c), final.probability(served[known]))
+        unseen = 10 ** final.log(np.zeros(1), np.array([c]), final.probability(np.zeros(1)))
+        assert abs(p.sum() + unseen[0] - 1) < 1e-9 and (p > 0).all()
+
+
+def _partitions(n):
+    if n == 0:
+        yield []
+        return
+    for rest in _partitions(n - 1):
+        yield [*rest, 1]
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+
+
+@pytest.mark.parametrize("customers,strength,base,discount", [(2, 1.5, 0.3, 0.5), (5, 4.0, 0.1, 0.75), (6, 0.7, 0.9, 0.2)])
+def test_lm_tables_follow_their_exact_distribution(customers, strength, base, discount):
+    """Against all seatings of a few customers, with the weights of the restaurant."""
+    weight = Counter()
+    for sizes in _partitions(customers):
+        w = 1.0
+        for j, size in enumerate(sizes):
+            w *= (strength + discount * j) * base * np.prod([k - discount for k in range(1, size)])
+        weight[len(sizes)] += w
+    total, n = sum(weight.values()), 200_000
+    drawn = language_model.tables(np.full(n, customers), np.full(n, strength), np.full(n, base), discount, np.arange(n, dtype=np.uint64), 3)
+    for t in range(1, customers + 1):
+        assert abs((drawn == t).mean() - weight[t] / total) < 0.006
+
+
+def test_lm_sampler_agrees_with_enumeration():
+    """Two contexts over two words: mean tables of the sweeps against all table counts of the whole hierarchy."""
+    from itertools import product
+
+    m, d, counts = language_model, 0.5, [3, 2, 4]  # (context, word): (0, 0), (0, 1), (1, 0)
+    word, context = np.array([0, 1, 0]), np.array([0, 0, 1])
+    s, s0 = np.exp(m.stirling(d)), np.exp(m.stirling(m.PARENT_DISCOUNT))
+    rise = lambda theta, step, n: np.prod([theta + step * j for j in range(n)])
+    mean, total = np.zeros(3), 0.0
+    for t in product(*(range(1, c + 1) for c in counts)):
+        served = [t[0] + t[2], t[1]]
+        w = np.prod([s[c, x] for c, x in zip(counts, t, strict=True)]) * rise(m.STRENGTH, d, t[0] + t[1]) * rise(m.STRENGTH, d, t[2])
+        parent = sum(s0[served[0], a] * s0[served[1], b] * rise(m.PARENT_STRENGTH, m.PARENT_DISCOUNT, a + b) / 3 ** (a + b) for a in range(1, served[0] + 1) for b in range(1, served[1] + 1))
+        w *= parent / rise(m.PARENT_STRENGTH, 1, sum(served))
+        mean += w * np.array(t)
+        total += w
+    mean /= total
+    got = np.zeros(3)
+    for seed in range(60):
+        pairs = m.Pairs(word, context, np.array(counts), np.array([11, 12], np.uint64) + np.uint64(100 * seed))
+        first = m.Totals(pairs.vector(), d)
+        pairs.sweeps(first, 5, 0)
+        second = m.Totals(pairs.vector(), d)
+        got += pairs.sweeps(second, 40, 5)[0] / 40 / 60
+    # All dishes of a sweep move at once, given the sweep before: near the exact means, not on them.
+    assert np.abs(got - mean).max() < 0.3, (got, mean)
+
+
+def test_lm_many_customers():
     c = np.array([0, 1, 2, 10, 100, 5000])
-    t = language_model.seat(c, np.ones(6), np.full(6, 0.2), 0.5, rng)
+    key = np.arange(6, dtype=np.uint64)
+    t = language_model.tables(c, np.ones(6), np.full(6, 0.2), 0.5, key, 0)
     assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0
     # Few tables where the parent finds the dish unlikely, many where it is certain.
-    few = np.mean([language_model.seat(np.full(50, 40), np.ones(50), np.full(50, 1e-6), 0.5, rng).mean() for _ in range(3)])
-    many = np.mean([language_model.seat(np.full(50, 40), np.ones(50), np.full(50, 1.0), 0.5, rng).mean() for _ in range(3)])
+    few, many = (language_model.tables(np.full(50, 40), np.ones(50), np.full(50, p), 0.5, np.arange(50, dtype=np.uint64), 1).mean() for p in (1e-6, 1.0))
     assert few < 1.05 < 3 < many
 
 
+def test_lm_frequent_words_are_exact(spark, make, monkeypatch):
+    monkeypatch.setattr(language_model, "HEADS", 7)
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(20))) for i in range(200)]
+    c = Counter(w for _, t in rows for w in t.split())
+    hashes = {w: int(common.Words([w.encode()]).hashes()[0]) for w in c}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    want = sorted(c, key=lambda w: (-c[w], signed(hashes[w])))[:7]
+    for n in (1, 7, 30):
+        heads = language_model.frequent(make(rows).repartition(n).select(F.lit(True).alias("train"), "text"))
+        by_rank = [h for _, h in sorted(zip(heads.ranks.tolist(), heads.hashes.tolist(), strict=True))]
+        assert by_rank == [hashes[w] for w in want]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, make, monkeypatch):
+    monkeypatch.setattr(language_model, "WORD_BYTES", 20_000)
+    monkeypatch.setattr(language_model, "FLUSH", 700)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{min(rng.randrange(4000), rng.randrange(4000))}" for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    rows += [(7, rows[7][1]), (400, None)]
+    want = None
+    for n in (1, 7, 64):
+        out = language_model.score(make(rows).repartition(n), train=F.col("doc_id") % 5 != 1).select("row.doc_id", "score", "base_score", "n_known").collect()
+        got = sorted((r["doc_id"], round(r["score"], 9), round(r["base_score"], 9), r["n_known"]) for r in out)
+        assert want is None or got == want
+        want = got
+
+
 def test_lm_beats_the_base_on_held_out_text(spark, sf):
     r = language_model.op9_lm_scoring(spark, sf).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).head()
     assert r["s"] > r["b"]
