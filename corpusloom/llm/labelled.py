@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common as C
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, label: str, allowed: Column, per_class: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+#: Text of a sample's rows of one class, at most.
+CLASS_BYTES = 32 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, *, label: str, allowed: Column, per_class: int, doc_id: str = "doc_id", text: str = "text", class_bytes: int = CLASS_BYTES) -> tuple[DataFrame, dict[int, int]]:
     """(order, text, y) of at most ``per_class`` labelled rows of each class, and the class counts.
 
+    A class has whole texts of ``class_bytes`` together at most: rows in the
+    order of their hash, as many as fit.
+
     Rows are taken by a hash of the id, so the choice is stable.  Only the
     chosen ids, a number bounded by ``per_class``, are broadcast to the
     documents.  ``allowed`` says of ``doc_id`` which labels may be learnt from;
@@ -25,7 +32,19 @@ def sample(docs: DataFrame, labels: DataFrame, *, label: str, allowed: Column, p
     chosen = F.broadcast(C.stage(ids[0].union(ids[1]).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("order").alias("order")), "labelled-ids"))
     body = docs.select(F.col(C.sql_name(doc_id)).alias("doc_id"), F.coalesce(F.col(C.sql_name(text)).cast("string"), F.lit("")).alias("text"))
     rows = C.stage(body.join(chosen, "doc_id").select("order", "text", "y"), "labelled-rows")
-    return rows.where("y = 0").orderBy("order", F.xxhash64("text")).limit(per_class).union(rows.where("y = 1").orderBy("order", F.xxhash64("text")).limit(per_class)), counts
+    rows = rows.withColumn("again", F.xxhash64("text"))
+    classes = []
+    for y in (0, 1):
+        of = rows.where(F.col("y") == y).orderBy("order", "again").limit(per_class)
+        total, last = 0, None
+        for r in of.select("order", "again", F.octet_length("text").alias("n")).orderBy("order", "again").collect():  # per_class rows of three numbers
+            total += r["n"]
+            if total > class_bytes:
+                break
+            last = r
+        fits = F.lit(False) if last is None else F.struct("order", "again") <= F.struct(F.lit(last["order"]).alias("order"), F.lit(last["again"]).alias("again"))
+        classes.append(of.where(fits).drop("again"))
+    return classes[0].union(classes[1]), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, allowed, label: str = "toxic", pe
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_pydict({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "w": pa.array([weights[at].tolist()], pa.list_(pa.float64())), "slope": pa.array([float(slope)]), "intercept": pa.array([float(intercept)])})
 
-    # Bounded by the sample: at most twice per_class rows meet in this task.
+    # Bounded by the sample: at most twice per_class rows of twice labelled.CLASS_BYTES meet in this task.
     shuffled = rows.withColumn("turn", F.xxhash64("order", "text")).repartition(1).sortWithinPartitions("turn", "y").select("text", "y")
     r = shuffled.mapInArrow(C.lean(train), "at array<bigint>, w array<double>, slope double, intercept double").head()
     if r is None:  # no labelled row at all

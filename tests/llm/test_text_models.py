@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, decontaminate, language_model, license_rules, license_scan, quality, toxicity
@@ -188,6 +189,102 @@ def test_held_out_accuracy(spark, check, query, label, least):
     assert _auc(s, y) > least and ((s >= 0) & (s <= 1)).all()
 
 
+def _mixed(x, salt=0):
+    """The 64-bit finaliser on Python's own numbers."""
+    low = (1 << 64) - 1
+    x = x + (salt * 0x9E3779B97F4A7C15 & low) & low
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & low
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & low
+    return x ^ x >> 31
+
+
+def _features(text):
+    """Words, pairs and skip pairs, one after the other."""
+    h = [xxhash.xxh3_64_intdigest(w.encode()) for w in _alnum(text)]
+    out = [_mixed(x, 1) for x in h]
+    for gap in (1, 2):
+        out += [_mixed((a * 3 + b) & (1 << 64) - 1, gap + 1) for a, b in zip(h, h[gap:], strict=False)]
+    return sorted({x >> 64 - toxicity.BITS for x in out})
+
+
+def _plain_ftrl(examples, epochs):
+    """FTRL-proximal with dictionaries, one coordinate at a time; weights by coordinate."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == 1 << toxicity.BITS else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for features, y in examples:
+            at = [*features, 1 << toxicity.BITS]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def _labelled(rng, n, words=("bad", "good")):
+    rows = [(i, " ".join(rng.choice([f"w{rng.randrange(40)}", words[i % 2]]) for _ in range(rng.randint(1, 30)))) for i in range(n)]
+    return rows, [(i, i % 2, 1 - i % 2) for i, _ in rows]
+
+
+def test_toxicity_equals_a_plain_ftrl(spark, make):
+    """Weights, margins and scores of the whole operator against dictionaries."""
+    from corpusloom.llm import labelled
+
+    rows, labels = _labelled(random.Random(3), 120)
+    docs, table = make(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, table, allowed=F.lit(True))
+    sample, _ = labelled.sample(docs, table, label="toxic", allowed=F.lit(True), per_class=toxicity.PER_CLASS)
+    turns = [(r["text"], r["y"]) for r in sample.withColumn("turn", F.xxhash64("order", "text")).orderBy("turn", "y").collect()]
+    want = _plain_ftrl([(_features(t), y) for k, (t, y) in enumerate(turns) if k % 4], toxicity.EPOCHS)
+    got = dict(zip(model["at"].tolist(), model["w"].tolist(), strict=True))
+    assert got.keys() == want.keys() and want and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    texts = dict(rows)
+    for r in toxicity.measure(docs, spark.sparkContext.broadcast(model)).select("row.doc_id", "margin", "score").collect():
+        margin = sum(want.get(i, 0.0) for i in [*_features(texts[r["doc_id"]]), 1 << toxicity.BITS])
+        assert abs(r["margin"] - margin) < 1e-9 and abs(r["score"] - 1 / (1 + np.exp(-(model["slope"] * margin + model["intercept"])))) < 1e-9
+
+
+def test_quality_equals_a_direct_computation(spark, make):
+    """Differences and scores of the whole operator from fresh compressors, piece by piece."""
+    import zstandard
+
+    rows, labels = _labelled(random.Random(4), 80)
+    rows += [(200, "long " * 2000), (201, ""), (202, None)]
+    docs, table = make(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, table, allowed=F.lit(True))
+
+    def size(text, blob):
+        how = {"level": quality.LEVEL, "write_content_size": False, "write_dict_id": False} | ({"dict_data": zstandard.ZstdCompressionDict(blob)} if blob else {})
+        return sum(len(zstandard.ZstdCompressor(**how).compress(text[i : i + quality.PIECE])) for i in range(0, len(text), quality.PIECE))
+
+    texts = {i: (t or "").encode() for i, t in rows}
+    for r in quality.measure(docs, spark.sparkContext.broadcast(model)).select("row.doc_id", "difference", "score").collect():
+        good, bad = (size(texts[r["doc_id"]], model[k]) for k in ("good", "bad"))
+        want = (bad - good) / (bad + good) if good + bad else 0.0
+        assert abs(r["difference"] - want) < 1e-12 and abs(r["score"] - 1 / (1 + np.exp(-(model["slope"] * want + model["intercept"])))) < 1e-9
+
+
+def test_samples_hold_whole_texts_up_to_a_bound(spark, make):
+    from corpusloom.llm import labelled
+
+    rows, labels = _labelled(random.Random(5), 60)
+    docs, table = make(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    every, _ = labelled.sample(docs, table, label="toxic", allowed=F.lit(True), per_class=20)
+    some, _ = labelled.sample(docs, table, label="toxic", allowed=F.lit(True), per_class=20, class_bytes=500)
+    assert every.count() == 40 and 0 < some.count() < 40
+    sizes = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert all(n <= 500 for n in sizes.values()) and {r["text"] for r in some.collect()} <= {r["text"] for r in every.collect()}
+
+
 def test_long_text_counts_whole(spark, make):
     """A toxic word at the end of a very long text still counts."""
     rng = random.Random(1)
