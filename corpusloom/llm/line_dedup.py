@@ -3,28 +3,27 @@
 Lines are what newlines separate.  A rolling hash over the hashes of the last
 ``window`` lines decides after which lines a chunk ends, so equal runs of lines
 are cut alike wherever they stand.  With the default window of one line and a
-boundary after seven lines of eight, chunks are short and hardly depend on what
+boundary after 15 lines of 16, chunks are short and hardly depend on what
 stands before them.
 
-A chunk is widened by the line before it and by the line after it.  Each of
-these runs of lines (the chunk itself where it has two lines, the chunk with
-either neighbour) that occurs more than once in all documents is removed
-everywhere but at its first place (smallest doc_id, then smallest position).
-Runs need two lines that are not blank, and a neighbour that is blank does not
-count.  The first place of a line in all documents is never removed, so nothing
-is lost from the whole.
+A run is a chunk, or two chunks one behind the other, with at least two lines
+that are not blank.  A run that occurs more than once in all documents is
+removed everywhere but at its first place (smallest doc_id, then smallest
+position).  The first place of a line in all documents is never removed, so
+nothing is lost from the whole.
 
-Runs are compared byte by byte: the group key holds the text itself beside its
+Chunks are compared byte by byte: the group key holds the text itself beside its
 digest, and a hash aggregate combines equal chunks in each task before they are
-shuffled, so a chunk that fills a third of all rows leaves each task once.
-Only chunks that occur twice are widened.  Where a run is joined with its first
-place, runs that may be hot are broadcast.
+shuffled, so a chunk that fills a third of all rows leaves each task once.  Of
+runs only digests, places and counts travel, and a run goes only where the bytes
+of its chunks were found equal.  Where a run is joined with its first place, runs
+that may be hot are broadcast.
 
 Edge cases: null counts as empty; an empty text has no line; a text of one
 line has no run of two and stays; texts of any length are cut whole; a row
 with a null doc_id comes after all others; rows alike in doc_id and text share
-one result, that of the row that holds the first places.  Other columns are
-carried.
+one result, that of the row that holds the first places.  A digest that two
+different chunk texts share removes nothing.  Other columns are carried.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common as C
 
 #: Lines in the rolling hash; of ``OUT_OF`` values of it all but ``WITHOUT`` end a chunk.
-WINDOW, WITHOUT, OUT_OF = 1, 1, 8
+WINDOW, WITHOUT, OUT_OF = 1, 1, 16
 #: Modulus of line hashes: the sum of a few products stays within a bigint.
 MODULUS, BASE = 2147483647, 48271
 
@@ -59,24 +58,20 @@ def chunked(docs: DataFrame, how: dict) -> DataFrame:
     return df.withColumn("ends", ends).drop("hashes")
 
 
-def _solid(lines: str) -> str:
-    """SQL: lines that hold more than white space."""
-    return f"size(filter({lines}, x -> x RLIKE '[^ \\t-\\r]'))"
+def _digest(text: str) -> str:
+    """SQL: 128 bits of the text's SHA-256."""
+    return f"substring(unhex(sha2({text}, 256)), 1, 16)"
 
 
 _BEFORE = "coalesce(try_element_at(ends, nullif(i, 0)), 0)"
-_CHUNKS = f"transform(ends, (e, i) -> named_struct('first', {_BEFORE} + 1, 'n', e - {_BEFORE}))"
-
-
-def runs(each: DataFrame) -> DataFrame:
-    """uid, doc_id, first, n, text of all runs: repeated chunks of two lines, and chunks widened by a line."""
-    wide = [
-        "IF(solid >= 2, named_struct('first', first, 'n', n, 'run', chunk), NULL)",
-        f"IF(solid >= 1 AND {_solid('array(ahead)')} = 1, named_struct('first', first - 1, 'n', n + 1, 'run', concat(ahead, '\n', chunk)), NULL)",
-        f"IF(solid >= 1 AND {_solid('array(behind)')} = 1, named_struct('first', first, 'n', n + 1, 'run', concat(chunk, '\n', behind)), NULL)",
-    ]
-    found = each.withColumn("solid", F.expr(_solid("body"))).select("uid", "doc_id", F.explode(F.expr(f"filter(array({', '.join(wide)}), r -> r IS NOT NULL)")).alias("r"))
-    return found.select("uid", "doc_id", "r.*")
+#: Texts of the chunks, and what of them travels: digest, first line, lines, lines that are not blank.
+_TEXTS = f"transform(ends, (e, i) -> array_join(slice(lines, {_BEFORE} + 1, e - {_BEFORE}), '\n'))"
+_CHUNKS = f"transform(ends, (e, i) -> named_struct('digest', {_digest(f"array_join(slice(lines, {_BEFORE} + 1, e - {_BEFORE}), '\n')")}, 'first', {_BEFORE} + 1, 'n', e - {_BEFORE}, 'solid', size(filter(slice(lines, {_BEFORE} + 1, e - {_BEFORE}), x -> x RLIKE '[^ \\t-\\r]'))))"
+#: Runs of one chunk and of two.
+_RUNS = """filter(flatten(transform(chunks, (c, i) -> array(
+    IF(c.solid >= 2, named_struct('a', c.digest, 'b', CAST(NULL AS binary), 'first', c.first, 'n', c.n), NULL),
+    IF(c.solid + chunks[least(i + 1, size(chunks) - 1)].solid >= 2 AND i + 1 < size(chunks), named_struct('a', c.digest, 'b', chunks[least(i + 1, size(chunks) - 1)].digest, 'first', c.first, 'n', c.n + chunks[least(i + 1, size(chunks) - 1)].n), NULL)
+))), r -> r IS NOT NULL)"""
 
 
 def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, window: int = WINDOW, without: int = WITHOUT, out_of: int = OUT_OF) -> DataFrame:
@@ -85,21 +80,22 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     cols = docs.columns if carry is None else carry
     body = F.coalesce(F.col(C.sql_name(text)).cast("string"), F.lit(""))
     own = F.col(C.sql_name(doc_id))
-    uid = F.sha2(F.concat_ws("\x00", F.coalesce(own.cast("string"), F.lit("")), own.isNull().cast("string"), body), 256)
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), own.alias("doc_id"), body.alias("text"))
-    each = chunked(df.select(uid.alias("uid"), "doc_id", "text"), how).select("uid", "doc_id", "lines", F.explode(F.expr(_CHUNKS)).alias("c")).select("uid", "doc_id", "lines", "c.first", "c.n")
-    each = each.select("uid", "doc_id", "first", "n", F.expr("slice(lines, first, n)").alias("body"), F.expr("coalesce(try_element_at(lines, nullif(first - 1, 0)), '')").alias("ahead"), F.expr("coalesce(try_element_at(lines, first + n), '')").alias("behind"))
-    each = each.withColumn("chunk", F.array_join("body", "\n"))
-    chunks = each.groupBy(F.sha2("chunk", 256).alias("digest"), "chunk").agg(F.count(F.lit(1)).alias("n"))  # by the bytes
-    repeated = C.stage(chunks.where("n > 1").select("digest"), "line-repeated")
-    near = each.withColumn("digest", F.sha2("chunk", 256)).join(repeated, "digest", "left_semi")
-    places = C.stage(runs(near).withColumn("digest", F.sha2("run", 256)), "line-places")
+    uid = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(own.cast("string"), F.lit("")), own.isNull().cast("string"), body).cast("binary"))).alias("uid")
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), uid, own.alias("doc_id"), body.alias("text"))
+    chunks = chunked(df.select("text"), how).select(F.explode(F.expr(_TEXTS)).alias("chunk"))
+    texts = chunks.groupBy(F.expr(_digest("chunk")).alias("digest"), "chunk").agg(F.count(F.lit(1)).alias("n"))  # by the bytes
+    equal = C.stage(texts.groupBy("digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1 AND texts = 1").select("digest"), "line-equal")
+    places = chunked(df.select("uid", "doc_id", "text"), how).select("uid", "doc_id", F.expr(_CHUNKS).alias("chunks")).select("uid", "doc_id", F.explode(F.expr(_RUNS)).alias("r"))
+    places = C.stage(places.select("uid", "doc_id", F.col("r.first").alias("first"), F.col("r.n").alias("lines"), F.col("r.a").alias("a"), F.col("r.b").alias("b"), F.expr(_digest("concat(r.a, coalesce(r.b, cast('' AS binary)))")).alias("run")), "line-places")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "first")
-    keep = places.groupBy("digest", "run").agg(F.min(at).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keep = C.stage(keep.select("digest", "keep", "n"), "line-first")
-    gone = C.join_by_count(places.select("uid", "first", F.col("n").alias("lines"), "digest"), keep, "digest", places.count(), "inner").where("uid <> keep.uid OR first <> keep.first")
+    keep = places.groupBy("run", "a", "b").agg(F.min(at).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = equal.select(F.col("digest").alias("a"))
+    keep = keep.join(same, "a", "left_semi")
+    keep = keep.where("b IS NULL").unionByName(keep.join(same.withColumnRenamed("a", "b"), "b", "left_semi").select(keep.columns))
+    keep = C.stage(keep.select("run", "keep", "n"), "line-first")
+    gone = C.join_by_count(places.select("uid", "first", "lines", "run"), keep, "run", places.count(), "inner").where("uid <> keep.uid OR first <> keep.first")
     gone = gone.select("uid", F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    out = df.withColumn("uid", uid).join(C.stage(gone, "line-gone"), "uid", "left")
+    out = df.join(C.stage(gone, "line-gone"), "uid", "left")
     lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
     out = out.select("row", "text", lines.alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.expr("transform(array_except(sequence(1, size(lines)), removed), i -> lines[i - 1])"), "\n"))
@@ -120,11 +116,9 @@ h AS (SELECT *, {_HASH} AS v, {_LINE} AS solid FROM line),
 e AS (SELECT *, q = n OR ({" + ".join(f"coalesce(lag(v, {j}) OVER w, 0) * {pow(BASE, j, MODULUS)} % {MODULUS}" for j in range(WINDOW))}) % {MODULUS} % {OUT_OF} >= {WITHOUT} AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY q)),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY rid ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM e),
 chunk AS (SELECT rid, doc_id, min(q) AS a, max(q) AS b, string_agg(x, chr(10) ORDER BY q) AS s, count(*) FILTER (solid) AS k FROM c GROUP BY rid, doc_id, i),
-many AS (SELECT *, count(*) OVER (PARTITION BY s) AS times FROM chunk),
-run AS (SELECT rid, doc_id, a, b, s FROM many WHERE times > 1 AND k >= 2
-  UNION SELECT m.rid, m.doc_id, a - 1, b, e.x || chr(10) || s FROM many AS m JOIN e ON e.rid = m.rid AND e.q = a - 1 WHERE times > 1 AND k >= 1 AND e.solid
-  UNION SELECT m.rid, m.doc_id, a, b + 1, s || chr(10) || e.x FROM many AS m JOIN e ON e.rid = m.rid AND e.q = b + 1 WHERE times > 1 AND k >= 1 AND e.solid),
-gone AS (SELECT rid, a, b FROM run QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, rid, a) > 1),
+run AS (SELECT rid, doc_id, a, b, s, NULL AS t FROM chunk WHERE k >= 2
+  UNION ALL SELECT c.rid, c.doc_id, c.a, d.b, c.s, d.s FROM chunk AS c JOIN chunk AS d ON d.rid = c.rid AND d.a = c.b + 1 WHERE c.k + d.k >= 2),
+gone AS (SELECT rid, a, b FROM run QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY doc_id, rid, a) > 1),
 cut AS (SELECT DISTINCT rid, q FROM gone, unnest(generate_series(a, b)) AS u(q)),
 kept AS (SELECT rid, string_agg(x, chr(10) ORDER BY q) AS s FROM line ANTI JOIN cut USING (rid, q) GROUP BY rid),
 n AS (SELECT rid, count(*) AS lines FROM cut GROUP BY rid)
