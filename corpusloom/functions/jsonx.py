@@ -37,6 +37,16 @@ def link_reply(raw: Column, ids: Column) -> Column:
     return F.when(F.array_contains(ids, winner), winner)
 
 
+def dump(value: Column) -> Column:
+    """JSON of a struct or map; null gives "{}"."""
+    return F.coalesce(F.to_json(value), F.lit("{}"))
+
+
+def now_ms() -> Column:
+    """Milliseconds since the epoch, the same in all rows of a query."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def render(template: str, **values: Column) -> Column:
     """Template with ``{{name}}`` places filled; all other braces stay."""
     out = F.lit(template)

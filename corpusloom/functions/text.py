@@ -60,7 +60,7 @@ def pack(parts: Column, size: int, overlap: int) -> Column:
         return F.struct(F.when(fits, joined).otherwise(p).alias("buf"), out.alias("out"))
 
     chunks = F.aggregate(parts, empty, add, lambda a: F.when(a["buf"] == "", a["out"]).otherwise(F.array_append(a["out"], a["buf"])))
-    if overlap <= 0:
+    if isinstance(overlap, int) and overlap <= 0:
         return chunks
 
     def lead(out: Column, c: Column) -> Column:
@@ -77,7 +77,7 @@ def bound(value: Column, use) -> Column:
 
 
 def split_chars(text: Column | str, size: int, overlap: int) -> Column:
-    t, step = _col(text), max(1, size - overlap)
+    t, step = _col(text), F.greatest(F.lit(1), F.lit(size) - F.lit(overlap))
     at = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     return _stripped(F.transform(at, lambda i: F.substring(t, i + 1, F.lit(size))))
 
@@ -151,6 +151,37 @@ def chunks(text: Column | str, o: ChunkOptions) -> Column:
             return pack(split_sentences(text), o.size, o.overlap)
 
 
+# Bounds of options that a model proposes, and the preview it sees.
+LEAST_SIZE, PREVIEW = 100, 4000
+STRATEGIES = ["char", "word", "sentence", "paragraph", "line", "recursive", "tokens"]
+
+
+def model_options(reply: Column | str, text: Column | str, default: ChunkOptions | None = None) -> Column:
+    """Options in a model's reply, kept within bounds; without a usable one those that the text suggests."""
+    o = default or ChunkOptions()
+    raw = F.regexp_extract(_col(reply), r"(?s)(\{.*\})", 1)
+    parsed = F.from_json(raw, "strategy STRING, size INT, overlap INT")
+    named = F.lower(F.coalesce(parsed["strategy"], F.lit("sentence")))
+    strategy = F.when(named.isin(STRATEGIES), named).otherwise(F.lit("sentence"))
+    size, overlap = F.greatest(F.lit(LEAST_SIZE), F.coalesce(parsed["size"], F.lit(o.size))), F.greatest(F.lit(0), F.coalesce(parsed["overlap"], F.lit(o.overlap)))
+    usable = F.coalesce(parsed["strategy"].isNotNull() | parsed["size"].isNotNull() | parsed["overlap"].isNotNull(), F.lit(False))
+    return F.when(usable, F.struct(strategy.alias("strategy"), size.alias("size"), overlap.alias("overlap"))).otherwise(suggest(text))
+
+
+def chunks_by(text: Column | str, options: Column, separators: tuple[str, ...] = ChunkOptions.separators) -> Column:
+    """Chunks of each text by its own options (strategy, size, overlap)."""
+
+    def cut(s: Column) -> Column:
+        t, size = _col(text), s["size"]
+        overlap = F.when(s["strategy"].isin("word", "tokens", "char"), F.least(s["overlap"], size - 1)).otherwise(s["overlap"])  # a window must move on
+        out = pack(split_sentences(t), size, overlap)
+        for name, made in (("char", split_chars(t, size, overlap)), ("word", split_words(t, size, overlap)), ("tokens", split_words(t, size, overlap)), ("paragraph", pack(split_paragraphs(t), size, overlap)), ("line", pack(split_lines(t), size, overlap)), ("recursive", split_recursive(t, size, overlap, separators))):
+            out = F.when(s["strategy"] == name, made).otherwise(out)
+        return out
+
+    return bound(options, cut)
+
+
 def chunks_suggested(text: Column | str, separators: tuple[str, ...] = ChunkOptions.separators) -> Column:
     """Chunks by the options that :func:`suggest` picks for each text on its own."""
     t = _col(text)
@@ -225,6 +256,31 @@ AREA = r"(\d+(?:[.,]\d+)?)\s*m²|\b(\d+(?:[.,]\d+)?)\s*m2"
 UNITS = r"(\d+)\s*(villas?|appartements?|appartement|villes?)"
 
 
+#: Frequent short words of the languages that are told apart, none of them shared.
+STOP_WORDS = {
+    "en": ["the", "and", "of", "to", "is", "with", "this", "that"],
+    "fr": ["les", "et", "une", "dans", "est", "pour", "avec", "sur"],
+    "de": ["der", "die", "und", "das", "ist", "nicht", "mit", "ein"],
+    "es": ["el", "los", "y", "que", "las", "por", "con", "una"],
+}
+
+
+def detect_language(text: Column | str, preview: int = 2000) -> Column:
+    """Language whose stop words are most frequent at the beginning of a text, the first by name among equals; null without any."""
+    found = F.split(F.lower(F.substring(_col(text), 1, preview)), r"[^\p{L}]+", -1)
+
+    def vote(w: Column) -> Column:
+        votes = [F.struct((-F.size(F.filter(w, _in(words)))).alias("n"), F.lit(lang).alias("lang")) for lang, words in sorted(STOP_WORDS.items())]
+        best = F.least(*votes)
+        return F.when(best["n"] < 0, best["lang"])
+
+    return bound(found, vote)
+
+
+def _in(words: list[str]):
+    return lambda x: x.isin(words)
+
+
 def facts(text: Column | str) -> Column:
     """Price in dirhams, area in square metres and unit counts named in a text."""
     t = F.regexp_replace(_col(text), r"\s+", " ")

@@ -50,9 +50,10 @@ def summaries(members: DataFrame, reply: Callable[[str], str], *, max_tokens: in
     return df.select(F.concat_ws(":", "series", F.col("level").cast("string"), "cid").alias("id"), "series", "level", "text", vec.alias("vec"))
 
 
-def search_summaries(rows: DataFrame, query: str, *, vector=None, levels: list[int] | None = None, limit: int = 12, max_tokens: int = 256) -> DataFrame:
+def search_summaries(rows: DataFrame, query: str, *, vector=None, series: str | None = None, levels: list[int] | None = None, limit: int = 12, max_tokens: int = 256) -> DataFrame:
     """Best summaries: cosine where both sides have vectors, else keyword overlap; texts cut to the budget."""
-    df = rows if levels is None else rows.where(F.col("level").isin(levels))
+    df = rows if series is None else rows.where(F.col("series") == series)
+    df = df if levels is None else df.where(F.col("level").isin(levels))
     words = V.keyword_overlap(F.col("text"), F.lit(query))
     score = words if vector is None else F.when(F.col("vec").isNotNull(), V.cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in vector]), truncate=True)).otherwise(words)
     return search.top_k(df.select("id", "level", "text", score.alias("score")), limit).withColumn("text", text.fit("text", max_tokens))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, text
+from corpusloom.operators import kg
 from corpusloom.schemas import ChunkOptions
 
 #: Block types that are never cut.
@@ -31,6 +32,21 @@ def split_blocks(blocks: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
     return df.select("series", "filename", "idx", ids.chunk_id(F.col("series"), F.col("filename"), F.col("idx")).alias("cid"), "text", "page", "strategy", "btype", "source")
 
 
+def model_chunks(docs: DataFrame, reply, o: ChunkOptions | None = None) -> DataFrame:
+    """Chunks of whole documents by the options that a model proposes for each from a preview of it."""
+    o = o or ChunkOptions()
+    prompt = F.concat(F.lit(f"Choose how to cut the text for retrieval. Answer with one JSON object: strategy ({', '.join(text.STRATEGIES)}), size, overlap.\nText:\n"), F.substring("text", 1, text.PREVIEW))
+    df = kg.ask(docs.withColumn("prompt", prompt), "prompt", "raw", reply).withColumn("options", text.model_options("raw", "text", o))
+    df = df.select("series", "filename", "options", F.posexplode(text.chunks_by("text", F.col("options"), o.separators)).alias("idx", "text"))
+    return df.select("series", "filename", "idx", ids.chunk_id(F.col("series"), F.col("filename"), F.col("idx")).alias("cid"), "text", F.col("options.strategy").alias("strategy"))
+
+
+def ordered(chunks: DataFrame) -> DataFrame:
+    """cid, text and meta ("{}" where there is none), by cid."""
+    meta = F.coalesce(F.to_json("meta"), F.lit("{}")) if "meta" in chunks.columns else F.lit("{}")
+    return chunks.select("cid", "text", meta.alias("meta")).orderBy("cid")
+
+
 def document_chunks(docs: DataFrame, o: ChunkOptions | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of whole documents (series, filename, text): one block each, so no window and no shuffle."""
     o = o or ChunkOptions()

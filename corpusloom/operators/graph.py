@@ -215,6 +215,13 @@ def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: fl
     return all_.join(first, ["series", "level", "cid"]).select("series", "level", F.col("name").alias("cid"), "entity_id")
 
 
+def detect(edges: DataFrame, checkpoint, *, resolution: float = 1.0, weighted: bool = True) -> DataFrame:
+    """One level of communities at one resolution, by confidence or with all edges alike."""
+    if not weighted:
+        edges = edges.withColumn("conf", F.lit(1.0))
+    return communities(edges, checkpoint, levels=1, resolution=resolution)
+
+
 def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Modularity of each (series, level) for a given membership."""
     e = edges.select("series", F.col("src_id").alias("u"), F.col("dst_id").alias("v"), F.coalesce("conf", F.lit(1.0)).alias("w"))

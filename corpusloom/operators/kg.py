@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, jsonx
@@ -119,6 +119,15 @@ def _merged_edges(rows: DataFrame) -> DataFrame:
     return _with_cids(merged, rows).select("id", "series", "src_id", "dst_id", "pred", "cids", "conf")
 
 
+def linking_context(candidates: DataFrame, *, by: str = "mention_id", limit: int = 20) -> DataFrame:
+    """For each mention the types its candidates have and their names and descriptions, the first ``limit`` by id."""
+    first = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("id"))).where(F.col("rank") <= limit)
+    line = F.concat_ws(": ", "name", F.nullif(F.col("desc"), F.lit("")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    types = candidates.groupBy(by).agg(F.array_sort(F.collect_set("type")).alias("types"))  # as many as there are types
+    return first.groupBy(by).agg(F.array_join(rows, "\n").alias("context")).join(types, by)
+
+
 def link_groups(nodes: DataFrame) -> DataFrame:
     """Nodes with their fingerprint group; names without a fingerprint stay alone."""
     fp = ids.fingerprint(F.col("name"))

@@ -47,6 +47,14 @@ class ExtractOptions:
     exclude: tuple[int, ...] = ()
     csv_rows_per_block: int = 200
     langs: tuple[str, ...] = ("eng",)
+    boxes: bool = False
+    recogniser: str = "default"
+    dpi: int = 200
+
+    @staticmethod
+    def parse_langs(spec: str | None) -> tuple[str, ...]:
+        """Languages of "fra,eng" (or "fra+eng"); blank means English."""
+        return tuple(x for x in (p.strip() for p in (spec or "").replace("+", ",").split(",")) if x) or ("eng",)
 
     def allows(self, page: int) -> bool:
         return (self.include is None or page in self.include) and page not in self.exclude

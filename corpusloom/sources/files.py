@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import re
 import zipfile
@@ -10,11 +11,13 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
+from corpusloom.functions import vectors as V
 from corpusloom.schemas import ExtractOptions
+from corpusloom.sources import ocr
 
 #: Parser of each extension: bytes and options to (page, order, text, meta) rows.
 PARSERS: dict[str, Callable] = {}
@@ -72,19 +75,31 @@ def read_xlsx(data: bytes, o: ExtractOptions):
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-    names = [s.get("name") for s in book.iter() if _local(s.tag) == "sheet"]
-    for n, name in enumerate(names):
-        sheet = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{n + 1}.xml"))
-        rows = []
-        for r in (e for e in sheet.iter() if _local(e.tag) == "row"):
-            values = []
-            for c in (e for e in r if _local(e.tag) == "c"):
-                v = next((e.text or "" for e in c if _local(e.tag) == "v"), "")
-                inline = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
-                values.append(shared[int(v)] if c.get("t") == "s" and v else inline or v)
-            rows.append(values)
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    sheets = [s for s in book.iter() if _local(s.tag) == "sheet"]
+    for n, s in enumerate(sheets):
+        rel = next((v for k, v in s.attrib.items() if _local(k) == "id"), None)
+        part = targets.get(rel) or f"worksheets/sheet{n + 1}.xml"
+        sheet = ElementTree.fromstring(z.read(part.lstrip("/") if part.startswith("/") else f"xl/{part}"))
+        rows = [_cells(r, shared) for r in sheet.iter() if _local(r.tag) == "row"]
         if rows:
-            yield n + 1, n, "\n".join([f"# Sheet: {name}", *[row_text(rows[0], r) for r in rows[1:]]]), {"type": "table", "source": "xlsx"}
+            head = [rows[0].get(i, "") for i in range(max(rows[0], default=-1) + 1)]
+            body = [row_text(head, [r.get(i, "") for i in range(len(head))]) for r in rows[1:]]
+            yield n + 1, n, "\n".join([f"# Sheet: {s.get('name')}", *body]), {"type": "table", "source": "xlsx"}
+
+
+def _cells(row, shared: list[str]) -> dict[int, str]:
+    """Values of a row by column from 0; a cell without a reference follows the one before."""
+    out, at = {}, -1
+    for c in (e for e in row if _local(e.tag) == "c"):
+        letters = re.match(r"[A-Z]+", c.get("r") or "")
+        at = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters[0], 0) - 1 if letters else at + 1
+        v = next((e.text or "" for e in c if _local(e.tag) == "v"), "")
+        inline = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
+        out[at] = shared[int(v)] if c.get("t") == "s" and v else inline or v
+    return out
 
 
 @parser(".pdf")
@@ -94,9 +109,29 @@ def read_pdf(data: bytes, o: ExtractOptions):
     except ImportError:
         raise RuntimeError("no PDF reader is installed") from None
     for n, page in enumerate(fitz.open(stream=data, filetype="pdf"), 1):
+        if not o.allows(n):
+            continue
+        if o.boxes:
+            for k, (x0, y0, x1, y1, body, *_) in enumerate(page.get_text("blocks")):
+                if body.strip():
+                    yield n, k, body.strip(), {"type": "paragraph", "source": "pdf-blocks", "bbox": f"{x0:.1f},{y0:.1f},{x1:.1f},{y1:.1f}"}
+            continue
         text = page.get_text("text").strip()
-        if o.allows(n) and text:
+        if text:
             yield n, n - 1, text, {"type": "paragraph", "source": "pdf-text"}
+        elif o.recogniser:
+            yield _recognised(n, page.get_pixmap(dpi=o.dpi).tobytes("png"), o)
+
+
+def _recognised(page: int, image: bytes, o: ExtractOptions):
+    words = ocr.recogniser(o.recogniser)(image, o.langs)
+    body, confidence = ocr._joined(words)
+    return page, page - 1, body, {"type": "paragraph", "source": "ocr", "confidence": "" if confidence is None else f"{confidence:.1f}"}
+
+
+@parser(".png", ".jpg", ".jpeg", ".tif", ".tiff")
+def read_image(data: bytes, o: ExtractOptions):
+    yield _recognised(1, data, o)
 
 
 # File types by extension.
@@ -122,10 +157,11 @@ _SCHEMA = "series string, filename string, page int, `order` int, text string, m
 def extract(files: DataFrame, o: ExtractOptions | None = None) -> DataFrame:
     """Text blocks of every known file; a file that fails gives one row with its error instead."""
     o = o or ExtractOptions()
-    parsers = dict(PARSERS)
+    parsers, engines = dict(PARSERS), dict(ocr._RECOGNISERS)
     known = files.where(ids.extension(F.col("filename")).isin(*parsers)).select("series", "filename", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ocr._RECOGNISERS.update(engines)
         for batch in batches:
             rows = []
             for series, name, content in batch.itertuples(index=False):
@@ -140,6 +176,15 @@ def extract(files: DataFrame, o: ExtractOptions | None = None) -> DataFrame:
     return known.mapInPandas(run, _SCHEMA)
 
 
+def page_linkage(blocks: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """Whether the pages of each file belong together: the mean likeness of neighbours, with more than two pages."""
+    pages = Window.partitionBy("series", "filename").orderBy("page", "order")
+    near = blocks.withColumn("before", F.lag("text").over(pages))
+    alike = F.avg(F.when(F.col("before").isNotNull(), V.jaccard(F.col("text"), F.col("before"))))
+    out = near.groupBy("series", "filename").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(alike, F.lit(0.0)).alias("similarity"))
+    return out.withColumn("mode", F.when((F.col("pages") > 2) & (F.round("similarity", 12) >= threshold), "linked").otherwise("per_page"))
+
+
 def extract_report(blocks: DataFrame) -> DataFrame:
     """Status, blocks and characters per file."""
     ok = F.col("status") == "ok"
@@ -192,6 +237,11 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return df.select("series", F.explode("items").alias("i")).select("series", "i.*").where((F.coalesce("status", F.lit("ok")) == "ok") & F.col("output").isNotNull())
 
 
+def append_history(df: DataFrame, path: str) -> None:
+    """Rows added to an append-only history; readers see whole appends only."""
+    df.write.mode("append").json(path)
+
+
 def write_jsonl(df: DataFrame, path: str, by: tuple[str, ...] = ("series",)) -> None:
     """JSON lines by series; files are keyed by the full file name, so equal stems never meet."""
     df.write.partitionBy(*by).json(path)

@@ -4,8 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from datetime import UTC, datetime
+from typing import BinaryIO, Protocol
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class SeriesStorage(Protocol):
+    """What the engine asks of a store of series; :class:`Storage` is the one over Hadoop file systems."""
+
+    def create(self, series: str, *, on_conflict: str = "suffix") -> str: ...
+
+    def save(self, series: str, filename: str, data: bytes) -> dict: ...
+
+    def list(self, series: str) -> list[str]: ...
+
+    def delete(self, series: str, filename: str | None = None) -> int: ...
 
 
 class Storage:
@@ -61,6 +76,65 @@ class Storage:
         self._fs().rename(draft, target)
         return {"series": series, "filename": free, "path": target.toString(), "size": len(data), "sha256": hashlib.sha256(data).hexdigest()}
 
+    def put_stream(self, series: str, filename: str, stream: BinaryIO, *, block: int = 1 << 20) -> dict:
+        """Store a stream without holding it whole; what is too large, empty or of a refused type leaves no file."""
+        name = self.safe(filename)
+        ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
+        if ext not in self.allowed:
+            raise ValueError(f"extension not allowed: {ext or name}")
+        stem, n, free = name[: -len(ext)], 0, name
+        while self._fs().exists(self._path(series, free)):
+            n += 1
+            free = f"{stem}__{n}{ext}"
+        draft, target, digest, size = self._path(series, f".{free}.part"), self._path(series, free), hashlib.sha256(), 0
+        out = self._fs().create(draft, True)
+        try:
+            try:
+                while part := stream.read(block):
+                    size += len(part)
+                    if size > self.max_bytes:
+                        raise ValueError("file too large")
+                    digest.update(part)
+                    out.write(bytearray(part))
+            finally:
+                out.close()
+            if not size:
+                raise ValueError("empty file")
+        except ValueError:
+            self._fs().delete(draft, False)
+            raise
+        self._fs().rename(draft, target)
+        return {"series": series, "filename": free, "path": target.toString(), "size": size, "sha256": digest.hexdigest()}
+
+    def put_file(self, series: str, path: str) -> dict:
+        """Store a file of the driver's disk under its own name."""
+        with open(path, "rb") as f:
+            return self.put_stream(series, path.rsplit("/", 1)[-1], f)
+
+    def imported(self, series: str) -> list[dict]:
+        """Files of a series in all its folders, without chunk lines and reports: name, size and change."""
+        if not self._fs().exists(self._path(series)):
+            return []
+        found, files = [], self._fs().listFiles(self._path(series), True)
+        root = self._fs().getFileStatus(self._path(series)).getPath().toString() + "/"
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString().removeprefix(root)
+            last = name.rsplit("/", 1)[-1]
+            if last.startswith(".") or last.lower().endswith((".jsonl", ".report", "_report.json")):
+                continue
+            found.append({"id": name, "name": last, "size_bytes": f.getLen(), "modified": datetime.fromtimestamp(f.getModificationTime() / 1000, UTC).isoformat()})
+        return sorted(found, key=lambda x: x["id"])
+
+    def metadata(self, series: str, tables: dict[str, DataFrame] | None = None) -> dict:
+        """Files and bytes of a series, and its rows in each table that has a series column."""
+        files = self.imported(series)
+        out = {"series": series, "files": len(files), "size_bytes": sum(f["size_bytes"] for f in files), "tables": {}}
+        for name, df in (tables or {}).items():
+            of = df.where(F.col("series") == series) if "series" in df.columns else df
+            out["tables"][name] = of.count()
+        return out
+
     def list(self, series: str) -> list[str]:
         if not self._fs().exists(self._path(series)):
             return []
