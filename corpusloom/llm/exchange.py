@@ -35,7 +35,7 @@ GATHER = 1 << 20
 #: Text in a group, and text that one task holds of several groups.
 GROUP_BYTES, TASK_BYTES = 4 << 20, 32 << 20
 ROWS = "bucket int, n int, cols array<binary>"
-_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("cols", pa.list_(pa.binary()))])
+ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("cols", pa.list_(pa.binary()))])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -95,7 +95,7 @@ class Exchange:
             names, at = np.unique(bucket[order], return_index=True)
             for name, part in zip(names.tolist(), np.split(order, at[1:]), strict=True):
                 rows.append((name, len(part), [blob for i, c in enumerate(cols) for blob in self._encode(c, part, i)]))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else ([], [], []), _ARROW, strict=True)], schema=_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else ([], [], []), ARROW, strict=True)], schema=ARROW)
 
     def gather(self, table: pa.Table | pa.RecordBatch) -> list:
         """The entries of all rows, one sender's after the other's."""
@@ -111,33 +111,39 @@ class Exchange:
         return out
 
     def deliver(self, rows: DataFrame) -> DataFrame:
-        """``rows`` cut until a bucket is one target."""
+        """``rows`` cut until a bucket is one target; rows of buckets below 0 are only carried, with all their columns."""
         width = self.width
         while width > 1:
             width //= self.fan
             mixed = rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.targets // (8 * width)), "bucket", F.pmod(F.xxhash64(F.col("cols")[0]), F.lit(8)))
-            rows = mixed.sortWithinPartitions("bucket").mapInArrow(C.lean(self._again(width)), ROWS)
+            rows = mixed.sortWithinPartitions("bucket").mapInArrow(C.lean(self._again(width)), rows.schema)
         return rows
 
     def _again(self, width: int):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
+            held, n, schema = [], 0, None
             for batch in it:
+                schema = batch.schema
                 for at in range(batch.num_rows):
-                    if batch.column("bucket")[at].as_py() < 0:  # of another kind: only carried
+                    if batch.column("bucket")[at].as_py() < 0:
                         yield batch.slice(at, 1)
                         continue
                     held.append(batch.slice(at, 1))
                     n += batch.column("n")[at].as_py()
                     if n >= GATHER:
-                        yield self.cut(self.gather(pa.Table.from_batches(held)), width)
+                        yield with_nulls(self.cut(self.gather(pa.Table.from_batches(held)), width), schema)
                         held, n = [], 0
             if held:
-                yield self.cut(self.gather(pa.Table.from_batches(held)), width)
+                yield with_nulls(self.cut(self.gather(pa.Table.from_batches(held)), width), schema)
 
         return run
 
 
+def with_nulls(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """``batch`` with the columns of ``schema``, null where it has none."""
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], [f.name for f in schema])
+
+
 class Groups:
     """Texts in groups of about ``size`` bytes, read by several steps of one plan.
 

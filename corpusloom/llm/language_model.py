@@ -34,10 +34,16 @@ whatever the partitions are say which words may reach a share of
 
 A word is known by a 64-bit digest.
 
+Texts are read once.  A task numbers its blocks of texts and sends, beside the
+entries of their words, a row for each block with what scoring needs of the
+frequent words; both are written to the shared folder, so "text 7 of block 12"
+means the same ever after, and sums of the shards come back to the blocks as
+whole numbers of 10**-9.
+
 Edge cases: null and empty texts are the end token alone; without training
 texts all probability is the unknown word's; very long texts are scored whole;
-rows alike in id and text score alike; a null doc_id counts as the id ''.
-Other columns are carried in ``row``.
+rows alike score alike; a null doc_id counts as the id ''.  Other columns are
+carried in ``row``.
 """
 
 from __future__ import annotations
@@ -47,6 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -346,7 +353,8 @@ class Pairs:
 
 # --- counting -------------------------------------------------------------
 
-_SHARD = "part int, names binary, counts binary, word binary, context binary, count binary, uids binary, doc binary, pair binary, times binary"
+_SHARD = ["names", "counts", "word", "context", "count", "block", "doc", "pair", "times"]
+_BLOCK = ["train", "tokens", "head_context", "head_dish", "head_text"]
 _DONE = "part int, counts binary"
 
 
@@ -354,69 +362,84 @@ def _words_to(shards: int):
     return lambda c: (C.mix(c[0].copy(), 8) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def _count(heads_, words: X.Exchange):
-    """Entries of all words but the frequent ones (by shard), and table counts of those (buckets below 0)."""
+#: Blocks that a partition may have; sums travel as whole numbers of this size.
+_SEQUENCE, _UNIT = 1 << 10, 1e-9
+
+
+def _count(heads_, words: X.Exchange, targets: int):
+    """Entries of all words but the frequent ones (by shard); below bucket 0 parts of the table of those, and blocks."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = heads_.value
         counts = np.zeros(CONTEXTS * (DISHES + 1), np.int64)
-        held, uids, n, docs = [], [], 0, 0
+        tail, head, rows, n, docs = [], [], [], 0, 0
+        number, schema = TaskContext.get().partitionId() * _SEQUENCE, None
 
-        def flush() -> pa.RecordBatch:
-            context, word, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        def flush() -> Iterator[pa.RecordBatch]:
+            context, word, doc = (np.concatenate(x) for x in zip(*tail, strict=True))
+            train = np.concatenate([r[1] for r in rows])
             names, at = np.unique(word, return_inverse=True)
             key, times = np.unique(at.astype(np.uint64) << np.uint64(36) | context.astype(np.uint64) << np.uint64(24) | doc.astype(np.uint64), return_counts=True)
-            who = (np.concatenate(uids), (key & np.uint64((1 << 24) - 1)).astype(np.int64))
-            return words.cut([names[(key >> np.uint64(36)).astype(np.int64)], key >> np.uint64(24) & np.uint64(CONTEXTS - 1), who, times])
+            doc = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+            place = doc * 2 + train[doc]
+            yield X.with_nulls(words.cut([names[(key >> np.uint64(36)).astype(np.int64)], key >> np.uint64(24) & np.uint64(CONTEXTS - 1), np.full(len(key), number), place, times]), schema)
+            context, dish, doc = (np.concatenate(x) for x in zip(*head, strict=True))
+            order = np.lexsort((dish, context, doc))
+            blobs = [X.pack(train.astype(np.uint8)), X.pack(np.concatenate([r[2] for r in rows])), X.pack(context[order].astype(np.uint16)), X.pack(dish[order].astype(np.uint16)), _differences(doc[order])]
+            carried = pa.concat_arrays([r[0] for r in rows])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried)
+            own = {"bucket": pa.array([-1 - _PARTS - number], pa.int32()), "n": pa.array([number], pa.int32()), "cols": pa.array([blobs], pa.list_(pa.binary())), "rows": lists, "target": pa.array([number * 2654435761 % (1 << 32) % targets], pa.int32())}
+            yield pa.RecordBatch.from_arrays([own[f.name] for f in schema], [f.name for f in schema])
 
         for batch, texts in C.batches_of(it):
+            schema = schema or pa.schema([*X.ARROW, ("rows", pa.list_(batch.schema.field("row").type)), ("target", pa.int32())])
             t = Tokens(texts, heads)
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             context, dish, doc = t.head
             counts += np.bincount(context[train[doc]] * (DISHES + 1) + dish[train[doc]], minlength=len(counts))
+            head.append((context, dish, doc + docs))
             context, word, doc = t.tail
-            held.append((context, word, doc + docs))
-            uids.append(_uids(batch))
+            tail.append((context, word, doc + docs))
+            rows.append((batch.column("row"), train, t.n + 1))
             n, docs = n + len(word), docs + len(texts)
             if n >= FLUSH or docs >= 1 << 20:
-                yield flush()
-                held, uids, n, docs = [], [], 0, 0
-        if held:
-            yield flush()
-        for number, part in enumerate(np.split(counts, _PARTS)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - number], pa.int32()), pa.array([0], pa.int32()), pa.array([[X.pack(part)]], pa.list_(pa.binary()))], ["bucket", "n", "cols"])
+                yield from flush()
+                tail, head, rows, n, docs, number = [], [], [], 0, 0, number + 1
+        if rows:
+            yield from flush()
+        for part, some in enumerate(np.split(counts, _PARTS)):
+            if some.any():
+                yield X.with_nulls(pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int32()), pa.array([0], pa.int32()), pa.array([[X.pack(some)]], pa.list_(pa.binary()))], schema=X.ARROW), schema)
 
     return run
 
 
-def _uids(batch: pa.RecordBatch) -> np.ndarray:
-    """16 bytes that name each text; the first says whether it is a training text."""
-    raw = np.frombuffer(b"".join(batch.column("uid").to_pylist()), np.uint8).reshape(-1, 16).copy()
-    raw[:, 0] = 1 + batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-    raw[:, -1] |= 1  # no zero byte at the end, which a byte string would drop
-    return raw.view("S16").ravel()
+def _differences(x: np.ndarray) -> bytes:
+    return X.pack(np.diff(x.astype(np.uint32), prepend=np.uint32(0)))
 
 
 def _shard(words: X.Exchange):
-    """One row for a shard of words: its words, pairs and entries, sorted; or sums of a part of the table."""
+    """One row for a shard of words (its words, pairs and entries, sorted), for a part of the table, or for a block."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            total = sum(X.unpack(x[0], "i8") for x in table.column("cols").to_pylist())
-            cols = {"part": pa.array([-1 - key[0].as_py()], pa.int32()), "counts": pa.array([X.pack(total)], pa.binary())}
-            return pa.table({f.split()[0]: cols.get(f.split()[0], pa.array([None], pa.binary())) for f in _SHARD.split(", ")})
-        name, context, (uids, doc), times = words.gather(table)
-        trained = (uids.view(np.uint8).reshape(-1, 16)[:, 0] == 2) if len(uids) else np.zeros(0, bool)
-        names, word = np.unique(name, return_inverse=True)
-        keys, pair = np.unique(word.astype(np.uint64) << np.uint64(12) | context.astype(np.uint64), return_inverse=True)
-        count = np.bincount(pair, times * trained[doc], len(keys)).astype(np.int64)
-        word = (keys >> np.uint64(12)).astype(np.int64)
-        counts = np.bincount(word, count, len(names)).astype(np.int64)
-        order = np.argsort(doc, kind="stable")
-        rising = lambda x: X.pack(np.diff(x.astype(np.uint32), prepend=np.uint32(0)))
-        cols = [X.pack(names), X.pack(counts), rising(word), X.pack((keys & np.uint64(CONTEXTS - 1)).astype(np.uint16)), X.pack(count.astype(np.uint32)), X.pack(uids), rising(doc[order]), X.pack(pair[order].astype(np.uint32)), X.pack(times[order].astype(np.uint32))]
-        return pa.table({"part": pa.array([None], pa.int32())} | {f.split()[0]: pa.array([c], pa.binary()) for f, c in zip(_SHARD.split(", ")[1:], cols, strict=True)})
+        bucket, out = key[0].as_py(), {}
+        if bucket < -_PARTS:
+            out = dict(zip(_BLOCK, table.column("cols")[0].as_py(), strict=True)) | {"number": table.column("n")[0].as_py(), "target": table.column("target")[0].as_py()}
+        elif bucket < 0:
+            out = {"part": -1 - bucket, "counts": X.pack(sum(X.unpack(x[0], "i8") for x in table.column("cols").to_pylist()))}
+        else:
+            name, context, block, place, times = words.gather(table)
+            names, word = np.unique(name, return_inverse=True)
+            keys, pair = np.unique(word.astype(np.uint64) << np.uint64(12) | context.astype(np.uint64), return_inverse=True)
+            count = np.bincount(pair, times * (place & 1), len(keys)).astype(np.int64)
+            word = (keys >> np.uint64(12)).astype(np.int64)
+            order = np.argsort(block.astype(np.uint64) << np.uint64(32) | place)
+            cols = [X.pack(names), X.pack(np.bincount(word, count, len(names)).astype(np.int64)), _differences(word), X.pack((keys & np.uint64(CONTEXTS - 1)).astype(np.uint16)), X.pack(count.astype(np.uint32)), _differences(block[order]), _differences(place[order] >> 1), X.pack(pair[order].astype(np.uint32)), X.pack(times[order].astype(np.uint32))]
+            out = dict(zip(_SHARD, cols, strict=True))
+        kinds = {"part": pa.int32(), "number": pa.int32(), "target": pa.int32()}
+        cols = {c: pa.array([out.get(c)], kinds.get(c, pa.binary())) for c in ("part", "number", "target", *_SHARD, *_BLOCK)}
+        rows = table.column("rows").combine_chunks() if bucket < -_PARTS else pa.nulls(1, table.schema.field("rows").type)
+        return pa.table(cols | {"rows": rows})
 
     return run
 
@@ -471,21 +494,12 @@ def _sums(first: Totals, second: Totals, final: Totals, texts: X.Exchange):
                 log = final.log(own, context, final.probability(served)[word])
                 counts = X.unpack(r["counts"], "i8")
                 base, known = np.log10(counts + 1.0)[word], (counts > 0)[word]
-                uids, doc, pair, times = X.unpack(r["uids"], "S16"), _rising(r["doc"]), X.unpack(r["pair"], "u4"), X.unpack(r["times"], "u4")
-                add = lambda x: np.bincount(doc, times * x[pair], len(uids))  # noqa: B023, E731
-                yield texts.cut([uids, add(base), add(log), add(known), np.bincount(doc, times, len(uids))])
-
-    return run
-
-
-def _texts(texts: X.Exchange):
-    """Sums of each text of a shard of texts."""
-
-    def run(table: pa.Table) -> pa.Table:
-        uids, *sums = texts.gather(table)
-        found, at = np.unique(uids, return_inverse=True)
-        base, score_, known, n = (np.bincount(at, x, len(found)) for x in sums)
-        return pa.table({"uid": pa.array([bytes(x) for x in found.view("V16")], pa.binary()), "tail_base": pa.array(base), "tail_score": pa.array(score_), "tail_known": pa.array(known), "tail_n": pa.array(n)})
+                block, doc, pair, times = _rising(r["block"]), _rising(r["doc"]), X.unpack(r["pair"], "u4"), X.unpack(r["times"], "u4")
+                new = np.ones(len(doc), bool)
+                new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+                first_ = np.flatnonzero(new)
+                add = lambda x: np.add.reduceat(times * x[pair], first_) if len(first_) else np.empty(0)  # noqa: B023, E731
+                yield texts.cut([block[first_], doc[first_], np.rint(add(base) / _UNIT), np.rint(add(log) / _UNIT), add(known)])
 
     return run
 
@@ -493,26 +507,37 @@ def _texts(texts: X.Exchange):
 _LOCAL: dict[str, dict] = {}
 
 
-def _local(model, row: T.StructField):
-    """What a text's score needs beside its other words: frequent words and the end."""
+def _score(model, texts: X.Exchange, row: T.StructField):
+    """All texts of some blocks: their frequent words and end tokens, and the sums of all other words."""
     key = uuid.uuid4().hex
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if key not in _LOCAL:
             _LOCAL.clear()
             _LOCAL[key] = model.value
-        m = _LOCAL[key]
-        for batch, texts in C.batches_of(it):
-            t = Tokens(texts, m["heads"])
-            context, dish, doc = t.head
-            sums = [np.bincount(doc, x, len(texts)) for x in (m["log"][context, dish], m["base"][dish], m["known"][dish])]
-            tail = np.bincount(t.tail[2], minlength=len(texts)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x.tobytes() for x in _uids(batch).view("V16")], pa.binary()), batch.column("train"), pa.array(t.n + 1), *map(pa.array, (*sums, tail))], ["row", "uid", "train", "n_tokens", "score", "base", "known", "words"])
+        m, out = _LOCAL[key], []
+        block, doc, *sums = texts.gather(right)
+        order = np.argsort(block, kind="stable")
+        block, doc, sums = block[order], doc[order], [x[order] for x in sums]
+        for at in range(left.num_rows):
+            r = {c: left.column(c)[at].as_py() for c in ("number", *_BLOCK)}
+            train, tokens = X.unpack(r["train"], "u1") == 1, X.unpack(r["tokens"], "i8")
+            context, dish, text = X.unpack(r["head_context"], "u2"), X.unpack(r["head_dish"], "u2"), _rising(r["head_text"])
+            lo, hi = np.searchsorted(block, r["number"], "left"), np.searchsorted(block, r["number"], "right")
+            total = []
+            for own, more, unit in ((m["base"][dish], sums[0], _UNIT), (m["log"][context, dish], sums[1], _UNIT), (m["known"][dish], sums[2], 1)):
+                total.append(np.bincount(text, own, len(tokens)) + np.bincount(doc[lo:hi], more[lo:hi], len(tokens)) * unit)
+            rows = left.column("rows").slice(at, 1).combine_chunks().flatten()
+            out.append(pa.RecordBatch.from_arrays([rows, pa.array(train), pa.array(tokens), *map(pa.array, total)], _SCORED))
+        return pa.Table.from_batches(out)
+
+    return run, T.StructType([row, *T._parse_datatype_string("train boolean, n_tokens bigint, base double, score double, known double").fields])
+
 
-    return run, T.StructType([row, *T._parse_datatype_string("uid binary, train boolean, n_tokens bigint, score double, base double, known double, words double").fields])
+_SCORED = ["row", "train", "n_tokens", "base", "score", "known"]
 
 
-def score(docs: DataFrame, *, train: Column, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, *, train: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``perplexity``.
 
     ``train`` says which rows the model learns from.
@@ -520,16 +545,17 @@ def score(docs: DataFrame, *, train: Column, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     C.bound_batches(spark)
     cols = docs.columns if carry is None else carry
-    body = F.col(C.sql_name(text)).cast("string")
-    uid = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(C.sql_name(doc_id)).cast("string"), F.lit("")), F.coalesce(body, F.lit(""))).cast("binary")))
-    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), uid.alias("uid"), train.alias("train"), body.alias("text"))
+    df = docs.select(F.struct(*[F.col(C.sql_name(c)) for c in cols]).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.col(C.sql_name(text)).cast("string").alias("text"))
     size = df.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     heads = frequent(df.select("train", "text"))
-    shards = max(1, -(-size // WORD_BYTES))
-    words = X.Exchange(["+u8", "u2", "@S16", "u4"], shards, _words_to(shards))
-    counted = df.select("uid", "train", "text").mapInArrow(C.lean(_count(spark.sparkContext.broadcast(heads), words)), X.ROWS)
-    counted = C.stage(words.deliver(counted).groupBy("bucket").applyInArrow(_shard(words), _SHARD), "lm-shards")
-    entries, counts = counted.where("part IS NULL").drop("part"), np.zeros((_PARTS, CONTEXTS * (DISHES + 1) // _PARTS), np.int64)
+    shards, targets = max(1, -(-size // WORD_BYTES)), max(1, -(-size // TEXT_BYTES))
+    words = X.Exchange(["+u8", "u2", "u4", "u4", "u4"], shards, _words_to(shards))
+    rows = T.StructField("rows", T.ArrayType(df.schema["row"].dataType))
+    sent = T.StructType([*T._parse_datatype_string(X.ROWS).fields, rows, T.StructField("target", T.IntegerType())])
+    kept = T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("part", "number", "target")], *[T.StructField(c, T.BinaryType()) for c in (*_SHARD, *_BLOCK)], rows])
+    counted = df.mapInArrow(C.lean(_count(spark.sparkContext.broadcast(heads), words, targets)), sent)
+    counted = C.stage(words.deliver(counted).groupBy("bucket").applyInArrow(_shard(words), kept), "lm-shards")
+    entries, counts = counted.where("names IS NOT NULL").select(*_SHARD), np.zeros((_PARTS, CONTEXTS * (DISHES + 1) // _PARTS), np.int64)
     for r in counted.where("part IS NOT NULL").select("part", "counts").toLocalIterator():  # a table of fixed size
         counts[r["part"]] = X.unpack(bytes(r["counts"]), "i8")
     counts = counts.reshape(CONTEXTS, DISHES + 1)
@@ -542,17 +568,14 @@ def score(docs: DataFrame, *, train: Column, doc_id: str = "doc_id", text: str =
     own[pairs.context, pairs.word] = extra
     log = final.log(own, np.arange(CONTEXTS)[:, None], final.probability(served)[None, :])
     of, n, distinct = counts.sum(axis=0), int(first.customers.sum()), int(first.words)
-    model = spark.sparkContext.broadcast({"heads": heads, "log": log, "base": np.log10(of + 1.0), "known": (of > 0).astype(float)})
-    run, schema = _local(model, df.schema["row"])
-    local = df.mapInArrow(C.lean(run), schema)
-    targets = max(1, -(-size // TEXT_BYTES))
-    texts = X.Exchange(["S16", "f8", "f8", "f8", "f8"], targets, lambda c: C.mix(c[0].view(np.uint64).reshape(-1, 2)[:, 0].copy(), 9) % np.uint64(targets))
+    model = spark.sparkContext.broadcast({"log": log, "base": np.log10(of + 1.0), "known": (of > 0).astype(float)})
+    # The target of a number is that of its block's row.
+    texts = X.Exchange(["u4", "u4", "i8", "i8", "u4"], targets, lambda c: c[0].astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) % np.uint64(targets))
     sums = texts.deliver(entries.mapInArrow(C.lean(_sums(first, second, final, texts)), X.ROWS))
-    tail = sums.groupBy("bucket").applyInArrow(_texts(texts), "uid binary, tail_base double, tail_score double, tail_known double, tail_n double")
-    out = local.join(tail, "uid", "left")
-    # Rows alike in id and text were summed together: each gets its share.
-    share = lambda x: F.coalesce(F.col(x) * F.col("words") / F.col("tail_n"), F.lit(0.0))
-    out = out.select("row", "train", "n_tokens", F.round(F.col("known") + share("tail_known")).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") + share("tail_base") - F.col("n_tokens") * float(np.log10(n + distinct + 1))).alias("base_score"), (F.col("score") + share("tail_score")).alias("score"))
+    run, schema = _score(model, texts, df.schema["row"])
+    blocks = counted.where("number IS NOT NULL").select(F.col("target").alias("bucket"), "number", *_BLOCK, "rows")
+    out = blocks.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(run, schema)
+    out = out.select("row", "train", "n_tokens", F.round("known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(n + distinct + 1))).alias("base_score"), "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
