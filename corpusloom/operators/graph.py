@@ -188,17 +188,55 @@ def coarsen(edges: DataFrame, checkpoint, limit: int, rounds: int = 60) -> tuple
     return edges, merged
 
 
+def refine(edges: DataFrame, labels: DataFrame, gamma: float, checkpoint, rounds: int = 24) -> DataFrame:
+    """(entity_id, cid): communities after moving single nodes of the whole graph, on all executors.
+
+    ``edges``: component, u, v, w; ``labels``: entity_id, cid.  In a round every
+    node looks for the neighbouring community that it gains most by, and a coin,
+    a hash of node and round, lets half of those that want to move do so.  It
+    ends when nobody wants to, or after ``rounds``.  What falls apart then is
+    split into its connected parts.
+    """
+    loops = edges.where("u = v").select("component", "u", (2 * F.col("w")).alias("w"))
+    ways = edges.where("u <> v").select("component", "u", "v", "w").unionByName(edges.where("u <> v").select("component", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    ways = checkpoint(ways.groupBy("component", "u", "v").agg(F.sum("w").alias("w")))
+    strength = checkpoint(ways.select("component", "u", "w").unionByName(loops).groupBy("component", "u").agg(F.sum("w").alias("s")))
+    total = checkpoint(strength.groupBy("component").agg(F.sum("s").alias("total")))
+    now = checkpoint(labels.select(F.col("entity_id").alias("u"), F.col("cid").alias("own")))
+    calm = 0
+    for turn in range(rounds):
+        node = now.join(strength, "u")
+        mass = node.groupBy(F.col("own").alias("c")).agg(F.sum("s").alias("mass"))
+        links = ways.join(now.select(F.col("u").alias("v"), F.col("own").alias("c")), "v").groupBy("u", "c").agg(F.sum("w").alias("k"))
+        links = links.unionByName(now.select("u", F.col("own").alias("c"), F.lit(0.0).alias("k"))).groupBy("u", "c").agg(F.sum("k").alias("k"))
+        each = links.join(mass, "c").join(node, "u").join(total, "component")
+        gain = F.col("k") - gamma * F.col("s") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("s")).otherwise(0.0)) / F.col("total")
+        best = each.withColumn("gain", F.round(gain, 9)).groupBy("u", "own").agg(F.min_by("c", F.struct((-F.col("gain")).alias("less"), "c")).alias("to"), F.max("gain").alias("most"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        wants = F.col("most") > F.col("stay")
+        coin = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+        moved = checkpoint(best.select("u", "own", F.when(wants & coin, F.col("to")).otherwise(F.col("own")).alias("to"), wants.alias("wants")))
+        calm = 0 if moved.where("wants").limit(1).count() else calm + 1
+        now = moved.select("u", F.col("to").alias("own"))
+        if calm:
+            break
+    inside = ways.where("u < v").join(now, "u").join(now.select(F.col("u").alias("v"), F.col("own").alias("other")), "v").where("own = other")
+    part = connected(inside.select(F.col("u").alias("src_id"), F.col("v").alias("dst_id")), checkpoint)
+    return now.join(part.withColumnRenamed("id", "u"), "u", "left").select(F.col("u").alias("entity_id"), F.coalesce("component", "u").alias("cid"))
+
+
 def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: float = 1.2, limit: int = COMPONENT_EDGES) -> DataFrame:
     """(series, level, cid, entity_id) at resolution ``resolution * (1 + 0.5 * level)``.
 
     Communities never cross connected components, so each (series, component)
-    is one group of Arrow rows; a component of more than ``limit`` edges is
-    coarsened before.  A community is named by its smallest member.
+    is one group of Arrow rows.  A component of more than ``limit`` edges is
+    coarsened before, and its communities are refined on the whole component
+    after, node by node.  A community is named by its smallest member.
     """
     of = connected(edges, checkpoint)
     e = edges.select("series", F.col("src_id").alias("u"), F.col("dst_id").alias("v"), F.coalesce("conf", F.lit(1.0)).alias("w"))
     e = e.join(of.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("component", F.coalesce("component", "u"))
-    e, merged = coarsen(e.select("series", "component", "u", "v", "w"), checkpoint, limit)
+    whole = e = checkpoint(e.select("series", "component", "u", "v", "w"))
+    e, merged = coarsen(e, checkpoint, limit)
     schema = "series string, level int, cid string, entity_id string"
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
@@ -211,8 +249,18 @@ def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: fl
         return out
     out = checkpoint(out)
     all_ = out.unionByName(out.join(merged, out["entity_id"] == merged["node"]).select("series", "level", "cid", F.col("id").alias("entity_id")))
-    first = all_.groupBy("series", "level", "cid").agg(F.min("entity_id").alias("name"))
-    return all_.join(first, ["series", "level", "cid"]).select("series", "level", F.col("name").alias("cid"), "entity_id")
+    large = whole.groupBy("series", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("series", "component")
+    large = checkpoint(large)
+    rough = whole.join(large.select("component"), "component", "left_semi")
+    members = checkpoint(rough.select("series", F.explode(F.array("u", "v")).alias("entity_id")).distinct())
+    kept = all_.join(members, ["series", "entity_id"], "left_anti")
+    for level in range(levels):
+        labels = all_.where(F.col("level") == level).join(members, ["series", "entity_id"], "left_semi")
+        better = refine(rough, labels, resolution * (1 + 0.5 * level), checkpoint)
+        kept = kept.unionByName(better.join(members, "entity_id").select("series", F.lit(level).alias("level"), "cid", "entity_id"), allowMissingColumns=True)
+    kept = checkpoint(kept.select("series", F.col("level").cast("int").alias("level"), "cid", "entity_id"))
+    first = kept.groupBy("series", "level", "cid").agg(F.min("entity_id").alias("name"))
+    return kept.join(first, ["series", "level", "cid"]).select("series", "level", F.col("name").alias("cid"), "entity_id")
 
 
 def detect(edges: DataFrame, checkpoint, *, resolution: float = 1.0, weighted: bool = True) -> DataFrame:

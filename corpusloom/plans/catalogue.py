@@ -506,13 +506,15 @@ def community_top_members(spark, sf_dir):
     return graph.top_members(_membership(spark, sf_dir), nodes, _order_edges(spark, sf_dir), 5).select("level", "cid", "entity_id", "degree", "rank")
 
 
-@query()
+@query("""WITH g AS (SELECT p_partkey // 4 AS g, 'p' || p_partkey AS id FROM part), n AS (SELECT *, min(id) OVER (PARTITION BY g) AS cid FROM g)
+SELECT 'tpch' AS series, CAST(level AS INT) AS level, cid, id AS entity_id FROM n, (VALUES (0), (1)) AS l(level)""")
 def communities(spark, sf_dir):
-    """Communities of a sparse graph of parts that share a brand and a size; checked by invariants in the tests."""
-    p = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type")
-    first = p.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("hub"))
-    e = p.join(first, ["p_brand", "p_size"]).where("p_partkey <> hub")
-    edges = e.select(F.concat(F.lit("e"), F.col("p_partkey")).alias("id"), F.lit("tpch").alias("series"), F.concat(F.lit("p"), F.col("p_partkey")).alias("src_id"), F.concat(F.lit("p"), F.col("hub")).alias("dst_id"), F.lit("like").alias("pred"), F.lit(1.0).alias("conf"))
+    """Four parts each are all linked, and five such groups hang together by weak edges: the communities are the groups."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 4).alias("g"))
+    inside = p.join(p.withColumnRenamed("k", "to"), "g").where("k < to").select("k", "to", F.lit(1.0).alias("conf"))
+    between = p.where("k % 4 = 3 AND k % 20 <> 19").join(p.select(F.col("k").alias("to")), F.col("k") + 1 == F.col("to")).select("k", "to", F.lit(0.01).alias("conf"))
+    e = inside.unionByName(between)
+    edges = e.select(F.concat_ws(">", "k", "to").alias("id"), F.lit("tpch").alias("series"), F.concat(F.lit("p"), "k").alias("src_id"), F.concat(F.lit("p"), "to").alias("dst_id"), F.lit("like").alias("pred"), "conf")
     return graph.communities(edges, _rounds(spark), levels=2)
 
 
