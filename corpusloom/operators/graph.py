@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import join_by_count
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Undirected view (edge_id, u, v, conf, pred): each edge from either end."""
@@ -135,21 +136,26 @@ def _leiden(edges: pd.DataFrame, gamma: float) -> dict:
 
 
 def connected(edges: DataFrame, checkpoint) -> DataFrame:
-    """(id, component): smallest id reachable; each round is written by ``checkpoint(df)``."""
+    """(id, component): smallest id reachable, by large-star and small-star rounds.
+
+    Each round is written by ``checkpoint(df)``; it ends when a round changes
+    nothing.  Stars are minima per node, combined before the shuffle; the edges
+    of a hub are joined by count.
+    """
     pair = edges.select(F.greatest("src_id", "dst_id").alias("u"), F.least("src_id", "dst_id").alias("v"))
     now = checkpoint(pair.where("u <> v").distinct())
-    mark = None
+    size, mark = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_by_count(both.where("v > u"), least, "u", 2 * size, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(down.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         seen = tuple(now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).head())
         if seen == mark:
             break
-        mark = seen
+        size, mark = seen[0], seen
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
