@@ -95,7 +95,8 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     keep = C.stage(keep.select("run", "keep", "n"), "line-first")
     gone = C.join_by_count(places.select("uid", "first", "lines", "run"), keep, "run", places.count(), "inner").where("uid <> keep.uid OR first <> keep.first")
     gone = gone.select("uid", F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    out = df.join(C.stage(gone, "line-gone"), "uid", "left")
+    # Merged by sort whatever the size is: the plan, and so its cost, is that of a large table.
+    out = df.join(C.stage(gone, "line-gone").hint("merge"), "uid", "left")
     lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
     out = out.select("row", "text", lines.alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.expr("transform(array_except(sequence(1, size(lines)), removed), i -> lines[i - 1])"), "\n"))
