@@ -29,7 +29,7 @@ near-duplicate groups.
 
 With the default 5 rows in 32 bands a pair at exactly 0.8 shares no bucket 3
 times in 10**6; at 0.85 once in 10**8.  Keys that may be hot (the members of a
-class, a hub or a component) are joined by :func:`common.join_by_count`.
+class, a hub or a component) are joined by :func:`join_by_count`.
 
 Edge cases: null, empty or wordless texts have no set, link with nothing and
 are their own component; a null doc_id cannot be named, so such a row links
@@ -53,6 +53,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
 from corpusloom.llm.exact_dedup import keep_named, part_named
+from corpusloom.operators import graph
 
 ROWS, BANDS = 5, 32
 
@@ -214,26 +215,9 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): smallest node reachable, by large-star / small-star rounds.
-
-    Each round is written to the shared folder; it ends when a round changes
-    nothing.  Stars are minima per node, combined before the shuffle.
-    """
-    now = C.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    size, mark = now.count(), None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = C.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), name)
-        large = C.join_by_count(both.where("v > u"), least, "u", 2 * size, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = C.stage(down.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-        found = tuple(after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).head())
-        if found == mark:
-            break
-        size, mark, now = found[0], found, after
-    nodes = after.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.select(F.col("u").alias("node"), "component")
+    """(node, component): smallest node reachable; every round is written to the shared folder."""
+    links_ = edges.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"))
+    return graph.connected(links_, lambda df: C.stage(df, name)).withColumnRenamed("id", "node")
 
 
 def _reaches(both: str, n: str, m: str, percent: int) -> str:
