@@ -362,8 +362,8 @@ def _words_to(shards: int):
     return lambda c: (C.mix(c[0].copy(), 8) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-#: Blocks that a partition may have; sums travel as whole numbers of this size.
-_SEQUENCE, _UNIT = 1 << 10, 1e-9
+#: Blocks that a partition may have (about 12 GB of text); sums travel as whole numbers of this size.
+_SEQUENCE, _UNIT = 1 << 12, 1e-9
 
 
 def _count(heads_, words: X.Exchange, targets: int):
@@ -405,6 +405,8 @@ def _count(heads_, words: X.Exchange, targets: int):
             if n >= FLUSH or docs >= 1 << 20:
                 yield from flush()
                 tail, head, rows, n, docs, number = [], [], [], 0, 0, number + 1
+                if number % _SEQUENCE == 0 or number >= 1 << 31:
+                    raise ValueError("too much text in one partition, or too many partitions: blocks cannot be numbered")
         if rows:
             yield from flush()
         for part, some in enumerate(np.split(counts, _PARTS)):

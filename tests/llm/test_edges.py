@@ -92,3 +92,20 @@ def test_no_labels(spark, make):
     assert quality.score(docs, none).select("score").distinct().count() == 1
     model = spark.sparkContext.broadcast(toxicity.fit(docs, none, allowed=F.lit(True)))
     assert toxicity.measure(docs, model).select("score").distinct().count() == 1
+
+
+@pytest.mark.parametrize("master,fine", [("local", True), ("local[8]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_a_cluster_must_name_a_shared_folder(master, fine):
+    from types import SimpleNamespace
+
+    from corpusloom.llm import common
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master=master, getConf=lambda: nothing))
+    if fine:
+        assert common.shared_dir(session).startswith("/tmp/")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session)
+    named = SimpleNamespace(get=lambda *_: "/shared/folder/")
+    assert common.shared_dir(SimpleNamespace(conf=named, sparkContext=session.sparkContext)) == "/shared/folder"
