@@ -1,4 +1,4 @@
-"""Training-data operators: ten components, each in a module of its own.
+"""Training-data operators, each in a module of its own.
 
 Nothing outside this folder imports it.  Modules are imported one by one so
 that a query pays only for what it uses.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, language_model, license_scan, line_dedup, near_dedup, quality, substring_dedup, toxicity
+from corpusloom.llm import bpe, decontaminate, exact_dedup, language_model, license_scan, line_dedup, near_dedup, quality, sentence_pieces, substring_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_sentence_pieces": sentence_pieces.op13_sentence_pieces,
 }
 
 #: None of the others can be said in SQL; their tests hold them against brute force.
