@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, hard_negatives, language_model, license_scan, line_dedup, near_dedup, quality, sentence_pieces, substring_dedup, toxicity
+from corpusloom.llm import bpe, decontaminate, exact_dedup, hard_negatives, language_model, license_scan, line_dedup, near_dedup, quality, sentence_pieces, source_audit, substring_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_source_audit": source_audit.op11_source_audit,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_sentence_pieces": sentence_pieces.op13_sentence_pieces,
 }
@@ -26,5 +27,6 @@ ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op8_near_dedup": near_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_source_audit": source_audit.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
