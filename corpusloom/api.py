@@ -58,7 +58,7 @@ def checked(spec: dict[str, dict], required: tuple[str, ...], values: dict[str,
             raise ValueError(f"{name} must be of type {rule['type']}")
         if "enum" in rule and value not in rule["enum"]:
             raise ValueError(f"{name} must be one of {', '.join(rule['enum'])}")
-        if value < rule.get("minimum", value) or value > rule.get("maximum", value):
+        if ("minimum" in rule and value < rule["minimum"]) or ("maximum" in rule and value > rule["maximum"]):
             raise ValueError(f"{name} is out of bounds")
         out[name] = value
     if unknown := sorted(set(values) - set(spec)):

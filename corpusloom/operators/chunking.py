@@ -60,7 +60,8 @@ def report(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("series", "filename").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).cast("bigint").alias("n_chars"), F.max(F.length("text")).alias("longest"))
 
 
-def fresh(chunks: DataFrame, done: DataFrame, *, key: str = "filename") -> DataFrame:
-    """Chunks whose (file, sha1 of text) was not processed before."""
+def fresh(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """Chunks whose (series, file, sha1 of text) was not processed before; each series has its own history."""
     keyed = chunks.withColumn("hash", F.sha1(F.col("text").cast("binary")))
-    return keyed.join(done.select(key, "hash").distinct(), [key, "hash"], "left_anti")
+    key = ["series", "filename", "hash"]
+    return keyed.join(done.select(key).distinct(), key, "left_anti")

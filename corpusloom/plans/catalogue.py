@@ -214,11 +214,11 @@ def distinct_texts(spark, sf_dir):
     return d.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.source = d.source AND sha1(o.text) = sha1(d.text))")
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.lang = d.lang AND o.source = d.source AND sha1(o.text) = sha1(d.text))")
 def incremental_skip(spark, sf_dir):
-    """Documents whose (file, text) the rows with ids divisible by three did not bring before."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), "text")
-    done = d.where("doc_id % 3 = 0").select("filename", F.sha1(F.col("text").cast("binary")).alias("hash"))
+    """Documents whose (series, file, text) the rows with ids divisible by three did not bring before; a language is a series."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("series"), F.col("source").alias("filename"), "text")
+    done = d.where("doc_id % 3 = 0").select("series", "filename", F.sha1(F.col("text").cast("binary")).alias("hash"))
     return chunking.fresh(d, done).select("doc_id")
 
 
@@ -751,12 +751,12 @@ def linking_context(spark, sf_dir):
     return kg.linking_context(c).withColumn("types", F.array_join("types", ","))
 
 
-@query("""WITH c AS (SELECT source AS series, CAST(doc_id AS VARCHAR) AS filename, text FROM documents WHERE trim(text) <> ''), done AS (SELECT filename, sha1(text) AS h FROM c WHERE series = 'web')
-SELECT series, filename, sha1(text) AS hash FROM c WHERE (filename, sha1(text)) NOT IN (SELECT filename, h FROM done) ORDER BY series, filename LIMIT 100""")
+@query("""WITH c AS (SELECT source AS series, CAST(doc_id AS VARCHAR) AS filename, text FROM documents WHERE trim(text) <> ''), done AS (SELECT series, filename, sha1(text) AS h FROM c WHERE series IN ('src0', 'src1'))
+SELECT series, filename, sha1(text) AS hash FROM c WHERE (series, filename, sha1(text)) NOT IN (SELECT series, filename, h FROM done) ORDER BY series, filename LIMIT 100""")
 def chunks_due(spark, sf_dir):
     """The first hundred chunks that an incremental run would extract: with text, and not extracted before."""
     c = _documents(spark, sf_dir).withColumn("idx", F.lit(0))
-    done = c.where("series = 'web'").select("filename", F.sha1(F.col("text").cast("binary")).alias("hash"))
+    done = c.where("series IN ('src0', 'src1')").select("series", "filename", F.sha1(F.col("text").cast("binary")).alias("hash"))
     return runner.due(c, done, 100).select("series", "filename", "hash")
 
 

@@ -15,14 +15,17 @@ HISTORY = "history"
 
 
 def due(chunks: DataFrame, done: DataFrame | None, limit: int | None = None) -> DataFrame:
-    """Chunks with text that are not in ``done`` (filename, hash), the first ``limit`` by file and index, with their hash."""
+    """Chunks with text that are not in ``done`` (series, filename, hash), the first ``limit`` by file and index, with their hash."""
     rows = chunks.where(text.strip(F.col("text")) != "")
     rows = rows.withColumn("hash", F.sha1(F.col("text").cast("binary"))) if done is None else chunking.fresh(rows, done)
     return rows if limit is None else rows.orderBy("series", "filename", "idx").limit(limit)
 
 
 class Runner:
-    """Extraction with an append-only history below a workspace; a run that fails appends nothing."""
+    """Extraction with an append-only history below a workspace; a run that fails appends nothing.
+
+    Replies that could not be read are recorded too, but their chunks stay due.
+    """
 
     def __init__(self, work: Workspace, reply: Callable[[str], str] = kg.rule_extractor, *, min_conf: float = 0.35):
         self.work, self.reply, self.min_conf = work, reply, min_conf
@@ -37,7 +40,8 @@ class Runner:
     def run(self, chunks: DataFrame, *, limit: int | None = None) -> dict[str, DataFrame | int]:
         """Extract what is due, append it, and give the merged graph of all extractions."""
         before = self.history()
-        fresh = self.work.save(due(chunks, before, limit), "due")
+        done = None if before is None else before.where("error IS NULL")
+        fresh = self.work.save(due(chunks, done, limit), "due")
         hashes = fresh.select("cid", "hash")
         extracted = self.work.save(kg.extract(fresh.drop("hash"), self.reply).join(hashes, "cid").withColumn("ts", F.current_timestamp()), "extracted")
         extracted.write.mode("append").parquet(self.path)

@@ -21,16 +21,17 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT, *, files: i
 
 
 def new_chunks(docs: DataFrame, o: ChunkOptions | None = None, *, time: str = "ts", within: str | None = None) -> DataFrame:
-    """Chunks of streamed documents whose (file, hash of text) was not seen before.
+    """Chunks of streamed documents whose (series, file, hash of text) was not seen before.
 
-    Every pair ever seen stays in the state, 16 bytes and a key each, because a
-    file may come back at any time; with ``within``, the age of events in
-    ``time`` after which a pair may be forgotten, the state is bounded.
+    Every key ever seen stays in the state, because a file may come back at any
+    time; with ``within``, the age of events in ``time`` after which a key may
+    be forgotten, the state is bounded.
     """
     if within:
         docs = docs.withWatermark(time, within)
     chunks = chunking.document_chunks(docs, o, keep=(time,) if within else ()).withColumn("hash", F.sha1(F.col("text").cast("binary")))
-    return chunks.dropDuplicatesWithinWatermark(["filename", "hash"]) if within else chunks.dropDuplicates(["filename", "hash"])
+    key = ["series", "filename", "hash"]
+    return chunks.dropDuplicatesWithinWatermark(key) if within else chunks.dropDuplicates(key)
 
 
 def upsert_sink(spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
