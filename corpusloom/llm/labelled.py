@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, label: str, allowed: Column, p
     """(order, text, y) of at most ``per_class`` labelled rows of each class, and the class counts.
 
     A class has whole texts of ``class_bytes`` together at most: rows in the
-    order of their hash, as many as fit.
+    order of their hash, a row that does not fit being passed over; where none
+    fits, the shortest text.
 
     Rows are taken by a hash of the id, so the choice is stable.  Only the
     chosen ids, a number bounded by ``per_class``, are broadcast to the
@@ -36,14 +37,17 @@ def sample(docs: DataFrame, labels: DataFrame, *, label: str, allowed: Column, p
     classes = []
     for y in (0, 1):
         of = rows.where(F.col("y") == y).orderBy("order", "again").limit(per_class)
-        total, last = 0, None
-        for r in of.select("order", "again", F.octet_length("text").alias("n")).orderBy("order", "again").collect():  # per_class rows of three numbers
-            total += r["n"]
-            if total > class_bytes:
-                break
-            last = r
-        fits = F.lit(False) if last is None else F.struct("order", "again") <= F.struct(F.lit(last["order"]).alias("order"), F.lit(last["again"]).alias("again"))
-        classes.append(of.where(fits).drop("again"))
+        sizes = of.groupBy("order", "again").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("order", "again").collect()  # per_class rows of three numbers
+        total, fits = 0, []
+        for r in sizes:
+            if total + r["n"] <= class_bytes:
+                total += r["n"]
+                fits.append((r["order"], r["again"]))
+        if sizes and not fits:  # a class that has labels is never empty: its shortest text stands for it
+            least = min(sizes, key=lambda r: (r["n"], r["order"], r["again"]))
+            fits.append((least["order"], least["again"]))
+        chosen_ = F.broadcast(docs.sparkSession.createDataFrame(fits, "order bigint, again bigint"))  # per_class rows
+        classes.append(of.join(chosen_, ["order", "again"]).select("order", "text", "y"))
     return classes[0].union(classes[1]), counts
 
 

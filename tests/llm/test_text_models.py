@@ -285,6 +285,18 @@ def test_samples_hold_whole_texts_up_to_a_bound(spark, make):
     assert all(n <= 500 for n in sizes.values()) and {r["text"] for r in some.collect()} <= {r["text"] for r in every.collect()}
 
 
+def test_samples_pass_over_what_does_not_fit(spark, make):
+    """A class keeps rows whatever its first text is, and its shortest text where none fits."""
+    from corpusloom.llm import labelled
+
+    docs = make([(i, ("x" * 5000 if i % 2 else "y" * 10)) for i in range(20)] + [(101, "z" * 4500)])
+    table = spark.createDataFrame([(i, i % 2, i % 2) for i in [*range(20), 101]], "doc_id bigint, quality int, toxic int")
+    got = labelled.sample(docs, table, label="toxic", allowed=F.lit(True), per_class=50, class_bytes=4000)[0].collect()
+    assert sorted((r["y"], len(r["text"])) for r in got) == [(0, 10)] * 10 + [(1, 4500)]
+    got = labelled.sample(docs, table, label="toxic", allowed=F.lit(True), per_class=50, class_bytes=4700)[0].collect()
+    assert sorted((r["y"], len(r["text"])) for r in got) == [(0, 10)] * 10 + [(1, 4500)]
+
+
 def test_long_text_counts_whole(spark, make):
     """A toxic word at the end of a very long text still counts."""
     rng = random.Random(1)
