@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text
 from corpusloom.functions import vectors as V
 from corpusloom.operators import search
+from corpusloom.operators.vector_index import InvertedFile
 
 
 class VectorIndex(Protocol):
-    """What a vector index must offer; :class:`TableIndex` is the exact one over a table."""
+    """What a vector index must offer: :class:`TableIndex` scans a table, :class:`~corpusloom.operators.vector_index.InvertedFile` reads some lists of it."""
 
     def search(self, vector: list[float], k: int) -> DataFrame: ...
 
@@ -25,19 +26,22 @@ class VectorIndex(Protocol):
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """One vector column: its name in the catalogue, where it is, and how it is compared."""
+    """One vector column: its name in the catalogue, where it is, how it is compared, and whether a scan or an inverted file answers."""
 
     name: str
     table: str
     column: str
     dims: int
     similarity: str = "cosine"
+    kind: str = "scan"
 
     def __post_init__(self) -> None:
         if self.dims < 1:
             raise ValueError("dims must be positive")
         if self.similarity != "cosine":
             raise ValueError(f"unknown similarity {self.similarity}")
+        if self.kind not in ("scan", "inverted"):
+            raise ValueError(f"unknown kind of index {self.kind}")
 
 
 def safe_name(name: str) -> str:
@@ -80,6 +84,11 @@ class Catalog:
             out.close()
         return spec
 
+    def open(self, name: str) -> VectorIndex:
+        """The index itself, over the table that its specification names."""
+        spec = self.get(name)
+        return InvertedFile(self.spark, spec.table) if spec.kind == "inverted" else TableIndex(spec, self.spark.read.parquet(spec.table))
+
     def names(self) -> list[str]:
         root = self._hadoop.Path(self.path)
         return sorted(s.getPath().getName()[:-5] for s in self._fs.listStatus(root) if s.getPath().getName().endswith(".json")) if self._fs.exists(root) else []
@@ -120,6 +129,17 @@ def embed_entities(nodes: DataFrame, vector: Column | None = None, *, dims: int
     return nodes.join(embedded, "id", "left")
 
 
+def sync_at(catalog: Catalog, name: str, nodes: DataFrame, path: str, *, vector: Column | None = None, dims: int = 384, kind: str = "scan") -> VectorIndex:
+    """Embed all entities, store their vectors under ``path``, register the index and open it."""
+    rows = checked_dims(embed_entities(nodes, vector, dims=dims).where(F.col("evec").isNotNull()), "evec", dims)
+    if kind == "inverted":
+        InvertedFile.build(rows, path, vector="evec")
+    else:
+        rows.write.parquet(path)
+    catalog.create(IndexSpec(name, path, "evec", dims, kind=kind))
+    return catalog.open(name)
+
+
 def sync(catalog: Catalog, name: str, nodes: DataFrame, *, vector: Column | None = None, dims: int = 384, save=None) -> TableIndex:
     """Embed all entities, store the table with ``save(df, name)`` and register its index."""
     rows = checked_dims(embed_entities(nodes, vector, dims=dims).where(F.col("evec").isNotNull()), "evec", dims)

@@ -6,6 +6,7 @@ it is what an independent engine runs on the same tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, jsonx, text
 from corpusloom.functions import vectors as V
-from corpusloom.operators import answer, chunking, entities, graph, kg, search, tables
+from corpusloom.operators import answer, chunking, entities, graph, kg, search, tables, vector_index
 from corpusloom.plans import runner
 from corpusloom.schemas import ChunkOptions
 from corpusloom.sources import files
@@ -518,12 +519,23 @@ def communities(spark, sf_dir):
     return graph.communities(edges, _rounds(spark), levels=2)
 
 
+def _shared(spark: SparkSession) -> str | None:
+    """The folder that the cluster names for checkpoints; none is needed in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for stored structures."""
+    return f"{_shared(spark) or '/tmp/checkpoints/corpusloom-stores'}/{name}-{uuid.uuid4().hex}"
+
+
 def _rounds(spark: SparkSession):
     """Writes a round to the folder that the cluster names for checkpoints."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = _shared(spark)
     if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/corpusloom-rounds")
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -707,6 +719,33 @@ def entity_vectors(spark, sf_dir):
     return rows.select("id", "text", F.round(V.cosine(F.col("evec"), F.array(*[F.lit(x) for x in q])), 6).alias("score"))
 
 
+@query(f"""WITH n AS (SELECT 'p' || p_partkey AS id, {_TEXT_OF} AS t FROM part), v AS (SELECT id, list_transform(generate_series(1, 8), lambda i: ord(substring(rpad(t, 8, ' '), i, 1)) % 13 / 13.0) AS v FROM n),
+q AS (SELECT list_transform(generate_series(1, 8), lambda i: ord(substring('STANDARD', i, 1)) % 13 / 13.0) AS q), s AS (SELECT id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM v, q ORDER BY score DESC, id LIMIT 10)
+SELECT kind, id, round(score, 6) AS score FROM s, (VALUES ('scan'), ('inverted')) AS k(kind)""")
+def entity_indexes(spark, sf_dir):
+    """Entities synchronised with the catalogue, as a scan and as an inverted file, and searched after reopening; the report is the ten best of each."""
+    p = _table(spark, sf_dir, "part")
+    nodes = p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_type")).alias("desc"))
+    q = spark.range(1).select(V.char_embed(F.lit("STANDARD")).alias("v")).head()["v"]
+    catalog, out = entities.Catalog(spark, _folder(spark, "catalog")), None
+    for kind in ("scan", "inverted"):
+        entities.sync_at(catalog, f"parts {kind}", nodes, _folder(spark, kind), vector=V.char_embed(F.col("text")), dims=8, kind=kind)
+        found = catalog.open(f"parts {kind}").search(q, 10).select(F.lit(kind).alias("kind"), "id", F.round("score", 6).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(ORACLE_SQL["cosine_join"])
+def vector_index_join(spark, sf_dir):
+    """Every twentieth vector against an inverted file of all of them, built from a part, extended and reopened; all lists are probed."""
+    e = _vectors(spark, sf_dir)
+    path = _folder(spark, "vectors")
+    vector_index.InvertedFile.build(e.where("id % 3 <> 0"), path).upsert(e.where("id % 3 = 0 OR id % 10 = 1"))
+    index = vector_index.InvertedFile(spark, path)
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return index.search_many(q, 5, index.lists).withColumn("score", F.round("score", 6))
+
+
 def _language_sql() -> str:
     words = r"regexp_split_to_array(lower(substring(text, 1, 2000)), '[^\p{L}]+')"
     votes = ", ".join(f"{{'n': -len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)}))), 'lang': '{lang}'}}" for lang, ws in sorted(text.STOP_WORDS.items()))
