@@ -44,6 +44,8 @@ from corpusloom.llm import common as C
 MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Sources of a language, and groups in all; checked.
 MAX_SOURCES, MAX_GROUPS = 4096, 1 << 17
+#: Shares of a group's nominated terms.
+SHARES = 32
 #: Text that is encoded together, and cells of a chunk's dense vectors.
 RUN_BYTES, CELLS = 12 << 20, 1 << 20
 
@@ -189,9 +191,14 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
 
     parts = kept.select("lang", "term", "source", "n").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(C.lean(run), "lang string, source string, part string, item string, value bigint")
     every = groups.groupBy("lang").agg(F.collect_list("source").alias("s")).select("lang", "s", F.explode("s").alias("source")).select("lang", "source", F.lit("pair").alias("part"), F.explode("s").alias("item"), F.lit(0).cast("bigint").alias("value")).where("source <> item")
-    values = parts.unionByName(every).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return values.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    parts = C.stage(parts, "parts")
+    pairs = parts.where("part = 'pair'").unionByName(every).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    order = [F.desc("value"), F.col("item")]
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))
+    # Chunks nominate their first terms, more in all the more chunks there are: ranked in shares before the last step.
+    terms, share = parts.where("part = 'term'"), F.pmod(F.xxhash64("item"), F.lit(SHARES))
+    nominated = terms.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", share).orderBy(*order))).where(F.col("rank") <= top).drop("rank")
+    return pairs.withColumn("rank", rank).unionByName(nominated.withColumn("rank", rank).where(F.col("rank") <= top))
 
 
 def _report(rows: list[tuple]) -> pa.RecordBatch:
