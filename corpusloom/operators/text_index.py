@@ -39,7 +39,7 @@ from corpusloom.sources.manifests import Manifests
 #: Documents of a chunk, and postings after which it ends too.
 CHUNK, POSTINGS = 1024, 1 << 19
 #: Folders by token, chunks scored for the first threshold, and chunks of a folder that one task writes.
-FOLDERS, FIRST, WRITE_CHUNKS = 64, 16, 4096
+FOLDERS, FIRST, WRITE_CHUNKS = 16, 16, 4096
 #: Relative width by which bounds are loosened, for rounding.
 SLACK = 1e-9
 

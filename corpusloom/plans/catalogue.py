@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, jsonx, text
 from corpusloom.functions import vectors as V
-from corpusloom.operators import answer, chunking, entities, graph, kg, search, tables, vector_index
+from corpusloom.operators import answer, chunking, entities, graph, kg, search, similarity, tables, text_index, vector_index
 from corpusloom.plans import runner
 from corpusloom.schemas import ChunkOptions
-from corpusloom.sources import files
+from corpusloom.sources import files, keyed
 from corpusloom.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,6 +338,14 @@ def multiset_jaccard(spark, sf_dir):
     return search.multiset_jaccard(p, p.where("id % 20 = 0").withColumnRenamed("id", "mention_id")).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT mention_id, id AS winner, score FROM ({ORACLE_SQL['multiset_jaccard']}) WHERE rank = 1 AND score >= 0.55")
+def similar_names(spark, sf_dir):
+    """Every twentieth part's best catalogue row by a threshold join: the winners that ``best_or_none`` gives at 0.55."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+    found = similarity.join(p, p.where("id % 20 = 0").withColumnRenamed("id", "mention_id"))
+    return search.best_or_none(found).select("mention_id", "winner", F.round("score", 6).alias("score"))
+
+
 _BM25_TERMS = ["the", "que", "der"]
 
 
@@ -352,6 +360,29 @@ def bm25_top_k(spark, sf_dir):
     return search.bm25(d, _BM25_TERMS, 10).withColumn("score", F.round("score", 6))
 
 
+_TEXT_QUERIES = {"articles": ["the", "que", "der"], "notices": ["license", "copyright", "rights"], "rare": ["und", "les", "nosuchtoken"]}
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS t FROM documents WHERE doc_id % 11 <> 5), q AS (SELECT unnest({[n for n, ws in _TEXT_QUERIES.items() for _ in ws]}) AS query, unnest({[w for ws in _TEXT_QUERIES.values() for w in ws]}) AS w),
+x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM t), f AS (SELECT id, n, w, count(*) AS tf FROM x SEMI JOIN q USING (w) GROUP BY ALL), s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM t), d AS (SELECT w, count(*) AS df FROM f GROUP BY w),
+r AS (SELECT query, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM f JOIN d USING (w) JOIN q USING (w), s GROUP BY query, id)
+SELECT query, id, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) <= 10"""
+)
+def text_index_search(spark, sf_dir):
+    """Three queries against a stored text index: built with some texts that are replaced later, extended, thinned, merged and reopened; the report is the ten best of each."""
+    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    path = _folder(spark, "texts")
+    early = d.where("id % 3 <> 0").withColumn("text", F.when(F.col("id") % 10 == 1, "the license of the que und").otherwise(F.col("text")))
+    index = text_index.TextIndex.build(early, path).upsert(d.where("id % 3 = 0 OR id % 10 = 1"))
+    index.delete(d.where("id % 11 = 5").select("id")).merge()
+    index, out = text_index.TextIndex(spark, path), None
+    for name, words in _TEXT_QUERIES.items():
+        hits = index.search(words, 10).select(F.lit(name).alias("query"), "id", F.round("score", 6).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = _vectors(spark, sf_dir)
     one = e.select("id", (F.col("label") / 10).alias("score")).where("score >= 0.3")
@@ -561,6 +592,23 @@ def upsert_entities(spark, sf_dir):
     return out.select("id", F.array_join("aliases", ",").alias("aliases"), "desc", F.array_join("cids", ",").alias("cids"), F.round("conf", 6).alias("conf"))
 
 
+@query(
+    """WITH a AS (SELECT 0 AS turn, 's' || s_suppkey AS id, ['a' || s_suppkey % 3] AS al, 'short' AS d, ['d' || s_suppkey] AS c, s_suppkey % 10 / 10 AS conf FROM supplier UNION ALL SELECT 1 + s_suppkey % 4 // 2, 's' || s_suppkey, ['a0', 'b'], CASE WHEN s_suppkey % 4 = 0 THEN 'a longer text' ELSE 'tiny' END, ['d0'], 0.45 FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT CAST(version AS INT) AS version, id, array_to_string(list_sort(list_distinct(flatten(list(al)))), ',') AS aliases, first(d ORDER BY length(d) DESC, d) AS "desc", array_to_string(list_sort(list_distinct(flatten(list(c)))), ',') AS cids, round(max(conf), 6) AS conf FROM a, (VALUES (0), (1), (2)) AS v(version) WHERE turn <= version GROUP BY version, id"""
+)
+def keyed_versions(spark, sf_dir):
+    """Entities upserted into a keyed table in three batches, the last one repeated; every version read back."""
+    one, two = _versions(spark, sf_dir)
+    four = F.substring("id", 2, 20).cast("bigint") % 4
+    path, merge, out, versions = _folder(spark, "keyed"), tables.upsert_entities, None, []
+    for n, batch in enumerate([one, two.where(four == 0), two.where(four == 2), two.where(four == 2)]):
+        versions.append(keyed.KeyedTable.open(spark, path, "id", 16).upsert(batch, merge, min(n, 2)).meta["version"])
+    for n, version in enumerate(versions[:3]):
+        rows = keyed.KeyedTable(spark, path, version).rows(merge).select(F.lit(n).alias("version"), "id", F.array_join("aliases", ",").alias("aliases"), "desc", F.array_join("cids", ",").alias("cids"), F.round("conf", 6).alias("conf"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     f"""WITH {_GRAPH}, n AS (SELECT id FROM nodes WHERE conf >= 0.2), e AS (SELECT * FROM edges UNION ALL SELECT src_id, dst_id, pred, conf / 2 FROM edges WHERE pred = 'lives_in')
 SELECT src_id || '>' || dst_id AS id, pred, round(max(conf), 6) AS conf, CAST(1 AS DOUBLE) AS weight FROM e WHERE src_id IN (FROM n) AND dst_id IN (FROM n) GROUP BY ALL"""

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import chunking
 from corpusloom.schemas import ChunkOptions
+from corpusloom.sources.keyed import BUCKETS, KeyedTable
 
 EVENT = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -34,21 +35,16 @@ def new_chunks(docs: DataFrame, o: ChunkOptions | None = None, *, time: str = "t
     return chunks.dropDuplicatesWithinWatermark(key) if within else chunks.dropDuplicates(key)
 
 
-def upsert_sink(spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges each batch into a snapshot.
+def upsert_sink(spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], *, key: str = "id", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges each batch into a keyed table below ``path``.
 
-    Snapshot ``n`` is the state after batch ``n``; a batch that is run again
-    overwrites its own snapshot from the one before, so it counts once.
+    What a batch writes follows the batch, not the table (see
+    :mod:`corpusloom.sources.keyed`); one that is run again counts once, since
+    the table knows the last batch it holds.  A table belongs to one stream.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        jvm = spark.sparkContext._jvm
-        before = jvm.org.apache.hadoop.fs.Path(f"{path}/v={n - 1}")
-        fs = before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if n and not fs.exists(before):
-            raise FileNotFoundError(f"snapshot {n - 1} is missing below {path}: batch {n} would start from nothing")
-        old = spark.read.parquet(f"{path}/v={n - 1}") if n else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/v={n}")
+        KeyedTable.open(spark, path, key, buckets).upsert(batch, merge, n)
 
     return write
 
