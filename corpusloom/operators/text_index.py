@@ -115,9 +115,10 @@ class TextIndex:
     # --- reading ----------------------------------------------------------------
 
     def _table(self, name: str) -> DataFrame:
+        schema = {"postings": f"{_POSTINGS}, folder int", "documents": f"chunk bigint, n int, ids array<{self.meta['id_type']}>, lengths array<int>"}[name]
         out = None
         for s in self.meta["segments"]:
-            one = self.spark.read.parquet(f"{s['path']}/{name}").withColumn("segment", F.lit(s["number"]))
+            one = self.spark.read.schema(schema).parquet(f"{s['path']}/{name}").withColumn("segment", F.lit(s["number"]))
             out = one if out is None else out.unionByName(one)
         return out
 

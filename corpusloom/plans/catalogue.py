@@ -18,7 +18,7 @@ from corpusloom.operators import answer, chunking, entities, graph, kg, search,
 from corpusloom.plans import runner
 from corpusloom.schemas import ChunkOptions
 from corpusloom.sources import files, keyed
-from corpusloom.streaming import flows
+from corpusloom.streaming import flows, health
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -871,6 +871,25 @@ def status_changes(spark, sf_dir):
     return e.withColumn("before", before).where("before IS NULL OR before <> phase").select("user_id", "event_id", "phase")
 
 
+@query("""WITH r AS (SELECT user_id AS key, event_id, ts, CASE WHEN event_type = 'error' THEN 'DEGRADED' ELSE 'RUNNING' END AS phase, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events),
+u AS (SELECT key, event_id, ts, phase FROM r UNION ALL SELECT key, NULL, ts + INTERVAL 6 HOUR, 'DEGRADED' FROM r WHERE nx IS NULL OR nx > ts + INTERVAL 6 HOUR),
+b AS (SELECT *, lag(phase) OVER (PARTITION BY key ORDER BY ts, event_id NULLS LAST) AS before FROM u) SELECT key, event_id, phase, epoch_us(ts) AS us FROM b WHERE before IS NULL OR before <> phase""")
+def health_phases(spark, sf_dir):
+    """Phase changes of each user, silences of six hours included: the batch form of the stream with timers."""
+    found = health.phases_of(_table(spark, sf_dir, "events"), quiet=6 * 3600)
+    return found.select("key", "event_id", "phase", F.unix_micros("ts").alias("us"))
+
+
+@query("""WITH a AS (SELECT user_id AS step, ts FROM events WHERE event_type = 'view'), b AS (SELECT user_id AS step, ts FROM events WHERE event_type = 'purchase')
+SELECT a.step, epoch_us(a.ts) AS start_us, round((epoch_us(b.ts) - epoch_us(a.ts)) / 1000, 3) AS ms, CASE WHEN b.ts IS NULL THEN 'expired' ELSE 'done' END AS state FROM a LEFT JOIN b ON a.step = b.step AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR""")
+def step_ends(spark, sf_dir):
+    """Views with the purchases of the same user within two hours, or expired: the static form of the stream-stream join."""
+    e = _table(spark, sf_dir, "events")
+    of = lambda kind: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("step"), "ts")
+    found = health.steps(of("view"), of("purchase"), limit=2 * 3600)
+    return found.select("step", F.unix_micros("start_ts").alias("start_us"), F.round("ms", 3).alias("ms"), "state")
+
+
 # --- the whole slice -------------------------------------------------------------
 
 
