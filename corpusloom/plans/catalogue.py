@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, jsonx, text
 from corpusloom.functions import vectors as V
-from corpusloom.operators import answer, chunking, entities, graph, kg, search, similarity, tables, text_index, vector_index
+from corpusloom.operators import languages as languages_
+from corpusloom.operators import answer, chunking, entities, graph, kg, patterns, search, similarity, tables, text_index, vector_index
 from corpusloom.plans import runner
 from corpusloom.schemas import ChunkOptions
 from corpusloom.sources import files, keyed
@@ -441,6 +442,25 @@ edges AS (SELECT 'n' || n_nationkey AS src_id, 'r' || n_regionkey AS dst_id, 'pa
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives_in', c_custkey % 5 / 5.0 FROM customer)"""
 
 
+@query(
+    f"""WITH {_GRAPH}, s AS (SELECT a.src_id AS s, a.dst_id AS n, b.src_id AS c FROM edges a JOIN edges b ON b.dst_id = a.dst_id AND b.pred = 'lives_in' WHERE a.pred = 'located_in' AND a.conf >= 0.5),
+w AS (SELECT src_id AS x, dst_id AS r, 1 AS hops FROM edges WHERE pred IN ('part_of', 'located_in') UNION ALL SELECT a.src_id, b.dst_id, 2 FROM edges a JOIN edges b ON a.dst_id = b.src_id WHERE a.pred IN ('part_of', 'located_in') AND b.pred IN ('part_of', 'located_in')),
+u AS (SELECT x.src_id AS a, x.dst_id AS n, y.src_id AS b FROM edges x JOIN edges y ON x.dst_id = y.dst_id AND x.src_id <> y.src_id WHERE x.pred = 'part_of' AND y.pred = 'part_of')
+SELECT 'near' AS pattern, s AS a, n AS b, c, 2 AS hops FROM s JOIN nodes ON id = c AND nodes.conf >= 0.75 AND type = 'customer'
+UNION ALL SELECT 'within', x, r, NULL, hops FROM w JOIN nodes ON id = r AND name = 'ASIA'
+UNION ALL SELECT 'siblings', a, n, b, 2 FROM u"""
+)
+def graph_patterns(spark, sf_dir):
+    """Customers of a supplier's nation, everything within a region up to two edges away, and nations of one region by edges in either direction."""
+    nodes, edges = tpch_graph(spark, sf_dir)
+    n, e = patterns.Node, patterns.Edge
+    near = patterns.match(nodes, edges, n("a"), e(("located_in",), where=F.col("conf") >= 0.5), n("b"), e(("lives_in",), "in"), n("c", (F.col("type") == "customer") & (F.col("conf") >= 0.75)))
+    within = patterns.match(nodes, edges, n("a"), e(("part_of", "located_in"), hops=(1, 2), name="walk"), n("b", F.col("name") == "ASIA"))
+    siblings = patterns.match(nodes, edges, n("a"), e(("part_of",), "any"), n("b", F.col("type") == "region"), e(("part_of",), "any"), n("c"))
+    rows = lambda df, name, hops: df.select(F.lit(name).alias("pattern"), "a", "b", F.col("c") if "c" in df.columns else F.lit(None).cast("string").alias("c"), hops.alias("hops"))
+    return rows(near, "near", F.lit(2)).unionByName(rows(within, "within", F.size("walk"))).unionByName(rows(siblings, "siblings", F.lit(2)))
+
+
 @query(f"WITH {_GRAPH} SELECT id, count(*) AS degree FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id")
 def degrees(spark, sf_dir):
     return graph.degree(tpch_graph(spark, sf_dir)[1])
@@ -805,6 +825,15 @@ def languages(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.detect_language("text").alias("lang"))
 
 
+@query()
+def language_profiles(spark, sf_dir):
+    """Language of every whole text by profiles learnt from four fifths of the documents (a bounded sample of them)."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    profiles = languages_.fit(d.where(~held_out), order=F.col("doc_id"))
+    return languages_.detect(d.withColumn("held_out", held_out), profiles).select("doc_id", "held_out", "language")
+
+
 def _model_reply() -> Column:
     return F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Sure: {\"strategy\": \"Paragraph\", \"size\": "), (F.col("doc_id") % 300).cast("string"), F.lit(", \"overlap\": -5}"))).when(F.col("doc_id") % 4 == 1, F.lit("```json\n{\"strategy\": \"pages\", \"size\": 900}\n```")).when(F.col("doc_id") % 4 == 2, F.lit("no idea")).otherwise(F.lit("{\"overlap\": 40}"))
 
