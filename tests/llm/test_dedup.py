@@ -285,32 +285,31 @@ def test_substring_of_a_short_text_alone(spark, make, n):
     assert [(r["n_words"], r["spans"], r["kept"]) for r in out.collect()] == [(n, [], text)]
 
 
-def _cut_lines(lines, window, without, out_of):
-    """(first, end) of the chunks of some lines, by the rolling hash."""
+def _cut_lines(lines, window, classes):
+    """(first, end) of the chunks of some lines in every class of the rolling hash."""
     import hashlib
 
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    start, out = 0, []
-    for q in range(len(lines)):
-        rolled = sum((h[q - j] if q >= j else 0) * pow(line_dedup.BASE, j, line_dedup.MODULUS) % line_dedup.MODULUS for j in range(window))
-        if q == len(lines) - 1 or rolled % line_dedup.MODULUS % out_of >= without:
-            out.append((start, q + 1))
-            start = q + 1
+    rolled = [sum((h[q - j] if q >= j else 0) * pow(line_dedup.BASE, j, line_dedup.MODULUS) % line_dedup.MODULUS for j in range(window)) % line_dedup.MODULUS % classes for q in range(len(lines))]
+    out = set()
+    for one in range(classes):
+        start = 0
+        for q in range(len(lines)):
+            if q == len(lines) - 1 or rolled[q] == one:
+                out.add((start, q + 1))
+                start = q + 1
     return out
 
 
-def _lines(rows, window, without, out_of):
-    """Chunks by the rolling hash, runs of repeated ones, then all but the first place of each repeated run removed."""
+def _lines(rows, window, classes):
+    """Chunks of every class, then all but the first place of each repeated chunk removed."""
     texts = [t.split("\n") if t else [] for _, t in rows]
     solid = lambda lines: sum(bool(x.strip(" \t\n\v\f\r")) for x in lines)
     places = defaultdict(set)
     for n, lines in enumerate(texts):
-        chunks = _cut_lines(lines, window, without, out_of)
-        for (a, b), after in zip(chunks, [*chunks[1:], None], strict=False):
+        for a, b in _cut_lines(lines, window, classes):
             if solid(lines[a:b]) >= 2:
-                places[tuple(lines[a:b]), None].add((rows[n][0], n, a, b))
-            if after and solid(lines[a : after[1]]) >= 2:
-                places[tuple(lines[a:b]), tuple(lines[b : after[1]])].add((rows[n][0], n, a, after[1]))
+                places[tuple(lines[a:b])].add((rows[n][0], n, a, b))
     gone = defaultdict(set)
     for found in places.values():
         for _, n, x, y in sorted(found)[1:]:
@@ -318,24 +317,33 @@ def _lines(rows, window, without, out_of):
     return {i: "\n".join(x for q, x in enumerate(texts[n]) if q not in gone[n]) for n, (i, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("window,without,out_of", [(1, 1, 16), (1, 1, 2), (2, 3, 4), (3, 1, 2)])
-def test_lines_equal_brute_force(spark, make, window, without, out_of):
-    rng = random.Random(out_of)
+@pytest.mark.parametrize("window,classes", [(3, 4), (1, 2), (2, 3), (5, 8)])
+def test_lines_equal_brute_force(spark, make, window, classes):
+    rng = random.Random(classes)
     blocks = ["\n".join(rng.choice(["", f"line {rng.randrange(30)}", f"line {rng.randrange(30)}", " \t"]) for _ in range(rng.randint(2, 6))) for _ in range(6)]
     rows = [(i, "\n".join(rng.choice(blocks) if rng.random() < 0.6 else f"own {i} {k}" for k in range(rng.randint(0, 6)))) for i in range(40)]
     rows += [(40, None), (41, ""), (42, "\n\n"), (43, "single"), (44, "\n\n"), (45, "single")]
-    out = line_dedup.remove_repeated(make(rows), window=window, without=without, out_of=out_of)
-    assert {r["doc_id"]: r["kept"] for r in out.select("row.doc_id", "kept").collect()} == _lines(rows, window, without, out_of)
+    out = line_dedup.remove_repeated(make(rows), window=window, classes=classes)
+    assert {r["doc_id"]: r["kept"] for r in out.select("row.doc_id", "kept").collect()} == _lines(rows, window, classes)
 
 
 def test_no_line_is_lost_from_all_documents():
     rng = random.Random(3)
     rows = [(i, "\n".join(f"l{rng.randrange(12)}" for _ in range(rng.randint(0, 9)))) for i in range(60)]
-    kept = {x for t in _lines(rows, 1, 1, 4).values() for x in t.split("\n")}
+    kept = {x for t in _lines(rows, 3, 4).values() for x in t.split("\n")}
     assert kept >= {x for _, t in rows for x in t.split("\n")}
 
 
-@pytest.mark.parametrize("lines,least", [(2, 0.75), (3, 0.9), (5, 0.97), (8, 0.99)])
+def test_chunks_have_several_lines(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    sizes = sorted(r["lines"] for r in line_dedup.chunked(docs).select("lines").collect())
+    assert sizes[0] >= 2 and sizes[len(sizes) // 2] >= 3
+    rng = random.Random(8)
+    cut = [b - a for a, b in _cut_lines([str(rng.random()) for _ in range(4000)], line_dedup.WINDOW, line_dedup.CLASSES)]
+    assert 3.8 < sum(cut) / len(cut) < 4.2
+
+
+@pytest.mark.parametrize("lines,least", [(4, 0.1), (5, 0.3), (6, 0.5), (8, 0.85), (12, 0.98), (20, 1.0)])
 def test_recall_of_shared_passages(lines, least):
     """Passages that two texts share, between lines of their own: in how many something goes, and how much of it."""
     rng = random.Random(lines)
@@ -344,11 +352,11 @@ def test_recall_of_shared_passages(lines, least):
     for k in range(500):
         shared.append([f"{k} {j} {rng.random()}" for j in range(lines)])
         rows += [(2 * k + j, "\n".join(own() + shared[-1] + own())) for j in (0, 1)]
-    kept = _lines(rows, line_dedup.WINDOW, line_dedup.WITHOUT, line_dedup.OUT_OF)
+    kept = _lines(rows, line_dedup.WINDOW, line_dedup.CLASSES)
     left = [len(set(shared[k]) & set(kept[2 * k + 1].split("\n"))) for k in range(500)]
     found, gone = sum(n < lines for n in left) / 500, 1 - sum(left) / 500 / lines
     print(f"{lines} lines: {100 * found:.1f} % of the passages, {100 * gone:.1f} % of their lines")
-    assert found > least
+    assert found >= least
     assert all(set(shared[k]) <= set(kept[2 * k].split("\n")) for k in range(500))
 
 
