@@ -214,7 +214,7 @@ class InvertedFile:
     def search_many(self, queries: DataFrame, k: int, probes: int | None = None, *, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
         """(query_id, id, score, rank) of every row of ``queries``, a stated set."""
         each = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("q")).where(F.col("q").isNotNull())
-        found = self._found(self._spread(each, probes or self.meta["probes"]).drop("nth"), self.blocks(), k)
+        found = self._found(self._spread(each, probes or self.meta["probes"]).drop("nth"), self.blocks(), k, each.count())
         return found.select(F.col("query_id").alias(query_id), "id", "score", "rank")
 
     def _spread(self, each: DataFrame, probes: int) -> DataFrame:
@@ -233,8 +233,8 @@ class InvertedFile:
         kind = each.schema["query_id"].dataType.simpleString()
         return each.mapInArrow(run, f"query_id {kind}, q array<double>, lists array<int>").select("query_id", "q", F.posexplode("lists").alias("nth", "list"))
 
-    def _found(self, probing: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, score, rank) from queries by list, over ``blocks``.
+    def _found(self, probing: DataFrame, blocks: DataFrame, k: int, total: int = 1) -> DataFrame:
+        """(query_id, id, score, rank) from ``total`` queries by list, over ``blocks``.
 
         Blocks of a list are dealt to a task for every ``SEARCH_BLOCKS`` of
         them, and the queries that probe it go to each, ``QUERY_ROWS`` in a
@@ -253,7 +253,8 @@ class InvertedFile:
         least = F.max(F.when(F.col("nth") == k, F.col("low"))).over(Window.partitionBy("query_id"))
         near = near.withColumn("nth", nth).withColumn("least", least).where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
         asked = probing.select("query_id", "q").dropDuplicates(["query_id"])
-        turn = F.floor(F.row_number().over(Window.partitionBy("segment", "block").orderBy("query_id", "place")) / F.lit(QUERY_ROWS))
+        # A block that all queries want, of a common vector for instance, is dealt by query.
+        turn = F.pmod(F.xxhash64("query_id"), F.lit(1 + total // QUERY_ROWS))
         wanted = near.withColumn("turn", turn).join(asked, "query_id").groupBy("segment", "block", "turn").agg(F.collect_list(F.struct("query_id", "place", "q")).alias("wanted"))
         exact = wanted.join(blocks.select("segment", "block", "ids", "vectors"), ["segment", "block"]).select("ids", "vectors", "wanted")
         scored = exact.mapInArrow(_exact(self.dims), f"query_id {kind}, id {self.id_type}, score double")
@@ -329,6 +330,7 @@ def _coded(centroids, k: int):
     """Rows of a block that can be among the k best of a query, with bounds of their scores."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sure: dict = {}  # for each query of the task a score that k rows reach
         for batch in it:
             packed = batch.column("queries")
             for row, (at, segment, block, n, codes, scales, errors, turns, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in batch.schema.names[:-1]), strict=True)):
@@ -343,8 +345,11 @@ def _coded(centroids, k: int):
                 late[gone or []] = True
                 low[:, late], high[:, late] = -np.inf, -np.inf
                 least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
-                i, j = np.nonzero((high >= least[:, None]) & np.isfinite(high))
                 names = queries.field("query_id")
+                keys = names.to_pylist()
+                least = np.maximum(least, [sure.get(x, -np.inf) for x in keys])
+                sure.update(zip(keys, least.tolist(), strict=True))
+                i, j = np.nonzero((high >= least[:, None]) & np.isfinite(high))
                 same = lambda v, t: pa.array(np.full(len(i), v, t))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), same(segment, np.int32), same(block, np.int64), pa.array(j.astype(np.int32)), pa.array(low[i, j]), pa.array(high[i, j])], ["query_id", "segment", "block", "place", "low", "high"])
 
