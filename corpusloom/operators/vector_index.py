@@ -34,6 +34,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import search
@@ -146,7 +147,7 @@ class InvertedFile:
                 yield pa.RecordBatch.from_pylist([block()], schema)
 
         ddl = f"list int, block bigint, n int, ids array<{meta['id_type']}>, codes binary, scales binary, errors binary, turns binary, vectors binary"
-        id_arrow = _arrow(rows)
+        id_arrow = to_arrow_type(rows.schema["id"].dataType)
         schema = pa.schema([("list", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(id_arrow)), *[(c, pa.binary()) for c in ("codes", "scales", "errors", "turns", "vectors")]])
         assigned = rows.mapInArrow(assign, f"id {meta['id_type']}, v array<double>, list int, part int")
         packed = assigned.repartition(total, "list", "part").sortWithinPartitions("list", "id").mapInArrow(pack, ddl)
@@ -320,12 +321,6 @@ def _centroids(spark: SparkSession, meta: dict) -> np.ndarray:
     return np.array([r["centroid"] for r in rows]).reshape(len(rows), meta["dims"])
 
 
-def _arrow(rows: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(rows.schema["id"].dataType)
-
-
 def _coded(centroids, k: int):
     """Rows of a block that can be among the k best of a query, with bounds of their scores."""
 
