@@ -1,6 +1,6 @@
 """A stored full-text index: postings in blocks with bounds of their impact, BM25 top-k that skips blocks.
 
-*Build.*  Documents of a task are sorted by length and numbered in chunks of at
+*Build.*  Documents of a task are sorted by size and numbered in chunks of at
 most ``CHUNK`` documents; a block holds the postings of one token in one chunk:
 places of the documents, how often the token occurs, the documents' lengths,
 and the greatest count and the least length of the block.  Blocks are written
@@ -25,9 +25,9 @@ text stays.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators.search import top_k
 from corpusloom.sources.manifests import Manifests
 
-#: Documents of a chunk, and postings after which it ends too.
-CHUNK, POSTINGS = 1024, 1 << 19
+#: Documents of a chunk, and tokens after which it ends too.
+CHUNK, TOKENS = 1024, 1 << 20
 #: Folders by token, chunks scored for the first threshold, and chunks of a folder that one task writes.
 FOLDERS, FIRST, WRITE_CHUNKS = 16, 16, 4096
 #: Relative width by which bounds are loosened, for rounding.
@@ -89,7 +89,7 @@ class TextIndex:
     @classmethod
     def _with_segment(cls, store: Manifests, meta: dict, docs: DataFrame, dead: list[str]) -> TextIndex:
         spark, folder = store.spark, store.folder("segment")
-        listed = docs.select("id", tokens(F.col("text")).alias("tokens")).sortWithinPartitions(F.size("tokens"), "id")
+        listed = docs.sortWithinPartitions(F.octet_length("text"), "id").select("id", tokens(F.col("text")).alias("tokens"))
         made = listed.mapInArrow(_chunked(meta["chunk"]), f"{_POSTINGS}, ids array<{meta['id_type']}>")
         made.write.parquet(f"{folder}-rows")
         rows = spark.read.parquet(f"{folder}-rows")
@@ -232,35 +232,39 @@ def _chunked(size: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        ids, lengths, posts, held = [], [], {}, 0
-
-        def flush() -> list[dict]:
-            nonlocal ids, lengths, posts, held, made
-            chunk = base + made
-            out = [{"token": None, "chunk": chunk, "n": len(ids), "ids": ids, "lengths": lengths}]
-            for token, (places, counts) in posts.items():
-                own = [lengths[p] for p in places]
-                out.append({"token": token, "chunk": chunk, "n": len(places), "most": max(counts), "least": min(own), "places": places, "counts": counts, "lengths": own})
-            ids, lengths, posts, held, made = [], [], {}, 0, made + 1
-            return out
-
-        schema = None
+        ids, lists, documents, held = [], [], 0, 0
         for batch in it:
-            if schema is None:
-                numbers = pa.list_(pa.int32())
-                schema = pa.schema([("token", pa.string()), ("chunk", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("least", pa.int32()), ("places", numbers), ("counts", numbers), ("lengths", numbers), ("ids", pa.list_(batch.schema.field("id").type))])
-            for id_, words in zip(batch.column("id").to_pylist(), batch.column("tokens"), strict=True):
-                place, words = len(ids), words.as_py()
-                ids.append(id_)
-                lengths.append(len(words))
-                for token, n in Counter(words).items():
-                    places, counts = posts.setdefault(token, ([], []))
-                    places.append(place)
-                    counts.append(n)
-                    held += 1
-                if len(ids) >= size or held >= POSTINGS:
-                    yield pa.RecordBatch.from_pylist(flush(), schema)
+            at = 0
+            while at < batch.num_rows:
+                sizes = np.cumsum(batch.column("tokens").slice(at, size - documents).value_lengths().to_numpy())
+                n = min(len(sizes), 1 + int(np.searchsorted(sizes, TOKENS - held)))  # the document that reaches the bound is the last
+                ids.append(batch.column("id").slice(at, n))
+                lists.append(batch.column("tokens").slice(at, n))
+                at, documents, held = at + n, documents + n, held + int(sizes[n - 1])
+                if documents >= size or held >= TOKENS:
+                    yield _block(pa.concat_arrays(ids), pa.concat_arrays(lists), base + made)
+                    ids, lists, documents, held, made = [], [], 0, 0, made + 1
         if ids:
-            yield pa.RecordBatch.from_pylist(flush(), schema)
+            yield _block(pa.concat_arrays(ids), pa.concat_arrays(lists), base + made)
 
     return run
+
+
+def _block(ids: pa.Array, lists: pa.ListArray, chunk: int) -> pa.RecordBatch:
+    """Postings of one chunk, by token and place; the chunk's own row comes first."""
+    n = len(ids)
+    lengths = lists.value_lengths().to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    key, count = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+    term, place = key // n, key % n
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = np.concatenate([[0, 0], starts[1:], [len(key)]]) if len(starts) else np.zeros(2, int)  # the first list is empty
+    rows = len(starts) + 1
+    of = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+    first = lambda own, each: pa.array(np.concatenate([[own], each]), pa.int32())
+    most, least = (np.maximum.reduceat(count, starts), np.minimum.reduceat(lengths[place], starts)) if len(starts) else (count, count)
+    tokens_ = pa.concat_arrays([pa.array([None], pa.string()), coded.dictionary.take(pa.array(term[starts]))])
+    own_lengths = pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(lengths, pa.int32())), of(lengths[place]).slice(1)])
+    whole = pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.nulls(rows - 1, pa.list_(ids.type))])
+    columns = {"token": tokens_, "chunk": pa.array(np.full(rows, chunk)), "n": first(n, np.diff(ends)[1:]), "most": first(0, most), "least": first(0, least), "places": of(place), "counts": of(count), "lengths": own_lengths, "ids": whole}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
