@@ -119,6 +119,11 @@ def _merged_edges(rows: DataFrame) -> DataFrame:
     return _with_cids(merged, rows).select("id", "series", "src_id", "dst_id", "pred", "cids", "conf")
 
 
+def upsert_edges(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Edges by id, whether their ends exist or not: union of cids, greatest confidence; a monoid."""
+    return _merged_edges(new if old is None else old.unionByName(new))
+
+
 def linking_context(candidates: DataFrame, *, by: str = "mention_id", limit: int = 20) -> DataFrame:
     """For each mention the types its candidates have and their names and descriptions, the first ``limit`` by id."""
     first = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("id"))).where(F.col("rank") <= limit)

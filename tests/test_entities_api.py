@@ -50,7 +50,7 @@ def test_runner_extracts_once(spark, tmp_path):
     work = pipelines.Workspace(spark, str(tmp_path))
     chunk = lambda rows: spark.createDataFrame([(f"s:f:{i}", "s", "f", i, t) for i, t in rows], "cid string, series string, filename string, idx int, text string")
     first = chunk([(0, "Alpha met Beta."), (1, "  "), (2, "Beta saw Gamma.")])
-    r = runner.Runner(work)
+    r = runner.Runner(work, buckets=2)
     assert r.history() is None
     one = r.run(first, limit=1)
     assert one["extracted"] == 1 and {n["name"] for n in one["nodes"].collect()} == {"Alpha", "Beta"}
@@ -59,6 +59,10 @@ def test_runner_extracts_once(spark, tmp_path):
     assert r.run(first)["extracted"] == 0 and r.history().count() == 2
     assert {(m["cid"]) for m in two["mentions"].where("entity_id IS NOT NULL").collect()} == {"s:f:0", "s:f:2"}
     assert two["quality"].head()["orphans"] == 0
+    # The same graph as one run over everything, and an old extraction is not read again for it.
+    whole = runner.Runner(pipelines.Workspace(spark, str(tmp_path / "other")), buckets=2).run(first)
+    for table in ("nodes", "edges", "mentions"):
+        assert sorted(map(str, two[table].collect())) == sorted(map(str, whole[table].collect()))
 
 
 def test_mentions_are_not_capped(spark):

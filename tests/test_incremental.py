@@ -14,7 +14,7 @@ def _chunk(series):
 
 
 def test_each_series_has_its_own_history(spark, tmp_path):
-    r = runner.Runner(pipelines.Workspace(spark, f"file://{tmp_path}"), lambda _: GOOD)
+    r = runner.Runner(pipelines.Workspace(spark, f"file://{tmp_path}"), lambda _: GOOD, buckets=2)
     assert r.run(spark.createDataFrame([_chunk("A")], CHUNKS))["extracted"] == 1
     out = r.run(spark.createDataFrame([_chunk("A"), _chunk("B")], CHUNKS))
     assert out["extracted"] == 1
@@ -24,7 +24,7 @@ def test_each_series_has_its_own_history(spark, tmp_path):
 def test_failed_replies_stay_due(spark, tmp_path):
     work = pipelines.Workspace(spark, f"file://{tmp_path}")
     chunks = spark.createDataFrame([_chunk("A")], CHUNKS)
-    bad = runner.Runner(work, lambda _: "no json").run(chunks)
+    bad = runner.Runner(work, lambda _: "no json", buckets=2).run(chunks)
     assert (bad["extracted"], bad["errors"], bad["nodes"].count()) == (1, 1, 0)
     good = runner.Runner(work, lambda _: GOOD).run(chunks)
     assert (good["extracted"], good["errors"], good["nodes"].count()) == (1, 0, 1)
