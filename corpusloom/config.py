@@ -11,15 +11,9 @@ _PLACE = re.compile(r"\$\{(\w+)(?::([^}]*))?\}")
 
 
 def interpolate(value: Any, env: dict[str, str] | None = None) -> Any:
-    """``value`` with every place filled from the environment, in nested lists and maps too."""
-    env = dict(os.environ) if env is None else env
-    if isinstance(value, str):
-        return _PLACE.sub(lambda m: env.get(m[1], m[2] or ""), value)
-    if isinstance(value, dict):
-        return {k: interpolate(v, env) for k, v in value.items()}
-    if isinstance(value, list):
-        return [interpolate(v, env) for v in value]
-    return value
+    """``value`` with every place filled from the environment, however deep it stands: places are filled in its JSON text."""
+    known = {k: json.dumps(v)[1:-1] for k, v in (os.environ if env is None else env).items()}
+    return json.loads(_PLACE.sub(lambda m: known.get(m[1], m[2] or ""), json.dumps(value, ensure_ascii=False)))
 
 
 def load(*paths: str, env: dict[str, str] | None = None) -> dict:

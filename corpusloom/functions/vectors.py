@@ -79,12 +79,6 @@ def hash_embed(dim: int = 384):
     return run
 
 
-def char_embed(text: Column, dims: int = 8) -> Column:
-    """Tiny embedder for tests: code points of the first characters modulo 13."""
-    padded = F.rpad(F.coalesce(text, F.lit("")), dims, " ")
-    return F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: (F.ascii(F.substring(padded, i, F.lit(1))) % 13) / 13.0)
-
-
 def keywords(query: Column) -> Column:
     """Distinct lower-cased words of three letters, digits or hyphens, or more."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"[A-Za-zÀ-ÿ0-9-]+"), F.lit(0)), lambda t: F.length(t) >= 3))

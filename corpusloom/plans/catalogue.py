@@ -40,6 +40,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _char_embed(text: Column, dims: int = 8) -> Column:
+    """Embedder that SQL can repeat: code points of the first characters modulo 13."""
+    padded = F.rpad(F.coalesce(text, F.lit("")), dims, " ")
+    return F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: (F.ascii(F.substring(padded, i, F.lit(1))) % 13) / 13.0)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("source").alias("series"), F.col("doc_id").cast("string").alias("filename"), "text", "doc_id")
 
@@ -782,8 +788,8 @@ def entity_vectors(spark, sf_dir):
     """Entities by the vector of their description, or of their name where that is blank; cosine to a query."""
     p = _table(spark, sf_dir, "part")
     nodes = p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_type")).alias("desc"))
-    rows = entities.embed_entities(nodes, V.char_embed(F.col("text")), dims=8).join(entities.entity_texts(nodes), "id")
-    q = spark.range(1).select(V.char_embed(F.lit("STANDARD")).alias("v")).head()["v"]
+    rows = entities.embed_entities(nodes, _char_embed(F.col("text")), dims=8).join(entities.entity_texts(nodes), "id")
+    q = spark.range(1).select(_char_embed(F.lit("STANDARD")).alias("v")).head()["v"]
     return rows.select("id", "text", F.round(V.cosine(F.col("evec"), F.array(*[F.lit(x) for x in q])), 6).alias("score"))
 
 
@@ -794,10 +800,10 @@ def entity_indexes(spark, sf_dir):
     """Entities synchronised with the catalogue, as a scan and as an inverted file, and searched after reopening; the report is the ten best of each."""
     p = _table(spark, sf_dir, "part")
     nodes = p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_type")).alias("desc"))
-    q = spark.range(1).select(V.char_embed(F.lit("STANDARD")).alias("v")).head()["v"]
+    q = spark.range(1).select(_char_embed(F.lit("STANDARD")).alias("v")).head()["v"]
     catalog, out = entities.Catalog(spark, _folder(spark, "catalog")), None
     for kind in ("scan", "inverted"):
-        entities.sync_at(catalog, f"parts {kind}", nodes, _folder(spark, kind), vector=V.char_embed(F.col("text")), dims=8, kind=kind)
+        entities.sync_at(catalog, f"parts {kind}", nodes, _folder(spark, kind), vector=_char_embed(F.col("text")), dims=8, kind=kind)
         found = catalog.open(f"parts {kind}").search(q, 10).select(F.lit(kind).alias("kind"), "id", F.round("score", 6).alias("score"))
         out = found if out is None else out.unionByName(found)
     return out

@@ -29,9 +29,9 @@ def test_entity_index(spark, tmp_path):
     assert sorted(map(tuple, entities.entity_texts(nodes).collect())) == [("a", "first letter"), ("b", "Beta"), ("c", "Gamma")]
     catalog = entities.Catalog(spark, str(tmp_path / "catalog"))
     work = pipelines.Workspace(spark, str(tmp_path / "work"))
-    index = entities.sync(catalog, "My Entities!", nodes, vector=V.char_embed(F.col("text")), dims=8, save=work.save)
+    index = entities.sync(catalog, "My Entities!", nodes, vector=catalogue._char_embed(F.col("text")), dims=8, save=work.save)
     assert catalog.names() == ["my_entities"] and catalog.get("My Entities!").dims == 8
-    query = spark.range(1).select(V.char_embed(F.lit("Beta")).alias("v")).head()["v"]
+    query = spark.range(1).select(catalogue._char_embed(F.lit("Beta")).alias("v")).head()["v"]
     assert index.search(query, 1).head()["id"] == "b"
     with pytest.raises(ValueError, match="8 dimensions"):
         index.search([1.0], 1)
