@@ -159,39 +159,32 @@ def connected(edges: DataFrame, checkpoint) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
-#: Edges of a component up to which one task works on it; larger ones are coarsened first.
+#: Edges of a component up to which one task works on it; larger ones are worked on by all executors.
 COMPONENT_EDGES = 2_000_000
 
 
-def coarsen(edges: DataFrame, checkpoint, limit: int, rounds: int = 60) -> tuple[DataFrame, DataFrame | None]:
-    """Contract components of more than ``limit`` edges along their heaviest edges, on all executors.
+def parallel_leiden(edges: DataFrame, gamma: float, checkpoint, passes: int = 10) -> DataFrame:
+    """(entity_id, cid): communities of whole components in rounds of joins, without a group for a component.
 
-    ``edges``: series, component, u, v, w.  In each round a coin, a hash of
-    node and round, makes half of the nodes centres; every other node joins its
-    heaviest neighbour if that is a centre.  Parts stay connected.  Gives the
-    remaining edges and (id, node) of the nodes that were merged.
+    ``edges``: component, u, v, w.  A pass moves single nodes (:func:`refine`),
+    splits what fell apart, and contracts the communities to the nodes of the
+    next pass, until none can be joined; then the nodes of the whole graph move
+    once more.
     """
-    merged = None
-    for turn in range(rounds):
-        big = edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("component")
-        if big.isEmpty():
+    pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    now, member = checkpoint(edges.groupBy("component", *pair).agg(F.sum("w").alias("w"))), None
+    for _ in range(passes):
+        nodes = now.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct()
+        part = checkpoint(refine(now, nodes.withColumn("cid", F.col("entity_id")), gamma, checkpoint))
+        one = part.withColumnRenamed("entity_id", "node")
+        member = part if member is None else checkpoint(member.withColumnRenamed("cid", "node").join(one, "node").select("entity_id", "cid"))
+        before, after = part.agg(F.count(F.lit(1)), F.count_distinct("cid")).head()
+        if before == after:
             break
-        large = edges.join(big, "component", "left_semi")
-        ways = large.where("u <> v").select("u", "v", "w").unionByName(large.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-        total = ways.groupBy("u", "v").agg(F.sum("w").alias("w"))
-        heaviest = total.groupBy("u").agg(F.max_by("v", F.struct("w", F.xxhash64("v"))).alias("to"))
-        centre = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0  # noqa: B023, E731
-        joins = checkpoint(heaviest.where(~centre(F.col("u")) & centre(F.col("to"))).select(F.col("u").alias("id"), F.col("to").alias("node")))
         for end in ("u", "v"):
-            edges = edges.join(joins.select(F.col("id").alias(end), F.col("node").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-        edges = checkpoint(edges.groupBy("series", "component", *pair).agg(F.sum("w").alias("w")))
-        if merged is None:
-            merged = joins
-        else:
-            older = merged.join(joins.select(F.col("id").alias("node"), F.col("node").alias("to")), "node", "left").select("id", F.coalesce("to", "node").alias("node"))
-            merged = checkpoint(older.unionByName(joins))
-    return edges, merged
+            now = now.join(one.withColumnRenamed("node", end), end).withColumn(end, F.col("cid")).drop("cid")
+        now = checkpoint(now.groupBy("component", *pair).agg(F.sum("w").alias("w")))
+    return refine(edges, member, gamma, checkpoint)
 
 
 def refine(edges: DataFrame, labels: DataFrame, gamma: float, checkpoint, rounds: int = 24) -> DataFrame:
@@ -234,15 +227,15 @@ def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: fl
     """(series, level, cid, entity_id) at resolution ``resolution * (1 + 0.5 * level)``.
 
     Communities never cross connected components, so each (series, component)
-    is one group of Arrow rows.  A component of more than ``limit`` edges is
-    coarsened before, and its communities are refined on the whole component
-    after, node by node.  A community is named by its smallest member.
+    is one group of Arrow rows.  Components of more than ``limit`` edges go
+    through :func:`parallel_leiden` instead.  A community is named by its
+    smallest member.
     """
     of = connected(edges, checkpoint)
     e = edges.select("series", F.col("src_id").alias("u"), F.col("dst_id").alias("v"), F.coalesce("conf", F.lit(1.0)).alias("w"))
     e = e.join(of.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("component", F.coalesce("component", "u"))
-    whole = e = checkpoint(e.select("series", "component", "u", "v", "w"))
-    e, merged = coarsen(e, checkpoint, limit)
+    e = checkpoint(e.select("series", "component", "u", "v", "w"))
+    large = checkpoint(e.groupBy("series", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("series", "component"))
     schema = "series string, level int, cid string, entity_id string"
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
@@ -250,23 +243,20 @@ def communities(edges: DataFrame, checkpoint, *, levels: int = 3, resolution: fl
         rows = [(series, level, cid, node) for level in range(levels) for node, cid in _leiden(batch, resolution * (1 + 0.5 * level)).items()]
         return pd.DataFrame(rows, columns=["series", "level", "cid", "entity_id"])
 
-    out = e.groupBy("series", "component").applyInPandas(run, schema)
-    if merged is None:
-        return out
-    out = checkpoint(out)
-    all_ = out.unionByName(out.join(merged, out["entity_id"] == merged["node"]).select("series", "level", "cid", F.col("id").alias("entity_id")))
-    large = whole.groupBy("series", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("series", "component")
-    large = checkpoint(large)
-    rough = whole.join(large.select("component"), "component", "left_semi")
-    members = checkpoint(rough.select("series", F.explode(F.array("u", "v")).alias("entity_id")).distinct())
-    kept = all_.join(members, ["series", "entity_id"], "left_anti")
+    if large.isEmpty():
+        return e.groupBy("series", "component").applyInPandas(run, schema)
+    key = ["series", "component"]
+    out = e.join(large, key, "left_anti").groupBy(*key).applyInPandas(run, schema)
+    # Series share no community: nodes and components carry their series.
+    own = lambda c: F.concat_ws("\x00", "series", c)
+    big = checkpoint(e.join(large, key, "left_semi").select(own("component").alias("component"), own("u").alias("u"), own("v").alias("v"), "w"))
+    part = lambda c, i: F.split(c, "\x00")[i]
     for level in range(levels):
-        labels = all_.where(F.col("level") == level).join(members, ["series", "entity_id"], "left_semi")
-        better = refine(rough, labels, resolution * (1 + 0.5 * level), checkpoint)
-        kept = kept.unionByName(better.join(members, "entity_id").select("series", F.lit(level).alias("level"), "cid", "entity_id"), allowMissingColumns=True)
-    kept = checkpoint(kept.select("series", F.col("level").cast("int").alias("level"), "cid", "entity_id"))
-    first = kept.groupBy("series", "level", "cid").agg(F.min("entity_id").alias("name"))
-    return kept.join(first, ["series", "level", "cid"]).select("series", "level", F.col("name").alias("cid"), "entity_id")
+        found = parallel_leiden(big, resolution * (1 + 0.5 * level), checkpoint)
+        out = out.unionByName(found.select(part("entity_id", 0).alias("series"), F.lit(level).alias("level"), part("cid", 1).alias("cid"), part("entity_id", 1).alias("entity_id")))
+    out = checkpoint(out)
+    first = out.groupBy("series", "level", "cid").agg(F.min("entity_id").alias("name"))
+    return out.join(first, ["series", "level", "cid"]).select("series", "level", F.col("name").alias("cid"), "entity_id")
 
 
 def detect(edges: DataFrame, checkpoint, *, resolution: float = 1.0, weighted: bool = True) -> DataFrame:

@@ -38,8 +38,10 @@ from corpusloom.sources.manifests import Manifests
 
 #: Documents of a chunk, and tokens after which it ends too.
 CHUNK, TOKENS = 1024, 1 << 20
-#: Folders by token, chunks scored for the first threshold, and chunks of a folder that one task writes.
-FOLDERS, FIRST, WRITE_CHUNKS = 16, 16, 4096
+#: Folders by token, the folder of the chunks' own rows, and tasks that write a folder.
+FOLDERS, DOCUMENTS, SHARES = 16, -1, 64
+#: Chunks scored for the first threshold, and small chunks that one task puts in order.
+FIRST, WRITE_CHUNKS = 16, 4096
 #: Relative width by which bounds are loosened, for rounding.
 SLACK = 1e-9
 
@@ -88,53 +90,64 @@ class TextIndex:
 
     @classmethod
     def _with_segment(cls, store: Manifests, meta: dict, docs: DataFrame, dead: list[str]) -> TextIndex:
-        spark, folder = store.spark, store.folder("segment")
+        folder, number = store.folder("segment"), 1 + max((s["number"] for s in meta["segments"]), default=-1)
         listed = docs.sortWithinPartitions(F.octet_length("text"), "id").select("id", tokens(F.col("text")).alias("tokens"))
-        made = listed.mapInArrow(_chunked(meta["chunk"]), f"{_POSTINGS}, ids array<{meta['id_type']}>")
-        made.write.parquet(f"{folder}-rows")
-        rows = spark.read.parquet(f"{folder}-rows")
-        rows.where("token IS NULL").select("chunk", "n", "ids", "lengths").write.parquet(f"{folder}/documents")
-        cls._write_postings(rows.where("token IS NOT NULL").drop("ids"), f"{folder}/postings")
+        made = listed.mapInArrow(_chunked(meta["chunk"], number), f"{_POSTINGS}, ids array<{meta['id_type']}>")
+        cls._write(made, folder)
         return cls._commit(store, meta, folder, dead)
 
     @staticmethod
-    def _write_postings(rows: DataFrame, path: str) -> None:
-        chunks = rows.agg(F.approx_count_distinct("chunk")).head()[0]
-        salt = F.pmod(F.xxhash64("chunk"), F.lit(1 + chunks // WRITE_CHUNKS))
-        dealt = rows.withColumn("folder", _folder_of(F.col("token"))).repartition(FOLDERS, "folder", salt)
+    def _write(rows: DataFrame, path: str) -> None:
+        """Blocks by folder and token; the rows of the chunks themselves stand in a folder of their own."""
+        placed = rows.withColumn("folder", F.when(F.col("token").isNull(), F.lit(DOCUMENTS)).otherwise(_folder_of(F.col("token"))))
+        # A folder goes to SHARES tasks, so that a frequent token's blocks are not one task's.
+        dealt = placed.repartition("folder", F.pmod(F.xxhash64("chunk"), F.lit(SHARES)))
         dealt.sortWithinPartitions("folder", "token", "chunk").write.partitionBy("folder").parquet(path)
 
     @classmethod
     def _commit(cls, store: Manifests, meta: dict, folder: str, dead: list[str], segments: list | None = None) -> TextIndex:
-        stats = store.spark.read.parquet(f"{folder}/documents").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0))).head()
         number = 1 + max((s["number"] for s in meta["segments"]), default=-1)
+        rows = cls._read(store.spark, folder, meta["id_type"]).where(F.col("folder") == DOCUMENTS)
+        stats = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0))).head()
         segment = {"number": number, "path": folder, "documents": stats[0], "tokens": stats[1]}
         store.commit(meta | {"segments": [*(meta["segments"] if segments is None else segments), segment], "dead": dead})
         return cls(store.spark, store.path, meta["version"])
 
     # --- reading ----------------------------------------------------------------
 
-    def _table(self, name: str) -> DataFrame:
-        schema = {"postings": f"{_POSTINGS}, folder int", "documents": f"chunk bigint, n int, ids array<{self.meta['id_type']}>, lengths array<int>"}[name]
+    @staticmethod
+    def _read(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
+        return spark.read.schema(f"{_POSTINGS}, ids array<{id_type}>, folder int").parquet(folder)
+
+    def _every(self) -> DataFrame:
         out = None
         for s in self.meta["segments"]:
-            one = self.spark.read.schema(schema).parquet(f"{s['path']}/{name}").withColumn("segment", F.lit(s["number"]))
+            one = self._read(self.spark, s["path"], self.meta["id_type"])
             out = one if out is None else out.unionByName(one)
         return out
 
+    def _documents(self) -> DataFrame:
+        """(chunk, n, ids, lengths): ids of deleted documents are null."""
+        return self._every().where(F.col("folder") == DOCUMENTS).select("chunk", "n", "ids", "lengths")
+
     def _gone(self) -> DataFrame | None:
-        """(segment, chunk, gone): places of replaced documents, a chunk's documents at most."""
+        """(chunk, gone, tokens): places of replaced documents, a chunk's documents at most."""
         if not self.meta["dead"]:
             return None
         marks = self.spark.read.parquet(*self.meta["dead"])
-        return marks.groupBy("segment", "chunk").agg(F.collect_set("place").alias("gone"), F.sum("length").alias("tokens"))
+        return marks.groupBy("chunk").agg(F.collect_set("place").alias("gone"), F.sum("length").alias("tokens"))
 
     def _postings(self, words: list[str]) -> DataFrame:
         """Blocks of some tokens; the folders of other tokens are not opened."""
         folders = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(_folder_of(F.col("w"))).distinct().collect()]
-        rows = self._table("postings").where(F.col("folder").isin(folders) & F.col("token").isin(words))
+        rows = self._every().where(F.col("folder").isin(folders) & F.col("token").isin(words)).drop("ids")
+        return self._living(rows)
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``gone``, the places of their chunk that were replaced."""
         gone = self._gone()
-        return rows.withColumn("gone", F.array().cast("array<int>")) if gone is None else rows.join(gone.drop("tokens"), ["segment", "chunk"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+        none = F.array().cast("array<int>")
+        return rows.withColumn("gone", none) if gone is None else rows.join(gone.drop("tokens"), "chunk", "left").withColumn("gone", F.coalesce("gone", none))
 
     def search(self, query: list[str], k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(id, score): the k best documents, ties by id."""
@@ -154,23 +167,22 @@ class TextIndex:
         for w, (df, _) in counts.items():
             weight = F.when(F.col("token") == w, F.log(F.lit(1 + (documents - df + 0.5) / (df + 0.5)))).otherwise(weight)
         part = lambda tf, n: weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
-        bounds = rows.groupBy("segment", "chunk").agg((F.sum(part(F.col("most"), F.col("least"))) * (1 + SLACK)).alias("bound"), F.count(F.lit(1)).alias("n"))
-        first = bounds.orderBy(F.desc("bound"), "segment", "chunk").limit(FIRST).collect()
-        here = F.struct("segment", "chunk").isin([F.struct(F.lit(r["segment"]).alias("segment"), F.lit(r["chunk"]).alias("chunk")) for r in first]) if first else F.lit(False)
-        score = self._scores(rows.where(here), part)
+        bounds = rows.groupBy("chunk").agg((F.sum(part(F.col("most"), F.col("least"))) * (1 + SLACK)).alias("bound"), F.count(F.lit(1)).alias("n"))
+        first = bounds.orderBy(F.desc("bound"), "chunk").limit(FIRST).collect()
+        score = self._scores(rows.where(F.col("chunk").isin([r["chunk"] for r in first])), part)
         best = score.orderBy(F.desc("score")).limit(k).collect()
         least = best[-1]["score"] * (1 - SLACK) if len(best) == k else 0.0
-        wanted = bounds.where(F.col("bound") >= least).select("segment", "chunk", "n")
+        wanted = bounds.where(F.col("bound") >= least).select("chunk", "n")
         self.read = wanted.agg(F.sum("n")).head()[0] or 0
-        score = self._scores(rows.join(wanted.drop("n"), ["segment", "chunk"], "left_semi"), part).where((F.col("score") > 0) & (F.col("score") >= least))
-        named = self._table("documents").select("segment", "chunk", "ids")
-        return top_k(score.join(named, ["segment", "chunk"]).select(F.element_at("ids", F.col("place") + 1).alias("id"), "score"), k)
+        score = self._scores(rows.join(wanted.drop("n"), "chunk", "left_semi"), part).where((F.col("score") > 0) & (F.col("score") >= least))
+        named = self._documents().select("chunk", "ids")
+        return top_k(score.join(named, "chunk").select(F.element_at("ids", F.col("place") + 1).alias("id"), "score"), k)
 
     @staticmethod
     def _scores(rows: DataFrame, part) -> DataFrame:
-        """(segment, chunk, place, score) of every living document in the blocks."""
-        each = rows.select("segment", "chunk", "token", "gone", F.explode(F.arrays_zip("places", "counts", "lengths")).alias("p")).where(~F.array_contains("gone", F.col("p.places")))
-        return each.groupBy("segment", "chunk", F.col("p.places").alias("place")).agg(F.sum(part(F.col("p.counts"), F.col("p.lengths"))).alias("score"))
+        """(chunk, place, score) of every living document in the blocks."""
+        each = rows.select("chunk", "token", "gone", F.explode(F.arrays_zip("places", "counts", "lengths")).alias("p")).where(~F.array_contains("gone", F.col("p.places")))
+        return each.groupBy("chunk", F.col("p.places").alias("place")).agg(F.sum(part(F.col("p.counts"), F.col("p.lengths"))).alias("score"))
 
     # --- changes ----------------------------------------------------------------
 
@@ -182,7 +194,9 @@ class TextIndex:
         folder = self.store.folder("docs")
         self._rows(docs, id, text).write.parquet(folder)
         new = self.spark.read.parquet(folder)
-        return self._with_segment(self.store, self._next(), new, [*self.meta["dead"], self._marked(new.select("id"))])
+        out = self._with_segment(self.store, self._next(), new, [*self.meta["dead"], self._marked(new.select("id"))])
+        self.store.remove(folder)
+        return out
 
     def delete(self, ids: DataFrame, *, id: str = "id") -> TextIndex:
         meta = self._next()
@@ -193,45 +207,60 @@ class TextIndex:
     def _marked(self, ids: DataFrame) -> str:
         """Write the places and lengths of living documents with these ids."""
         folder = self.store.folder("dead")
-        each = self._table("documents").select("segment", "chunk", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "d")).select("segment", "chunk", "place", F.col("d.ids").alias("id"), F.col("d.lengths").alias("length"))
+        each = self._documents().select("chunk", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "d")).select("chunk", "place", F.col("d.ids").alias("id"), F.col("d.lengths").alias("length"))
         if self.meta["dead"]:
-            each = each.join(self.spark.read.parquet(*self.meta["dead"]).select("segment", "chunk", "place"), ["segment", "chunk", "place"], "left_anti")
-        each.join(ids, "id", "left_semi").select("segment", "chunk", "place", "length").write.parquet(folder)
+            each = each.join(self.spark.read.parquet(*self.meta["dead"]).select("chunk", "place"), ["chunk", "place"], "left_anti")
+        each.join(ids, "id", "left_semi").select("chunk", "place", "length").write.parquet(folder)
         return folder
 
     def merge(self) -> TextIndex:
-        """All living documents in one segment; chunks that have become small are put together."""
-        folder, gone = self.store.folder("segment"), self._gone()
-        docs = self._table("documents").select("segment", "chunk", "n", "ids", "lengths")
-        docs = docs.withColumn("gone", F.array().cast("array<int>")) if gone is None else docs.join(gone.drop("tokens"), ["segment", "chunk"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-        # The living places of a chunk in order: a document's new place is its position there, plus its chunk's offset.
-        docs = docs.withColumn("stay", F.array_except(F.transform("ids", lambda _, i: i), "gone")).withColumn("n", F.size("stay")).where("n > 0")
-        parts = 1 + docs.count() // WRITE_CHUNKS
-        docs = docs.withColumn("part", F.pmod(F.xxhash64("segment", "chunk"), F.lit(parts)))
-        so_far = Window.partitionBy("part").orderBy(F.array_min("lengths"), "segment", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-        docs = docs.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).withColumn("turn", F.floor(F.col("before") / self.meta["chunk"]))
-        docs = docs.withColumn("offset", (F.col("before") - F.min("before").over(Window.partitionBy("part", "turn"))).cast("int"))
-        docs.withColumn("new", F.col("part") * F.lit(1 << 32) + F.col("turn")).write.parquet(f"{folder}-places")
-        placed = self.spark.read.parquet(f"{folder}-places")
+        """All living documents in one segment, from the postings alone.
+
+        Chunks of half the size or more keep their places; smaller ones, which
+        small batches leave, are put together.
+        """
+        folder, size = self.store.folder("segment"), self.meta["chunk"]
+        small = F.col("n") < size // 2
+        docs = self._living(self._documents()).withColumn("stay", F.array_except(F.transform("ids", lambda x, i: F.when(x.isNotNull(), i).otherwise(-1)), F.array_append("gone", F.lit(-1)))).withColumn("n", F.size("stay")).where("n > 0")
+        docs.write.parquet(f"{folder}-places")
+        docs = self.spark.read.parquet(f"{folder}-places")
+        # Chunks put together: a document's new place is its position among those that stay, plus its chunk's offset.
+        part = F.pmod(F.xxhash64("chunk"), F.lit(1 + docs.where(small).count() // WRITE_CHUNKS))
+        so_far = Window.partitionBy("part").orderBy(F.array_min("lengths"), "chunk").rowsBetween(Window.unboundedPreceding, -1)
+        few = docs.where(small).withColumn("part", part).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        of = Window.partitionBy("part", F.floor(F.col("before") / size))
+        few = few.withColumn("offset", (F.col("before") - F.min("before").over(of)).cast("int")).withColumn("new", F.min("chunk").over(of))
+        few.write.parquet(f"{folder}-small")
+        few = self.spark.read.parquet(f"{folder}-small")
         kept = lambda column: F.transform("stay", lambda i: F.element_at(column, i + 1))
-        whole = placed.select("new", "offset", kept("ids").alias("ids"), kept("lengths").alias("lengths")).groupBy(F.col("new").alias("chunk")).agg(*_in_order("ids", "lengths"))
-        whole.select("chunk", F.size("ids").alias("n"), "ids", "lengths").write.parquet(f"{folder}/documents")
-        rows = self._table("postings").join(placed.select("segment", "chunk", "new", "offset", "stay", "gone"), ["segment", "chunk"])
-        zipped = F.filter(F.arrays_zip("places", "counts", "lengths"), lambda p: ~F.array_contains("gone", p["places"]))
-        rows = rows.withColumn("p", zipped).where(F.size("p") > 0)
+        none = lambda t: F.lit(None).cast(t)
+        own = few.select("new", "offset", kept("ids").alias("ids"), kept("lengths").alias("lengths")).groupBy(F.col("new").alias("chunk")).agg(*_in_order("ids", "lengths")).withColumn("n", F.size("ids"))
+        blank = lambda column, value: F.transform(column, lambda x, i: F.when(F.array_contains("gone", i), value).otherwise(x))
+        same = docs.where(~small).select("chunk", blank("ids", none(self.meta["id_type"])).alias("ids"), blank("lengths", F.lit(0)).alias("lengths"), "n")
+        heads = own.unionByName(same).select(none("string").alias("token"), "chunk", "n", F.lit(0).alias("most"), F.lit(0).alias("least"), none("array<int>").alias("places"), none("array<int>").alias("counts"), "lengths", "ids")
+        rows = self._every().where(F.col("folder") != DOCUMENTS).drop("ids", "folder")
+        living = lambda df: df.withColumn("p", F.filter(F.arrays_zip("places", "counts", "lengths"), lambda p: ~F.array_contains("gone", p["places"]))).where(F.size("p") > 0)
+        large = rows.join(docs.where(~small).select("chunk", "gone"), "chunk")
+        thinned = living(large.where(F.size("gone") > 0)).select("token", "chunk", *[F.col(f"p.{c}").alias(c) for c in ("places", "counts", "lengths")])
+        moved = living(rows.join(few.select("chunk", "new", "offset", "stay", "gone"), "chunk"))
         # array_position counts from 1.
-        rows = rows.select("token", "new", "offset", F.transform("p", lambda p: (F.array_position("stay", p["places"]) - 1 + F.col("offset")).cast("int")).alias("places"), F.col("p.counts").alias("counts"), F.col("p.lengths").alias("lengths"))
-        rows = rows.groupBy("token", F.col("new").alias("chunk")).agg(*_in_order("places", "counts", "lengths"))
-        rows = rows.select("token", "chunk", F.size("places").alias("n"), F.array_max("counts").alias("most"), F.array_min("lengths").alias("least"), "places", "counts", "lengths")
-        self._write_postings(rows, f"{folder}/postings")
-        return self._commit(self.store, self._next(), folder, [], segments=[])
+        place = F.transform("p", lambda p: (F.array_position("stay", p["places"]) - 1 + F.col("offset")).cast("int"))
+        moved = moved.select("token", "new", "offset", place.alias("places"), F.col("p.counts").alias("counts"), F.col("p.lengths").alias("lengths")).groupBy("token", F.col("new").alias("chunk")).agg(*_in_order("places", "counts", "lengths"))
+        made = thinned.unionByName(moved).select("token", "chunk", F.size("places").alias("n"), F.array_max("counts").alias("most"), F.array_min("lengths").alias("least"), "places", "counts", "lengths")
+        blocks = large.where(F.size("gone") == 0).select(made.columns).unionByName(made).withColumn("ids", none(f"array<{self.meta['id_type']}>"))
+        self._write(blocks.unionByName(heads), folder)
+        out = self._commit(self.store, self._next(), folder, [], segments=[])
+        for name in ("places", "small"):
+            self.store.remove(f"{folder}-{name}")
+        return out
 
 
-def _chunked(size: int):
+def _chunked(size: int, segment: int):
     """Postings of the documents of a task, ``size`` documents at a time, and a row without token for each chunk."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
+        # Unique over all segments: number of the segment, task, chunk of the task.
+        base, made = segment << 44 | TaskContext.get().partitionId() << 22, 0
         ids, lists, documents, held = [], [], 0, 0
         for batch in it:
             at = 0

@@ -66,6 +66,10 @@ class Manifests:
         """Bytes below a folder."""
         return self._fs.getContentSummary(self._hadoop.Path(folder)).getLength()
 
+    def remove(self, folder: str) -> None:
+        """Delete a folder that no version names."""
+        self._fs.delete(self._hadoop.Path(folder), True)
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Forget all but the last ``keep`` versions and delete folders that none of those names; gives the deleted folders."""
         known = self.versions()

@@ -112,8 +112,8 @@ def test_communities_cover_connect_and_beat_singletons(spark, tmp_path):
     assert top.groupBy("level", "cid").count().agg(F.max("count")).head()[0] == 2
 
 
-def test_large_components_are_coarsened(spark):
-    """Far beyond the limit of one task the communities still cover all nodes and are connected."""
+def test_large_components_go_through_rounds_of_joins(spark):
+    """Beyond the limit of one task the communities still cover all nodes and are connected."""
     e = _cliques(spark)
     m = graph.communities(e, lambda df: spark.createDataFrame(df.collect(), df.schema), levels=1, limit=6)
     of = {r["entity_id"]: r["cid"] for r in m.collect()}
@@ -189,3 +189,28 @@ def test_build_and_ask(spark, sf, tmp_path):
         assert 0 < hits.count() <= 3
     sql = pipelines.query_sql(spark, "SELECT count(*) AS n FROM entities WHERE conf >= :c", {"entities": built["nodes"]}, c=0.5)
     assert sql.head()["n"] == counts["nodes"]
+
+
+def _planted(rng, nodes=60, groups=5):
+    edges = {(a, b) for a in range(nodes) for b in range(a) if rng.random() < (0.5 if a % groups == b % groups else 0.01)}
+    return sorted(edges | {(a, a - 1) for a in range(1, nodes)})
+
+
+def _skewed(rng, nodes=80):
+    ends, edges = [0, 1], {(1, 0)}
+    for a in range(2, nodes):
+        for b in {rng.choice(ends) for _ in range(4)}:
+            edges.add((a, b))
+            ends += [a, b]
+    return sorted(edges)
+
+
+@pytest.mark.parametrize("grow", [_planted, _skewed])
+def test_rounds_of_joins_are_as_good_as_one_task(spark, grow):
+    """Modularity of the parallel plan within two percent of the sequential one."""
+    pairs = grow(random.Random(11))
+    e = spark.createDataFrame([(f"{a}>{b}", "s", f"n{a}", f"n{b}", "p", 1.0) for a, b in pairs], "id string, series string, src_id string, dst_id string, pred string, conf double")
+    here = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    q = [graph.modularity(e, graph.communities(e, here, levels=1, resolution=1.0, limit=limit)).head()["modularity"] for limit in (10**9, 10)]
+    print(grow.__name__, len(pairs), q)
+    assert q[1] >= 0.98 * q[0] > 0.1
