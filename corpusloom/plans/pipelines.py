@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import jsonx
 from corpusloom.functions import vectors as V
 from corpusloom.operators import answer, chunking, graph, kg, search, tables
+from corpusloom.operators.entities import VectorIndex
+from corpusloom.operators.text_index import TextIndex
 from corpusloom.schemas import BUDGETS, ChunkOptions, SearchRequest
 
 
@@ -65,18 +67,28 @@ def _report(parts: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
-def retrieve(request: SearchRequest, *, nodes: DataFrame, chunks: DataFrame, mentions: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
-    """Hits of a request: entities by name, chunks by vector (or words), or both fused on the chunk."""
+def retrieve(request: SearchRequest, *, nodes: DataFrame, chunks: DataFrame, mentions: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, names: TextIndex | None = None, words: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
+    """Hits of a request: entities by name, chunks by vector (or words), or both fused on the chunk.
+
+    Stored indexes of the request's series answer instead of scans where they
+    are given: ``names`` over entities, ``words`` and ``vectors`` over chunks.
+    """
     of = lambda df: df if request.series is None else df.where(F.col("series") == request.series)
     if "type" in request.filters:
         nodes = nodes.where(F.col("type") == request.filters["type"])
     terms = request.query.split()
-    entity = search.bm25(of(nodes), terms, max(request.k, 50) if request.mode == "hybrid" else request.k, text="name")
+    most = max(request.k, 50) if request.mode == "hybrid" else request.k
+    entity = search.bm25(of(nodes), terms, most, text="name") if names is None or request.filters else names.search(terms, most)
     if request.mode == "kg":
         return entity.join(nodes.select("id", "name", "type"), "id")
     pool = of(chunks).withColumnRenamed("cid", "id")
     vector = (embed or (lambda q: V.hash_vector(q, 384).tolist()))(request.query)
-    dense = search.vector_top_k(pool, vector, request.k) if vector else search.bm25(pool, terms, request.k)
+    if vector and vectors is not None:
+        dense = search.top_k(vectors.search(vector, request.k).select("id", "score").join(pool, "id"), request.k)
+    elif vector:
+        dense = search.vector_top_k(pool, vector, request.k)
+    else:
+        dense = search.bm25(pool, terms, request.k) if words is None else search.top_k(words.search(terms, request.k).join(pool, "id"), request.k)
     if request.mode == "dense":
         return dense
     if mentions is not None:  # entities count for the chunks that mention them
