@@ -191,12 +191,12 @@ def test_build_and_ask(spark, sf, tmp_path):
     assert sql.head()["n"] == counts["nodes"]
 
 
-def _planted(rng, nodes=60, groups=5):
+def _planted(rng, nodes=120, groups=8):
     edges = {(a, b) for a in range(nodes) for b in range(a) if rng.random() < (0.5 if a % groups == b % groups else 0.01)}
     return sorted(edges | {(a, a - 1) for a in range(1, nodes)})
 
 
-def _skewed(rng, nodes=80):
+def _skewed(rng, nodes=150):
     ends, edges = [0, 1], {(1, 0)}
     for a in range(2, nodes):
         for b in {rng.choice(ends) for _ in range(4)}:
