@@ -54,3 +54,21 @@ def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         similarity.join(p, p.withColumnRenamed("id", "mention_id"), 0.0)
     assert similarity.join(p, p.withColumnRenamed("id", "mention_id")).count() == 0
+
+
+def test_candidates_of_copies(spark):
+    """Copies on both sides meet once as classes; rows, ties and repeated ids as by all pairs."""
+    rng = random.Random(8)
+    names = _names(rng, 40)
+    catalog = [(i, names[i * i % 40] if i % 3 else "the same-name") for i in range(300)] + [(5, "again the"), (900, None), (901, " - ")]
+    mentions = [(1000 + i, n) for i, n in enumerate([*names[:25], *["Same the name"] * 60, None, ""])] + [(1003, "and more")]
+    frames = spark.createDataFrame(catalog, "id int, name string"), spark.createDataFrame(mentions, "mention_id int, name string")
+    of = lambda rows: {i: " ".join(n or "" for j, n in rows if j == i) for i, _ in rows}
+    want, classes = set(), [{tuple(sorted(n.lower().replace("-", " ").split())) for n in of(rows).values()} - {()} for rows in (mentions, catalog)]
+    for m, name in of(mentions).items():
+        best = sorted((-s, i) for i, n in of(catalog).items() if (s := _jaccard(name, n)) > 0)
+        want |= {(m, i, round(-s, 9), r) for r, (s, i) in enumerate(best[:7], 1)}
+    got = search.multiset_jaccard(*frames, 7).collect()
+    assert {(r["mention_id"], r["id"], round(r["score"], 9), r["rank"]) for r in got} == want and len(got) == len(want)
+    formed = search.class_scores(search._classes(frames[1], "mention_id")[0], search._classes(frames[0], "id")[0]).count()
+    assert formed == sum(bool(set(x) & set(y)) for x in classes[0] for y in classes[1])
