@@ -102,16 +102,25 @@ def canonical_edges(extracted: DataFrame, nodes: DataFrame, min_conf: float = 0.
     """One edge for each (source, predicate, target), keyed by its id.
 
     Ends are found by name among the series' nodes (the smallest id of a name),
-    and are concept nodes where no such name exists.
+    and are concept nodes where no such name exists.  ``cids`` holds the first
+    ``MAX_CIDS``; :func:`edge_evidence` has all as rows.
     """
+    return _merged_edges(_related(extracted, nodes, min_conf).withColumn("cids", F.array("cid")))
+
+
+def _related(extracted: DataFrame, nodes: DataFrame, min_conf: float) -> DataFrame:
     r = extracted.select("series", "cid", F.explode("relations").alias("r")).select("series", "cid", "r.*")
     r = r.where((F.coalesce("conf", F.lit(0.0)) >= min_conf) & _present("src") & _present("dst") & _present("pred"))
     key = lambda c: F.lower(F.trim(c))
     by_name = nodes.groupBy("series", key(F.col("name")).alias("key")).agg(F.min("id").alias("found"))
     for end in ("src", "dst"):
         r = r.withColumn("key", key(F.col(end))).join(by_name, ["series", "key"], "left").withColumn(f"{end}_id", F.coalesce("found", ids.node_id(F.col("series"), F.col(end), F.lit("concept")))).drop("key", "found")
-    r = r.withColumn("id", ids.stable_id(F.col("series"), F.col("src_id"), F.col("pred"), F.col("dst_id")))
-    return _merged_edges(r.withColumn("cids", F.array("cid")))
+    return r.withColumn("id", ids.stable_id(F.col("series"), F.col("src_id"), F.col("pred"), F.col("dst_id")))
+
+
+def edge_evidence(extracted: DataFrame, nodes: DataFrame, min_conf: float = 0.35) -> DataFrame:
+    """(edge_id, cid): every chunk that states an edge, as rows."""
+    return _related(extracted, nodes, min_conf).select(F.col("id").alias("edge_id"), "cid").distinct()
 
 
 def _merged_edges(rows: DataFrame) -> DataFrame:

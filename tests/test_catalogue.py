@@ -42,3 +42,11 @@ def test_filters_reach_the_scan(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select(F.col("source").alias("series"), F.col("doc_id").alias("filename"), "text")
     plan = chunking.document_chunks(d)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "n_chars" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_edges_of_many_chunks(spark, con, tmp_path):
+    """More chunks of one edge than a node or edge keeps are all counted."""
+    many = con.sql("SELECT range AS p_partkey, 'n' AS p_name, 'Brand#' || range % 2 AS p_brand, 'LARGE' AS p_type, CAST(40 AS INT) AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(900)")
+    many.write_parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.QUERIES["canonical_edges"](spark, str(tmp_path)).collect()
+    assert [r["n_cids"] for r in got] == [450, 450]
