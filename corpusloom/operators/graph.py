@@ -29,40 +29,98 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct(), "id", "left_anti")
 
 
-def trails(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, hops: int = 3, theta: float = 0.05, alpha: float = 0.8, per_pair: int = 6, k: int | None = 12) -> DataFrame:
+#: Trails that a task makes, or ranks.
+TRAIL_ROWS = 1 << 19
+
+
+def trails(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, hops: int = 3, theta: float = 0.05, alpha: float = 0.8, per_pair: int = 6, k: int | None = 12, checkpoint=None) -> DataFrame:
     """Best undirected trails of at most ``hops`` edges between two seeds.
 
     No edge occurs twice in a trail; nodes may.  Edges and nodes below
     ``theta`` are dropped before the first hop, which equals testing whole
     paths.  The score is ``alpha ** (length - 1)`` times the mean confidence of
     all nodes and edges.  ``seeds`` (id, rank) is the stated set; a pair runs
-    from the lower to the higher rank.  A hop only goes to nodes from which the
-    hops that are left still reach a seed, so walks into hubs that lead nowhere
-    are never made.
+    from the lower to the higher rank.  A hop either ends at such a seed or
+    goes to a node from which the hops that are left still lead to a seed, so
+    walks that lead nowhere are never made.
+
+    With ``checkpoint``, which writes a DataFrame and reads it back, walks are
+    counted by node before they are made: a node where they would give more
+    than ``TRAIL_ROWS`` is dealt to several tasks, and as many tasks rank the
+    trails as there are ``TRAIL_ROWS`` of them.  Without it, as suits a few
+    seeds, Spark's own number of tasks makes them.
     """
     n = nodes.select("id", F.coalesce("conf", F.lit(0.5)).alias("conf")).where(F.col("conf") >= theta)
     e = both_ways(edges).where(F.col("conf") >= theta)
     ok = n.select(F.col("id").alias("v"), F.col("conf").alias("v_conf"))
     step = e.join(ok, "v").join(n.select(F.col("id").alias("u")), "u", "left_semi")
+    save = checkpoint or (lambda df: df)
+    step = save(step)
     start = seeds.select(F.col("id").alias("src"), F.col("rank").alias("src_rank"))
-    stop = seeds.select(F.col("id").alias("dst"), F.col("rank").alias("dst_rank"))
-    # reach[d]: nodes at most d hops from a seed.
-    reach = [seeds.select(F.col("id").alias("v")).distinct()]
-    for _ in range(hops - 2):  # the first hop leaves a seed and can always go back
-        reach.append(reach[-1].union(step.join(reach[-1], "v", "left_semi").select(F.col("u").alias("v"))).distinct())
+    stop = seeds.select(F.col("id").alias("v"), F.col("rank").alias("dst_rank"))
+    last = save(step.join(stop, "v"))
+    # onward[d]: steps to nodes from which a seed is one to d steps away.
+    towards, onward = last.select(F.col("u").alias("v")).distinct(), {}
+    for left in range(1, hops):
+        onward[left] = save(step.join(towards, "v", "left_semi"))
+        towards = towards.union(onward[left].select(F.col("u").alias("v"))).distinct()
     now = n.join(start, n["id"] == start["src"]).select("src", "src_rank", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<string>").alias("preds"), F.col("conf").alias("total"))
+    turns = [(hop, near) for hop in range(1, hops + 1) for near in (last, onward.get(hops - hop)) if near is not None]
+    meetings = _meetings(now, turns, last) if checkpoint else [None] * len(turns)
+    rows = _counted(meetings) if checkpoint else [0] * len(turns)
     found = None
-    for hop in range(1, hops + 1):
-        near = step if hop == 1 < hops else step.join(reach[hops - hop], "v", "left_semi")
-        now = now.join(near, now["at"] == near["u"]).where(~F.array_contains("edges", F.col("edge_id")))
-        now = now.select("src", "src_rank", F.col("v").alias("at"), F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("preds", F.col("pred")).alias("preds"), (F.col("total") + F.col("conf") + F.col("v_conf")).alias("total"))
-        hit = now.join(stop, (now["at"] == stop["dst"]) & (now["src_rank"] < stop["dst_rank"])).select("src", "dst", "nodes", "edges", "preds", F.lit(hop).alias("length"), (F.lit(alpha ** (hop - 1)) * F.col("total") / (2 * hop + 1)).alias("score"))
+    for (hop, near), meeting, n_rows in zip(turns, meetings, rows, strict=True):
+        met = _met(now, near, meeting, n_rows)
+        met = met.where(F.col("src_rank") < F.col("dst_rank")) if near is last else met
+        grown = met.where(~F.array_contains("edges", F.col("edge_id"))).select("src", "src_rank", F.col("v").alias("at"), F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("preds", F.col("pred")).alias("preds"), (F.col("total") + F.col("conf") + F.col("v_conf")).alias("total"))
+        if near is not last:
+            now = grown
+            continue
+        hit = grown.select("src", F.col("at").alias("dst"), "nodes", "edges", "preds", F.lit(hop).alias("length"), (F.lit(alpha ** (hop - 1)) * F.col("total") / (2 * hop + 1)).alias("score"))
         found = hit if found is None else found.unionByName(hit)
+    total = sum(r for (_, near), r in zip(turns, rows, strict=True) if near is last)
+    if total > TRAIL_ROWS:
+        found = found.repartition(_tasks(nodes, total), "src", "dst")
     rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.round("score", 12).desc(), "length", F.array_join("edges", "|")))
     best = found.withColumn("rank", rank).where(F.col("rank") <= per_pair).drop("rank")
     return best if k is None else best.orderBy(F.round("score", 12).desc(), "src", "dst", F.array_join("edges", "|")).limit(k)
 
 
+def _meetings(now: DataFrame, turns: list[tuple[int, DataFrame]], last: DataFrame) -> list[DataFrame]:
+    """For each turn (u, rows, parts): trails that the walks at a node and its steps give, and the tasks that make them."""
+    walks, out = now.groupBy(F.col("at").alias("u")).agg(F.count(F.lit(1)).alias("walks")), []
+    for _, near in turns:
+        both = near.groupBy("u").agg(F.count(F.lit(1)).alias("steps")).join(walks, "u").select("u", "walks", (F.col("walks") * F.col("steps")).alias("rows"))
+        out.append(both.select("u", "rows", F.least("walks", F.ceil(F.col("rows") / F.lit(TRAIL_ROWS))).cast("int").alias("parts")))
+        if near is not last:
+            walks = near.join(walks, "u").groupBy(F.col("v").alias("u")).agg(F.sum("walks").alias("walks"))
+    return out
+
+
+def _counted(meetings: list[DataFrame]) -> list[int]:
+    counts = None
+    for i, m in enumerate(meetings):
+        one = m.agg(F.lit(i).alias("i"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+        counts = one if counts is None else counts.unionByName(one)
+    return [r["rows"] for r in sorted(counts.collect(), key=lambda r: r["i"])]
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TRAIL_ROWS))
+
+
+def _met(now: DataFrame, steps: DataFrame, meetings: DataFrame | None, rows: int) -> DataFrame:
+    """Walks beside the steps that leave their node; ``rows`` of them in all."""
+    if rows <= TRAIL_ROWS:
+        return now.join(steps, now["at"] == steps["u"])
+    many = meetings.where("parts > 1").select("u", "parts")
+    deal = lambda df, part: df.join(many, "u", "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
+    left = deal(now.withColumn("u", F.col("at")), lambda n: F.pmod(F.xxhash64("src", "edges"), n).cast("int"))
+    right = deal(steps, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    tasks = 4 * _tasks(now, rows)  # parts fall on tasks by hash
+    return left.repartition(tasks, "u", "part").join(right.repartition(tasks, "u", "part"), ["u", "part"])
+
+
 def _leiden(edges: pd.DataFrame, gamma: float) -> dict:
     """Deterministic local moving and aggregation on one component, nodes in order of id."""
     names = sorted(set(edges["u"]) | set(edges["v"]))

@@ -96,6 +96,21 @@ def _cliques(spark):
     return _edges(spark, rows + [("a0", "b0", 0.1), ("x", "y", 1.0)])
 
 
+def test_trails_of_a_hub_are_dealt(spark, monkeypatch):
+    """Trails through one node are made and ranked by many tasks, and are the same ones."""
+    monkeypatch.setattr(graph, "TRAIL_ROWS", 50)
+    nodes = [("h", "H", "", "c", 0.5), ("x", "X", "", "c", 0.6), *[(f"s{i}", "S", "", "c", 0.9) for i in range(24)]]
+    edges = [*[(f"s{i}", "h", (i % 9 + 1) / 10) for i in range(24)], *[(f"s{i}", "x", 0.4) for i in range(0, 24, 4)], ("h", "x", 0.3), ("s1", "s2", 0.7)]
+    n, e = _nodes(spark, nodes), _edges(spark, edges)
+    seeds = spark.createDataFrame([(f"s{i}", i) for i in range(24)], "id string, rank int")
+    here = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    rows = lambda df: sorted((r["src"], r["dst"], tuple(r["edges"]), round(r["score"], 9)) for r in df.collect())
+    dealt = graph.trails(n, e, seeds, k=None, checkpoint=here)
+    assert rows(dealt) == rows(graph.trails(n, e, seeds, k=None)) and dealt.count() > 24 * 23 // 2
+    used = dealt.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert used > dealt.count() // 60 and used > 4
+
+
 def test_communities_cover_connect_and_beat_singletons(spark, tmp_path):
     e = _cliques(spark)
     m = graph.communities(e, lambda df: spark.createDataFrame(df.collect(), df.schema), levels=2)
