@@ -18,6 +18,10 @@ places of the rows it replaces; every change is a version (see
 :mod:`corpusloom.sources.manifests`), and :meth:`InvertedFile.compact` writes a
 single segment again.
 
+Python workers hold a batch of eight megabytes or one row, whatever the sizes of
+lists and query sets are (:mod:`corpusloom.functions.batches`; the session keeps
+that setting), and matrices of ``CELLS`` scores.
+
 Null vectors are not indexed; vectors of another length raise; zero vectors
 score 0 with everything; of rows that repeat an id within one call the first by
 vector stays; ties go to the smaller id.
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import vectors as V
+from corpusloom.functions.batches import bound_bytes, lean
 from corpusloom.operators import search
 from corpusloom.sources.manifests import Manifests
 
@@ -44,6 +49,8 @@ from corpusloom.sources.manifests import Manifests
 MAX_LISTS, SAMPLE_PER_LIST, ROUNDS = 4096, 64, 8
 #: Rows of a block, rows of a list that one task packs, blocks of a list that one task searches, queries taken together.
 BLOCK_ROWS, PACK_ROWS, SEARCH_BLOCKS, QUERY_ROWS = 512, 1 << 16, 32, 256
+#: Cells of a matrix of scores that a task holds.
+CELLS = 1 << 20
 #: Added to the stored errors, for rounding in single precision.
 ROUNDING = 1e-6
 
@@ -57,6 +64,17 @@ def codes_of(unit: np.ndarray, centroid: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes, scale, (np.linalg.norm(rest - scale[:, None].astype(float) * codes, axis=1) + ROUNDING).astype(np.float32)
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
+
+
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Rows a few at a time, ``CELLS`` cells of ``width`` columns at most."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 class InvertedFile:
     """One version of an index below ``path``; methods that change it give the next one."""
 
@@ -101,6 +119,7 @@ class InvertedFile:
     def _with_segment(cls, store: Manifests, meta: dict, rows: DataFrame, dead: list[str], segments: list | None = None) -> InvertedFile:
         """Commit ``meta`` with one more segment that holds ``rows`` (id, v)."""
         spark, dims = store.spark, meta["dims"]
+        bound_bytes(spark)
         folder, number = store.folder("segment"), 1 + max((s["number"] for s in meta["segments"]), default=-1)
         centroids = spark.sparkContext.broadcast(_centroids(spark, meta))
         count = rows.count()
@@ -113,8 +132,8 @@ class InvertedFile:
                 n = raw.value_lengths().to_numpy()
                 if (n != dims).any():
                     raise ValueError(f"vectors must have {dims} dimensions, not {int(n[n != dims][0])}")
-                unit = V.unit_rows(raw.to_pylist())
-                near = (unit @ centroids.value.T).argmax(axis=1) if len(unit) else np.empty(0, int)
+                unit = V.unit_rows(_matrix(raw))
+                near = np.concatenate([np.empty(0, int), *((unit[x] @ centroids.value.T).argmax(axis=1) for x in _slices(len(unit), len(parts)))])
                 part = np.arange(len(near)) % parts[near] if len(near) else near
                 yield pa.RecordBatch.from_arrays([batch.column("id"), raw, pa.array(near.astype(np.int32)), pa.array(part.astype(np.int32))], ["id", "v", "list", "part"])
 
@@ -149,8 +168,8 @@ class InvertedFile:
         ddl = f"list int, block bigint, n int, ids array<{meta['id_type']}>, codes binary, scales binary, errors binary, turns binary, vectors binary"
         id_arrow = to_arrow_type(rows.schema["id"].dataType)
         schema = pa.schema([("list", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(id_arrow)), *[(c, pa.binary()) for c in ("codes", "scales", "errors", "turns", "vectors")]])
-        assigned = rows.mapInArrow(assign, f"id {meta['id_type']}, v array<double>, list int, part int")
-        packed = assigned.repartition(total, "list", "part").sortWithinPartitions("list", "id").mapInArrow(pack, ddl)
+        assigned = rows.mapInArrow(lean(assign), f"id {meta['id_type']}, v array<double>, list int, part int")
+        packed = assigned.repartition(total, "list", "part").sortWithinPartitions("list", "id").mapInArrow(lean(pack), ddl)
         packed.write.partitionBy("list").parquet(folder)
         segment = {"number": number, "path": folder, "rows": count}
         meta = meta | {"segments": [*(meta["segments"] if segments is None else segments), segment], "dead": dead}
@@ -185,6 +204,7 @@ class InvertedFile:
         return self._unpacked(self._living(self.blocks()).select("ids", "vectors", "gone"))
 
     def _unpacked(self, blocks: DataFrame) -> DataFrame:
+        bound_bytes(self.spark)
         dims = self.dims
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +215,7 @@ class InvertedFile:
                     flat = pa.array(v[stay].ravel())
                     yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(stay)), pa.ListArray.from_arrays(pa.array(np.arange(len(stay) + 1, dtype=np.int32) * dims), flat)], ["id", "v"])
 
-        return blocks.mapInArrow(run, f"id {self.id_type}, v array<double>")
+        return blocks.mapInArrow(lean(run), f"id {self.id_type}, v array<double>")
 
     # --- search -----------------------------------------------------------------
 
@@ -224,15 +244,16 @@ class InvertedFile:
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                raw = batch.column("q").to_pylist()
-                if any(len(v) != dims for v in raw):
+                if (batch.column("q").value_lengths().to_numpy() != dims).any():
                     raise ValueError(f"queries must have {dims} dimensions")
-                near = np.argsort(-(V.unit_rows(raw) @ centroids.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if raw else np.empty((0, probes), np.int32)
-                ends = np.arange(len(raw) + 1, dtype=np.int32) * near.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], ["query_id", "q", "lists"])
+                for x in _slices(batch.num_rows, len(centroids.value)):
+                    part = batch.slice(x.start, x.stop - x.start)
+                    near = np.argsort(-(V.unit_rows(_matrix(part.column("q"))) @ centroids.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    ends = np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]
+                    yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("q"), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], ["query_id", "q", "lists"])
 
         kind = each.schema["query_id"].dataType.simpleString()
-        return each.mapInArrow(run, f"query_id {kind}, q array<double>, lists array<int>").select("query_id", "q", F.posexplode("lists").alias("nth", "list"))
+        return each.mapInArrow(lean(run), f"query_id {kind}, q array<double>, lists array<int>").select("query_id", "q", F.posexplode("lists").alias("nth", "list"))
 
     def _found(self, probing: DataFrame, blocks: DataFrame, k: int, total: int = 1) -> DataFrame:
         """(query_id, id, score, rank) from ``total`` queries by list, over ``blocks``.
@@ -241,6 +262,7 @@ class InvertedFile:
         them, and the queries that probe it go to each, ``QUERY_ROWS`` in a
         row; the sizes of lists are read from their blocks.
         """
+        bound_bytes(self.spark)
         kind = probing.schema["query_id"].dataType.simpleString()
         parts = blocks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(SEARCH_BLOCKS)).cast("int").alias("parts"))  # MAX_LISTS rows at most
         packed = probing.withColumn("turn", F.floor(F.row_number().over(Window.partitionBy("list").orderBy("query_id")) / F.lit(QUERY_ROWS)))
@@ -249,7 +271,7 @@ class InvertedFile:
         dealt = blocks.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("segment", "block"), F.col("parts")).cast("int")).drop("parts")
         living = self._living(dealt.drop("vectors", "ids"))
         pairs = living.join(packed, ["list", "part"]).select("list", "segment", "block", "n", "codes", "scales", "errors", "turns", "gone", "queries")
-        near = pairs.mapInArrow(_coded(self.spark.sparkContext.broadcast(self.centroids), k), f"query_id {kind}, segment int, block bigint, place int, low double, high double")
+        near = pairs.mapInArrow(lean(_coded(self.spark.sparkContext.broadcast(self.centroids), k)), f"query_id {kind}, segment int, block bigint, place int, low double, high double")
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
         least = F.max(F.when(F.col("nth") == k, F.col("low"))).over(Window.partitionBy("query_id"))
         near = near.withColumn("nth", nth).withColumn("least", least).where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
@@ -258,7 +280,7 @@ class InvertedFile:
         turn = F.pmod(F.xxhash64("query_id"), F.lit(1 + total // QUERY_ROWS))
         wanted = near.withColumn("turn", turn).join(asked, "query_id").groupBy("segment", "block", "turn").agg(F.collect_list(F.struct("query_id", "place", "q")).alias("wanted"))
         exact = wanted.join(blocks.select("segment", "block", "ids", "vectors"), ["segment", "block"]).select("ids", "vectors", "wanted")
-        scored = exact.mapInArrow(_exact(self.dims), f"query_id {kind}, id {self.id_type}, score double")
+        scored = exact.mapInArrow(lean(_exact(self.dims)), f"query_id {kind}, id {self.id_type}, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -328,10 +350,12 @@ def _coded(centroids, k: int):
         sure: dict = {}  # for each query of the task a score that k rows reach
         for batch in it:
             packed = batch.column("queries")
-            for row, (at, segment, block, n, codes, scales, errors, turns, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in batch.schema.names[:-1]), strict=True)):
+            for row in range(batch.num_rows):
+                at, segment, block, n, gone = (batch.column(c)[row].as_py() for c in ("list", "segment", "block", "n", "gone"))
+                codes, scales, errors, turns = (batch.column(c)[row].as_buffer() for c in ("codes", "scales", "errors", "turns"))
                 queries = packed[row].values
                 centre = centroids.value[at]
-                unit = V.unit_rows(queries.field("q").to_pylist())
+                unit = V.unit_rows(_matrix(queries.field("q")))
                 score = (unit @ np.frombuffer(codes, np.int8).reshape(n, -1).astype(np.float64).T) * np.frombuffer(scales, "<f4").astype(np.float64) + (unit @ centre)[:, None]
                 error = np.frombuffer(errors, "<f4").astype(np.float64)[None, :]
                 low, high = score - error, score + error
@@ -356,10 +380,12 @@ def _exact(dims: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for ids, raw, wanted in zip(batch.column("ids"), batch.column("vectors").to_pylist(), batch.column("wanted"), strict=True):
-                place = wanted.values.field("place").to_numpy()
-                unit = V.unit_rows(list(np.frombuffer(raw, "<f8").reshape(-1, dims)[place]))
-                score = np.einsum("ij,ij->i", V.unit_rows(wanted.values.field("q").to_pylist()), unit)
-                yield pa.RecordBatch.from_arrays([wanted.values.field("query_id"), ids.values.take(pa.array(place)), pa.array(score)], ["query_id", "id", "score"])
+            for ids, raw, all_ in zip(batch.column("ids"), batch.column("vectors"), batch.column("wanted"), strict=True):
+                whole = np.frombuffer(raw.as_buffer(), "<f8").reshape(-1, dims)
+                for x in _slices(len(all_.values), dims):
+                    wanted = all_.values.slice(x.start, x.stop - x.start)
+                    place = wanted.field("place").to_numpy()
+                    score = np.einsum("ij,ij->i", V.unit_rows(_matrix(wanted.field("q"))), V.unit_rows(whole[place]))
+                    yield pa.RecordBatch.from_arrays([wanted.field("query_id"), ids.values.take(pa.array(place)), pa.array(score)], ["query_id", "id", "score"])
 
     return run

@@ -140,3 +140,14 @@ def test_requests_through_indexes_equal_scans(spark, tmp_path):
         for mode in ("kg", "dense", "hybrid"):
             ask = lambda **own: [(r["id"], round(r["score"], 9)) for r in pipelines.retrieve(SearchRequest("word3 text", mode, k=4), nodes=nodes, chunks=chunks, mentions=mentions, embed=embed, **own).collect()]  # noqa: B023, E731
             assert sorted(ask()) == sorted(ask(**stored)) and ask()
+
+
+def test_workers_hold_small_batches(spark, tmp_path):
+    """Blocks and queries reach a worker a few megabytes at a time, however many meet."""
+    rows = [(i, [float((i * j) % 17 - 8) for j in range(1, 33)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    index = vector_index.InvertedFile.build(df, str(tmp_path / "x"), lists=3)
+    found = index.search_many(df.withColumnRenamed("id", "query_id"), 3)
+    assert found.count() == 1800
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    assert [x.stop - x.start for x in vector_index._slices(4, vector_index.CELLS // 2)] == [2, 2]
