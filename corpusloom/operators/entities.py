@@ -125,13 +125,18 @@ def entity_texts(nodes: DataFrame) -> DataFrame:
 
 def embed_entities(nodes: DataFrame, vector: Column | None = None, *, dims: int = 384) -> DataFrame:
     """Nodes with ``evec``, the vector of their text; null where they have no text."""
-    embedded = entity_texts(nodes).select("id", (vector if vector is not None else V.hash_embed(dims)(F.col("text"))).alias("evec"))
-    return nodes.join(embedded, "id", "left")
+    return nodes.join(_embedded(nodes, vector, dims), "id", "left")
+
+
+def _embedded(nodes: DataFrame, vector: Column | None, dims: int) -> DataFrame:
+    return entity_texts(nodes).select("id", (vector if vector is not None else V.hash_embed(dims)(F.col("text"))).alias("evec"))
 
 
 def sync_at(catalog: Catalog, name: str, nodes: DataFrame, path: str, *, vector: Column | None = None, dims: int = 384, kind: str = "scan") -> VectorIndex:
     """Embed all entities, store their vectors under ``path``, register the index and open it."""
-    rows = checked_dims(embed_entities(nodes, vector, dims=dims).where(F.col("evec").isNotNull()), "evec", dims)
+    # An inverted file holds ids and vectors only, which need no join with the nodes.
+    embedded = _embedded(nodes, vector, dims) if kind == "inverted" else embed_entities(nodes, vector, dims=dims)
+    rows = checked_dims(embedded.where(F.col("evec").isNotNull()), "evec", dims)
     if kind == "inverted":
         InvertedFile.build(rows, path, vector="evec")
     else:

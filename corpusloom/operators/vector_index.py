@@ -69,6 +69,18 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
 
 
+def _turns(whole: np.ndarray) -> np.ndarray:
+    """For each row, how many rows before it hold the same vector."""
+    if not whole.shape[1]:
+        return np.arange(len(whole), dtype="<i4")
+    same = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.diff(same[order], prepend=-1))
+    out = np.empty(len(whole), "<i4")
+    out[order] = np.arange(len(whole)) - np.repeat(starts, np.diff([*starts, len(whole)]))
+    return out
+
+
 def _slices(rows: int, width: int) -> Iterator[slice]:
     """Rows a few at a time, ``CELLS`` cells of ``width`` columns at most."""
     step = max(1, CELLS // max(1, width))
@@ -90,9 +102,10 @@ class InvertedFile:
     def build(cls, rows: DataFrame, path: str, *, id: str = "id", vector: str = "embedding", lists: int | None = None, seed: int = 7) -> InvertedFile:
         """Train centroids and write every row; by default about the square root of the rows as lists."""
         spark, store = rows.sparkSession, Manifests(rows.sparkSession, path)
-        rows = cls._rows(rows, id, vector)
-        count = rows.count()
-        dims = rows.select(F.max(F.size("v"))).head()[0] or 0
+        held = store.folder("rows")
+        cls._rows(rows, id, vector).write.parquet(held)  # read several times from here on
+        rows = spark.read.parquet(held)
+        count, dims = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).head()
         lists = max(1, min(lists or round(count**0.5), MAX_LISTS, count))
         share = min(1.0, 1.5 * lists * SAMPLE_PER_LIST / max(1, count))
         nonzero = F.exists("v", lambda x: x != 0)
@@ -108,7 +121,9 @@ class InvertedFile:
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list int, centroid array<double>").coalesce(1).write.parquet(folder)
         known = sum(sizes) or 1
         meta = {"version": len(store.versions()), "dims": dims, "lists": len(centroids), "id_type": rows.schema["id"].dataType.simpleString(), "centroids": folder, "probes": len(centroids), "shares": [max(1, s) / known for s in sizes[: len(centroids)]], "segments": [], "dead": [], "rows": 0}
-        return cls._with_segment(store, meta, rows, [])
+        out = cls._with_segment(store, meta, rows, [])
+        store.remove(held)
+        return out
 
     @staticmethod
     def _rows(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -139,31 +154,29 @@ class InvertedFile:
 
         def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, made = TaskContext.get().partitionId() << 32, 0
-            kept, at = [], None
+            kept, at, n = [], None, 0
 
             def block():
-                nonlocal kept, made
-                unit = V.unit_rows([v for _, v in kept])
-                code, scale, error = codes_of(unit, centroids.value[at])
-                whole, seen, turns = np.array([v for _, v in kept], "<f8").reshape(len(kept), -1), {}, []
-                for v in whole:  # rows come by id: the turn of a row among those of the same vector
-                    turns.append(seen.setdefault(v.tobytes(), 0))
-                    seen[v.tobytes()] += 1
-                row = {"list": at, "block": base + made, "n": len(kept), "ids": [i for i, _ in kept], "codes": code.tobytes(), "scales": scale.tobytes(), "errors": error.tobytes(), "turns": np.array(turns, "<i4").tobytes(), "vectors": whole.tobytes()}
-                kept, made = [], made + 1
-                return row
+                nonlocal kept, made, n
+                ids, whole = pa.concat_arrays([i for i, _ in kept]), np.ascontiguousarray(np.concatenate([v for _, v in kept]), "<f8")
+                code, scale, error = codes_of(V.unit_rows(whole), centroids.value[at])
+                row = [[at], [base + made], [n], pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), *([x.tobytes()] for x in (code, scale, error, _turns(whole), whole))]
+                kept, made, n = [], made + 1, 0
+                return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
             for batch in it:
-                out = []
-                for i, v, to in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), batch.column("list").to_pylist(), strict=True):
-                    if kept and (to != at or len(kept) >= BLOCK_ROWS):
-                        out.append(block())
-                    at = to
-                    kept.append((i, v))
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-            if kept:
-                yield pa.RecordBatch.from_pylist([block()], schema)
+                lists, ids, whole = batch.column("list").to_numpy(), batch.column("id"), _matrix(batch.column("v"))
+                ends = [*np.flatnonzero(np.diff(lists)) + 1, len(lists)]
+                i = 0
+                while i < len(lists):
+                    if n and (lists[i] != at or n >= BLOCK_ROWS):
+                        yield block()
+                    at = int(lists[i])
+                    take = min(next(e for e in ends if e > i) - i, BLOCK_ROWS - n)
+                    kept.append((ids.slice(i, take), whole[i : i + take]))
+                    i, n = i + take, n + take
+            if n:
+                yield block()
 
         ddl = f"list int, block bigint, n int, ids array<{meta['id_type']}>, codes binary, scales binary, errors binary, turns binary, vectors binary"
         id_arrow = to_arrow_type(rows.schema["id"].dataType)

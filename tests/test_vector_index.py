@@ -151,3 +151,24 @@ def test_workers_hold_small_batches(spark, tmp_path):
     assert found.count() == 1800
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
     assert [x.stop - x.start for x in vector_index._slices(4, vector_index.CELLS // 2)] == [2, 2]
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """A build evaluates its rows once; blocks and turns are as row by row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for batch in it:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, [float(i % 3), 1.0, float(i % 2)]) for i in range(1300)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>").mapInArrow(count, "id int, embedding array<double>")
+    index = vector_index.InvertedFile.build(df, str(tmp_path / "x"), lists=2)
+    assert made.value == 1300 and index.meta["rows"] == 1300
+    for r in index.blocks().collect():
+        v, seen = np.frombuffer(r["vectors"], "<f8").reshape(r["n"], 3), {}
+        assert r["n"] <= vector_index.BLOCK_ROWS and list(r["ids"]) == sorted(r["ids"])
+        for x, turn in zip(v, np.frombuffer(r["turns"], "<i4"), strict=True):
+            assert seen.get(x.tobytes(), 0) == turn
+            seen[x.tobytes()] = turn + 1
